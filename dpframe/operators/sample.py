@@ -35,18 +35,36 @@ def _group_sizes(df: DataFrame) -> dict[str, int]:
     return {r[0]: r[1] for r in df.groupBy(GROUP).count().collect()}
 
 
-def _thresholds(df: DataFrame, wanted: Mapping[str, int], sizes: Mapping[str, int]) -> dict:
-    """Per group, the token of the ``wanted[g]``-th smallest row (radix select)."""
+def _thresholds(df: DataFrame, wanted, totals: dict | None = None, check=None) -> dict:
+    """Per group, the token of the ``wanted``-th smallest row (radix select).
+
+    ``wanted`` is a mapping group -> n, an int, or a function of the group
+    size column (e.g. ``lambda total: ceil(f * total)``). Each level is one
+    job: a histogram of the next 4 hex digits under the current prefix, a
+    window over that bounded histogram to find the boundary bucket, and a
+    collect of one row per group. Level 0 also yields the group sizes.
+    """
+    if callable(wanted):
+        want0 = wanted
+    elif isinstance(wanted, Mapping):
+        m = F.create_map(*[x for g, n in wanted.items() for x in (F.lit(g), F.lit(int(n)))])
+        want0 = lambda total: F.coalesce(F.element_at(m, F.col(GROUP)), F.lit(0))
+    else:
+        want0 = lambda total: F.lit(int(wanted))
     out: dict[str, str | None] = {}
-    state = {}  # group -> (prefix, rank within prefix, rows under prefix)
-    for g, n in wanted.items():
-        size = sizes.get(g, 0)
-        if n <= 0:
+    state = {}
+    level0 = _level(df, 0, None, want0)
+    if totals is not None:
+        totals.update({g: total for g, total, _, _ in level0})
+        if check is not None:
+            check(totals)
+    for g, total, want, bnd in level0:
+        if want <= 0:
             out[g] = ""            # keep nothing: every token is > ""
-        elif n >= size:
+        elif want >= total:
             out[g] = None          # keep everything
         else:
-            state[g] = ("", n, size)
+            state[g] = (bnd[0], bnd[1], bnd[2])
     while state:
         small = {g: s for g, s in state.items() if s[2] <= FINISH_ROWS}
         big = {g: s for g, s in state.items() if s[2] > FINISH_ROWS}
@@ -55,23 +73,30 @@ def _thresholds(df: DataFrame, wanted: Mapping[str, int], sizes: Mapping[str, in
         if not big:
             break
         plen = len(next(iter(big.values()))[0])
-        sel = df.where(F.concat(F.col(GROUP), F.lit("#"), F.substring(TOKEN, 1, plen))
-                       .isin([f"{g}#{s[0]}" for g, s in big.items()]))
-        nxt = F.substring(TOKEN, plen + 1, HEX_PER_LEVEL)
-        hist: dict[str, list] = {}
-        for r in sel.groupBy(GROUP, nxt.alias("b")).count().collect():
-            hist.setdefault(r[0], []).append((r[1], r[2]))
-        state = {}
-        for g, (prefix, rank, _) in big.items():
-            before = 0
-            for b, c in sorted(hist[g]):
-                if before + c >= rank:
-                    state[g] = (prefix + b, rank - before, c)
-                    break
-                before += c
+        rank = F.create_map(*[x for g, s in big.items() for x in (F.lit(g), F.lit(int(s[1])))])
+        rows = _level(df, plen, big, lambda total: F.element_at(rank, F.col(GROUP)))
+        state = {g: (big[g][0] + bnd[0], bnd[1], bnd[2]) for g, _, _, bnd in rows}
     return out
 
 
+def _level(df: DataFrame, plen: int, active: Mapping | None, want_fn):
+    """One radix level: (group, total, want, (bucket, rank in bucket, bucket size))."""
+    sel = df
+    if active is not None:
+        sel = df.where(F.concat(F.col(GROUP), F.lit("#"), F.substring(TOKEN, 1, plen))
+                       .isin([f"{g}#{s[0]}" for g, s in active.items()]))
+    nxt = F.substring(TOKEN, plen + 1, HEX_PER_LEVEL)
+    hist = sel.groupBy(GROUP, nxt.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    wg = Window.partitionBy(GROUP)
+    h = (hist.withColumn("_cum", F.sum("_c").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("_tot", F.sum("_c").over(wg)))
+    h = h.withColumn("_want", want_fn(F.col("_tot")).cast("long"))
+    hit = F.when(F.col("_cum") >= F.col("_want"),
+                 F.struct(F.col("_b"), (F.col("_want") - F.col("_cum") + F.col("_c")).alias("r"), F.col("_c")))
+    rows = h.groupBy(GROUP).agg(F.max("_tot"), F.max("_want"), F.min(hit)).collect()
+    return [(r[0], r[1], r[2], tuple(r[3]) if r[3] is not None else None) for r in rows]
+
+
 def _finish(df: DataFrame, groups: Mapping[str, tuple]) -> dict[str, str]:
     """Order the (bounded) boundary rows and read off the wanted token."""
     plen_keys = [f"{g}#{p}" for g, (p, _, _) in groups.items()]
@@ -112,17 +137,15 @@ def select_first(df: DataFrame, n: int | Mapping | None = None, *, fraction=None
 
     ``df`` must carry the token and group columns (see :func:`prepare`).
     ``n`` is an int (same for every group), a mapping group -> n, or None
-    with ``fraction`` (n = ceil/floor(fraction * group size)).
+    with ``fraction`` (n = ceil/floor(fraction * group size), in double
+    arithmetic like the reference).
     """
-    sizes = dict(sizes) if sizes is not None else _group_sizes(df)
     if fraction is not None:
-        rnd = math.ceil if rounding == "ceil" else math.floor
-        wanted = {g: int(rnd(fraction * s)) for g, s in sizes.items()}
-    elif isinstance(n, Mapping):
-        wanted = {g: int(n.get(g, 0)) for g in sizes}
+        rnd = F.ceil if rounding == "ceil" else F.floor
+        want = lambda total: rnd(F.lit(float(fraction)) * total.cast("double"))
     else:
-        wanted = {g: int(n) for g in sizes}
-    return _keep_expr(_thresholds(df, wanted, sizes))
+        want = n
+    return _keep_expr(_thresholds(df, want))
 
 
 def hash_rank(df: DataFrame, sizes: Mapping[str, int] | None = None, rank_col: str = "rn") -> DataFrame:
@@ -161,31 +184,30 @@ def validation_tail(df: DataFrame, key: Column, fraction: float = 0.2, seed=42)
     Adds ``is_val`` (int 0/1).
     """
     d = prepare(df, key, seed, None)
-    sizes = _group_sizes(d)
-    n_train = {g: int(math.floor((1 - fraction) * s)) for g, s in sizes.items()}
-    keep = select_first(d, n_train, sizes=sizes)
+    keep = select_first(d, fraction=1.0 - fraction, rounding="floor")
     return d.withColumn("is_val", (~keep).cast("int")).drop(TOKEN, GROUP)
 
 
 def downsample(df: DataFrame, key: Column, label: str = "label", seed=42,
-               n: int | None = None, classes: list | None = None) -> DataFrame:
+               n: int | None = None) -> DataFrame:
     """Exact-n sample per class without replacement, then union.
 
     ``n=None`` (T4): every class is cut to the minority count. ``n`` given
     (T5): exactly ``n`` from each class; raises when a class is short.
     """
     d = prepare(df, key, seed, [label])
-    sizes = _group_sizes(d)
-    if classes is not None:
-        for c in classes:
-            sizes.setdefault(str(c), 0)
-    target = min(sizes.values()) if n is None else int(n)
-    if n is not None:
-        short = {g: s for g, s in sizes.items() if s < target}
-        if short:
-            raise ValueError(f"classes {short} have fewer than {target} rows")
-    keep = select_first(d, target, sizes=sizes)
-    return d.where(keep).drop(TOKEN, GROUP)
+    if n is None:
+        want = lambda total: F.min(total).over(Window.partitionBy(F.lit(1)))
+        check = None
+    else:
+        want = int(n)
+
+        def check(totals):
+            short = {g: t for g, t in totals.items() if t < n}
+            if short:
+                raise ValueError(f"classes {short} have fewer than {n} rows")
+    thr = _thresholds(d, want, totals={}, check=check)
+    return d.where(_keep_expr(thr)).drop(TOKEN, GROUP)
 
 
 def oversample(df: DataFrame, key: Column, label: str = "label", seed=42,

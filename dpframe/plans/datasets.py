@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +15,54 @@ SEED = 42
 RARE_LABEL_SQL = "CAST(l_quantity >= 50 AND l_discount >= 0.05 AS INT)"
 
 
+_SPREAD: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a driver table; spread it when the scan alone cannot use the cores.
+
+    A large table arrives as many splittable files and is read in parallel
+    as is (the cluster case: nothing extra happens). A table stored as a
+    single row group scans in one task; such a table is spread once per
+    session over the default parallelism and kept (memory, then disk), so
+    row-level work (hashing, scoring, gradients) uses every core.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    par = spark.sparkContext.defaultParallelism
+    if os.environ.get("DPFRAME_SPREAD", "on") == "off":
+        return df
+    ck = (id(spark), path)
+    if ck in _SPREAD:
+        return _SPREAD[ck]
+    if df.rdd.getNumPartitions() < par and _bytes_estimate(df) > (1 << 20):
+        from pyspark import StorageLevel
+        df = df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
+        _SPREAD[ck] = df
+    return df
+
+
+def _bytes_estimate(df: DataFrame) -> int:
+    """Input size from the file listing (no data scan); unknown -> large."""
+    import os
+    from urllib.parse import urlparse
+    total = 0
+    for f in df.inputFiles():
+        u = urlparse(f)
+        if u.scheme not in ("", "file"):
+            return 1 << 62
+        total += os.path.getsize(u.path)
+    return total
 
 
 def lineitem_key() -> Column:
-    """Unique row key: (order, part, supplier, line number, ship date)."""
+    """Unique row key: (order, part, supplier, line number, ship day number)."""
     return key_string("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                      F.to_date("l_shipdate").cast("string"))
+                      F.unix_date(F.to_date("l_shipdate")))
 
 
 LINEITEM_KEY_SQL = ("concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
-                    "CAST(CAST(l_shipdate AS DATE) AS VARCHAR))")
+                    "CAST(l_shipdate AS DATE) - DATE '1970-01-01')")
 
 
 def rare_label(li: DataFrame) -> Column:
