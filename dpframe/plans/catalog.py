@@ -1,6 +1,6 @@
 """Import every query module so its queries register; re-export the registry."""
 
-from dpframe.plans import q_flagship, q_prepare, q_sample  # noqa: F401
+from dpframe.plans import q_dp, q_eval, q_flagship, q_prepare, q_sample  # noqa: F401
 from dpframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
