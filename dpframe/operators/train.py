@@ -410,3 +410,83 @@ def history_frame(spark, res: FitResult, run_id: str) -> DataFrame:
     """Training history as a long metrics table (run_id, key, step, epoch, value)."""
     rows = [(run_id, h["metric"], int(h["step"]), int(h["epoch"]), float(h["value"])) for h in res.history]
     return spark.createDataFrame(rows, "run_id string, key string, step int, epoch int, value double")
+
+
+# ------------------------------------------------------------------ H3: many trials at once
+
+def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> list[FitResult]:
+    """H3: train every (logistic) trial together over one cached input.
+
+    Each step is one job for all still-running trials: per-trial Poisson
+    membership flags are computed in SQL, rows in no batch are dropped,
+    and one ``mapInPandas`` pass emits per partition a (trials x d)
+    partial gradient block. Noise and updates happen per trial on the
+    driver; trials that have finished their steps drop out.
+    """
+    for c in configs:
+        c.validate()
+        if c.model != "logistic":
+            raise ValueError("fit_grid trains logistic trials; use fit() for the MLP")
+    data = train.select(key, "features", "label")
+    first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    d, n = int(first["d"]), int(first["n"])
+    par = data.sparkSession.sparkContext.defaultParallelism
+    data = data.repartition(max(1, min(par * 4, n // ROWS_PER_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()
+    model = Logistic(d)
+    seeds = [c.seed if c.seed is not None else secrets.token_hex(16) for c in configs]
+    rngs = [np.random.default_rng(int.from_bytes(f"{s}".encode(), "little") % (2 ** 63)) for s in seeds]
+    params = [model.init(r) for r in rngs]
+    opts = [_Optimizer(c.optimizer, c.learning_rate, model.size) for c in configs]
+    spe = [max(1, n // c.batch_size) for c in configs]
+    stops = []
+    for c in configs:
+        eps = epsilon_schedule(c, n)
+        over = [i + 1 for i, e in enumerate(eps) if c.budget is not None and e > c.budget]
+        stops.append(over[0] if over else c.epochs)
+    total = [spe[i] * stops[i] for i in range(len(configs))]
+    results = [FitResult(params=params[i], epsilon=epsilon_schedule(c, n)[:stops[i]]) for i, c in enumerate(configs)]
+    sc = data.sparkSession.sparkContext
+    for s in range(max(total)):
+        active = [i for i in range(len(configs)) if s < total[i]]
+        flags = F.array(*[_member(F.col(key), s, min(1.0, configs[i].batch_size / n), seeds[i]) for i in active])
+        batch = data.withColumn("_in", flags).where(F.exists("_in", lambda x: x))
+        bc = sc.broadcast(np.stack([params[i] for i in active]))
+        clips = [configs[i].l2_norm_clip for i in active]
+
+        def part(it, bc=bc, clips=clips, k=len(active)):
+            P = bc.value
+            acc = np.zeros((k, model.size))
+            cnt = np.zeros(k)
+            for pdf in it:
+                if len(pdf) == 0:
+                    continue
+                X = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+                y = pdf["label"].to_numpy().astype(np.float64)
+                M = np.stack(pdf["_in"].to_numpy()).astype(bool)
+                for j in range(k):
+                    m = M[:, j]
+                    if m.any():
+                        acc[j] += model.clipped_sum(P[j], X[m], y[m], np.ones(m.sum()), clips[j])
+                        cnt[j] += m.sum()
+            yield pd.DataFrame({"g": [acc.ravel().tolist()], "n": [cnt.tolist()]})
+
+        rows = batch.select("features", "label", "_in").mapInPandas(part, "g array<double>, n array<double>").collect()
+        bc.destroy()
+        G = np.sum([np.asarray(r["g"]).reshape(len(active), model.size) for r in rows], axis=0)
+        for j, i in enumerate(active):
+            c = configs[i]
+            g = G[j]
+            sigma = (c.l2_norm_clip or 0.0) * c.noise_multiplier
+            if sigma > 0:
+                g = g + rngs[i].normal(0.0, sigma, size=g.shape)
+            g = g / c.batch_size
+            if c.l2_reg:
+                g = g + c.l2_reg * params[i]
+            params[i] = opts[i].update(params[i], g)
+            results[i].steps += 1
+    data.unpersist()
+    for i, r in enumerate(results):
+        r.params = params[i]
+        r.model = model  # type: ignore[attr-defined]
+    return results
