@@ -104,3 +104,16 @@ def r7_privacy_utility_frontier(spark, sf_dir):
                                   (F.max(F.when(F.col("key") == "purchase", F.col("value"))) / 500.0).alias("auprc"))
     per = per.where(F.col("epsilon").isNotNull() & F.col("auprc").isNotNull())
     return rounded(runs.frontier(per, "epsilon", "auprc").select("run_id", "epsilon", "auprc"))
+
+
+@register("r1_streaming_latest_step", f"SELECT run_id, key, step, event_id, round(value, 6) AS value FROM ({DEDUP_SQL}) d")
+def r1_streaming_latest_step(spark, sf_dir):
+    """R1 as a Structured Streaming job: events files -> update-mode aggregate -> update log -> compacted."""
+    import uuid
+
+    from dpframe.session import checkpoint_dir
+    from dpframe.streaming import metrics as sm
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sm.run_ingest(spark, f"{sf_dir}/events*.parquet", f"{base}/log", f"{base}/checkpoint")
+    out = sm.read_latest(spark, f"{base}/log")
+    return rounded(out.select("run_id", "key", "step", "event_id", "value"), 6)

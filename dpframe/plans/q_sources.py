@@ -36,14 +36,16 @@ def s2_metric_history_scan(spark, sf_dir):
 
 
 @register("s3_param_scan", """
-SELECT CAST(c_custkey AS VARCHAR) AS run_id, 'mktsegment' AS key, c_mktsegment AS value FROM customer
-UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'nationkey', CAST(c_nationkey AS VARCHAR) FROM customer""")
+SELECT CAST(user_id AS VARCHAR) AS run_id, 'n_events' AS key, CAST(count(*) AS VARCHAR) AS value FROM events GROUP BY user_id
+UNION ALL SELECT CAST(user_id AS VARCHAR), 'first_type', min(event_type) FROM events GROUP BY user_id""")
 def s3_param_scan(spark, sf_dir):
-    """S3: one text value per (run, param), scanned back whole."""
-    c = table(spark, sf_dir, "customer")
-    p = c.select(F.col("c_custkey").cast("string").alias("run_id"), F.explode(F.array(
-        F.struct(F.lit("mktsegment").alias("key"), F.col("c_mktsegment").alias("value")),
-        F.struct(F.lit("nationkey").alias("key"), F.col("c_nationkey").cast("string").alias("value")))).alias("p")) \
+    """S3: one text value per (run, param) derived from each run's events, scanned back whole."""
+    ev = table(spark, sf_dir, "events")
+    per = ev.groupBy("user_id").agg(F.count(F.lit(1)).cast("string").alias("n_events"),
+                                    F.min("event_type").alias("first_type"))
+    p = per.select(F.col("user_id").cast("string").alias("run_id"), F.explode(F.array(
+        F.struct(F.lit("n_events").alias("key"), F.col("n_events").alias("value")),
+        F.struct(F.lit("first_type").alias("key"), F.col("first_type").alias("value")))).alias("p")) \
         .select("run_id", "p.key", "p.value")
     root = _dir(spark, "params")
     files.write_params(p, root)
