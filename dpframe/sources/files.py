@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PATH = F.col("_metadata.file_path")
+def _path() -> F.Column:
+    return F.col("_metadata.file_path")
 
 
 def _path_field(kind: str, field: str) -> F.Column:
     """run or key from either layout."""
+    PATH = _path()
     if field == "run":
         return F.coalesce(F.nullif(F.regexp_extract(PATH, r"run_id=([^/]+)/", 1), F.lit("")),
                           F.nullif(F.regexp_extract(PATH, rf"/([^/]+)/{kind}(/|$)", 1), F.lit("")))
@@ -53,7 +55,7 @@ def write_metrics(metrics: DataFrame, root: str, mode: str = "append") -> None:
 
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Metric history as (run_id, key, ts_ms, value, step)."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(root).select("value", PATH.alias("_p"))
+    raw = spark.read.option("recursiveFileLookup", "true").text(root).select("value", _path().alias("_p"))
     parts = F.split(F.trim(F.col("value")), " ")
     out = raw.select(_path_field("metrics", "run").alias("run_id"), _path_field("metrics", "key").alias("key"),
                      parts.getItem(0).cast("long").alias("ts_ms"), parts.getItem(1).cast("double").alias("value"),
