@@ -25,10 +25,20 @@ from pyspark.sql import functions as F
 
 from dpframe.keys import GROUP, TOKEN, group_key, order_token, uniform_int
 
-HEX_PER_LEVEL = 4
+HEX_PER_LEVEL = 4              # widest radix level: 65,536 buckets
+FIRST_LEVEL_HEX = 2            # level 0: 256 buckets (partial aggregation stays tiny)
 FINISH_ROWS = 100_000          # boundary sets up to this size are ordered directly
 MAX_LITERAL_GROUPS = 100_000   # thresholds are shipped as a map literal
-MAX_BROADCAST_GROUPS = 64      # bucket-offset table stays <= 64 * 65,536 rows
+RANK_BUCKET_ROWS = 50_000      # target rows per window partition in hash_rank
+MAX_BROADCAST_ROWS = 1 << 19   # bucket-offset table broadcast only below this many rows
+
+
+def _width_for(rows: int, target: int) -> int:
+    """Hex digits so that rows / 16^w is about ``target`` (1..HEX_PER_LEVEL)."""
+    w = 1
+    while w < HEX_PER_LEVEL and rows / (16 ** w) > target:
+        w += 1
+    return w
 
 
 def _group_sizes(df: DataFrame) -> dict[str, int]:
@@ -53,7 +63,7 @@ def _thresholds(df: DataFrame, wanted, totals: dict | None = None, check=None) -
         want0 = lambda total: F.lit(int(wanted))
     out: dict[str, str | None] = {}
     state = {}
-    level0 = _level(df, 0, None, want0)
+    level0 = _level(df, 0, None, want0, FIRST_LEVEL_HEX)
     if totals is not None:
         totals.update({g: total for g, total, _, _ in level0})
         if check is not None:
@@ -74,18 +84,19 @@ def _thresholds(df: DataFrame, wanted, totals: dict | None = None, check=None) -
             break
         plen = len(next(iter(big.values()))[0])
         rank = F.create_map(*[x for g, s in big.items() for x in (F.lit(g), F.lit(int(s[1])))])
-        rows = _level(df, plen, big, lambda total: F.element_at(rank, F.col(GROUP)))
+        width = _width_for(max(s[2] for s in big.values()), FINISH_ROWS // 4)
+        rows = _level(df, plen, big, lambda total: F.element_at(rank, F.col(GROUP)), width)
         state = {g: (big[g][0] + bnd[0], bnd[1], bnd[2]) for g, _, _, bnd in rows}
     return out
 
 
-def _level(df: DataFrame, plen: int, active: Mapping | None, want_fn):
+def _level(df: DataFrame, plen: int, active: Mapping | None, want_fn, width: int = HEX_PER_LEVEL):
     """One radix level: (group, total, want, (bucket, rank in bucket, bucket size))."""
     sel = df
     if active is not None:
         sel = df.where(F.concat(F.col(GROUP), F.lit("#"), F.substring(TOKEN, 1, plen))
                        .isin([f"{g}#{s[0]}" for g, s in active.items()]))
-    nxt = F.substring(TOKEN, plen + 1, HEX_PER_LEVEL)
+    nxt = F.substring(TOKEN, plen + 1, width)
     hist = sel.groupBy(GROUP, nxt.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
     wg = Window.partitionBy(GROUP)
     h = (hist.withColumn("_cum", F.sum("_c").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
@@ -149,14 +160,21 @@ def select_first(df: DataFrame, n: int | Mapping | None = None, *, fraction=None
 
 
 def hash_rank(df: DataFrame, sizes: Mapping[str, int] | None = None, rank_col: str = "rn") -> DataFrame:
-    """Exact 1-based rank of each row within its group, in token order."""
-    ngroups = len(sizes) if sizes is not None else df.select(GROUP).distinct().count()
-    b = F.substring(TOKEN, 1, HEX_PER_LEVEL)
-    d = df.withColumn("_b", b)
+    """Exact 1-based rank of each row within its group, in token order.
+
+    Rows are spread over 16^w hash buckets per group (w chosen so a bucket
+    holds about RANK_BUCKET_ROWS rows); bucket offsets come from a bounded
+    histogram (groups x 16^w rows, broadcast only below MAX_BROADCAST_ROWS),
+    and the rank inside a bucket from a window partitioned by (group, bucket).
+    """
+    if sizes is None or not all(sizes.values()):
+        sizes = _group_sizes(df)
+    width = _width_for(max(sizes.values(), default=1), RANK_BUCKET_ROWS)
+    d = df.withColumn("_b", F.substring(TOKEN, 1, width))
     hist = d.groupBy(GROUP, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wo = Window.partitionBy(GROUP).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = hist.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).select(GROUP, "_b", "_off")
-    if ngroups <= MAX_BROADCAST_GROUPS:
+    if len(sizes) * 16 ** width <= MAX_BROADCAST_ROWS:
         offs = F.broadcast(offs)
     w = Window.partitionBy(GROUP, "_b").orderBy(TOKEN)
     return (d.join(offs, [GROUP, "_b"])
@@ -240,7 +258,7 @@ def oversample(df: DataFrame, key: Column, label: str = "label", seed=42,
 def shuffle_order(df: DataFrame, key: Column, seed=42, rank_col: str = "pos") -> DataFrame:
     """Seeded shuffle as an explicit 1-based position column (no sort of the output)."""
     d = prepare(df, key, seed, None)
-    return hash_rank(d, {"": 0}, rank_col).drop(TOKEN, GROUP)
+    return hash_rank(d, None, rank_col).drop(TOKEN, GROUP)
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:

@@ -85,3 +85,26 @@ def metric_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 METRIC_HISTORY_SQL = ("SELECT user_id AS run_id, event_type AS key, "
                       "CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS step, ts, value, event_id "
                       "FROM events")
+
+
+_MEMO: dict[tuple, object] = {}
+
+
+def reuse(spark: SparkSession, key: tuple, build):
+    """Prepare once per session, reuse across queries (persisted, memory then disk).
+
+    ``build()`` returns a DataFrame, or a tuple/object whose DataFrames are
+    persisted. Recomputation after a lost executor replays the same
+    deterministic (hash-ordered) lineage.
+    """
+    from pyspark import StorageLevel
+    ck = (id(spark),) + key
+    if ck not in _MEMO:
+        obj = build()
+        items = obj if isinstance(obj, tuple) else (obj,)
+        for it in items:
+            df = getattr(it, "df", it)
+            if isinstance(df, DataFrame):
+                df.persist(StorageLevel.MEMORY_AND_DISK)
+        _MEMO[ck] = obj
+    return _MEMO[ck]

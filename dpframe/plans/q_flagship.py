@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dpframe.functions.vec import logistic_score
 from dpframe.operators import evaluate, prepare, sample
-from dpframe.plans.datasets import LINEITEM_KEY_SQL, SEED, labelled_lineitem
+from dpframe.plans.datasets import LINEITEM_KEY_SQL, SEED, labelled_lineitem, reuse
 from dpframe.plans.registry import register, rounded
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -25,12 +25,18 @@ BALANCE_SEED = 43
 
 
 def prepared_lineitem(spark: SparkSession, sf_dir: str, fit_on: str = "train"):
-    li = labelled_lineitem(spark, sf_dir)
-    return prepare.prepare_features(li, "label", F.col("key"), NUMERIC, CATEGORICAL,
-                                    fit_on=fit_on, test_size=0.2, seed=SEED, stratify=True)
+    def build():
+        li = labelled_lineitem(spark, sf_dir)
+        return prepare.prepare_features(li, "label", F.col("key"), NUMERIC, CATEGORICAL,
+                                        fit_on=fit_on, test_size=0.2, seed=SEED, stratify=True)
+    return reuse(spark, ("prepared_lineitem", sf_dir, fit_on), build)
 
 
 def scored_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse(spark, ("scored_splits", sf_dir), lambda: _scored_splits(spark, sf_dir))
+
+
+def _scored_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     prep = prepared_lineitem(spark, sf_dir).df
     train = prep.where(F.col("is_test") == 0)
     test = prep.where(F.col("is_test") == 1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dpframe.operators import prepare, sample, train
-from dpframe.plans.datasets import SEED, labelled_lineitem
+from dpframe.plans.datasets import SEED, labelled_lineitem, reuse
 from dpframe.plans.q_flagship import BALANCE_SEED, balanced_sql, prepared_lineitem, prepared_sql
 from dpframe.plans.registry import register, rounded
 
@@ -22,7 +22,11 @@ FIT_SEED = 2024                                        # fixed for reproducible
 
 
 def training_sets(spark: SparkSession, sf_dir: str):
-    """(balanced train, test) with features from price, tax, flag and status."""
+    """(balanced train, test) with features from price, tax, flag and status (prepared once per session)."""
+    return reuse(spark, ("training_sets", sf_dir), lambda: _training_sets(spark, sf_dir))
+
+
+def _training_sets(spark: SparkSession, sf_dir: str):
     li = labelled_lineitem(spark, sf_dir)
     prep = prepare.prepare_features(li, "label", F.col("key"), TRAIN_NUMERIC, TRAIN_CATEGORICAL,
                                     fit_on="train", test_size=0.2, seed=SEED, stratify=True)

@@ -42,12 +42,34 @@ def get_spark(master: str | None = None, partitions: int | None = None,
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``dpframe`` importable in Python workers (pandas UDFs, mapInPandas).
+
+    The package is zipped once per SparkContext and added with
+    ``addPyFile``, so executors get it wherever the driver runs from.
+    """
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_dpframe_shipped", False):
+        return
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="dpframe-pkg-")) / "dpframe.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, f.relative_to(pkg.parent))
+    sc.addPyFile(str(out))
+    sc._dpframe_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set one only if unset.
 
     On a cluster the shared folder is configured by the deployment; a local
     folder is created only for local-mode runs (tests, bench).
     """
+    ship_package(spark)
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if conf_dir:
