@@ -200,9 +200,66 @@ def make_model(cfg: FitConfig, d: int):
 # ------------------------------------------------------------------ steps
 
 def _member(key: Column, step: int, q: float, seed) -> Column:
+    """Per-step Poisson membership decided by a hash (used for ad-hoc checks)."""
     return uniform01(F.concat(key, F.lit(f"|{step}|{seed}"))) < F.lit(q)
 
 
+SCHEDULE_DRAWS = 4     # geometric draws per row and round (more rounds for the rare rest)
+
+
+def poisson_schedule(data: DataFrame, key: str, q: float, steps_per_epoch: int, epochs: int, seed,
+                     draws: int = SCHEDULE_DRAWS) -> DataFrame:
+    """Exact Poisson subsampling for every step of every epoch (one trial); see :func:`poisson_schedules`."""
+    trials = [(0, float(q), int(steps_per_epoch), int(epochs), str(seed))]
+    return poisson_schedules(data, key, trials, draws).drop("_trial")
+
+
+def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int = SCHEDULE_DRAWS) -> DataFrame:
+    """Exact Poisson subsampling schedules for several trials at once, O(rows) per epoch.
+
+    ``trials``: (trial id, rate q, steps per epoch S, epochs, seed). Instead
+    of testing each (row, step) pair, each row draws the gaps between the
+    steps it joins: G_j = floor(ln(1 - u_j) / ln(1 - q)) with u_j =
+    md5-uniform(key | e<epoch> | j | seed), positions p_j = p_{j-1} + 1 + G_j,
+    kept while p_j < S -- the same law as an independent Bernoulli(q) per
+    step. Rows still inside their epoch after ``draws`` draws get further
+    rounds (a few percent of rows, then almost none), so no membership is
+    ever cut off. Output: input columns + ``_trial``, ``epoch``, global ``step``.
+    """
+    spark = data.sparkSession
+    tt = spark.createDataFrame(
+        [(int(t), float(q), (math.log1p(-q) if q < 1.0 else float("-inf")), int(S), int(E), str(sd))
+         for t, q, S, E, sd in trials],
+        "_trial int, _q double, _lq double, _S long, _E int, _seed string")
+    e = (data.crossJoin(F.broadcast(tt))
+         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_E")))))
+    cols = [c for c in data.columns] + ["_trial", "epoch"]
+    state = e.withColumn("_pos", F.lit(-1).cast("long"))
+    out = None
+    j0 = 1
+    while True:
+        def fold(acc, j):
+            u = uniform01(F.concat(F.col(key), F.lit("|e"), F.col("epoch").cast("string"), F.lit("|"),
+                                   j.cast("string"), F.lit("|"), F.col("_seed")))
+            gap = F.floor(F.log(F.lit(1.0) - u) / F.col("_lq"))
+            pos = acc["pos"] + F.lit(1) + F.coalesce(gap, F.lit(0)).cast("long")
+            keep = F.when(pos < F.col("_S"), F.concat(acc["out"], F.array(pos))).otherwise(acc["out"])
+            return F.struct(pos.alias("pos"), keep.alias("out"))
+
+        init = F.struct(F.col("_pos").alias("pos"), F.array().cast("array<bigint>").alias("out"))
+        st = state.withColumn("_st", F.aggregate(F.sequence(F.lit(j0), F.lit(j0 + draws - 1)), init, fold))
+        got = (st.select(*cols, "_S", F.explode("_st.out").alias("_local"))
+               .withColumn("step", ((F.col("epoch") - 1) * F.col("_S") + F.col("_local")).cast("long"))
+               .drop("_local", "_S"))
+        out = got if out is None else out.unionByName(got)
+        rest = st.where(F.col("_st.pos") < F.col("_S")).withColumn("_pos", F.col("_st.pos")).drop("_st")
+        if rest.limit(1).count() == 0:
+            break
+        state = rest.persist(StorageLevel.MEMORY_AND_DISK)
+        j0 += draws
+    return out
+
+
 def _micro_id(key: Column, step: int, m: int, seed) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(step), F.lit(str(seed))), F.lit(m))
 
@@ -297,6 +354,15 @@ class _Optimizer:
         return params - self.lr * mh / (np.sqrt(vh) + ADAM_EPS)
 
 
+def _cache_schedule(sched: DataFrame, parts: int) -> DataFrame:
+    """Keep the schedule sorted by step inside each partition: the cached
+    column batches carry min/max statistics, so a step's filter skips the
+    batches of other steps instead of scanning the whole schedule."""
+    out = sched.repartitionByRange(parts, "step").sortWithinPartitions("step").persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
+
+
 def epsilon_schedule(cfg: FitConfig, n: int) -> list[float]:
     """A5: epsilon after each epoch (data-independent, known before training)."""
     if cfg.noise_multiplier <= 0 or cfg.l2_norm_clip is None:
@@ -355,13 +421,14 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
     step_fn = _logistic_step if (cfg.model == "logistic" and cfg.step_engine == "sql") else _numpy_step
     total = 0
     import time as _time
+    sched = _cache_schedule(poisson_schedule(data, key, q, steps_per_epoch, stop, seed), parts)
     for epoch in range(1, stop + 1):
         t_epoch = _time.time()
         for s in range(steps_per_epoch):
             if cfg.max_steps is not None and total >= cfg.max_steps:
                 break
             gstep = (epoch - 1) * steps_per_epoch + s
-            batch = data.where(_member(F.col(key), gstep, q, seed))
+            batch = sched.where(F.col("step") == F.lit(gstep))
             mcol = None
             if cfg.microbatches:
                 batch = batch.withColumn("_micro", _micro_id(F.col(key), gstep, cfg.microbatches, seed))
@@ -385,6 +452,7 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
         if cfg.max_steps is not None and total >= cfg.max_steps:
             break
     data.unpersist()
+    sched.unpersist()
     if ev_data is not None:
         ev_data.unpersist()
     res.params, res.steps = params, total
@@ -447,14 +515,18 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
     total = [spe[i] * stops[i] for i in range(len(configs))]
     results = [FitResult(params=params[i], epsilon=epsilon_schedule(c, n)[:stops[i]]) for i, c in enumerate(configs)]
     sc = data.sparkSession.sparkContext
+    sched = poisson_schedules(data, key, [(i, min(1.0, c.batch_size / n), spe[i], stops[i], seeds[i])
+                                          for i, c in enumerate(configs)])
+    parts = max(1, min(par * 4, n * len(configs) // ROWS_PER_PARTITION))
+    sched = _cache_schedule(sched, parts)
     for s in range(max(total)):
         active = [i for i in range(len(configs)) if s < total[i]]
-        flags = F.array(*[_member(F.col(key), s, min(1.0, configs[i].batch_size / n), seeds[i]) for i in active])
-        batch = data.withColumn("_in", flags).where(F.exists("_in", lambda x: x))
+        slot = {i: j for j, i in enumerate(active)}
+        batch = sched.where((F.col("step") == F.lit(s)) & F.col("_trial").isin(active))
         bc = sc.broadcast(np.stack([params[i] for i in active]))
         clips = [configs[i].l2_norm_clip for i in active]
 
-        def part(it, bc=bc, clips=clips, k=len(active)):
+        def part(it, bc=bc, clips=clips, k=len(active), slot=slot):
             P = bc.value
             acc = np.zeros((k, model.size))
             cnt = np.zeros(k)
@@ -463,15 +535,15 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
                     continue
                 X = np.stack(pdf["features"].to_numpy()).astype(np.float64)
                 y = pdf["label"].to_numpy().astype(np.float64)
-                M = np.stack(pdf["_in"].to_numpy()).astype(bool)
-                for j in range(k):
-                    m = M[:, j]
-                    if m.any():
-                        acc[j] += model.clipped_sum(P[j], X[m], y[m], np.ones(m.sum()), clips[j])
-                        cnt[j] += m.sum()
+                tr = pdf["_trial"].to_numpy()
+                for i in np.unique(tr):
+                    j = slot[int(i)]
+                    m = tr == i
+                    acc[j] += model.clipped_sum(P[j], X[m], y[m], np.ones(m.sum()), clips[j])
+                    cnt[j] += m.sum()
             yield pd.DataFrame({"g": [acc.ravel().tolist()], "n": [cnt.tolist()]})
 
-        rows = batch.select("features", "label", "_in").mapInPandas(part, "g array<double>, n array<double>").collect()
+        rows = batch.select("features", "label", "_trial").mapInPandas(part, "g array<double>, n array<double>").collect()
         bc.destroy()
         G = np.sum([np.asarray(r["g"]).reshape(len(active), model.size) for r in rows], axis=0)
         for j, i in enumerate(active):
@@ -486,6 +558,7 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
             params[i] = opts[i].update(params[i], g)
             results[i].steps += 1
     data.unpersist()
+    sched.unpersist()
     for i, r in enumerate(results):
         r.params = params[i]
         r.model = model  # type: ignore[attr-defined]

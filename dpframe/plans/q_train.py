@@ -84,8 +84,8 @@ train AS (SELECT * FROM prep WHERE is_test = 0),
 bal AS {balanced_sql('train', BALANCE_SEED)},
 n AS (SELECT count(*) AS n FROM bal),
 b AS (SELECT bal.* FROM bal, n
-      WHERE CAST(('0x' || substr(md5(key || '|0|{STEP_SEED}'), 1, 13))::BIGINT AS DOUBLE) / {float(1 << 52)!r}
-            < least(1.0, 256.0 / n.n)),
+      WHERE floor(ln(1.0 - CAST(('0x' || substr(md5(key || '|e1|1|{STEP_SEED}'), 1, 13))::BIGINT AS DOUBLE)
+                                 / {float(1 << 52)!r}) / ln(1.0 - least(1.0, 256.0 / n.n))) = 0),
 g AS (SELECT *, (0.5 - label) AS r,
              abs(0.5 - label) * sqrt(f0*f0 + f1*f1 + f2*f2 + f3*f3 + f4*f4 + f5*f5 + f6*f6 + f7*f7 + f8*f8 + 1.0) AS nrm FROM b),
 c AS (SELECT *, r * CASE WHEN nrm > {STEP_CLIP!r} THEN {STEP_CLIP!r} / nrm ELSE 1.0 END AS rc FROM g)

@@ -39,7 +39,8 @@ def test_one_zero_noise_step_matches_numpy(spark):
                           batch_size=64, epochs=1, max_steps=1, seed="s1")
     res = train.fit(df, cfg)
     q = 64 / len(y)
-    members = df.where(train._member(F.col("key"), 0, q, "s1")).select("key").collect()
+    sched = train.poisson_schedule(df, "key", q, len(y) // 64, 1, "s1")
+    members = sched.where("step = 0").select("key").collect()
     idx = np.array([int(r[0]) for r in members])
     r = 0.5 - y[idx]
     nrm = np.abs(r) * np.sqrt((X[idx] ** 2).sum(1) + 1)
@@ -85,3 +86,14 @@ def test_grid_fit_equals_single_fit(spark):
     one = train.fit(df, cfg)
     many = train.fit_grid(df, [cfg, train.FitConfig(**{**cfg.__dict__, "learning_rate": 0.1})])
     assert many[0].params == pytest.approx(one.params, abs=1e-12)
+
+
+def test_schedule_matches_bernoulli_rate(spark):
+    df, _, _ = _toy(spark, n=4000)
+    sched = train.poisson_schedule(df, "key", 0.05, 20, 3, "rate", draws=2)
+    per_step = [r[1] for r in sched.groupBy("step").count().collect()]
+    assert len(per_step) == 60
+    assert abs(sum(per_step) / 60 - 200) < 15
+    # rows that need more than one round of draws are continued, not cut off
+    multi = sched.groupBy("key", "epoch").count().where("count > 2").count()
+    assert multi > 0
