@@ -211,10 +211,11 @@ def poisson_schedule(data: DataFrame, key: str, q: float, steps_per_epoch: int,
                      draws: int = SCHEDULE_DRAWS) -> DataFrame:
     """Exact Poisson subsampling for every step of every epoch (one trial); see :func:`poisson_schedules`."""
     trials = [(0, float(q), int(steps_per_epoch), int(epochs), str(seed))]
-    return poisson_schedules(data, key, trials, draws).drop("_trial")
+    out, held = poisson_schedules(data, key, trials, draws)
+    return out.drop("_trial")
 
 
-def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int = SCHEDULE_DRAWS) -> DataFrame:
+def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int = SCHEDULE_DRAWS):
     """Exact Poisson subsampling schedules for several trials at once, O(rows) per epoch.
 
     ``trials``: (trial id, rate q, steps per epoch S, epochs, seed). Instead
@@ -224,7 +225,9 @@ def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int
     kept while p_j < S -- the same law as an independent Bernoulli(q) per
     step. Rows still inside their epoch after ``draws`` draws get further
     rounds (a few percent of rows, then almost none), so no membership is
-    ever cut off. Output: input columns + ``_trial``, ``epoch``, global ``step``.
+    ever cut off. Returns (schedule with input columns + ``_trial``,
+    ``epoch``, global ``step``; the per-round states it keeps, to release
+    once the schedule is written).
     """
     spark = data.sparkSession
     tt = spark.createDataFrame(
@@ -236,6 +239,7 @@ def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int
     cols = [c for c in data.columns] + ["_trial", "epoch"]
     state = e.withColumn("_pos", F.lit(-1).cast("long"))
     out = None
+    held = []
     j0 = 1
     while True:
         def fold(acc, j):
@@ -248,6 +252,8 @@ def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int
 
         init = F.struct(F.col("_pos").alias("pos"), F.array().cast("array<bigint>").alias("out"))
         st = state.withColumn("_st", F.aggregate(F.sequence(F.lit(j0), F.lit(j0 + draws - 1)), init, fold))
+        st = st.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(st)
         got = (st.select(*cols, "_S", F.explode("_st.out").alias("_local"))
                .withColumn("step", ((F.col("epoch") - 1) * F.col("_S") + F.col("_local")).cast("long"))
                .drop("_local", "_S"))
@@ -255,9 +261,9 @@ def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int
         rest = st.where(F.col("_st.pos") < F.col("_S")).withColumn("_pos", F.col("_st.pos")).drop("_st")
         if rest.limit(1).count() == 0:
             break
-        state = rest.persist(StorageLevel.MEMORY_AND_DISK)
+        state = rest
         j0 += draws
-    return out
+    return out, held
 
 
 def _micro_id(key: Column, step: int, m: int, seed) -> Column:
@@ -354,11 +360,24 @@ class _Optimizer:
         return params - self.lr * mh / (np.sqrt(vh) + ADAM_EPS)
 
 
-def _cache_schedule(sched: DataFrame, parts: int) -> DataFrame:
-    """Keep the schedule sorted by step inside each partition: the cached
-    column batches carry min/max statistics, so a step's filter skips the
-    batches of other steps instead of scanning the whole schedule."""
-    out = sched.repartitionByRange(parts, "step").sortWithinPartitions("step").persist(StorageLevel.MEMORY_AND_DISK)
+def _cache_schedule(sched, parts: int) -> DataFrame:
+    """Write the schedule to the shared checkpoint folder, sorted by step.
+
+    The written table cuts the lineage (a lost executor re-reads it instead
+    of replaying the sampling), each step's ``step = s`` filter is pushed
+    to the parquet scan (row groups carry step ranges), and the kept copy
+    has a plain scan plan, so per-step planning stays cheap.
+    """
+    import uuid
+
+    from dpframe.session import checkpoint_dir
+    sched, held = sched if isinstance(sched, tuple) else (sched, [])
+    spark = sched.sparkSession
+    path = f"{checkpoint_dir(spark)}/schedule-{uuid.uuid4().hex}"
+    sched.repartitionByRange(parts, "step").sortWithinPartitions("step").write.parquet(path)
+    for h in held:
+        h.unpersist()
+    out = spark.read.parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
     out.count()
     return out
 
@@ -421,7 +440,7 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
     step_fn = _logistic_step if (cfg.model == "logistic" and cfg.step_engine == "sql") else _numpy_step
     total = 0
     import time as _time
-    sched = _cache_schedule(poisson_schedule(data, key, q, steps_per_epoch, stop, seed), parts)
+    sched = _cache_schedule(poisson_schedules(data, key, [(0, q, steps_per_epoch, stop, str(seed))]), parts)
     for epoch in range(1, stop + 1):
         t_epoch = _time.time()
         for s in range(steps_per_epoch):
