@@ -136,7 +136,7 @@ def _join_small(df: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
 def add_rdp_epsilon(df: DataFrame, noise: str = "noise_multiplier", n: str = "n", batch: str = "batch_size",
                     epochs: str = "epochs", delta: str = "delta", out: str = "epsilon") -> DataFrame:
     """A2/A3 (+A7): Rényi epsilon per row; 0 when the noise is 0."""
-    q = (F.col(batch).cast("double") / F.col(n).cast("double"))
+    q = F.least(F.lit(1.0), F.col(batch).cast("double") / F.col(n).cast("double"))  # a batch >= n is the whole set
     d = df.withColumn("_q", q).withColumn("_sigma", F.col(noise).cast("double"))
     pairs = d.where(F.col("_sigma") > 0).select("_q", "_sigma").distinct()
     curves = pairs.withColumn("_rdp", rdp_curve_udf(F.col("_q"), F.col("_sigma")))

@@ -346,3 +346,69 @@ def p8_filter_hyperparameter(spark, sf_dir):
 
 
 _ = sample
+
+
+# ------------------------------------------------------------------ SQL oracles for A2/A3/A5 and H7
+
+def _rdp_sql(delta_policy: str, per_epoch: bool = False) -> str:
+    """Renyi epsilon in DuckDB: the same log-space quadrature, grid z = lo + k h."""
+    noise = [0.0] + ex.DP_GRID["noise_multiplier"] + [1.2]
+    delta = {"1/n": "1.0 / n.n", "1e-5": "CAST(1e-5 AS DOUBLE)", "1e-6": "CAST(1e-6 AS DOUBLE)"}[delta_policy]
+    orders = ", ".join(f"(CAST({a!r} AS DOUBLE))" for a in acc.RDP_ORDERS)
+    ep_col = "total_epochs" if per_epoch else "epochs"
+    explode = (", unnest(range(1, CAST(total_epochs AS BIGINT) + 1)) AS ep" if per_epoch else "")
+    ep_expr = "CAST(ep AS DOUBLE)" if per_epoch else "epochs"
+    out_cols = ("noise_multiplier, batch_size, total_epochs, trial, n, delta, CAST(ep AS DOUBLE) AS epochs"
+                if per_epoch else "noise_multiplier, batch_size, epochs, trial, n, delta")
+    return f"""
+WITH n AS {N_SQL},
+g AS (SELECT noise_multiplier, batch_size, epochs AS {ep_col},
+             CAST(row_number() OVER (ORDER BY noise_multiplier, batch_size, epochs) AS INTEGER) AS trial
+      FROM {_values_sql('noise_multiplier', noise)}, {_values_sql('batch_size', [128, 256])}, {_values_sql('epochs', [5, 15])}),
+gd AS (SELECT g.*, n.n, {delta} AS delta FROM g, n),
+pairs AS (SELECT DISTINCT least(1.0, batch_size / n) AS q, noise_multiplier AS sigma FROM gd WHERE noise_multiplier > 0),
+ords AS (SELECT * FROM (VALUES {orders}) o(a)),
+grid AS (SELECT q, sigma, a, least(sigma, sigma * sigma) / 100.0 AS h, -12.0 * sigma - 1.0 AS lo,
+                greatest(a, 1.0) + 12.0 * sigma + 1.0 AS hi FROM pairs, ords WHERE q < 1.0),
+pts AS (SELECT q, sigma, a, h, lo + k * h AS z FROM (
+          SELECT *, unnest(range(0, CAST(ceil((hi + h - lo) / h) AS BIGINT))) AS k FROM grid) x),
+lfs AS (SELECT q, sigma, a, h,
+          (-0.5 * ln(2 * pi()) - ln(sigma)) - z * z / (2 * sigma * sigma)
+          + a * (greatest(ln(1 - q), ln(q) + (2 * z - 1) / (2 * sigma * sigma))
+                 + ln(1 + exp(-abs(ln(1 - q) - (ln(q) + (2 * z - 1) / (2 * sigma * sigma)))))) AS lf FROM pts),
+mx AS (SELECT q, sigma, a, max(lf) AS m FROM lfs GROUP BY q, sigma, a),
+rdp AS (SELECT l.q, l.sigma, l.a, (any_value(mx.m) + ln(sum(exp(l.lf - mx.m)) * any_value(l.h))) / (l.a - 1) AS r
+        FROM lfs l JOIN mx ON l.q = mx.q AND l.sigma = mx.sigma AND l.a = mx.a GROUP BY l.q, l.sigma, l.a
+        UNION ALL SELECT q, sigma, a, a / (2 * sigma * sigma) FROM pairs, ords WHERE q >= 1.0),
+rows AS (SELECT gd.*{explode} FROM gd),
+e AS (SELECT rows.*, CASE WHEN noise_multiplier > 0 THEN (
+          SELECT min({ep_expr} * rows.n / rows.batch_size * rdp.r - ln(rows.delta) / (rdp.a - 1)) FROM rdp
+          WHERE rdp.q = least(1.0, rows.batch_size / rows.n) AND rdp.sigma = rows.noise_multiplier) ELSE 0.0 END AS epsilon FROM rows)
+SELECT {out_cols}, round(epsilon, 9) AS epsilon FROM e"""
+
+
+ORACLES_EXTRA = {
+    "a2_rdp_epsilon_grid": _rdp_sql("1/n"),
+    "a3_library_epsilon": _rdp_sql("1e-5"),
+    "a5_epsilon_per_epoch": _rdp_sql("1/n", per_epoch=True),
+    "h7_reduce_lr_on_plateau": f"""
+WITH RECURSIVE h AS (
+  SELECT run_id, step, value, row_number() OVER (PARTITION BY run_id ORDER BY step) AS i
+  FROM {_dedup_sql()} d WHERE key = 'error'),
+r AS (
+  SELECT run_id, i, step, CAST(1e-3 AS DOUBLE) AS lr_used, value AS best, 0 AS wait, CAST(1e-3 AS DOUBLE) AS lr
+  FROM h WHERE i = 1
+  UNION ALL
+  SELECT h.run_id, h.i, h.step, r.lr AS lr_used,
+         CASE WHEN h.value < r.best - 1e-4 THEN h.value ELSE r.best END,
+         CASE WHEN h.value < r.best - 1e-4 THEN 0 WHEN r.wait + 1 >= 3 THEN 0 ELSE r.wait + 1 END,
+         CASE WHEN NOT (h.value < r.best - 1e-4) AND r.wait + 1 >= 3 AND r.lr > 1e-6
+              THEN greatest(r.lr * 0.5, 1e-6) ELSE r.lr END
+  FROM r JOIN h ON h.run_id = r.run_id AND h.i = r.i + 1)
+SELECT run_id, CAST(step AS INTEGER) AS step, lr_used AS learning_rate FROM r""",
+}
+
+from dpframe.plans.registry import ORACLES as _ORACLES  # noqa: E402
+
+for _k, _v in ORACLES_EXTRA.items():
+    _ORACLES[_k] = _v
