@@ -129,6 +129,23 @@ def scale_columns(stats: dict[str, tuple[float, float]], exprs: dict[str, Column
     return [(c, scale_column(exprs.get(c, F.col(c)), m, s)) for c, (m, s) in stats.items()]
 
 
+def fit_encoder_and_scaler(df: DataFrame, categorical: list[str], numeric: list[str],
+                           max_categories: int = MAX_CATEGORIES):
+    """E1 + E5 fit in one aggregation job: sorted categories and (mean, population std)."""
+    aggs = [F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"c_{c}") for c in categorical]
+    for c in numeric:
+        x = F.col(c).cast("double")
+        aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}")]
+    if not aggs:
+        return {}, {}
+    row = df.agg(*aggs).first()
+    cats = {c: list(row[f"c_{c}"]) for c in categorical}
+    wide = {c: len(v) for c, v in cats.items() if len(v) > max_categories}
+    if wide:
+        raise ValueError(f"categorical domain too wide for one-hot arrays: {wide}")
+    return cats, {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in numeric}
+
+
 @dataclass
 class Prepared:
     """A prepared table plus the fitted state needed to apply it to new rows."""
@@ -158,15 +175,16 @@ def prepare_features(df: DataFrame, label: str, key: Column, numeric: list[str]
     splitted = sample.split(base, F.col("key"), test_size=test_size, seed=seed,
                             stratify="label" if stratify else None)
     fit_rows = splitted.where(F.col("is_test") == 0) if fit_on == "train" else splitted
-    cats = onehot_fit(fit_rows, categorical)
-    dummies = onehot_columns(cats, drop_first=drop_first)
     if scale_dummies:
+        cats = onehot_fit(fit_rows, categorical)
+        dummies = onehot_columns(cats, drop_first=drop_first)
         with_d = fit_rows.select(*numeric, *[e.alias(n) for n, e in dummies])
         stats = scaler_fit(with_d, numeric + [n for n, _ in dummies])
         dexpr = dict(dummies)
         cols = scale_columns(stats, dexpr)
     else:
-        stats = scaler_fit(fit_rows, numeric)
+        cats, stats = fit_encoder_and_scaler(fit_rows, categorical, numeric)
+        dummies = onehot_columns(cats, drop_first=drop_first)
         cols = scale_columns(stats) + dummies
     names = [n for n, _ in cols]
     out = splitted.select("key", "label", "is_test", *keep,

@@ -132,3 +132,31 @@ def m12_best_threshold_f1(spark, sf_dir):
 def m12_best_threshold_precision(spark, sf_dir):
     """M12 with precision as the objective."""
     return rounded(evaluate.best_threshold(_scored(spark, sf_dir), "label", "score", "precision", 1, 99, ["split"]))
+
+
+def _report_cols(cols: list[str], threshold: float = 0.2) -> str:
+    inner = report_sql(f"(SELECT split, label, CAST(score > {threshold} AS INT) AS pred FROM scored) s")
+    return scored_sql() + f"\nSELECT split, {', '.join(cols)} FROM ({inner}) r"
+
+
+M4 = ["precision_macro", "recall_macro", "f1_macro"]
+M5 = ["precision_weighted", "recall_weighted", "f1_weighted"]
+M6 = ["accuracy"]
+
+
+@register("m4_macro_average", _report_cols(M4))
+def m4_macro_average(spark, sf_dir):
+    """M4: plain mean of the per-class precision, recall and F1 (threshold 0.2)."""
+    return m3_report(spark, sf_dir).select("split", *M4)
+
+
+@register("m5_weighted_average", _report_cols(M5))
+def m5_weighted_average(spark, sf_dir):
+    """M5: support-weighted mean of the per-class precision, recall and F1 (threshold 0.2)."""
+    return m3_report(spark, sf_dir).select("split", *M5)
+
+
+@register("m6_accuracy", _report_cols(M6))
+def m6_accuracy(spark, sf_dir):
+    """M6: accuracy at the report threshold."""
+    return m3_report(spark, sf_dir).select("split", *M6)
