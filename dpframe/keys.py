@@ -53,3 +53,18 @@ def group_key(by: list[str] | None) -> Column:
 
 def with_token(df: DataFrame, key: Column, seed) -> DataFrame:
     return df.withColumn(TOKEN, order_token(key, seed))
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp, independent of the session time zone.
+
+    Driver tables carry wall-clock timestamps without zone; casting them to
+    a zoned timestamp would shift them by the session offset.
+    """
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            ts.cast("timestamp_ntz"))
+
+
+def epoch_millis(ts: Column) -> Column:
+    """Milliseconds since the epoch (truncated), independent of the session time zone."""
+    return F.floor(epoch_micros(ts) / F.lit(1000)).cast("long")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dpframe.keys import epoch_micros
+
 
 def dedupe(metrics: DataFrame, tiebreak: str = "event_id") -> DataFrame:
     """One row per (run, key, step): the latest logged (ts, then tiebreak)."""
@@ -33,7 +35,7 @@ def params_wide(params: DataFrame, types: dict[str, str]) -> DataFrame:
 def epoch_durations(metrics: DataFrame) -> DataFrame:
     """Seconds between consecutive logged steps of each (run, key)."""
     w = Window.partitionBy("run_id", "key").orderBy("step", "ts")
-    secs = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
+    secs = epoch_micros(F.col("ts")) - epoch_micros(F.lag("ts").over(w))
     return metrics.withColumn("seconds", secs / F.lit(1e6)).where(F.col("seconds").isNotNull())
 
 

@@ -27,6 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     session over the default parallelism and kept (memory, then disk), so
     row-level work (hashing, scoring, gradients) uses every core.
     """
+    from dpframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)           # also ships the package to Python workers
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
     par = spark.sparkContext.defaultParallelism

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dpframe.keys import epoch_millis
 from dpframe.operators import evaluate
 from dpframe.plans.datasets import METRIC_HISTORY_SQL, metric_history, table
 from dpframe.plans.q_flagship import scored_sql, scored_splits
@@ -22,7 +23,7 @@ def _dir(spark, name: str) -> str:
 def _metrics_rows(spark, sf_dir):
     h = metric_history(spark, sf_dir)
     return h.select(F.col("run_id").cast("string").alias("run_id"), "key", "step",
-                    F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "value")
+                    epoch_millis(F.col("ts")).alias("ts_ms"), "value")
 
 
 @register("s2_metric_history_scan", f"""
@@ -62,8 +63,8 @@ def s4_run_meta_scan(spark, sf_dir):
     """Run metadata (``key: value`` lines) per run, parsed back by field."""
     ev = table(spark, sf_dir, "events")
     runs = ev.groupBy("user_id").agg(
-        F.min(F.unix_millis(F.col("ts").cast("timestamp"))).alias("start_time"),
-        F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("end_time"),
+        F.min(epoch_millis(F.col("ts"))).alias("start_time"),
+        F.max(epoch_millis(F.col("ts"))).alias("end_time"),
         F.sum((F.col("event_type") == "error").cast("int")).alias("_err"))
     runs = runs.select(F.col("user_id").cast("string").alias("run_id"),
                        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("run_name"),
