@@ -39,7 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _SPREAD[ck]
     if df.rdd.getNumPartitions() < par and _bytes_estimate(df) > (1 << 20):
         from pyspark import StorageLevel
-        df = df.repartition(par).persist(StorageLevel.MEMORY_AND_DISK)
+        # hash of the whole row: deterministic on retry without the sort round-robin needs
+        df = df.repartition(par, F.xxhash64(*[F.col(c) for c in df.columns])).persist(StorageLevel.MEMORY_AND_DISK)
         _SPREAD[ck] = df
     return df
 
