@@ -92,9 +92,14 @@ def best_trial(results: DataFrame, loss: str, trial: str, by: list[str] | None =
 
 def best_epoch(history: DataFrame, run: list[str], value: str = "value", step: str = "step",
                tiebreak: list[str] = ()) -> DataFrame:
-    """H5: per run, the step with the lowest value (first on ties)."""
-    w = Window.partitionBy(*run).orderBy(F.col(value), F.col(step), *[F.col(c) for c in tiebreak])
-    return history.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """H5: per run, the step with the lowest value (first on ties).
+
+    A ``min_by`` aggregate (map-side combinable), so a run with a huge
+    history is reduced in partial aggregates, never sorted in one task.
+    """
+    rest = [c for c in history.columns if c not in run]
+    order = F.struct(F.col(value), F.col(step), *[F.col(c) for c in tiebreak])
+    return history.groupBy(*run).agg(F.min_by(F.struct(*rest), order).alias("_b")).select(*run, "_b.*")
 
 
 def early_stopping(history: DataFrame, run: list[str], value: str = "value", step: str = "step",
