@@ -44,15 +44,29 @@ def runs_without_metrics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
     return runs.join(metrics.select("run_id").distinct(), "run_id", "left_anti")
 
 
-def frontier(per_run: DataFrame, eps: str = "epsilon", utility: str = "auprc") -> DataFrame:
+def frontier(per_run: DataFrame, eps: str = "epsilon", utility: str = "auprc", buckets: int = 1024) -> DataFrame:
     """Runs not beaten on both privacy cost and utility.
 
-    A run is on the frontier when no run with lower-or-equal epsilon has
-    higher-or-equal utility: sort by (eps, -utility) and keep rows whose
-    utility beats the running maximum before them. Input is one row per
-    run (an aggregate), so the ordered window is over runs, not rows.
+    A run is on the frontier when it has higher utility than every run
+    before it in (eps, -utility, run_id) order. The running maximum is a
+    distributed prefix scan: runs are range-bucketed on approximate
+    quantiles of eps (equal eps share a bucket), the per-bucket maxima
+    (bounded: ``buckets`` rows) give the maximum of all earlier buckets,
+    and a window inside each bucket gives the rest. No window spans all runs.
     """
-    w = Window.orderBy(F.col(eps), F.col(utility).desc(), F.col("run_id")) \
+    from pyspark.ml.feature import Bucketizer
+
+    qs = [i / buckets for i in range(1, buckets)]
+    cuts = sorted({x for x in per_run.approxQuantile(eps, qs, 1.0 / (4 * buckets)) if x is not None})
+    splits = [float("-inf")] + cuts + [float("inf")]
+    d = Bucketizer(splits=splits, inputCol=eps, outputCol="_bk").transform(
+        per_run.withColumn(eps, F.col(eps).cast("double")))
+    bmax = d.groupBy("_bk").agg(F.max(utility).alias("_bm"))
+    prev = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)   # <= buckets rows
+    bmax = bmax.withColumn("_before_bucket", F.max("_bm").over(prev)).drop("_bm")
+    w = Window.partitionBy("_bk").orderBy(F.col(eps), F.col(utility).desc(), F.col("run_id")) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    d = per_run.withColumn("_best_before", F.max(utility).over(w))
-    return d.where(F.col("_best_before").isNull() | (F.col(utility) > F.col("_best_before"))).drop("_best_before")
+    j = d.join(F.broadcast(bmax), "_bk").withColumn("_in_bucket", F.max(utility).over(w))
+    best_before = F.greatest(F.col("_before_bucket"), F.col("_in_bucket"))
+    keep = best_before.isNull() | (F.col(utility) > best_before)
+    return j.where(keep).drop("_bk", "_before_bucket", "_in_bucket")

@@ -56,3 +56,18 @@ def test_reduce_lr_on_plateau(spark):
     lr = [r["learning_rate"] for r in ex.reduce_lr_on_plateau(df, ["run_id"], patience=3, lr0=1e-3)
           .orderBy("step").collect()]
     assert lr == pytest.approx([1e-3] * 5 + [5e-4] * 3)
+
+
+def test_frontier_matches_brute_force(spark):
+    import random
+    rnd = random.Random(11)
+    rows = [(i, float(rnd.randint(0, 30)), rnd.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "run_id int, epsilon double, auprc double")
+    got = sorted(r["run_id"] for r in runs.frontier(df, buckets=4).collect())
+    order = sorted(rows, key=lambda r: (r[1], -r[2], r[0]))
+    best, want = None, []
+    for rid, _, u in order:
+        if best is None or u > best:
+            want.append(rid)
+        best = u if best is None else max(best, u)
+    assert got == sorted(want)
