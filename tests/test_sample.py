@@ -67,3 +67,21 @@ def test_batches_and_microbatch_guard(orders):
     assert max(sizes.values()) == 64 and len({e for e, _ in sizes}) == 2
     with pytest.raises(ValueError):
         sample.assign_batches(orders, F.col("key"), 64, microbatches=7)
+
+
+def test_hot_group_exact(spark):
+    """One class holds a third of all rows: sizes and ranks stay exact."""
+    import hashlib
+    n = 9000
+    rows = [(str(i), "hot" if i % 3 == 0 else f"g{i % 50}") for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, cls string")
+    d = sample.prepare(df, F.col("key"), 7, ["cls"])
+    sizes = {r[0]: r[1] for r in df.groupBy("cls").count().collect()}
+    kept = {r[0]: r[1] for r in d.where(sample.select_first(d, 40)).groupBy("cls").count().collect()}
+    assert kept == {g: min(40, c) for g, c in sizes.items()}
+    hot_keys = sorted((hashlib.md5(f"{k}-7".encode()).hexdigest() + "|" + k, k) for k, c in rows if c == "hot")
+    want = [k for _, k in hot_keys[:40]]
+    got = sorted(r[0] for r in d.where(sample.select_first(d, 40)).where("cls = 'hot'").select("key").collect())
+    assert got == sorted(want)
+    ranked = sample.hash_rank(d.where("cls = 'hot'")).select("key", "rn").collect()
+    assert sorted((r["rn"], r["key"]) for r in ranked) == [(i + 1, k) for i, (_, k) in enumerate(hot_keys)]
