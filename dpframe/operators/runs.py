@@ -33,10 +33,12 @@ def params_wide(params: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def epoch_durations(metrics: DataFrame) -> DataFrame:
-    """Seconds between consecutive logged steps of each (run, key)."""
-    w = Window.partitionBy("run_id", "key").orderBy("step", "ts")
-    secs = epoch_micros(F.col("ts")) - epoch_micros(F.lag("ts").over(w))
-    return metrics.withColumn("seconds", secs / F.lit(1e6)).where(F.col("seconds").isNotNull())
+    """Seconds between consecutive logged steps of each (run, key) (chunked scan, no per-run window)."""
+    from dpframe.keys import epoch_micros
+    d = series_scan(metrics, ["run_id", "key"], ["step", "ts"], "value")
+    secs = epoch_micros(F.col("ts")) - epoch_micros(F.col("_prev_ts"))
+    return (d.withColumn("seconds", secs / F.lit(1e6)).where(F.col("seconds").isNotNull())
+            .drop("_i", "_n", "_min_before", "_sum_incl", "_prev_ts"))
 
 
 def runs_without_metrics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -70,3 +72,49 @@ def frontier(per_run: DataFrame, eps: str = "epsilon", utility: str = "auprc", b
     best_before = F.greatest(F.col("_before_bucket"), F.col("_in_bucket"))
     keep = best_before.isNull() | (F.col(utility) > best_before)
     return j.where(keep).drop("_bk", "_before_bucket", "_in_bucket")
+
+
+CHUNK_MICROS = 3_600_000_000   # chunk = (step, hour of ts): order-preserving, bounded
+
+
+def series_scan(history: DataFrame, series: list[str], order: list[str], value: str = "value",
+                ts: str = "ts", step: str = "step") -> DataFrame:
+    """Running statistics along each ordered series, without a window over a whole series.
+
+    Adds ``_i`` (1-based position), ``_n`` (series length), ``_min_before``
+    (minimum of earlier values), ``_sum_incl`` (running sum) and
+    ``_prev_ts`` (timestamp of the previous row). The order must start with
+    ``step`` then ``ts``. Rows are cut into order-preserving chunks (step,
+    hour of ts); per-chunk summaries are prefix-combined over the chunk table
+    (one row per chunk), and windows run only inside a chunk. A series holding
+    a third of all rows is spread over its chunks.
+    """
+    from dpframe.keys import epoch_micros
+
+    ck = ["_c_step", "_c_hour"]
+    d = history.withColumn("_c_step", F.col(step)).withColumn(
+        "_c_hour", F.floor(epoch_micros(F.col(ts)) / F.lit(CHUNK_MICROS)))
+    last_key = F.struct(*[F.col(c) for c in order])
+    chunks = d.groupBy(*series, *ck).agg(
+        F.count(F.lit(1)).alias("_cc"), F.min(value).alias("_cmin"), F.sum(value).alias("_csum"),
+        F.max_by(F.col(ts), last_key).alias("_clast_ts"))
+    wc = Window.partitionBy(*series).orderBy(*ck)
+    before = wc.rowsBetween(Window.unboundedPreceding, -1)
+    chunks = (chunks.withColumn("_off", F.coalesce(F.sum("_cc").over(before), F.lit(0)))
+              .withColumn("_min_prev_chunks", F.min("_cmin").over(before))
+              .withColumn("_sum_prev_chunks", F.coalesce(F.sum("_csum").over(before), F.lit(0.0)))
+              .withColumn("_ts_prev_chunk", F.lag("_clast_ts").over(wc))
+              .withColumn("_n", F.sum("_cc").over(Window.partitionBy(*series)))
+              .select(*series, *ck, "_off", "_min_prev_chunks", "_sum_prev_chunks", "_ts_prev_chunk", "_n"))
+    wi = Window.partitionBy(*series, *ck).orderBy(*order)
+    j = d.join(chunks, series + ck)
+    j = (j.withColumn("_i", F.col("_off") + F.row_number().over(wi))
+         .withColumn("_min_in", F.min(value).over(wi.rowsBetween(Window.unboundedPreceding, -1)))
+         .withColumn("_sum_in", F.sum(value).over(wi.rowsBetween(Window.unboundedPreceding, 0)))
+         .withColumn("_prev_in", F.lag(ts).over(wi)))
+    m = F.least(F.col("_min_prev_chunks"), F.col("_min_in"))   # least ignores nulls
+    return (j.withColumn("_min_before", m)
+            .withColumn("_sum_incl", F.col("_sum_prev_chunks") + F.col("_sum_in"))
+            .withColumn("_prev_ts", F.coalesce(F.col("_prev_in"), F.col("_ts_prev_chunk")))
+            .drop(*ck, "_off", "_min_prev_chunks", "_sum_prev_chunks", "_ts_prev_chunk",
+                  "_min_in", "_sum_in", "_prev_in"))

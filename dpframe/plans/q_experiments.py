@@ -151,11 +151,10 @@ SELECT c.run_id, CAST(c.epoch AS INTEGER) AS epoch, round(c.epsilon, 9) AS epsil
 WHERE s.stop IS NULL OR c.epoch <= s.stop""")
 def a6_budget_stop(spark, sf_dir):
     """Cumulative cost per run (purchase values / 100 as epsilon); runs end at the first epoch over 5."""
-    from pyspark.sql import Window
+    from dpframe.operators import runs
     h = metric_history(spark, sf_dir).where(F.col("key") == "purchase")
-    w = Window.partitionBy("run_id").orderBy("step", "ts", "event_id")
-    c = (h.withColumn("epoch", F.row_number().over(w).cast("int"))
-         .withColumn("epsilon", F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(100.0)))
+    d = runs.series_scan(h, ["run_id"], ["step", "ts", "event_id"], "value")
+    c = d.withColumn("epoch", F.col("_i").cast("int")).withColumn("epsilon", F.col("_sum_incl") / F.lit(100.0))
     return rounded(acc.budget_stop(c, ["run_id"], "epoch", "epsilon", 5.0).select("run_id", "epoch", "epsilon"))
 
 

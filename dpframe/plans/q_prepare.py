@@ -160,14 +160,13 @@ SELECT run_id, key, trial_num, round(value, 6) AS value FROM (
   WINDOW w AS (PARTITION BY run_id, key ORDER BY step, ts, event_id)) x
 WHERE best_before IS NULL OR value < best_before OR trial_num = 1 OR trial_num % 10 = 0 OR trial_num = total""")
 def p10_report_trials(spark, sf_dir):
-    """P10: rows that are a new best (lower), the first, every 10th or the last."""
+    """P10: rows that are a new best (lower), the first, every 10th or the last (chunked series scan)."""
+    from dpframe.operators import runs
     h = metric_history(spark, sf_dir)
-    w = Window.partitionBy("run_id", "key").orderBy("step", "ts", "event_id")
-    d = (h.withColumn("trial_num", F.row_number().over(w))
-         .withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("run_id", "key")))
-         .withColumn("best_before", F.min("value").over(w.rowsBetween(Window.unboundedPreceding, -1))))
-    keep = (F.col("best_before").isNull() | (F.col("value") < F.col("best_before")) | (F.col("trial_num") == 1)
-            | (F.col("trial_num") % 10 == 0) | (F.col("trial_num") == F.col("total")))
+    d = runs.series_scan(h, ["run_id", "key"], ["step", "ts", "event_id"], "value")
+    d = d.withColumn("trial_num", F.col("_i").cast("int"))
+    keep = (F.col("_min_before").isNull() | (F.col("value") < F.col("_min_before")) | (F.col("_i") == 1)
+            | (F.col("_i") % 10 == 0) | (F.col("_i") == F.col("_n")))
     return rounded(d.where(keep).select("run_id", "key", "trial_num", "value"), 6)
 
 

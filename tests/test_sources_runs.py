@@ -71,3 +71,25 @@ def test_frontier_matches_brute_force(spark):
             want.append(rid)
         best = u if best is None else max(best, u)
     assert got == sorted(want)
+
+
+def test_series_scan_matches_ordered_scan(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(3000):
+        run = 0 if i % 3 else rnd.randint(1, 5)            # run 0 holds two thirds of the rows
+        rows.append((run, "k", rnd.randint(0, 9), base + dt.timedelta(seconds=rnd.randint(0, 30 * 86400)),
+                     float(rnd.randint(0, 1000)), i))
+    df = spark.createDataFrame(rows, "run_id int, key string, step int, ts timestamp_ntz, value double, event_id int")
+    got = {(r["run_id"], r["event_id"]): (r["_i"], r["_n"], r["_min_before"], r["_sum_incl"])
+           for r in runs.series_scan(df, ["run_id", "key"], ["step", "ts", "event_id"]).collect()}
+    for run in {r[0] for r in rows}:
+        series = sorted((r for r in rows if r[0] == run), key=lambda r: (r[2], r[3], r[5]))
+        lo, tot = None, 0.0
+        for i, r in enumerate(series, 1):
+            tot += r[4]
+            assert got[(run, r[5])] == (i, len(series), lo, pytest.approx(tot))
+            lo = r[4] if lo is None else min(lo, r[4])
