@@ -103,29 +103,30 @@ def best_epoch(history: DataFrame, run: list[str], value: str = "value", step: s
 
 
 def early_stopping(history: DataFrame, run: list[str], value: str = "value", step: str = "step",
-                   patience: int = 5, mode: str = "min") -> DataFrame:
+                   patience: int = 5, mode: str = "min", ts: str = "ts") -> DataFrame:
     """H6: per run, the epoch where training stops and the restored best epoch.
 
-    Epoch index = position in step order. An epoch improves when it beats
-    the best so far (strictly). Training stops at the first epoch with
+    Epoch index = position in (step, ts) order. An epoch improves when it
+    beats the best so far (strictly). Training stops at the first epoch with
     ``patience`` epochs since the last improvement; otherwise at the last.
+    Built on chunked series scans (running minimum, then running maximum of
+    the improvement index) and per-run aggregates, so no window spans a run.
     """
-    sign = F.lit(1.0) if mode == "min" else F.lit(-1.0)
-    v = F.col(value) * sign
-    w = Window.partitionBy(*run).orderBy(step)
-    prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    d = (history.withColumn("_i", F.row_number().over(w))
-         .withColumn("_best_before", F.min(v).over(prev))
-         .withColumn("_imp", F.col("_best_before").isNull() | (v < F.col("_best_before")))
-         .withColumn("_last_imp", F.max(F.when(F.col("_imp"), F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    trig = F.col("_i") - F.col("_last_imp") >= F.lit(patience)
-    agg = d.groupBy(*run).agg(
-        F.coalesce(F.min(F.when(trig, F.col("_i"))), F.max("_i")).alias("stop_epoch"),
-        F.max("_i").alias("epochs_seen"))
+    from dpframe.operators.runs import series_scan
+
+    sign = 1.0 if mode == "min" else -1.0
+    h = history.withColumn("_v", F.col(value) * F.lit(sign))
+    d = series_scan(h, run, [step, ts], "_v", ts=ts, step=step)
+    imp = F.col("_min_before").isNull() | (F.col("_v") < F.col("_min_before"))
+    d = d.withColumn("_imp_i", F.when(imp, F.col("_i"))).drop("_n", "_min_before", "_sum_incl", "_prev_ts")
+    d = series_scan(d, run, [step, ts], "_v", ts=ts, step=step, running_max="_imp_i")
+    trig = F.col("_i") - F.col("_max_incl") >= F.lit(patience)
+    agg = d.groupBy(*run).agg(F.coalesce(F.min(F.when(trig, F.col("_i"))), F.max("_i")).alias("stop_epoch"),
+                              F.max("_i").alias("epochs_seen"))
     best = (d.join(agg, run).where(F.col("_i") <= F.col("stop_epoch"))
             .groupBy(*run, "stop_epoch", "epochs_seen")
             .agg(F.min_by(F.struct(F.col("_i").alias("best_epoch"), F.col(value).alias("best_value")),
-                          F.struct(v, F.col("_i"))).alias("b")))
+                          F.struct(F.col("_v"), F.col("_i"))).alias("b")))
     return best.select(*run, "stop_epoch", "epochs_seen", "b.best_epoch", "b.best_value")
 
 

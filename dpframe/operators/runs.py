@@ -78,12 +78,13 @@ CHUNK_MICROS = 3_600_000_000   # chunk = (step, hour of ts): order-preserving, b
 
 
 def series_scan(history: DataFrame, series: list[str], order: list[str], value: str = "value",
-                ts: str = "ts", step: str = "step") -> DataFrame:
+                ts: str = "ts", step: str = "step", running_max: str | None = None) -> DataFrame:
     """Running statistics along each ordered series, without a window over a whole series.
 
     Adds ``_i`` (1-based position), ``_n`` (series length), ``_min_before``
-    (minimum of earlier values), ``_sum_incl`` (running sum) and
-    ``_prev_ts`` (timestamp of the previous row). The order must start with
+    (minimum of earlier values), ``_sum_incl`` (running sum),
+    ``_prev_ts`` (timestamp of the previous row) and, with ``running_max``,
+    ``_max_incl`` (running maximum of that column, nulls ignored). The order must start with
     ``step`` then ``ts``. Rows are cut into order-preserving chunks (step,
     hour of ts); per-chunk summaries are prefix-combined over the chunk table
     (one row per chunk), and windows run only inside a chunk. A series holding
@@ -97,24 +98,30 @@ def series_scan(history: DataFrame, series: list[str], order: list[str], value:
     last_key = F.struct(*[F.col(c) for c in order])
     chunks = d.groupBy(*series, *ck).agg(
         F.count(F.lit(1)).alias("_cc"), F.min(value).alias("_cmin"), F.sum(value).alias("_csum"),
-        F.max_by(F.col(ts), last_key).alias("_clast_ts"))
+        F.max_by(F.col(ts), last_key).alias("_clast_ts"),
+        F.max(F.col(running_max) if running_max else F.lit(None)).alias("_cmax"))
     wc = Window.partitionBy(*series).orderBy(*ck)
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     chunks = (chunks.withColumn("_off", F.coalesce(F.sum("_cc").over(before), F.lit(0)))
               .withColumn("_min_prev_chunks", F.min("_cmin").over(before))
               .withColumn("_sum_prev_chunks", F.coalesce(F.sum("_csum").over(before), F.lit(0.0)))
               .withColumn("_ts_prev_chunk", F.lag("_clast_ts").over(wc))
+              .withColumn("_max_prev_chunks", F.max("_cmax").over(before))
               .withColumn("_n", F.sum("_cc").over(Window.partitionBy(*series)))
-              .select(*series, *ck, "_off", "_min_prev_chunks", "_sum_prev_chunks", "_ts_prev_chunk", "_n"))
+              .select(*series, *ck, "_off", "_min_prev_chunks", "_sum_prev_chunks", "_ts_prev_chunk",
+                      "_max_prev_chunks", "_n"))
     wi = Window.partitionBy(*series, *ck).orderBy(*order)
     j = d.join(chunks, series + ck)
     j = (j.withColumn("_i", F.col("_off") + F.row_number().over(wi))
          .withColumn("_min_in", F.min(value).over(wi.rowsBetween(Window.unboundedPreceding, -1)))
          .withColumn("_sum_in", F.sum(value).over(wi.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_prev_in", F.lag(ts).over(wi)))
+    if running_max:
+        j = j.withColumn("_max_incl", F.greatest(F.col("_max_prev_chunks"), F.max(running_max).over(
+            wi.rowsBetween(Window.unboundedPreceding, 0))))
     m = F.least(F.col("_min_prev_chunks"), F.col("_min_in"))   # least ignores nulls
     return (j.withColumn("_min_before", m)
             .withColumn("_sum_incl", F.col("_sum_prev_chunks") + F.col("_sum_in"))
             .withColumn("_prev_ts", F.coalesce(F.col("_prev_in"), F.col("_ts_prev_chunk")))
-            .drop(*ck, "_off", "_min_prev_chunks", "_sum_prev_chunks", "_ts_prev_chunk",
+            .drop(*ck, "_off", "_min_prev_chunks", "_sum_prev_chunks", "_ts_prev_chunk", "_max_prev_chunks",
                   "_min_in", "_sum_in", "_prev_in"))
