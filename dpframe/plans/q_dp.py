@@ -129,7 +129,7 @@ def d1_clip_l2(spark, sf_dir):
 def _d2_sql(noise_multiplier: float, clip: float = 0.5) -> str:
     sigma = clip * noise_multiplier
     txt = f"'{TEST_SEED}' || '|' || CAST(label AS VARCHAR) || '|' || CAST(pos AS VARCHAR)"
-    noise = f"{sigma!r} * {_gauss_sql(txt)}" if sigma > 0 else "0.0"
+    noise = f"{sigma!r} * {_gauss_sql(txt)}" if sigma > 0 else "CAST(0.0 AS DOUBLE)"
     return f"""
 WITH e AS ({EMB_UNNEST}),
 nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM e GROUP BY vec_id),
@@ -158,9 +158,9 @@ EVENT_TYPES_SQL = "(SELECT DISTINCT event_type FROM events)"
 def _d3_sql(noise_multiplier: float, clip: float = 500.0) -> str:
     sigma = clip * noise_multiplier
     txt = f"'{TEST_SEED}' || '|' || CAST(pos AS VARCHAR)"
-    noise = f"{sigma!r} * {_gauss_sql(txt)}" if sigma > 0 else "0.0"
+    noise = f"{sigma!r} * {_gauss_sql(txt)}" if sigma > 0 else "CAST(0.0 AS DOUBLE)"
     cnt_noise = f"{noise_multiplier!r} * {_gauss_sql(chr(39) + TEST_SEED + chr(39) + ' || ' + chr(39) + '|count' + chr(39))}" \
-        if sigma > 0 else "0.0"
+        if sigma > 0 else "CAST(0.0 AS DOUBLE)"
     return f"""
 WITH t AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS pos FROM {EVENT_TYPES_SQL}),
 u AS (SELECT DISTINCT user_id FROM events),

@@ -357,7 +357,7 @@ def _rdp_sql(delta_policy: str, per_epoch: bool = False) -> str:
     ep_col = "total_epochs" if per_epoch else "epochs"
     explode = (", unnest(range(1, CAST(total_epochs AS BIGINT) + 1)) AS ep" if per_epoch else "")
     ep_expr = "CAST(ep AS DOUBLE)" if per_epoch else "epochs"
-    out_cols = ("noise_multiplier, batch_size, total_epochs, trial, n, delta, CAST(ep AS DOUBLE) AS epochs"
+    out_cols = ("noise_multiplier, batch_size, total_epochs, trial, n, delta, CAST(ep AS INTEGER) AS epochs"
                 if per_epoch else "noise_multiplier, batch_size, epochs, trial, n, delta")
     return f"""
 WITH n AS {N_SQL},

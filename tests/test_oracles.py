@@ -10,6 +10,12 @@ from tools.oracle_check import TABLES, canon
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 TRAINING = {k for k in QUERIES if k not in ORACLES}
+FAMILY = {"bigint": "int", "int": "int", "integer": "int", "smallint": "int", "double": "float",
+          "float": "float", "string": "str", "varchar": "str"}
+
+
+def _family(t: str) -> str:
+    return FAMILY.get(t, t)
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +41,10 @@ def test_query_matches_oracle(spark, con, name):
     c2, r2 = canon([d[0] for d in cur.description], orows)
     assert c1 == c2
     assert r1 == r2
+    # same type family per column (no DECIMAL on the SQL side, ints vs ints, ...)
+    duck = {r[0]: r[1].lower() for r in con.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    for f in df.schema.fields:
+        assert _family(f.dataType.simpleString()) == _family(duck[f.name]), (f.name, f.dataType, duck[f.name])
 
 
 @pytest.mark.parametrize("name", sorted(k for k in TRAINING if not k.startswith(("h9", "h11", "d12"))))
