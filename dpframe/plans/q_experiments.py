@@ -315,7 +315,7 @@ WITH b AS (SELECT *, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS bracket_i
                   row_number() OVER (PARTITION BY o_orderstatus
                       ORDER BY round(o_totalprice * 100) DESC, md5(CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey AS VARCHAR)) AS rk
            FROM orders)
-SELECT o_orderstatus, CAST(r.round AS INTEGER) AS round, count(*) AS n, sum(o_orderkey) AS key_sum,
+SELECT o_orderstatus, CAST(r.round AS INTEGER) AS round, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
        round(min(o_totalprice), 2) AS min_score
 FROM b, (SELECT range AS round FROM range(0, 3)) r
 WHERE r.round <= bracket_idx AND rk <= ceil(cnt / pow(3, r.round))

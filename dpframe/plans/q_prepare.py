@@ -43,7 +43,7 @@ LINEITEM_SCHEMA = T.StructType([
 
 
 @register("s1_csv_scan", """
-SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_orderkey) AS sum_orderkey,
+SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS sum_orderkey,
        round(sum(l_extendedprice), 6) AS sum_price, round(sum(l_discount), 6) AS sum_discount
 FROM lineitem GROUP BY l_returnflag, l_linestatus""")
 def s1_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def p6_pick_positions(spark, sf_dir):
 
 
 @register("p7_truncate_to_batch", f"""
-SELECT count(*) AS n, sum(label) AS positives FROM (
+SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM (
   SELECT CAST(l_quantity >= 50 AND l_discount >= 0.05 AS INT) AS label,
          row_number() OVER (ORDER BY {token_sql(LINEITEM_KEY_SQL, SEED)}) AS rn,
          count(*) OVER () AS cnt FROM lineitem) WHERE rn <= (cnt // 256) * 256""")
