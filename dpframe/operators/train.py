@@ -360,6 +360,15 @@ class _Optimizer:
         return params - self.lr * mh / (np.sqrt(vh) + ADAM_EPS)
 
 
+def _collect_eval(res: "FitResult", pending) -> None:
+    """Wait for a background evaluation and record its metrics under its epoch."""
+    if pending is None:
+        return
+    epoch, step, fut = pending
+    for k, v in fut.result().items():
+        res.history.append({"epoch": epoch, "step": step, "metric": k, "value": float(v)})
+
+
 def _cache_schedule(sched, parts: int) -> DataFrame:
     """Write the schedule to the shared checkpoint folder, sorted by step.
 
@@ -441,6 +450,9 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
     total = 0
     import time as _time
     sched = _cache_schedule(poisson_schedules(data, key, [(0, q, steps_per_epoch, stop, str(seed))]), parts)
+    from concurrent.futures import ThreadPoolExecutor
+    pool = ThreadPoolExecutor(max_workers=1)
+    pending = None
     for epoch in range(1, stop + 1):
         t_epoch = _time.time()
         for s in range(steps_per_epoch):
@@ -464,12 +476,18 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
                                 "value": lsum / max(bn, 1)})
         res.history.append({"epoch": epoch, "step": total, "metric": "epsilon", "value": eps[epoch - 1]})
         if ev_data is not None and (epoch % eval_every == 0 or epoch == stop):
-            for k, v in ev.epoch_metrics(score(ev_data, model, params), threshold).items():
-                res.history.append({"epoch": epoch, "step": total, "metric": k, "value": float(v)})
+            # Evaluate a snapshot of this epoch's parameters in the background while the
+            # next epoch trains (one evaluation in flight; Spark runs both jobs concurrently).
+            _collect_eval(res, pending)
+            snap = params.copy()
+            pending = (epoch, total, pool.submit(
+                lambda p=snap: ev.epoch_metrics(score(ev_data, model, p), threshold)))
         res.history.append({"epoch": epoch, "step": total, "metric": "epoch_seconds",
                             "value": _time.time() - t_epoch})
         if cfg.max_steps is not None and total >= cfg.max_steps:
             break
+    _collect_eval(res, pending)
+    pool.shutdown()
     data.unpersist()
     sched.unpersist()
     if ev_data is not None:
