@@ -14,7 +14,10 @@ gathered into a task, however many lines it holds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dpframe.llm.common import SPACE_CLASS, read, written
@@ -23,37 +26,48 @@ DEPTH = 2
 SEGMENTS = 4
 #: Lines of at least LONG tokens recur from 2 documents on, shorter ones from SHORT_DOCS on.
 LONG, SHORT, SHORT_DOCS = 8, 3, 20
-VARIABLE = "(?:[^" + SPACE_CLASS + "]*[0-9@][^" + SPACE_CLASS + "]*|[^" + SPACE_CLASS + "]*://[^" + SPACE_CLASS + "]*)"
+VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*")
+MAYBE = re.compile(rb"[0-9@]|://")
 
 
-def tokens(line: Column) -> Column:
-    masked = F.regexp_replace(line, VARIABLE, "<*>")
-    return F.filter(F.split(masked, f"[{SPACE_CLASS}]+"), lambda x: x != "")
+def tokens(line: bytes) -> list[bytes]:
+    """Words of a line with variable fields masked."""
+    return (VARIABLE.sub(b"<*>", line) if MAYBE.search(line) else line).split()
 
 
-def template_keys(toks: Column) -> Column:
+def template_keys(toks: list[bytes]) -> list[int]:
     """Template keys of one line: the masked line, then one key per generalised segment (long lines)."""
-    n = F.size(toks)
-    tail = n - DEPTH
-
-    def without(k):
-        a = DEPTH + F.floor(tail * k / SEGMENTS).cast("int")
-        b = DEPTH + F.floor(tail * (k + 1) / SEGMENTS).cast("int")
-        return F.xxhash64(n, F.lit(k), F.array_join(F.slice(toks, F.lit(1), a), " "),
-                          F.array_join(F.slice(toks, b + 1, F.greatest(n - b, F.lit(0))), " "))
-
-    whole = F.xxhash64(n, F.lit(-1), F.array_join(toks, " "))
-    return F.when(n >= LONG, F.array(whole, *[without(k) for k in range(SEGMENTS)])) \
-        .when(n >= SHORT, F.array(whole)).otherwise(F.array().cast("array<bigint>"))
+    import xxhash
+    n = len(toks)
+    if n < SHORT:
+        return []
+    out = [xxhash.xxh3_64_intdigest(b" ".join(toks), seed=n)]
+    if n >= LONG:
+        tail = n - DEPTH
+        for k in range(SEGMENTS):
+            a, b = DEPTH + tail * k // SEGMENTS, DEPTH + tail * (k + 1) // SEGMENTS
+            out.append(xxhash.xxh3_64_intdigest(b" ".join(toks[:a]) + b"\n%d\n" % k + b" ".join(toks[b:]), seed=n))
+    return [h - (1 << 64) if h >> 63 else h for h in out]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the text), lines: the array of (n tokens, template keys) of each document row."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    base = base.select("doc_id", F.md5("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    base = base.withColumn("toks", tokens(F.col("line")))
-    return base.where(F.size("toks") >= SHORT).select("doc_id", "key", "pos", F.size("toks").alias("n"),
-                                                      template_keys(F.col("toks")).alias("keys"))
+    """doc_id, key (digest of the text), pos, n (tokens), keys of every line that has a template."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("key"), F.col("text").alias("text"))
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for doc, key, text in zip(pdf["doc_id"], pdf["key"], pdf["text"]):
+                doc = None if pd.isna(doc) else int(doc)
+                for pos, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+                    toks = tokens(line)
+                    if len(toks) >= SHORT:
+                        rows.append((doc, key, pos, len(toks), template_keys(toks)))
+            out = pd.DataFrame(rows, columns=["doc_id", "key", "pos", "n", "keys"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
+
+    return base.where("text IS NOT NULL").mapInPandas(cut, "doc_id long, key string, pos int, n int, keys array<long>")
 
 
 def recurring(lines: DataFrame) -> DataFrame:
