@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from dpframe.llm.common import written
-from dpframe.llm.tokens import DEFAULT_TOKENIZER, ID_BYTES, WordEncoder
+from dpframe.llm.tokens import DEFAULT_TOKENIZER, ID_BYTES, encoder
 
 SIZE = 4096
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -119,7 +119,7 @@ def token_pieces(docs: DataFrame, size: int = SIZE, tokenizer: str = DEFAULT_TOK
     def cut(batches):
         import numpy as np
         import pandas as pd
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
         step = size * ID_BYTES
         for pdf in batches:
             rows = []

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from dpframe.llm.common import new_folder, read, written
-from dpframe.llm.tokens import DEFAULT_TOKENIZER, ID_BYTES, WordEncoder
+from dpframe.llm.tokens import DEFAULT_TOKENIZER, ID_BYTES, encoder
 
 MAGIC = b"DPTOKIDX"
 SHARD_ROWS = 8192
@@ -210,7 +210,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZER
     def write(batches):
         import pandas as pd
         from pyspark import TaskContext
-        enc = WordEncoder(tokenizer)
+        enc = encoder(tokenizer)
 
         def rows():
             for pdf in batches:

@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
+from collections import ChainMap
+from functools import lru_cache
+from itertools import islice
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -22,28 +27,53 @@ class WordEncoder:
     The tokenizer collapses white space and never builds a token across it,
     and no composition crosses a blank, so the ids of a text are the ids of
     its blank-separated pieces in order (tests compare with whole-text
-    encoding). Other white space stays inside a piece and is left to the
-    tokenizer. The memory is emptied when it holds ``max_pieces``.
+    encoding). It also lower-cases and splits a stop from the word before
+    it, so pieces are looked up in lower case without a closing stop, unless
+    the text holds a combining mark or the opening of a special token. Other
+    white space stays inside a piece and is left to the tokenizer. The first
+    ``max_pieces`` different pieces are remembered; later ones are encoded
+    each time.
     """
 
-    def __init__(self, tokenizer: str = DEFAULT_TOKENIZER, max_pieces: int = 200_000):
+    #: Blanks between pieces, and a stop that ends a piece after an ASCII letter or digit.
+    STOP = re.compile(rb"(?<=[A-Za-z0-9])[,.;:!?](?=[\x20\x09-\x0D]|\Z)")
+
+    def __init__(self, tokenizer: str = DEFAULT_TOKENIZER, max_pieces: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         path = tokenizer if os.path.isabs(tokenizer) else tokenizer_path(tokenizer)
         self.tok = Tokenizer.from_file(path)
         self.max_pieces = max_pieces
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
+
+    def _pieces(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        raw = text.encode("utf-8")
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = self.STOP.sub(rb" \g<0>", raw).lower()
+        return raw.split()
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text (None: empty) as little-endian unsigned 32-bit integers, end id last."""
-        import numpy as np
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        split = [self._pieces(t) for t in texts]
         new = list(set().union(*split).difference(self.known)) if split else []
+        ids = {}
         for i in range(0, len(new), 4096):
             part = new[i:i + 4096]
-            for piece, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.asarray(enc.ids, dtype="<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, pieces)) + END for pieces in split]
-        if len(self.known) > self.max_pieces:
-            self.known = {"": b""}
-        return out
+            for piece, enc in zip(part, self.tok.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False)):
+                ids[piece] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
+        if len(self.known) + len(ids) <= self.max_pieces:
+            self.known.update(ids)
+            ids = self.known
+        else:
+            room = self.max_pieces - len(self.known)
+            self.known.update(islice(ids.items(), max(room, 0)))
+            ids = ChainMap(ids, self.known) if ids else self.known
+        return [b"".join(map(ids.__getitem__, pieces)) + END for pieces in split]
+
+
+@lru_cache(maxsize=2)
+def encoder(tokenizer: str = DEFAULT_TOKENIZER) -> WordEncoder:
+    """The encoder of this Python worker; its memory serves later tasks too."""
+    return WordEncoder(tokenizer)
