@@ -10,11 +10,13 @@ the slowest register cannot matter, so a document of n shingles costs about
 n + m log m points.
 
 Texts with equal words are one node. Signatures are cut into bands; nodes of
-a bucket are compared with the bucket's pivot, and then, where a bucket still
-holds several components, across its components. Every comparison is exact:
-multiset overlap of the words themselves, 0.8 or more. Classes are the
-connected components. No group is gathered into a task, and a bucket of k
-near copies costs k comparisons.
+a bucket are compared with the bucket's pivot. Where a bucket still holds
+several components, nodes outside the largest try members of it, round by
+round, and at last every pair across components that can still reach the
+threshold (by a prefix filter on their rarer shingles) is compared.
+Every comparison is exact: multiset overlap of the words themselves, 0.8 or
+more. Classes are the connected components. No group is gathered into a
+task, and a bucket of k near copies costs about k comparisons.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from dpframe.llm.common import normal_words, read, written
 from dpframe.llm.components import components
@@ -33,6 +36,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5             # at similarity 0.8 a pair shares no band with probability 0.00005
 REGISTERS = BANDS * ROWS
+#: Pairs across components that are compared at once, per node of a mixed bucket.
+SPARSE = 4
 #: Documents and words handled in one numpy pass.
 PASS_DOCS, PASS_WORDS = 256, 400_000
 
@@ -150,7 +155,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
 
 
 def _with_bands(nodes: DataFrame) -> DataFrame:
-    """doc_id, node, bands of every document (null bands without words)."""
+    """doc_id, node, size (shingles), bands of every document (null bands without words)."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
@@ -168,10 +173,11 @@ def _with_bands(nodes: DataFrame) -> DataFrame:
             flat = pa.array(keys.ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), flat,
                                              mask=pa.array(none))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands], ["doc_id", "node", "bands"])
+            size = pa.array(np.maximum(np.diff(start) - SHINGLE + 1, 1), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, bands], ["doc_id", "node", "size", "bands"])
 
     hashed = nodes.select("doc_id", "node", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return hashed.mapInArrow(run, "doc_id long, node binary, size long, bands array<long>")
 
 
 @lru_cache(maxsize=256)
@@ -207,12 +213,184 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
     """(node, words as one string) for the wanted nodes; ``need`` has node and the doc_id to take it from."""
-    base = _nodes(docs).select("node", "doc_id", F.array_join("words", " ").alias("words"))
     want = need.select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"))
+    # the raw texts meet the wanted ids first, so that only theirs are normalised again
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    some = some.join(want, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    base = _nodes(some).select("node", "doc_id", F.array_join("words", " ").alias("words"))
     found = base.join(want, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     return found.dropDuplicates(["node"]).select("node", "words")
 
 
+def _host_pivots(placed: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) per node outside its bucket's largest component: the node and a member of that component."""
+    host = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("b")) \
+        .groupBy("bucket").agg(F.max(F.struct("k", "comp", "b")).alias("h"))
+    guests = placed.join(host.select("bucket", F.col("h.comp").alias("hc"), F.col("h.b").alias("b")), "bucket").where("comp <> hc")
+    return guests.groupBy(F.col("node").alias("a")).agg(F.min_by("b", F.xxhash64("node", "b", F.lit(turn))).alias("b"))
+
+
+def _elements(nodes: DataFrame) -> DataFrame:
+    """(node, comp, n, e): the n shingles of every node's words, the k-th occurrence of one being its own element."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            lists = batch.column(2)
+            start = np.asarray(lists.offsets).astype(np.int64)
+            doc, h = shingle_hashes(np.asarray(lists.values)[start[0]:start[-1]].astype(np.int64), start - start[0])
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(new)
+            nth = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+            with np.errstate(over="ignore"):
+                e = _mix(h + C1 * nth.astype(np.uint64)).view(np.int64)
+            n = np.bincount(doc, minlength=batch.num_rows)
+            out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(e))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), out], ["node", "comp", "n", "e"])
+
+    hashed = nodes.select("node", "comp", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.mapInArrow(run, "node binary, comp binary, n long, e array<long>").select("node", "comp", "n", F.explode("e").alias("e"))
+
+
+def _across(nodes: DataFrame, texts: DataFrame, apart: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different components that can reach the threshold, and few others.
+
+    A pair overlaps only in elements that occur in several components; the
+    others are a node's own. Linked nodes have few of their own, and share
+    one of the first of their common elements in any order (rare ones first):
+    the prefix filter of exact similarity joins, with the short prefix for
+    the shorter text. Two texts' own elements together bound their
+    similarity. Nodes that were compared with the same pivot are paired by
+    what sets them apart from it instead, which keeps groups of near misses
+    from being paired.
+    """
+    elements = written(_elements(nodes.join(texts, "node")), "elements")
+    several = elements.groupBy("e").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")) \
+        .where("x <> y").select("e", "df")
+    part = written(elements.join(several, "e"), "part")
+    slack = (1 - threshold) / threshold
+    may = part.groupBy("node", "n").agg(F.count("*").alias("m")).select("node", "m", (F.col("n") - F.col("m")).alias("own"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "e"))
+    # smallest overlap with a text as long or longer, and with any text
+    long_need, need = (F.ceil(F.lit(f) * F.col("n") - F.lit(1e-9)) for f in (2 * threshold / (1 + threshold), threshold))
+    far = apart.select("node", "ref").join(nodes.select("node"), "node", "left_semi") \
+        .join(nodes.select(F.col("node").alias("ref")), "ref", "left_semi")
+    may = may.join(far, "node", "left")
+    prefix = written(part.join(may.where(F.col("own") <= F.col("m") * slack + 1e-9), "node").withColumn("r", rank)
+                     .where(F.col("r") <= F.col("m") - need + 1)
+                     .select("node", "comp", "n", "e", "m", "own", "ref", (F.col("r") <= F.col("m") - long_need + 1).alias("short")), "prefix")
+    # elements of its own that a node can afford beside those of the leanest node it meets
+    lean = prefix.groupBy("e").agg(F.min("own").alias("least"), F.count("*").alias("k")).where("k > 1")
+    prefix = written(prefix.join(lean, "e").where((F.col("own") + F.col("least") <= F.col("m") * slack + 1e-9)
+                                                  | (F.col("own") == F.col("least"))).drop("least", "k"), "prefix")
+    x = prefix.where("short").select("e", *[F.col(c).alias(c + "_a") for c in ("node", "comp", "n", "m", "own", "ref")])
+    y = prefix.select("e", *[F.col(c).alias(c + "_b") for c in ("node", "comp", "n", "m", "own", "ref")])
+    on = ((x["e"] == y["e"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") <= F.col("n_b"))
+          & (F.col("n_a") >= threshold * F.col("n_b"))
+          & (F.col("own_a") + F.col("own_b") <= F.least("m_a", "m_b") * slack + 1e-9)
+          & F.coalesce(F.col("ref_a") != F.col("ref_b"), F.lit(True)))
+    pairs = x.join(y, on).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return pairs.union(_apart_pairs(elements, far, nodes, threshold)).distinct()
+
+
+def _apart_pairs(elements: DataFrame, far: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components with the same pivot ``ref`` that can reach the threshold.
+
+    At least one of them is not linked to the pivot. What sets a node apart
+    from the pivot is what it has and the pivot has not, and the reverse.
+    Linked nodes share at least half of the sum of both distances less ``k``
+    times both sizes, so they share one of the first of these elements (rare
+    ones first).
+    """
+    k = (1 - threshold) / (1 + threshold)
+    mine = elements.join(far.select("node", "ref"), "node").select("ref", "node", "e")
+    pivot = elements.select(F.col("node").alias("ref"), F.col("n").alias("n_ref"), "e")
+    theirs = far.select("node", "ref").join(pivot, "ref").select("ref", "node", "e")
+    gained = mine.join(theirs, ["ref", "node", "e"], "left_anti").withColumn("lost", F.lit(0))
+    lost = theirs.join(mine, ["ref", "node", "e"], "left_anti").withColumn("lost", F.lit(1))
+    apart = written(gained.union(lost), "apart")
+    often = apart.groupBy("ref", "e", "lost").agg(F.count("*").alias("df")).where("df > 1")
+    sizes = elements.select("node", "comp", "n").distinct()
+    of_ref = sizes.select(F.col("node").alias("ref"), F.col("n").alias("n_ref"))
+    d = apart.groupBy("node").agg(F.count("*").alias("d")).join(sizes, "node")
+    own = apart.join(often, ["ref", "e", "lost"]).join(d, "node").join(of_ref, "ref")
+    shared = F.count("*").over(Window.partitionBy("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "e", "lost"))
+    # least number of shared elements: for the one nearer to the pivot, and for the other
+    reach = F.lit(k * (1 + 1 / threshold) / 2) * F.col("n")
+    short_need = (F.col("d") + F.greatest(F.col("d"), F.lit(k) * (F.lit(threshold) * F.col("n") + F.col("n_ref")))) / 2 - reach
+    need = F.col("d") / 2 - reach
+    # elements that no other node has come first in the order, and take up d - shared places of the prefix
+    ranked = own.withColumn("shared", shared).withColumn("place", F.col("d") - F.col("shared") + rank)
+    prefix = written(ranked.where(F.col("place") <= F.floor(F.col("d") - need + F.lit(1e-6)) + 1).select(
+        "ref", "e", "lost", "node", "comp", "n", "d", "shared",
+        (F.col("place") <= F.floor(F.col("d") - short_need + F.lit(1e-6)) + 1).alias("short")), "prefix")
+    cols = ("node", "comp", "n", "d", "shared")
+    x = prefix.where("short").select("ref", "e", "lost", *[F.col(c).alias(c + "_a") for c in cols])
+    y = prefix.select("ref", "e", "lost", *[F.col(c).alias(c + "_b") for c in cols])
+    on = ((x["ref"] == y["ref"]) & (x["e"] == y["e"]) & (x["lost"] == y["lost"]) & (F.col("comp_a") != F.col("comp_b"))
+          & (F.col("d_a") <= F.col("d_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+          & (F.col("d_a") + F.col("d_b") - F.lit(k) * (F.col("n_a") + F.col("n_b")) <= 2 * F.least("shared_a", "shared_b") + 1e-6))
+    return x.join(y, on).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _links(docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, components) of the distinct texts in ``reps`` (node, doc_id, size, bands)."""
+    rows = reps.where("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("bucket"))
+    met = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(rows.join(met, "bucket"), "met")
+    # the pivot of a bucket is its node with most company over all buckets: the middle of a group of near copies
+    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    shared = written(shared.join(company, "node").select("bucket", "node", "size", "company"), "buckets")
+    pivots = shared.groupBy("bucket").agg(F.max(F.struct("company", "node", "size")).alias("p"))
+    close = F.least("size", "p.size") >= F.lit(threshold) * F.greatest("size", "p.size")
+    pairs = shared.join(pivots, "bucket").where((F.col("node") != F.col("p.node")) & close) \
+        .groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.max("p.company").alias("company"))
+    done = written(pairs, "pairs")
+    texts = written(_texts(docs, shared.select("node").distinct().join(reps.select("node", "doc_id"), "node")), "texts")
+    links = written(_verified(done.select("a", "b"), texts, threshold), "links")
+    comps = components(links)
+    # the best-connected pivot that each node was compared with
+    apart = done.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("company", F.col("b").alias("ref"))).alias("s")).select("node", "s.ref")
+
+    def placed():
+        return shared.join(comps, "node", "left").select("bucket", "node", "size", F.coalesce("comp", "node").alias("comp"))
+
+    def mixed():
+        """Buckets with several components, all their nodes, and how many pairs across components there are."""
+        both = placed()
+        per = both.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket") \
+            .agg(F.sum("k").alias("n"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk")).where("kk < cast(n as double) * n")
+        got = written(both.join(per.select("bucket"), "bucket", "left_semi"), "mixed")
+        return got, per.agg(F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("kk")) / 2), F.lit(0.0))).first()[0]
+
+    # large groups of near copies: rounds that try one member of the largest component for each node outside it
+    turn, (left, across) = 0, mixed()
+    while across > SPARSE * max(1, left.count()):
+        turn += 1
+        tried = written(_host_pivots(left, turn), "tried")
+        found = written(_verified(tried, texts, threshold), "links")
+        n = found.count()
+        if n:
+            links = written(links.union(found), "links")
+            comps = components(links)
+            left, across = mixed()
+        if n * 20 < tried.count():
+            break
+
+    # what may still be linked across the components of a bucket
+    done = done.select("a", "b")
+    rest = _across(left.select("node", "comp").distinct(), texts, apart, threshold)
+    done = done.union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = written(_verified(rest.join(done, ["a", "b"], "left_anti"), texts, threshold), "links")
+    if more.limit(1).count():
+        links = links.union(more)
+        comps = components(links)
+    return links, comps
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
@@ -226,30 +404,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     """
     sigs = written(_with_bands(_nodes(docs)), "signatures")
     reps = written(sigs.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "reps")
-    rows = reps.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
-    pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    shared = written(rows.join(pivots.select("bucket", "pivot"), "bucket"), "buckets")
-    pairs = written(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    wanted = shared.select("node").distinct().join(reps.select("node", "doc_id"), "node")
-    texts = written(_texts(docs, wanted), "texts")
-    links = written(_verified(pairs, texts, threshold), "links")
-    comps = components(links)
-
-    # buckets that still hold several components: compare across them
-    placed = shared.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    left = placed.join(mixed, "bucket", "left_semi")
-    across = (left.select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-              .join(left.select("bucket", F.col("node").alias("b"), F.col("comp").alias("cb")), "bucket")
-              .where("ca < cb").select("a", "b").distinct())
-    done = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = written(across.join(done, ["a", "b"], "left_anti"), "across")
-    more = written(_verified(across, texts, threshold), "links")
-    if more.limit(1).count():
-        links = links.union(more)
-        comps = components(links)
-
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"),
+        F.first("bands").alias("bands")), "reps")
+    links, comps = _links(docs, reps, threshold)
     classes = reps.select("node", "doc_id", "copies").join(comps, "node", "left") \
         .select("node", "doc_id", "copies", F.coalesce("comp", "node").alias("comp"))
     names = classes.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
