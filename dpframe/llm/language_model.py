@@ -2,12 +2,12 @@
 
 A bigram model: the maximum-likelihood estimates c(v,w)/c(v), c(w)/N and
 1/(V+1) are mixed with weights that depend on how often the context v was
-seen. One training block in ``DELETED`` is held out; expectation-maximisation
-learns the weights from the held-out tokens, whose estimates come from the
-other training blocks. The scores then use the counts of all training text.
+seen. Expectation-maximisation learns the weights from one fold of the
+training documents, whose estimates come from the counts of the others. The
+scores then use the counts of all training text.
 
 Counting and scoring are a blocked hash join. Documents are put together in
-blocks of about ``BLOCK_CHARS`` characters, each written once. A block asks
+blocks of about ``BLOCK_BYTES`` bytes, each written once. A block asks
 for the counts of its distinct n-grams, dealt by n-gram hash over reducers
 that add up what all blocks hold of a key and answer every block in the
 order it asked. What moves is one hash per distinct n-gram and block, not
@@ -18,6 +18,9 @@ known by 64-bit hashes.
 from __future__ import annotations
 
 import zlib
+from collections import ChainMap
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -26,17 +29,16 @@ from pyspark.sql import functions as F
 
 from dpframe.llm.common import batch_rows, fold, read, written
 
-BLOCK_CHARS = 12_000_000
+BLOCK_BYTES = 16_000_000
 BLOCK_DOCS = 8192
-DELETED = 7
+DELETED = 3
 CONTEXT_BUCKETS = 20
 ITERATIONS = 60
 #: Resolution of the log-estimates in the held-out table: steps per factor of 2.
 GRID = 16
-SPACE = "\t\n\x0b\x0c\r"
 END, START = 0xE4D, 0x57A
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-LOWER = {c: c + 32 for c in range(65, 91)} | {ord(c): 32 for c in SPACE}
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -47,42 +49,61 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """64-bit hashes of words, remembered until ``most`` are held."""
+    """64-bit hashes of words (bytes between ASCII white space), remembered up to ``most`` of them."""
 
-    def __init__(self, most: int = 400_000):
-        self.known: dict[str, int] = {}
+    def __init__(self, most: int = 600_000):
+        self.known: dict[bytes, int] = {}
         self.most = most
 
-    def hashes(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of every token, tokens per text); each text ends with the end token."""
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of every token, tokens per text) of UTF-8 texts; each text ends with the end token."""
         import xxhash
-        out, n = [], np.empty(len(texts), np.int64)
-        known = self.known
-        for i, t in enumerate(texts):
-            words = t.translate(LOWER).split(" ") if t else []
-            if "" in words:
-                words = [w for w in words if w]
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            a = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            out += [a, np.array([END], np.uint64)]
-            n[i] = len(words) + 1
-            if len(known) > self.most:
-                known.clear()
-        return (np.concatenate(out) if out else np.zeros(0, np.uint64)), n
-
-
-def _keys(tokens: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of each token: itself, its context, and the pair of both. Unigram keys are even, pair keys odd."""
+        split = [t.translate(LOWER).split() for t in texts]
+        new = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*split).difference(self.known)}
+        if len(self.known) + len(new) <= self.most:
+            self.known.update(new)
+            new = self.known
+        else:
+            self.known.update(islice(new.items(), max(self.most - len(self.known), 0)))
+            new = ChainMap(new, self.known)
+        n = np.array([len(w) + 1 for w in split], np.int64)
+        out = np.full(n.sum(), END, np.uint64)
+        word = np.ones(len(out), bool)
+        word[np.cumsum(n) - 1] = False
+        out[word] = np.fromiter(map(new.__getitem__, chain.from_iterable(split)), np.uint64, len(out) - len(n))
+        return out, n
+
+
+@lru_cache(maxsize=1)
+def words() -> Words:
+    """The word memory of this Python worker."""
+    return Words()
+
+
+START_KEY = int(_mix(np.array([START], np.uint64) + C1)[0]) & ~1
+
+
+def _grams(tokens: np.ndarray, n: np.ndarray):
+    """Distinct keys (sorted) and, for each token, the place of its pair, its context and itself among them.
+
+    Single tokens have even keys, pairs odd ones; a text's first context is the start key.
+    """
+    code, single = pd.factorize(tokens)
+    context = np.empty_like(code)
+    context[1:] = code[:-1]
     first = np.zeros(len(tokens), bool)
     first[np.cumsum(n) - n] = True
-    context = np.empty_like(tokens)
-    context[1:] = tokens[:-1]
-    context[first] = START
+    context[first] = len(single)
+    single = np.append(single, np.uint64(START))
     with np.errstate(over="ignore"):
-        pair = _mix(_mix(context * C1 + C3) + tokens) | np.uint64(1)
-    even = ~np.uint64(1)
-    return _mix(tokens + C1) & even, _mix(context + C1) & even, pair
+        pair = _mix(_mix(single * C1 + C3)[context] + tokens) | np.uint64(1)
+        even = _mix(single + C1) & ~np.uint64(1)
+    pair_code, pairs = pd.factorize(pair)
+    keys = np.concatenate([even, pairs])
+    order = np.argsort(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return keys[order], place[len(even):][pair_code], place[:len(even)][context], place[:len(even)][code]
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -105,60 +126,60 @@ def _from_numbers(raw: bytes) -> np.ndarray:
 
 
 def make_blocks(docs: DataFrame) -> DataFrame:
-    """One row per block: block (64-bit id), deleted, doc_ids, held_out, payload (the texts, deflated)."""
+    """One row per block: block (64-bit id), deleted, doc_ids, held_out, payload (the texts, deflated).
+
+    Deleted documents (those whose weights are learned from: crc32(doc_id)
+    mod 7 is ``DELETED``) are put in blocks of their own.
+    """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       (fold(F.col("doc_id"), 7) == 2).alias("held_out"))
+                       fold(F.col("doc_id"), 7).alias("fold"))
 
     def gather(batches):
         import uuid
-        ids, held, texts, size = [], [], [], 0
+        open_blocks = {False: ([], [], [], [0]), True: ([], [], [], [0])}
 
-        def row():
-            key = uuid.uuid4().int >> 65
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            payload = zlib.compress(np.array([len(r) for r in raw], "<u4").tobytes() + b"".join(raw), 1)
-            return pd.DataFrame({"block": [key], "deleted": [key % DELETED == 0], "doc_ids": [pd.array(ids, dtype="Int64").tolist()],
-                                 "held_out": [list(held)], "payload": [payload]})
+        def row(deleted):
+            ids, held, texts, _ = open_blocks[deleted]
+            payload = zlib.compress(np.array([len(r) for r in texts], "<u4").tobytes() + b"".join(texts), 1)
+            open_blocks[deleted] = ([], [], [], [0])
+            return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "deleted": [deleted],
+                                 "doc_ids": [pd.array(ids, dtype="Int64").tolist()], "held_out": [held], "payload": [payload]})
 
         for pdf in batches:
-            for d, t, h in zip(pdf["doc_id"], pdf["text"], pdf["held_out"]):
+            for d, t, f in zip(pdf["doc_id"], pdf["text"], pdf["fold"]):
+                ids, held, texts, size = open_blocks[f == DELETED]
                 ids.append(None if pd.isna(d) else int(d))
-                held.append(bool(h))
-                texts.append(t)
-                size += len(t)
-                if size >= BLOCK_CHARS or len(ids) >= BLOCK_DOCS:
-                    yield row()
-                    ids, held, texts, size = [], [], [], 0
-        if ids:
-            yield row()
+                held.append(bool(f == 2))
+                texts.append(t.encode("utf-8", "surrogatepass"))
+                size[0] += len(texts[-1])
+                if size[0] >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+                    yield row(f == DELETED)
+        for deleted in (False, True):
+            if open_blocks[deleted][0]:
+                yield row(deleted)
 
     schema = "block long, deleted boolean, doc_ids array<long>, held_out array<boolean>, payload binary"
     return written(base.mapInPandas(gather, schema), "blocks", codec="none")
 
 
-def _texts(payload: bytes, n: int) -> list[str]:
+def _texts(payload: bytes, n: int) -> list[bytes]:
     raw = zlib.decompress(payload)
     end = np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64) + 4 * n
     begin = np.concatenate([[4 * n], end[:-1]])
-    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin.tolist(), end.tolist())]
+    return [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())]
 
 
 def _requests(blocks: DataFrame, reducers: int) -> DataFrame:
     """(block, deleted, reducer, keys, counts): a block's distinct n-grams and how often its training text has them."""
     def ask(batches):
-        words = Words()
         for pdf in batches:
             for block, deleted, held, payload in zip(pdf["block"], pdf["deleted"], pdf["held_out"], pdf["payload"]):
-                tokens, n = words.hashes(_texts(payload, len(held)))
-                uni, ctx, pair = _keys(tokens, n)
-                train = np.repeat(~np.array(held, bool), n)
-                start = _mix(np.array([START], np.uint64) + C1) & ~np.uint64(1)     # counted once a document
-                every = np.concatenate([uni, pair, np.repeat(start, len(n))])
-                use = np.concatenate([train, train, ~np.array(held, bool)])
-                order = np.argsort(every)
-                every, use = every[order], use[order]
-                at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-                keys, counts = every[at], np.add.reduceat(use.astype(np.int64), at)
+                tokens, n = words().hashes(_texts(payload, len(held)))
+                train = ~np.array(held, bool)
+                keys, pair, context, word = _grams(tokens, n)
+                use = np.repeat(train, n)
+                counts = np.bincount(word[use], minlength=len(keys)) + np.bincount(pair[use], minlength=len(keys))
+                counts[context[0]] = train.sum()          # the start key, once a document
                 part = ((keys >> np.uint64(1)) % np.uint64(reducers)).astype(np.int64)
                 for r in range(reducers):
                     mine = part == r
@@ -176,8 +197,6 @@ def _answers(requests: DataFrame) -> DataFrame:
     A reducer also reports its number of tokens and distinct words, in all
     and in deleted text, on a row of its own (block -1).
     """
-    start = int((_mix(np.array([START], np.uint64) + C1) & ~np.uint64(1))[0])
-
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [_unpack(k) for k in pdf["keys"]]
         counts = [_from_numbers(c).astype(np.int64) for c in pdf["counts"]]
@@ -192,7 +211,7 @@ def _answers(requests: DataFrame) -> DataFrame:
             mine = inverse[at:at + k]
             rows.append((block, pdf["reducer"].iloc[0], _numbers(total[mine]), _numbers(deleted[mine]) if d else None, 0, 0, 0, 0))
             at += k
-        uni = (flat & np.uint64(1) == 0) & (flat != np.uint64(start))
+        uni = (flat & np.uint64(1) == 0) & (flat != np.uint64(START_KEY))
         kept = total[uni] - deleted[uni]
         rows.append((-1, pdf["reducer"].iloc[0], None, None, int(total[uni].sum()), int((total[uni] > 0).sum()),
                      int(kept.sum()), int((kept > 0).sum())))
@@ -202,11 +221,10 @@ def _answers(requests: DataFrame) -> DataFrame:
         add, "block long, reducer int, total binary, gone binary, n long, v long, kept_n long, kept_v long")
 
 
-def _tokens_with_counts(words: Words, payload, held, answers, reducers: int):
+def _tokens_with_counts(payload, held, answers, reducers: int):
     """Tokens per text and the counts (pair, context, word) of each token, in all and in deleted training text."""
-    tokens, n = words.hashes(_texts(payload, len(held)))
-    uni, ctx, pair = _keys(tokens, n)
-    keys = np.unique(np.concatenate([uni, pair, ctx]))
+    tokens, n = words().hashes(_texts(payload, len(held)))
+    keys, *places = _grams(tokens, n)
     part = ((keys >> np.uint64(1)) % np.uint64(reducers)).astype(np.int64)
     total, gone = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     for r, t, g in answers:
@@ -214,8 +232,7 @@ def _tokens_with_counts(words: Words, payload, held, answers, reducers: int):
         total[mine] = _from_numbers(t)
         if g is not None:
             gone[mine] = _from_numbers(g)
-    at = [np.searchsorted(keys, k) for k in (pair, ctx, uni)]
-    return n, [total[i] for i in at], [gone[i] for i in at]
+    return n, [total[i] for i in places], [gone[i] for i in places]
 
 
 def _estimates(pair, context, word, n_all):
@@ -264,11 +281,10 @@ def _held_out_cells(joined: DataFrame, reducers: int, kept_n: int) -> np.ndarray
         return np.where(p > 0, np.rint(-np.log2(np.maximum(p, 1e-30)) * GRID), -1).astype(np.int64)
 
     def cells(batches):
-        words = Words()
         for pdf in batches:
             for held, payload, answers in zip(pdf["held_out"], pdf["payload"], pdf["answers"]):
                 got = [(a["reducer"], a["total"], a["gone"]) for a in answers]
-                n, total, gone = _tokens_with_counts(words, payload, held, got, reducers)
+                n, total, gone = _tokens_with_counts(payload, held, got, reducers)
                 use = np.repeat(~np.array(held, bool), n)
                 pair, ctx, uni = [(t - g)[use] for t, g in zip(total, gone)]
                 f2, f1 = _estimates(pair, ctx, uni, kept_n)
@@ -302,11 +318,10 @@ def score(docs: DataFrame, blocks_per_reducer: int = 2) -> DataFrame:
         weights = learn_weights(_held_out_cells(joined, reducers, stats["kept_n"]), stats["kept_v"])
 
         def run(batches):
-            words = Words()
             for pdf in batches:
                 for ids, held, payload, got in zip(pdf["doc_ids"], pdf["held_out"], pdf["payload"], pdf["answers"]):
                     got = [(a["reducer"], a["total"], None) for a in got]
-                    n, (pair, ctx, uni), _ = _tokens_with_counts(words, payload, held, got, reducers)
+                    n, (pair, ctx, uni), _ = _tokens_with_counts(payload, held, got, reducers)
                     f2, f1 = _estimates(pair, ctx, uni, n_all)
                     w = weights[context_bucket(ctx)]
                     p = w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] / (vocabulary + 1)
