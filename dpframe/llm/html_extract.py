@@ -153,6 +153,8 @@ def features(b: Block) -> list[str]:
         out.append("article")
     if b.words & OTHER_WORDS:
         out.append("other word")
+    if b.tags & OTHER:
+        out.append("other tag")
     if "©" in b.text:
         out.append("copyright")
     return out

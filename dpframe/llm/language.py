@@ -180,7 +180,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> OutputCode
                 v = total.setdefault(name, np.zeros(BUCKETS))
                 for a, b in _chunks(texts):
                     v += np.bincount(gram_indices(texts[a:b])[0], minlength=BUCKETS)
-        yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "v": [v.tolist() for v in total.values()]})
 
     parts = use.mapInPandas(count, "lang string, v array<double>")
     rows = (parts.select("lang", F.posexplode("v").alias("i", "c")).where("c > 0")
@@ -202,7 +203,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> OutputCode
             word = model.code[[index[x] for x in pdf["lang"]]]
             right += (model.margins(texts)[0] * word > 0).sum(axis=0)
             n += len(texts)
-        yield pd.DataFrame({"bit": np.arange(len(right)), "right": right, "n": n})
+        if n:
+            yield pd.DataFrame({"bit": np.arange(len(right)), "right": right, "n": n})
 
     for r in use.where(F.col("lang").isin(list(index))).mapInPandas(accuracy, "bit int, right double, n long") \
             .groupBy("bit").agg((F.sum("right") / F.greatest(F.sum("n"), F.lit(1))).alias("a")).collect():

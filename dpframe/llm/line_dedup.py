@@ -63,6 +63,8 @@ def _lines(docs: DataFrame) -> DataFrame:
                     toks = tokens(line)
                     if len(toks) >= SHORT:
                         rows.append((doc, key, pos, len(toks), template_keys(toks)))
+            if not rows:
+                continue
             out = pd.DataFrame(rows, columns=["doc_id", "key", "pos", "n", "keys"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
