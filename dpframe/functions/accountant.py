@@ -92,8 +92,8 @@ def gdp_epsilon(mu: float, delta: float) -> float:
 
 
 def gdp_mu(n: float, batch: float, epochs: float, sigma: float) -> float:
-    q = batch / n
-    steps = epochs * n / batch
+    q = min(1.0, batch / n)
+    steps = epochs * max(1.0, n / batch)          # at least one step an epoch is run
     return q * math.sqrt(steps) * math.sqrt(math.exp(1.0 / sigma ** 2) - 1.0)
 
 
@@ -101,8 +101,8 @@ def rdp_epsilon(n: float, batch: float, epochs: float, sigma: float, delta: floa
     """A2 for one configuration (driver-side helper, used by tests)."""
     if sigma <= 0:
         return 0.0
-    r = rdp_subsampled_gaussian(batch / n, sigma)
-    steps = epochs * n / batch
+    r = rdp_subsampled_gaussian(min(1.0, batch / n), sigma)
+    steps = epochs * max(1.0, n / batch)
     o = np.asarray(RDP_ORDERS)
     return float(np.min(steps * r - math.log(delta) / (o - 1)))
 
@@ -141,7 +141,8 @@ def add_rdp_epsilon(df: DataFrame, noise: str = "noise_multiplier", n: str = "n"
     pairs = d.where(F.col("_sigma") > 0).select("_q", "_sigma").distinct()
     curves = pairs.withColumn("_rdp", rdp_curve_udf(F.col("_q"), F.col("_sigma")))
     j = _join_small(d, curves, ["_q", "_sigma"])
-    steps = F.col(epochs).cast("double") * F.col(n).cast("double") / F.col(batch).cast("double")
+    per = F.greatest(F.lit(1.0), F.col(n).cast("double") / F.col(batch).cast("double"))   # at least one step an epoch is run
+    steps = F.col(epochs).cast("double") * per
     orders = F.array(*[F.lit(float(a)) for a in RDP_ORDERS])
     eps = F.array_min(F.zip_with("_rdp", orders,
                                  lambda r, a: steps * r - F.log(F.col(delta).cast("double")) / (a - F.lit(1.0))))
@@ -152,7 +153,7 @@ def add_gdp_epsilon(df: DataFrame, noise: str = "noise_multiplier", n: str = "n"
                     epochs: str = "epochs", delta: str = "delta", out: str = "epsilon") -> DataFrame:
     """A1 (+A7): Gaussian-DP (CLT) epsilon per row; 0 when the noise is 0."""
     nn, b, e, s = (F.col(c).cast("double") for c in (n, batch, epochs, noise))
-    mu = (b / nn) * F.sqrt(e * nn / b) * F.sqrt(F.exp(F.lit(1.0) / (s * s)) - F.lit(1.0))
+    mu = F.least(F.lit(1.0), b / nn) * F.sqrt(e * F.greatest(F.lit(1.0), nn / b)) * F.sqrt(F.exp(F.lit(1.0) / (s * s)) - F.lit(1.0))
     d = df.withColumn("_mu", F.when(s > 0, mu)).withColumn("_delta", F.col(delta).cast("double"))
     pairs = d.where(F.col("_mu").isNotNull()).select("_mu", "_delta").distinct()
     sol = pairs.withColumn("_eps", gdp_epsilon_udf(F.col("_mu"), F.col("_delta")))

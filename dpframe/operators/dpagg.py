@@ -30,7 +30,8 @@ def fresh_seed() -> str:
 
 def gaussian(seed: str, *parts: Column) -> Column:
     """Standard normal draw determined by (seed, parts): Box–Muller on md5 uniforms."""
-    txt = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    # a null part is a value of its own, so that (null, a) and (a, null) get different draws
+    txt = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts])
     u1 = uniform01(F.concat(txt, F.lit("|u1")))
     u2 = uniform01(F.concat(txt, F.lit("|u2")))
     u1 = F.greatest(u1, F.lit(2.0 ** -53))
@@ -56,8 +57,9 @@ def vector_sum(df: DataFrame, vec: str, by: list[str] | None = None) -> DataFram
 
 def noisy_sum(df: DataFrame, vec: str, clip: float, noise_multiplier: float, by: list[str] | None = None,
               seed: str | None = None, clip_first: bool = True) -> DataFrame:
-    """Gaussian sum query, long output (by..., pos, sum, noisy_sum, n).
+    """Gaussian sum query, long output (by..., pos, noisy_sum).
 
+    The exact sum and count are returned only when the noise is 0.
     sigma = clip * noise_multiplier on the sum; noise once per coordinate.
     """
     by = by or []
@@ -67,7 +69,8 @@ def noisy_sum(df: DataFrame, vec: str, clip: float, noise_multiplier: float, by:
     e = s.select(*by, "n", F.posexplode("sum").alias("pos", "sum"))
     sigma = float(clip) * float(noise_multiplier)
     noise = gaussian(seed, *[F.col(c) for c in by], F.col("pos")) * F.lit(sigma) if sigma > 0 else F.lit(0.0)
-    return e.select(*by, F.col("pos").cast("int").alias("pos"), "sum", (F.col("sum") + noise).alias("noisy_sum"), "n")
+    exact = ["sum", "n"] if sigma == 0 else []
+    return e.select(*by, F.col("pos").cast("int").alias("pos"), (F.col("sum") + noise).alias("noisy_sum"), *exact)
 
 
 def per_user_noisy_sum(events: DataFrame, user: str, key: str, value: str, keys: list[str], clip: float,
@@ -82,11 +85,14 @@ def per_user_noisy_sum(events: DataFrame, user: str, key: str, value: str, keys:
     vec = F.array(*[F.coalesce(F.col(f"`{k}`"), F.lit(0.0)).cast("double") for k in keys])
     rec = per_user.select(vec.alias("v"))
     s = noisy_sum(rec, "v", clip, noise_multiplier, None, seed)
+    n = rec.agg(F.count(F.lit(1)).alias("n"))
     names = F.array(*[F.lit(k) for k in keys])
     sigma = float(clip) * float(noise_multiplier)
     cnt_noise = gaussian(seed, F.lit("count")) * F.lit(float(noise_multiplier)) if sigma > 0 else F.lit(0.0)
-    out = s.select(F.element_at(names, F.col("pos") + 1).alias(key), "sum", "noisy_sum",
-                   F.col("n").alias("users"), (F.col("n") + cnt_noise).alias("noisy_users"))
+    exact = ["sum", F.col("n").alias("users")] if sigma == 0 else []
+    s = s.drop("n").crossJoin(F.broadcast(n))                                # one row
+    out = s.select(F.element_at(names, F.col("pos") + 1).alias(key), "noisy_sum",
+                   (F.col("n") + cnt_noise).alias("noisy_users"), *exact)
     return out.withColumn("noisy_mean", F.col("noisy_sum") / F.greatest(F.col("noisy_users"), F.lit(1.0)))
 
 
@@ -94,14 +100,15 @@ def microbatch_noisy_mean(df: DataFrame, vec: str, clip: float, noise_multiplier
                           step: str = "step", micro: str = "microbatch", seed: str | None = None) -> DataFrame:
     """Mean per microbatch, clip each mean, sum, add noise, divide by microbatches.
 
-    Output long (step, pos, value).
+    Output long (step, pos, value), with the exact clean_value only when the noise is 0.
     """
     seed = seed if seed is not None else fresh_seed()
     means = vector_sum(df, vec, [step, micro]).select(
         step, micro, F.transform("sum", lambda x: x / F.col("n")).alias("_m"))
     s = noisy_sum(means, "_m", clip, noise_multiplier, [step], seed)
-    return s.select(step, "pos", (F.col("noisy_sum") / F.lit(float(num_microbatches))).alias("value"),
-                    (F.col("sum") / F.lit(float(num_microbatches))).alias("clean_value"))
+    m = F.lit(float(num_microbatches))
+    clean = [(F.col("sum") / m).alias("clean_value")] if "sum" in s.columns else []
+    return s.select(step, "pos", (F.col("noisy_sum") / m).alias("value"), *clean)
 
 
 def clipped_norms(df: DataFrame, vec: str, clip: float) -> DataFrame:

@@ -226,9 +226,9 @@ def exact_auc(df: DataFrame, label: str = "label", score: str = "score",
          .withColumn("_cn", F.col("_on") + F.sum("_neg").over(inb)))
     # negatives strictly below this score = N - cumulative negatives at >= score
     auc_term = F.col("_pos") * ((F.col("_N") - F.col("_cn")) + F.col("_neg") / 2.0)
-    ap_term = F.col("_pos") / F.col("_P") * (F.col("_cp") / (F.col("_cp") + F.col("_cn")))
+    ap_term = F.try_divide(F.col("_pos"), F.col("_P")) * (F.col("_cp") / (F.col("_cp") + F.col("_cn")))
     g = j.groupBy(*by) if by else j
-    return g.agg((F.sum(auc_term) / (F.first("_P") * F.first("_N"))).alias("roc_auc"),
+    return g.agg((F.try_divide(F.sum(auc_term), F.first("_P").cast("double") * F.first("_N").cast("double"))).alias("roc_auc"),
                  F.sum(ap_term).alias("average_precision"))
 
 

@@ -82,10 +82,16 @@ def sample_space(trials: DataFrame, trial_key: Column, space=SEARCH_SPACE, seed=
     return out
 
 
+def _with_value(df: DataFrame, value: str) -> DataFrame:
+    """Rows of trials that recorded a number: failed trials (null or NaN) never win."""
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
 def best_trial(results: DataFrame, loss: str, trial: str, by: list[str] | None = None) -> DataFrame:
     """H4: trial with the lowest loss; the earlier trial wins ties (strict improvement)."""
     by = by or []
     rest = [c for c in results.columns if c not in by]
+    results = _with_value(results, loss)
     g = results.groupBy(*by) if by else results
     return g.agg(F.min_by(F.struct(*rest), F.struct(F.col(loss), F.col(trial))).alias("best")).select(*by, "best.*")
 
@@ -99,7 +105,7 @@ def best_epoch(history: DataFrame, run: list[str], value: str = "value", step: s
     """
     rest = [c for c in history.columns if c not in run]
     order = F.struct(F.col(value), F.col(step), *[F.col(c) for c in tiebreak])
-    return history.groupBy(*run).agg(F.min_by(F.struct(*rest), order).alias("_b")).select(*run, "_b.*")
+    return _with_value(history, value).groupBy(*run).agg(F.min_by(F.struct(*rest), order).alias("_b")).select(*run, "_b.*")
 
 
 def early_stopping(history: DataFrame, run: list[str], value: str = "value", step: str = "step",
@@ -160,7 +166,7 @@ def reduce_lr_on_plateau(history: DataFrame, run: list[str], value: str = "value
 
 def top_results(results: DataFrame, loss: str, trial: str, k: int = 15) -> DataFrame:
     """H8: the k best trials by loss (a top-k report; the limit is the feature)."""
-    return results.orderBy(F.col(loss), F.col(trial)).limit(k)
+    return _with_value(results, loss).orderBy(F.col(loss), F.col(trial)).limit(k)
 
 
 def sensitivity_grid(spark: SparkSession, base=SENSITIVITY_BASE, values=SENSITIVITY_VALUES) -> DataFrame:
@@ -176,30 +182,37 @@ def sensitivity_grid(spark: SparkSession, base=SENSITIVITY_BASE, values=SENSITIV
     return e
 
 
-def desc_score_token(score: Column, key: Column, scale: float = 100.0) -> Column:
-    """Order token for 'higher score first, then md5 of the key'.
+def desc_score_token(score: Column, key: Column) -> Column:
+    """Order token for 'higher score first, then smaller trial key'.
 
-    Exact for scores with at most log10(scale) decimals (fixed point); the
-    19-digit zero-padded complement sorts like the score, descending.
+    Seventeen significant digits and the exponent name every double; the
+    token has them as text that sorts like the score, descending. Whole-number
+    keys are padded so that they sort as numbers; others sort as text.
     """
-    fixed = F.round(score.cast("double") * F.lit(float(scale))).cast("long")
-    comp = F.lit(4_000_000_000_000_000_000) - fixed
-    return F.concat(F.lpad(comp.cast("string"), 19, "0"), F.lit("|"), F.md5(key.cast("string")),
-                    F.lit("|"), key.cast("string"))
-
-
-def successive_halving(trials: DataFrame, bracket: str, score: Column, key: Column, factor: int = 3,
-                       scale: float = 100.0) -> DataFrame:
+    x = score.cast("double")
+    text = F.format_string("%.16e", F.abs(x))
+    exponent = F.lpad((F.regexp_extract(text, "e(.*)$", 1).cast("int") + 400).cast("string"), 3, "0")
+    size = F.concat(exponent, F.substring(text, 1, 1), F.substring(text, 3, 16))
+    token = F.when(x > 0, F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"))) \
+        .when(x < 0, F.concat(F.lit("2"), size)).otherwise(F.lit("1"))
+    name = key.cast("string")
+    name = F.when(name.rlike("^[0-9]+$"), F.lpad(name, 20, "0")).otherwise(name)
+    return F.concat(token, F.lit("|"), name)
+
+
+def successive_halving(trials: DataFrame, bracket: str, score: Column, key: Column, factor: int = 3) -> DataFrame:
     """Rounds of successive halving inside each bracket.
 
     Round r keeps the best ceil(n_b / factor^r) trials of bracket b (score
-    descending, ties by md5 of the trial key); bracket b (0-based, in
+    descending, ties by the trial key; trials without a score take no part);
+    bracket b (0-based, in
     sorted order) runs rounds 0..b. Each round is an exact radix select
     on the order token, so no bracket is sorted in one task.
     Output: (bracket, round, trial key columns..., score) for every trial
     promoted into each round.
     """
-    d = trials.withColumn(TOKEN, desc_score_token(score, key, scale)).withColumn(GROUP, group_key([bracket]))
+    trials = trials.where(score.isNotNull() & ~F.isnan(score.cast("double")))
+    d = trials.withColumn(TOKEN, desc_score_token(score, key)).withColumn(GROUP, group_key([bracket]))
     brackets = sorted(r[0] for r in trials.select(bracket).distinct().collect())
     sizes = {r[0]: r[1] for r in d.groupBy(GROUP).count().collect()}
     out = None
@@ -214,5 +227,5 @@ def successive_halving(trials: DataFrame, bracket: str, score: Column, key: Colu
 
 def best_overall(results: DataFrame, score: str, trial: str) -> DataFrame:
     """The trial with the highest score (lowest trial key on ties)."""
-    return results.agg(F.max_by(F.struct(*results.columns),
-                                F.struct(F.col(score), -F.col(trial))).alias("b")).select("b.*")
+    order = F.struct(-F.col(score).cast("double"), F.col(trial))
+    return _with_value(results, score).agg(F.min_by(F.struct(*results.columns), order).alias("b")).select("b.*")

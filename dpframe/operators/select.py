@@ -70,7 +70,7 @@ def mutual_information(df: DataFrame, label: str, numeric: dict[str, Column], di
     c = (c.withColumn("n", F.sum("c").over(wf))
          .withColumn("cb", F.sum("c").over(Window.partitionBy("feature", "bin")))
          .withColumn("cy", F.sum("c").over(Window.partitionBy("feature", label))))
-    term = F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("cb") * F.col("cy")))
+    term = F.col("c") / F.col("n") * F.log((F.col("c").cast("double") / F.col("cb")) * (F.col("n").cast("double") / F.col("cy")))
     mi = c.groupBy("feature").agg(F.sum(term).alias("mi"))
     return mi.select("feature", F.coalesce(F.nanvl("mi", F.lit(None).cast("double")), F.lit(0.0)).alias("mi"))
 
@@ -138,12 +138,18 @@ def pca_fit(df: DataFrame, vec: str, k: int | None = None):
     return mean, comps, ratio
 
 
-def choose_components(ratio: np.ndarray, target: float = 0.95, min_k: int = 10, max_k: int = 300) -> tuple[int, float]:
-    """Smallest k reaching the cumulative explained variance, clipped to [min_k, max_k] and d."""
-    cum = np.cumsum(ratio)
-    k = int(np.searchsorted(cum, target)) + 1
-    k = min(max(min_k, k), max_k, len(ratio))
-    return k, float(cum[k - 1]) if k > 0 else 0.0
+def choose_components(ratios: DataFrame, target: float = 0.95, min_k: int = 10, max_k: int = 300) -> DataFrame:
+    """Y5 on (component, ratio) rows, one per axis: (k, retained, d).
+
+    The first component whose running ratio reaches the target gives k, kept
+    within [min_k, max_k] and the number d of components.
+    """
+    upto = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)     # d rows
+    run = ratios.select("component", F.sum("ratio").over(upto).alias("reached"))
+    stop = run.agg(F.count("*").alias("d"), F.min(F.when(F.col("reached") >= target, F.col("component") + 1)).alias("first"))
+    k = F.least(F.greatest(F.coalesce("first", "d"), F.lit(min_k)), F.lit(max_k), F.col("d"))
+    stop = stop.select(k.cast("int").alias("k"), F.col("d").cast("int").alias("d"))
+    return run.join(F.broadcast(stop), F.col("component") == F.col("k") - 1).select("k", F.col("reached").alias("retained"), "d")
 
 
 def pca_transform(x: Column, mean: np.ndarray, comps: np.ndarray) -> Column:

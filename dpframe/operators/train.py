@@ -18,6 +18,7 @@ Non-private training (D11) is the same loop with no clipping and no noise.
 from __future__ import annotations
 
 import math
+import hashlib
 import secrets
 from dataclasses import dataclass, field
 
@@ -391,17 +392,27 @@ def _cache_schedule(sched, parts: int) -> DataFrame:
     return out
 
 
+def noise_stream(seed, trial: int | str = "") -> np.random.Generator:
+    """Random stream of one trial: 256 bits from the whole seed text and the trial, so no two trials share draws."""
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}|{trial}".encode()).digest(), "little"))
+
+
 def epsilon_schedule(cfg: FitConfig, n: int) -> list[float]:
-    """A5: epsilon after each epoch (data-independent, known before training)."""
+    """A5: epsilon after each epoch (data-independent, known before training).
+
+    With microbatches a changed row can move its microbatch's clipped mean by
+    twice the clip norm, so the noise counts half.
+    """
     if cfg.noise_multiplier <= 0 or cfg.l2_norm_clip is None:
         return [0.0] * cfg.epochs
     delta = cfg.delta if cfg.delta is not None else 1.0 / n
     out = []
+    noise = cfg.noise_multiplier / 2 if cfg.microbatches else cfg.noise_multiplier
     for e in range(1, cfg.epochs + 1):
         if cfg.accountant == "gdp":
-            out.append(gdp_epsilon(gdp_mu(n, cfg.batch_size, e, cfg.noise_multiplier), delta))
+            out.append(gdp_epsilon(gdp_mu(n, cfg.batch_size, e, noise), delta))
         else:
-            out.append(rdp_epsilon(n, cfg.batch_size, e, cfg.noise_multiplier, delta))
+            out.append(rdp_epsilon(n, cfg.batch_size, e, noise, delta))
     return out
 
 
@@ -416,9 +427,8 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
     from dpframe.operators import evaluate as ev
 
     cfg.validate()
-    seed = cfg.seed if cfg.seed is not None else secrets.token_hex(16)
-    rng = np.random.default_rng(int.from_bytes(str(seed).encode(), "little") % (2 ** 63)
-                                if cfg.seed is not None else secrets.randbits(63))
+    seed = cfg.seed if cfg.seed is not None else secrets.token_hex(32)
+    rng = noise_stream(seed)
     cols = [key, "features", "label"] + (["weight"] if "weight" in train.columns else [])
     data = train.select(*cols)
     first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
@@ -539,8 +549,8 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
     data = data.repartition(max(1, min(par * 4, n // ROWS_PER_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
     data.count()
     model = Logistic(d)
-    seeds = [c.seed if c.seed is not None else secrets.token_hex(16) for c in configs]
-    rngs = [np.random.default_rng(int.from_bytes(f"{s}".encode(), "little") % (2 ** 63)) for s in seeds]
+    seeds = [c.seed if c.seed is not None else secrets.token_hex(32) for c in configs]
+    rngs = [noise_stream(s, i) for i, s in enumerate(seeds)]
     params = [model.init(r) for r in rngs]
     opts = [_Optimizer(c.optimizer, c.learning_rate, model.size) for c in configs]
     spe = [max(1, n // c.batch_size) for c in configs]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,47 +13,11 @@ SEED = 42
 RARE_LABEL_SQL = "CAST(l_quantity >= 50 AND l_discount >= 0.05 AS INT)"
 
 
-_SPREAD: dict[tuple, DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a driver table; spread it when the scan alone cannot use the cores.
-
-    A large table arrives as many splittable files and is read in parallel
-    as is (the cluster case: nothing extra happens). A table stored as a
-    single row group scans in one task; such a table is spread once per
-    session over the default parallelism and kept (memory, then disk), so
-    row-level work (hashing, scoring, gradients) uses every core.
-    """
+    """Read a driver table as it is split in storage."""
     from dpframe.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)           # also ships the package to Python workers
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    par = spark.sparkContext.defaultParallelism
-    if os.environ.get("DPFRAME_SPREAD", "on") == "off":
-        return df
-    ck = (id(spark), path)
-    if ck in _SPREAD:
-        return _SPREAD[ck]
-    if df.rdd.getNumPartitions() < par and _bytes_estimate(df) > (1 << 20):
-        from pyspark import StorageLevel
-        # hash of the whole row: deterministic on retry without the sort round-robin needs
-        df = df.repartition(par, F.xxhash64(*[F.col(c) for c in df.columns])).persist(StorageLevel.MEMORY_AND_DISK)
-        _SPREAD[ck] = df
-    return df
-
-
-def _bytes_estimate(df: DataFrame) -> int:
-    """Input size from the file listing (no data scan); unknown -> large."""
-    import os
-    from urllib.parse import urlparse
-    total = 0
-    for f in df.inputFiles():
-        u = urlparse(f)
-        if u.scheme not in ("", "file"):
-            return 1 << 62
-        total += os.path.getsize(u.path)
-    return total
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lineitem_key() -> Column:
@@ -101,7 +63,7 @@ def reuse(spark: SparkSession, key: tuple, build):
     deterministic (hash-ordered) lineage.
     """
     from pyspark import StorageLevel
-    ck = (id(spark),) + key
+    ck = (spark.sparkContext.applicationId,) + key
     if ck not in _MEMO:
         obj = build()
         items = obj if isinstance(obj, tuple) else (obj,)

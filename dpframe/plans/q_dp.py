@@ -49,24 +49,23 @@ WITH o AS (SELECT sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS n0, sum(label) A
 p AS (SELECT count(*) AS bn FROM ({balanced_sql("(SELECT {0} AS key, {1} AS label FROM lineitem)".format(LINEITEM_KEY_SQL, LABEL_SQL), BALANCE_SEED)}) b),
 w AS (SELECT 0.5 * (p.bn / (2.0 * (p.bn / 2))) + 0.5 * (o.n / (2.0 * o.n0)) AS w0,
              0.5 * (p.bn / (2.0 * (p.bn / 2))) + 0.5 * (o.n / (2.0 * o.n1)) AS w1 FROM o, p)
-SELECT round(CASE WHEN greatest(w1 / (w0 + 1e-8), w0 / (w1 + 1e-8)) > 3.0 AND w1 < w0 THEN w1 * 3.0 ELSE w0 END, 9) AS w0,
-       round(CASE WHEN greatest(w1 / (w0 + 1e-8), w0 / (w1 + 1e-8)) > 3.0 AND w1 >= w0 THEN w0 * 3.0 ELSE w1 END, 9) AS w1
+SELECT round(CASE WHEN w0 > 3.0 * w1 THEN w1 * 3.0 ELSE w0 END, 9) AS w0, round(CASE WHEN w1 > 3.0 * w0 THEN w0 * 3.0 ELSE w1 END, 9) AS w1
 FROM w"""
 
 
-def _blended(spark, sf_dir):
-    li = labelled_lineitem(spark, sf_dir)
-    orig = weights.balanced_weights(weights.class_counts(li))
-    bal = sample.downsample(li, F.col("key"), "label", BALANCE_SEED)
-    post = weights.balanced_weights(weights.class_counts(bal))
-    return li, bal, weights.blended_weights(orig, post, 0.5, 3.0)
+def _balanced_pair(df, names):
+    """W2 weights of classes 0 and 1 as one row."""
+    n = F.count(F.lit(1))
+    return df.agg(*[(n / (2 * F.sum((F.col("label") == c).cast("int")))).alias(names + str(c)) for c in (0, 1)])
 
 
 @register("w3_blended_capped", _blend_sql())
 def w3_blended_capped(spark, sf_dir):
     """Blend original and post-balancing weights (alpha 0.5), cap the ratio at 3."""
-    _, bal, w = _blended(spark, sf_dir)
-    return rounded(bal.agg(F.count(F.lit(1)).alias("_n")).select(F.lit(w[0]).alias("w0"), F.lit(w[1]).alias("w1")))
+    li = labelled_lineitem(spark, sf_dir)
+    bal = sample.downsample(li, F.col("key"), "label", BALANCE_SEED)
+    pair = _balanced_pair(li, "orig").crossJoin(_balanced_pair(bal, "post"))      # one row each
+    return rounded(weights.blended_weights(pair, 0.5, 3.0))
 
 
 @register("w4_normalised_weight", f"""
@@ -145,7 +144,7 @@ def d2_clipped_sum(spark, sf_dir):
     return rounded(dpagg.noisy_sum(e, "embedding", 0.5, 0.0, ["label"], TEST_SEED))
 
 
-@register("d2_gaussian_sum", _d2_sql(1.1))
+@register("d2_gaussian_sum", f"SELECT label, pos, noisy_sum FROM ({_d2_sql(1.1)}) x")
 def d2_gaussian_sum(spark, sf_dir):
     """Gaussian sum query, sigma = 0.5 * 1.1, fixed test seed (noise reproducible by SQL)."""
     e = table(spark, sf_dir, "embeddings")
@@ -187,7 +186,7 @@ def d3_per_user_sum(spark, sf_dir):
     return _d3(spark, sf_dir, 0.0)
 
 
-@register("d3_per_user_noisy_sum", _d3_sql(1.0))
+@register("d3_per_user_noisy_sum", f"SELECT event_type, noisy_sum, noisy_users, noisy_mean FROM ({_d3_sql(1.0)}) x")
 def d3_per_user_noisy_sum(spark, sf_dir):
     """D3: noisy per-type sums, noisy user count and noisy mean (fixed test seed)."""
     return _d3(spark, sf_dir, 1.0)
@@ -235,17 +234,17 @@ def d5_binary_cross_entropy(spark, sf_dir):
 
 
 @register("d6_categorical_cross_entropy", f"""
-WITH e AS ({EMB_UNNEST}), z AS (SELECT * FROM e WHERE pos < 10),
+WITH e AS ({EMB_UNNEST}), z AS (SELECT * FROM e),
 mx AS (SELECT vec_id, max(x) AS m FROM z GROUP BY vec_id),
 l AS (SELECT z.vec_id, any_value(z.label) AS label,
              any_value(mx.m) + ln(sum(exp(z.x - mx.m))) - sum(CASE WHEN z.pos = z.label THEN z.x ELSE 0 END) AS loss
       FROM z JOIN mx USING (vec_id) GROUP BY z.vec_id)
 SELECT label, count(*) AS n, round(sum(loss), 6) AS sum_loss FROM l GROUP BY label""")
 def d6_categorical_cross_entropy(spark, sf_dir):
-    """Categorical cross-entropy from logits (first 10 embedding positions vs the label)."""
+    """Categorical cross-entropy from logits (all embedding positions vs the label)."""
     e = table(spark, sf_dir, "embeddings")
-    logits = F.slice("embedding", 1, 10)
-    loss = vec.cce_from_logits(prepare.label_onehot(F.col("label"), 10), logits)
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    loss = vec.cce_from_logits(prepare.label_onehot(F.col("label"), width), F.col("embedding"))
     return rounded(e.select("label", loss.alias("loss")).groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.sum("loss").alias("sum_loss")), 6)
 

@@ -313,7 +313,7 @@ def h8_top15_results(spark, sf_dir):
 WITH b AS (SELECT *, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS bracket_idx,
                   count(*) OVER (PARTITION BY o_orderstatus) AS cnt,
                   row_number() OVER (PARTITION BY o_orderstatus
-                      ORDER BY round(o_totalprice * 100) DESC, md5(CAST(o_orderkey AS VARCHAR)), CAST(o_orderkey AS VARCHAR)) AS rk
+                      ORDER BY o_totalprice DESC, o_orderkey) AS rk
            FROM orders)
 SELECT o_orderstatus, CAST(r.round AS INTEGER) AS round, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
        round(min(o_totalprice), 2) AS min_score

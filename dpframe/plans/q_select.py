@@ -117,9 +117,9 @@ def y5_choose_components(spark, sf_dir):
     """K from cumulative explained variance 0.95, clipped to [10, 300] and the width."""
     e = table(spark, sf_dir, "embeddings")
     _, _, ratio = select.pca_fit(e, "embedding")
-    k, kept = select.choose_components(ratio, 0.95, 10, 300)
-    n = e.count()
-    return rounded(spark.createDataFrame([(k, kept, n, len(ratio))], "k int, retained double, n long, d int"))
+    ratios = spark.createDataFrame([(j, float(r)) for j, r in enumerate(ratio)], "component int, ratio double")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    return rounded(select.choose_components(ratios, 0.95, 10, 300).crossJoin(n))      # one row each
 
 
 @register("y6_append_components")

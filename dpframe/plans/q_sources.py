@@ -99,7 +99,7 @@ def s5_trial_json_scan(spark, sf_dir):
         F.col("o_totalprice").alias("score"), F.lit(1).alias("best_step"), F.lit("COMPLETED").alias("status"))
     path = _dir(spark, "trials")
     files.write_trials(t, path)
-    return rounded(files.read_trials(spark, path).drop("hyperparameters"), 6)
+    return rounded(files.read_trials(spark, path).drop("hyperparameters", "settings"), 6)
 
 
 @register("s6_metric_append_sink", f"""

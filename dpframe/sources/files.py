@@ -30,10 +30,10 @@ def _path_field(kind: str, field: str) -> F.Column:
     """run or key from either layout."""
     PATH = _path()
     if field == "run":
-        return F.coalesce(F.nullif(F.regexp_extract(PATH, r"run_id=([^/]+)/", 1), F.lit("")),
-                          F.nullif(F.regexp_extract(PATH, rf"/([^/]+)/{kind}(/|$)", 1), F.lit("")))
-    return F.coalesce(F.nullif(F.regexp_extract(PATH, r"key=([^/]+)/", 1), F.lit("")),
-                      F.nullif(F.regexp_extract(PATH, rf"/{kind}/([^/]+)$", 1), F.lit("")))
+        return F.url_decode(F.coalesce(F.nullif(F.regexp_extract(PATH, r"run_id=([^/]+)/", 1), F.lit("")),
+                          F.nullif(F.regexp_extract(PATH, rf"/([^/]+)/{kind}(/|$)", 1), F.lit(""))))
+    return F.url_decode(F.coalesce(F.nullif(F.regexp_extract(PATH, r"key=([^/]+)/", 1), F.lit("")),
+                      F.nullif(F.regexp_extract(PATH, rf"/{kind}/([^/]+)$", 1), F.lit(""))))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -96,7 +96,7 @@ def read_run_meta(spark: SparkSession, root: str) -> DataFrame:
 
 TRIAL_SCHEMA = T.StructType([
     T.StructField("trial_id", T.StringType()),
-    T.StructField("hyperparameters", T.StructType([T.StructField("values", T.MapType(T.StringType(), T.DoubleType()))])),
+    T.StructField("hyperparameters", T.StructType([T.StructField("values", T.MapType(T.StringType(), T.StringType()))])),
     T.StructField("metrics", T.StructType([T.StructField("metrics", T.MapType(T.StringType(), T.StructType([
         T.StructField("direction", T.StringType()),
         T.StructField("observations", T.ArrayType(T.StructType([
@@ -108,13 +108,17 @@ TRIAL_SCHEMA = T.StructType([
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Trial JSON flattened to (trial_id, metric, step, value, score, status) + hyperparameter map."""
+    """Trial JSON flattened to (trial_id, metric, step, value, score, status) + hyperparameters.
+
+    ``hyperparameters`` has the numeric values (null where one is text), ``settings`` all of them as text.
+    """
     t = spark.read.schema(TRIAL_SCHEMA).json(path)
     m = t.select("trial_id", "score", "status", "hyperparameters.values",
                  F.explode("metrics.metrics").alias("metric", "m"))
     o = m.select("trial_id", "score", "status", "values", "metric", F.explode("m.observations").alias("o"))
     return o.select("trial_id", "metric", F.col("o.step").alias("step"), F.col("o.value")[0].alias("value"),
-                    "score", "status", F.col("values").alias("hyperparameters"))
+                    "score", "status",
+                    F.transform_values("values", lambda k, v: v.try_cast("double")).alias("hyperparameters"), F.col("values").alias("settings"))
 
 
 def write_trials(trials: DataFrame, path: str) -> None:

@@ -23,12 +23,12 @@ def test_pca_invariants(spark):
     assert z.var(0) == pytest.approx(np.sort(np.linalg.eigvalsh(cov))[::-1][:10], rel=1e-9)
 
 
-def test_choose_components_rule():
-    ratio = np.array([0.5, 0.3, 0.15, 0.05])
-    assert select.choose_components(ratio, 0.95, 1, 300)[0] == 3
-    assert select.choose_components(ratio, 0.95, 10, 300)[0] == 4   # clipped to the width
-    k, kept = select.choose_components(ratio, 0.5, 2, 300)
-    assert (k, kept) == (2, pytest.approx(0.8))
+def test_choose_components_rule(spark):
+    ratios = spark.createDataFrame(list(enumerate([0.5, 0.3, 0.15, 0.05])), "component int, ratio double")
+    assert select.choose_components(ratios, 0.94, 1, 300).first()["k"] == 3
+    assert select.choose_components(ratios, 0.94, 10, 300).first()["k"] == 4   # clipped to the width
+    got = select.choose_components(ratios, 0.5, 2, 300).first()
+    assert (got["k"], got["retained"]) == (2, pytest.approx(0.8))
 
 
 def test_variance_threshold_raises_when_empty(spark):
