@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dpframe.llm.common import NON_WORD_CLASS, normal_words, read, written
+from dpframe.llm.common import normal_words, read, written
 
 WINDOW = 13
 #: About 150 bytes a window: at most some 300 MB in an executor's broadcast table at this bound.
@@ -111,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove
     on = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
     if remove == "documents":
         return keyed.join(flagged.drop("_hit"), on, "left_anti").select("row.*")
-    word = f"[^{NON_WORD_CLASS}]+"
+    word = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"         # words before lower-casing
     seps = F.split(F.col("_text"), word, -1)
     words = F.regexp_extract_all(F.col("_text"), F.lit(f"({word})"), 1)
     kept = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.array_contains("_hit", i))

@@ -8,8 +8,8 @@ trained on labelled pages and decoded by Viterbi.
 
 Labelled pages come from the corpus itself: up to ``TRAIN_PAGES`` pages
 (smallest hash of page_id and html) whose markup names its article, labelled
-by that markup, and each rebuilt once in another layout with known menus,
-notices, adverts, forms and reader comments around and inside the article.
+by that markup, and about as many rebuilt from them in other layouts with
+known menus, notices, adverts, forms and comments around and inside the article.
 The fit is therefore on a bounded sample; the decoding reads every page whole.
 """
 
@@ -290,7 +290,8 @@ def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> ChainModel:
             known.append(([features(b) for b in blocks], y))
             texts.append(([b.text for b, k in zip(blocks, y) if k], [b.text for b, k in zip(blocks, y) if not k]))
     rng = random.Random(1)
-    for i, (article, _) in enumerate(texts):
+    for i, (article, _) in enumerate(texts * max(1, sample // max(1, len(texts)))):
+        i %= len(texts)
         spare = [s for _, o in (texts[i], texts[i - 1]) for s in o] + [" ".join(a.split()[:12]) for a in texts[i - 1][0]]
         if article and spare:
             page = rebuilt(article[:40], spare, rng)
