@@ -13,9 +13,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ODD
 from dpframe.llm import (decontaminate, html_extract, language, language_model, line_dedup, near_dedup, packing, quality, queries,
                          token_store, tokens, url_rules)
+from odd_rows import ODD
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
