@@ -15,6 +15,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dpframe.keys import GROUP, TOKEN, group_key, uniform_int
 from dpframe.operators import sample
@@ -115,17 +116,17 @@ def early_stopping(history: DataFrame, run: list[str], value: str = "value", ste
     Epoch index = position in (step, ts) order. An epoch improves when it
     beats the best so far (strictly). Training stops at the first epoch with
     ``patience`` epochs since the last improvement; otherwise at the last.
-    Built on chunked series scans (running minimum, then running maximum of
+    Built on series scans (running minimum, then running maximum of
     the improvement index) and per-run aggregates, so no window spans a run.
     """
     from dpframe.operators.runs import series_scan
 
     sign = 1.0 if mode == "min" else -1.0
     h = history.withColumn("_v", F.col(value) * F.lit(sign))
-    d = series_scan(h, run, [step, ts], "_v", ts=ts, step=step)
+    d = series_scan(h, run, [step, ts], "_v", ts=ts)
     imp = F.col("_min_before").isNull() | (F.col("_v") < F.col("_min_before"))
     d = d.withColumn("_imp_i", F.when(imp, F.col("_i"))).drop("_n", "_min_before", "_sum_incl", "_prev_ts")
-    d = series_scan(d, run, [step, ts], "_v", ts=ts, step=step, running_max="_imp_i")
+    d = series_scan(d, run, [step, ts], "_v", ts=ts, running_max="_imp_i")
     trig = F.col("_i") - F.col("_max_incl") >= F.lit(patience)
     agg = d.groupBy(*run).agg(F.coalesce(F.min(F.when(trig, F.col("_i"))), F.max("_i")).alias("stop_epoch"),
                               F.max("_i").alias("epochs_seen"))
@@ -141,27 +142,32 @@ def reduce_lr_on_plateau(history: DataFrame, run: list[str], value: str = "value
                          min_delta: float = 1e-4) -> DataFrame:
     """H7: learning rate per epoch under halving-after-plateau (min mode).
 
-    The per-run epoch history (bounded by the number of epochs) is folded
-    with ``aggregate``; state = (best, wait, lr, emitted rates).
+    Each rate depends on the decisions before it, so a run is folded in order
+    by one task: rows are partitioned by run and sorted by step, and the fold
+    streams over them with four numbers of state, whatever the run's length.
+    A null or NaN value is an epoch without improvement.
     """
-    hist = history.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"),
-                                                                        F.col(value).cast("double").alias("v")))).alias("h"))
-    init = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("wait"), F.lit(float(lr0)).alias("lr"),
-                    F.array().cast("array<struct<s:int,lr:double>>").alias("out"))
-
-    def fold(acc, x):
-        imp = x["v"] < acc["best"] - F.lit(min_delta)
-        best = F.when(imp, x["v"]).otherwise(acc["best"])
-        wait = F.when(imp, F.lit(0)).otherwise(acc["wait"] + 1)
-        red = (~imp) & (wait >= F.lit(patience)) & (acc["lr"] > F.lit(min_lr))
-        lr = F.when(red, F.greatest(acc["lr"] * F.lit(factor), F.lit(min_lr))).otherwise(acc["lr"])
-        wait2 = F.when((~imp) & (wait >= F.lit(patience)), F.lit(0)).otherwise(wait)
-        out = F.concat(acc["out"], F.array(F.struct(x["s"].cast("int").alias("s"), acc["lr"].alias("lr"))))
-        return F.struct(best.alias("best"), wait2.alias("wait"), lr.alias("lr"), out.alias("out"))
-
-    r = hist.select(*run, F.aggregate("h", init, fold).alias("st"))
-    return r.select(*run, F.explode("st.out").alias("e")).select(*run, F.col("e.s").alias(step),
-                                                                 F.col("e.lr").alias("learning_rate"))
+    d = history.select(*run, F.col(step).cast("int").alias(step), F.col(value).cast("double").alias("_v"),
+                       group_key(run).alias(GROUP))
+    out = T.StructType([d.schema[c] for c in [*run, step]] + [T.StructField("learning_rate", T.DoubleType())])
+
+    def fold(batches):
+        now, best, wait, lr = None, math.inf, 0, lr0
+        for pdf in batches:
+            rates = []
+            for name, v in zip(pdf[GROUP], pdf["_v"]):
+                if name != now:
+                    now, best, wait, lr = name, math.inf, 0, lr0
+                rates.append(lr)
+                if v < best - min_delta:
+                    best, wait = v, 0
+                else:
+                    wait += 1
+                    if wait >= patience:
+                        lr, wait = min(lr, max(lr * factor, min_lr)), 0
+            yield pdf[[*run, step]].assign(learning_rate=rates)
+
+    return d.repartition(GROUP).sortWithinPartitions(GROUP, step, "_v").mapInPandas(fold, out)
 
 
 def top_results(results: DataFrame, loss: str, trial: str, k: int = 15) -> DataFrame:

@@ -33,7 +33,7 @@ def params_wide(params: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def epoch_durations(metrics: DataFrame) -> DataFrame:
-    """Seconds between consecutive logged steps of each (run, key) (chunked scan, no per-run window)."""
+    """Seconds between consecutive logged steps of each (run, key) (series scan, no per-run window)."""
     from dpframe.keys import epoch_micros
     d = series_scan(metrics, ["run_id", "key"], ["step", "ts"], "value")
     secs = epoch_micros(F.col("ts")) - epoch_micros(F.col("_prev_ts"))
@@ -74,54 +74,65 @@ def frontier(per_run: DataFrame, eps: str = "epsilon", utility: str = "auprc", b
     return j.where(keep).drop("_bk", "_before_bucket", "_in_bucket")
 
 
-CHUNK_MICROS = 3_600_000_000   # chunk = (step, hour of ts): order-preserving, bounded
-
-
 def series_scan(history: DataFrame, series: list[str], order: list[str], value: str = "value",
-                ts: str = "ts", step: str = "step", running_max: str | None = None) -> DataFrame:
+                ts: str = "ts", running_max: str | None = None, chunks: int | None = None) -> DataFrame:
     """Running statistics along each ordered series, without a window over a whole series.
 
     Adds ``_i`` (1-based position), ``_n`` (series length), ``_min_before``
     (minimum of earlier values), ``_sum_incl`` (running sum),
     ``_prev_ts`` (timestamp of the previous row) and, with ``running_max``,
-    ``_max_incl`` (running maximum of that column, nulls ignored). The order must start with
-    ``step`` then ``ts``. Rows are cut into order-preserving chunks (step,
-    hour of ts); per-chunk summaries are prefix-combined over the chunk table
-    (one row per chunk), and windows run only inside a chunk. A series holding
-    a third of all rows is spread over its chunks.
-    """
-    from dpframe.keys import epoch_micros
+    ``_max_incl`` (running maximum of that column, nulls ignored).
 
-    ck = ["_c_step", "_c_hour"]
-    d = history.withColumn("_c_step", F.col(step)).withColumn(
-        "_c_hour", F.floor(epoch_micros(F.col(ts)) / F.lit(CHUNK_MICROS)))
+    Rows are range-partitioned on (series, order) and checkpointed; a chunk is
+    a series' rows in one range, so a series holding a third of all rows lies
+    in a third of the ``chunks`` ranges (default: the shuffle partitions).
+    Summaries of the chunks are combined over a table of at most ``chunks``
+    rows a series, and windows run only inside a chunk.
+    """
+    d = _ranges(history, series, order, chunks)
     last_key = F.struct(*[F.col(c) for c in order])
-    chunks = d.groupBy(*series, *ck).agg(
+    parts = d.groupBy(*series, "_chunk").agg(
         F.count(F.lit(1)).alias("_cc"), F.min(value).alias("_cmin"), F.sum(value).alias("_csum"),
         F.max_by(F.col(ts), last_key).alias("_clast_ts"),
         F.max(F.col(running_max) if running_max else F.lit(None)).alias("_cmax"))
-    wc = Window.partitionBy(*series).orderBy(*ck)
+    wc = Window.partitionBy(*series).orderBy("_chunk")
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
-    chunks = (chunks.withColumn("_off", F.coalesce(F.sum("_cc").over(before), F.lit(0)))
-              .withColumn("_min_prev_chunks", F.min("_cmin").over(before))
-              .withColumn("_sum_prev_chunks", F.coalesce(F.sum("_csum").over(before), F.lit(0.0)))
-              .withColumn("_ts_prev_chunk", F.lag("_clast_ts").over(wc))
-              .withColumn("_max_prev_chunks", F.max("_cmax").over(before))
-              .withColumn("_n", F.sum("_cc").over(Window.partitionBy(*series)))
-              .select(*series, *ck, "_off", "_min_prev_chunks", "_sum_prev_chunks", "_ts_prev_chunk",
-                      "_max_prev_chunks", "_n"))
-    wi = Window.partitionBy(*series, *ck).orderBy(*order)
-    j = d.join(chunks, series + ck)
-    j = (j.withColumn("_i", F.col("_off") + F.row_number().over(wi))
+    named = [F.col(c).alias(f"_s{i}") for i, c in enumerate(series)] + [F.col("_chunk").alias("_sc")]
+    parts = (parts.withColumn("_off", F.coalesce(F.sum("_cc").over(before), F.lit(0)))
+             .withColumn("_min_prev", F.min("_cmin").over(before))
+             .withColumn("_sum_prev", F.coalesce(F.sum("_csum").over(before), F.lit(0.0)))
+             .withColumn("_ts_prev", F.lag("_clast_ts").over(wc))
+             .withColumn("_max_prev", F.max("_cmax").over(before))
+             .withColumn("_n", F.sum("_cc").over(Window.partitionBy(*series)))
+             .select(*named, "_off", "_min_prev", "_sum_prev", "_ts_prev", "_max_prev", "_n"))
+    wi = Window.partitionBy(*series, "_chunk").orderBy(*order)
+    on = F.col("_chunk") == F.col("_sc")
+    for i, c in enumerate(series):
+        on = on & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    j = (d.join(parts, on)
+         .withColumn("_i", F.col("_off") + F.row_number().over(wi))
          .withColumn("_min_in", F.min(value).over(wi.rowsBetween(Window.unboundedPreceding, -1)))
          .withColumn("_sum_in", F.sum(value).over(wi.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_prev_in", F.lag(ts).over(wi)))
     if running_max:
-        j = j.withColumn("_max_incl", F.greatest(F.col("_max_prev_chunks"), F.max(running_max).over(
+        j = j.withColumn("_max_incl", F.greatest(F.col("_max_prev"), F.max(running_max).over(
             wi.rowsBetween(Window.unboundedPreceding, 0))))
-    m = F.least(F.col("_min_prev_chunks"), F.col("_min_in"))   # least ignores nulls
-    return (j.withColumn("_min_before", m)
-            .withColumn("_sum_incl", F.col("_sum_prev_chunks") + F.col("_sum_in"))
-            .withColumn("_prev_ts", F.coalesce(F.col("_prev_in"), F.col("_ts_prev_chunk")))
-            .drop(*ck, "_off", "_min_prev_chunks", "_sum_prev_chunks", "_ts_prev_chunk", "_max_prev_chunks",
-                  "_min_in", "_sum_in", "_prev_in"))
+    return (j.withColumn("_min_before", F.least(F.col("_min_prev"), F.col("_min_in")))   # least ignores nulls
+            .withColumn("_sum_incl", F.col("_sum_prev") + F.col("_sum_in"))
+            .withColumn("_prev_ts", F.coalesce(F.col("_prev_in"), F.col("_ts_prev")))
+            .drop("_chunk", "_sc", *[f"_s{i}" for i in range(len(series))], "_off", "_min_prev", "_sum_prev",
+                  "_ts_prev", "_max_prev", "_min_in", "_sum_in", "_prev_in"))
+
+
+def _ranges(history: DataFrame, series: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
+    """``history`` with ``_chunk``, the number of its range on (series, order); equal keys share a range.
+
+    Range borders come from sampling, so the numbered rows are checkpointed before anything reads them twice.
+    """
+    from dpframe.session import ensure_checkpoint_dir
+
+    spark = history.sparkSession
+    ensure_checkpoint_dir(spark)
+    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (history.repartitionByRange(chunks, *series, *order)
+            .withColumn("_chunk", F.spark_partition_id()).checkpoint())

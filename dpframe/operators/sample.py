@@ -230,29 +230,35 @@ def downsample(df: DataFrame, key: Column, label: str = "label", seed=42,
 
 def oversample(df: DataFrame, key: Column, label: str = "label", seed=42,
                targets: Mapping | None = None) -> DataFrame:
-    """Draw ``targets[class]`` rows per class *with replacement*.
+    """Exactly ``targets[class]`` rows per class, by resampling.
 
-    Draw j of class c picks the row whose 0-based rank (token order) is
-    ``md5(j || '-' || seed || '-' || c) mod size(c)``; duplicates are kept.
-    The draws table is joined to the exactly-ranked rows on (class, rank).
+    A class that holds enough rows gives the first of them in token order,
+    without replacement. A smaller class is drawn with replacement: draw j
+    picks the row whose 0-based rank (token order) is
+    ``md5(j || '-' || seed || '-' || class) mod size``; duplicates are kept.
+    Only the smaller classes are ranked. Classes without a target are left out.
     """
     d = prepare(df, key, seed, [label])
     sizes = _group_sizes(d)
-    ranked = hash_rank(d, sizes)
-    spark = df.sparkSession
-    parts = []
-    for g, t in (targets or {}).items():
-        size = sizes.get(str(g), 0)
-        if size == 0:
-            raise ValueError(f"class {g} is empty")
-        j = spark.range(int(t)).withColumnRenamed("id", "draw")
-        parts.append(j.select(F.lit(str(g)).alias(GROUP), "draw",
-                              (uniform_int(F.concat(F.col("draw").cast("string"), F.lit(f"-{seed}-{g}")),
-                                           F.lit(size)) + 1).alias("rn")))
-    draws = parts[0]
-    for p in parts[1:]:
-        draws = draws.unionByName(p)
-    return ranked.join(draws, [GROUP, "rn"]).drop(TOKEN, GROUP)
+    wanted = {str(g): int(t) for g, t in (targets or {}).items()}
+    empty = [g for g in wanted if not sizes.get(g)]
+    if empty:
+        raise ValueError(f"classes {empty} are empty")
+    large = {g: t for g, t in wanted.items() if sizes[g] >= t}
+    small = {g: t for g, t in wanted.items() if sizes[g] < t}
+    out = df.limit(0)
+    if large:
+        rows = d.where(F.col(GROUP).isin(list(large)))
+        out = rows.where(select_first(rows, large)).select(df.columns)
+    if small:
+        ranked = hash_rank(d.where(F.col(GROUP).isin(list(small))), {g: sizes[g] for g in small})
+        draws = None
+        for g, t in small.items():
+            text = F.concat(F.col("id").cast("string"), F.lit(f"-{seed}-{g}"))
+            part = df.sparkSession.range(t).select(F.lit(g).alias(GROUP), (uniform_int(text, F.lit(sizes[g])) + 1).alias("rn"))
+            draws = part if draws is None else draws.unionByName(part)
+        out = out.unionByName(ranked.join(draws, [GROUP, "rn"]).select(df.columns))
+    return out
 
 
 def shuffle_order(df: DataFrame, key: Column, seed=42, rank_col: str = "pos") -> DataFrame:

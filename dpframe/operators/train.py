@@ -370,7 +370,15 @@ def _collect_eval(res: "FitResult", pending) -> None:
         res.history.append({"epoch": epoch, "step": step, "metric": k, "value": float(v)})
 
 
-def _cache_schedule(sched, parts: int) -> DataFrame:
+def _by_step(sched: DataFrame, parts: int, key: str) -> DataFrame:
+    """The schedule in ``parts`` ranges of (step, hash of the key), each sorted by step.
+
+    The rows of a large step lie in several ranges, so that many tasks compute its gradient.
+    """
+    return sched.repartitionByRange(parts, "step", F.xxhash64(key)).sortWithinPartitions("step")
+
+
+def _cache_schedule(sched, parts: int, key: str = "key") -> DataFrame:
     """Write the schedule to the shared checkpoint folder, sorted by step.
 
     The written table cuts the lineage (a lost executor re-reads it instead
@@ -384,7 +392,7 @@ def _cache_schedule(sched, parts: int) -> DataFrame:
     sched, held = sched if isinstance(sched, tuple) else (sched, [])
     spark = sched.sparkSession
     path = f"{checkpoint_dir(spark)}/schedule-{uuid.uuid4().hex}"
-    sched.repartitionByRange(parts, "step").sortWithinPartitions("step").write.parquet(path)
+    _by_step(sched, parts, key).write.parquet(path)
     for h in held:
         h.unpersist()
     out = spark.read.parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
@@ -459,7 +467,7 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
     step_fn = _logistic_step if (cfg.model == "logistic" and cfg.step_engine == "sql") else _numpy_step
     total = 0
     import time as _time
-    sched = _cache_schedule(poisson_schedules(data, key, [(0, q, steps_per_epoch, stop, str(seed))]), parts)
+    sched = _cache_schedule(poisson_schedules(data, key, [(0, q, steps_per_epoch, stop, str(seed))]), parts, key)
     from concurrent.futures import ThreadPoolExecutor
     pool = ThreadPoolExecutor(max_workers=1)
     pending = None
@@ -565,7 +573,7 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
     sched = poisson_schedules(data, key, [(i, min(1.0, c.batch_size / n), spe[i], stops[i], seeds[i])
                                           for i, c in enumerate(configs)])
     parts = max(1, min(par * 4, n * len(configs) // ROWS_PER_PARTITION))
-    sched = _cache_schedule(sched, parts)
+    sched = _cache_schedule(sched, parts, key)
     for s in range(max(total)):
         active = [i for i in range(len(configs)) if s < total[i]]
         slot = {i: j for j, i in enumerate(active)}
@@ -588,11 +596,14 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
                     m = tr == i
                     acc[j] += model.clipped_sum(P[j], X[m], y[m], np.ones(m.sum()), clips[j])
                     cnt[j] += m.sum()
-            yield pd.DataFrame({"g": [acc.ravel().tolist()], "n": [cnt.tolist()]})
+            if cnt.any():
+                yield pd.DataFrame({"g": [acc.ravel().tolist()], "n": [cnt.tolist()]})
 
         rows = batch.select("features", "label", "_trial").mapInPandas(part, "g array<double>, n array<double>").collect()
         bc.destroy()
-        G = np.sum([np.asarray(r["g"]).reshape(len(active), model.size) for r in rows], axis=0)
+        G = np.zeros((len(active), model.size))
+        for r in rows:
+            G += np.asarray(r["g"]).reshape(G.shape)
         for j, i in enumerate(active):
             c = configs[i]
             g = G[j]

@@ -143,19 +143,18 @@ def a5_epsilon_per_epoch(spark, sf_dir):
 
 
 @register("a6_budget_stop", f"""
-WITH h AS (SELECT run_id, key, step, ts, event_id, value FROM ({METRIC_HISTORY_SQL}) x WHERE key = 'purchase'),
+WITH h AS (SELECT run_id, key, step, ts, event_id, value FROM ({METRIC_HISTORY_SQL}) x),
 c AS (SELECT *, row_number() OVER w AS epoch, sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 100.0 AS epsilon
-      FROM h WINDOW w AS (PARTITION BY run_id ORDER BY step, ts, event_id)),
-s AS (SELECT run_id, min(CASE WHEN epsilon > 5.0 THEN epoch END) AS stop FROM c GROUP BY run_id)
-SELECT c.run_id, CAST(c.epoch AS INTEGER) AS epoch, round(c.epsilon, 9) AS epsilon FROM c JOIN s USING (run_id)
+      FROM h WINDOW w AS (PARTITION BY run_id, key ORDER BY step, ts, event_id)),
+s AS (SELECT run_id, key, min(CASE WHEN epsilon > 5.0 THEN epoch END) AS stop FROM c GROUP BY run_id, key)
+SELECT c.run_id, c.key, CAST(c.epoch AS INTEGER) AS epoch, round(c.epsilon, 9) AS epsilon FROM c JOIN s USING (run_id, key)
 WHERE s.stop IS NULL OR c.epoch <= s.stop""")
 def a6_budget_stop(spark, sf_dir):
-    """Cumulative cost per run (purchase values / 100 as epsilon); runs end at the first epoch over 5."""
+    """Cumulative cost per run and metric (values / 100 as epsilon); each ends at the first epoch over 5."""
     from dpframe.operators import runs
-    h = metric_history(spark, sf_dir).where(F.col("key") == "purchase")
-    d = runs.series_scan(h, ["run_id"], ["step", "ts", "event_id"], "value")
+    d = runs.series_scan(metric_history(spark, sf_dir), ["run_id", "key"], ["step", "ts", "event_id"], "value")
     c = d.withColumn("epoch", F.col("_i").cast("int")).withColumn("epsilon", F.col("_sum_incl") / F.lit(100.0))
-    return rounded(acc.budget_stop(c, ["run_id"], "epoch", "epsilon", 5.0).select("run_id", "epoch", "epsilon"))
+    return rounded(acc.budget_stop(c, ["run_id", "key"], "epoch", "epsilon", 5.0).select("run_id", "key", "epoch", "epsilon"))
 
 
 @register("a7_zero_noise_zero_epsilon", f"""
@@ -180,7 +179,7 @@ def _small_dp_grid():
 
 
 def _trial_scores(spark, te: DataFrame, params: list[np.ndarray], threshold: float = 0.2) -> DataFrame:
-    """Score the test set under every trial in one pass and evaluate per trial."""
+    """Score ``te`` under every trial in one pass and evaluate per trial."""
     from dpframe.functions import vec
     pdf = spark.createDataFrame([(i + 1, p[:-1].tolist(), float(p[-1])) for i, p in enumerate(params)],
                                 "trial int, w array<double>, b double")
@@ -194,29 +193,35 @@ def _trial_scores(spark, te: DataFrame, params: list[np.ndarray], threshold: flo
     return auc.join(loss, "trial").join(rep, "trial")
 
 
+VALIDATION_SEED = 44
+
+
 def _grid_results(spark, sf_dir):
+    """Trials fitted on four fifths of the balanced rows and scored on the rest (T3); test rows take no part."""
     from dpframe.plans.q_train import training_sets
     bal, te = training_sets(spark, sf_dir)
     cfgs = _small_dp_grid()
-    res = train.fit_grid(bal, cfgs)
+    part = sample.validation_tail(bal, F.col("key"), 0.2, VALIDATION_SEED)
+    res = train.fit_grid(part.where("is_val = 0").drop("is_val"), cfgs)
+    val = part.where("is_val = 1").drop("is_val")
     meta = spark.createDataFrame([(i + 1, c.l2_norm_clip, c.noise_multiplier, c.learning_rate, c.epochs, r.steps,
                                    float(r.epsilon[-1]) if r.epsilon else 0.0)
                                   for i, (c, r) in enumerate(zip(cfgs, res))],
                                  "trial int, l2_norm_clip double, noise_multiplier double, learning_rate double, "
                                  "epochs int, steps int, epsilon double")
-    return meta.join(_trial_scores(spark, te, [r.params for r in res]), "trial"), bal, te, cfgs
+    return meta.join(_trial_scores(spark, val, [r.params for r in res]), "trial"), bal, te, cfgs
 
 
 @register("h3_trials_together")
 def h3_trials_together(spark, sf_dir):
-    """H3: 9 DP trials (clip x noise) trained together, one job per step; per-trial results."""
+    """H3: 9 DP trials (clip x noise) trained together, one job per step; per-trial results on validation rows."""
     out, *_ = _grid_results(spark, sf_dir)
     return rounded(out)
 
 
 @register("h9_refit_best")
 def h9_refit_best(spark, sf_dir):
-    """H9 (+H4): pick the trial with the lowest eval loss, refit it with the full loop."""
+    """H9 (+H4): the trial with the lowest validation loss, refitted on all training rows; test rows only for its report."""
     out, bal, te, cfgs = _grid_results(spark, sf_dir)
     best = ex.best_trial(out, "eval_loss", "trial").first()
     cfg = cfgs[best["trial"] - 1]
@@ -295,10 +300,10 @@ def h6_early_stopping(spark, sf_dir):
 
 @register("h7_reduce_lr_on_plateau")
 def h7_reduce_lr_on_plateau(spark, sf_dir):
-    """H7: learning rate per epoch, halved after 3 epochs without improvement (floor 1e-6)."""
+    """H7: learning rate per epoch of each run and metric, halved after 3 epochs without improvement (floor 1e-6)."""
     from dpframe.operators import runs
-    h = runs.dedupe(metric_history(spark, sf_dir)).where(F.col("key") == "error")
-    return ex.reduce_lr_on_plateau(h, ["run_id"], "value", "step", lr0=1e-3, patience=3, min_lr=1e-6)
+    h = runs.dedupe(metric_history(spark, sf_dir))
+    return ex.reduce_lr_on_plateau(h, ["run_id", "key"], "value", "step", lr0=1e-3, patience=3, min_lr=1e-6)
 
 
 @register("h8_top15_results", """
@@ -392,19 +397,19 @@ ORACLES_EXTRA = {
     "a5_epsilon_per_epoch": _rdp_sql("1/n", per_epoch=True),
     "h7_reduce_lr_on_plateau": f"""
 WITH RECURSIVE h AS (
-  SELECT run_id, step, value, row_number() OVER (PARTITION BY run_id ORDER BY step) AS i
-  FROM {_dedup_sql()} d WHERE key = 'error'),
+  SELECT run_id, key, step, value, row_number() OVER (PARTITION BY run_id, key ORDER BY step) AS i
+  FROM {_dedup_sql()} d),
 r AS (
-  SELECT run_id, i, step, CAST(1e-3 AS DOUBLE) AS lr_used, value AS best, 0 AS wait, CAST(1e-3 AS DOUBLE) AS lr
+  SELECT run_id, key, i, step, CAST(1e-3 AS DOUBLE) AS lr_used, value AS best, 0 AS wait, CAST(1e-3 AS DOUBLE) AS lr
   FROM h WHERE i = 1
   UNION ALL
-  SELECT h.run_id, h.i, h.step, r.lr AS lr_used,
+  SELECT h.run_id, h.key, h.i, h.step, r.lr AS lr_used,
          CASE WHEN h.value < r.best - 1e-4 THEN h.value ELSE r.best END,
          CASE WHEN h.value < r.best - 1e-4 THEN 0 WHEN r.wait + 1 >= 3 THEN 0 ELSE r.wait + 1 END,
          CASE WHEN NOT (h.value < r.best - 1e-4) AND r.wait + 1 >= 3 AND r.lr > 1e-6
               THEN greatest(r.lr * 0.5, 1e-6) ELSE r.lr END
-  FROM r JOIN h ON h.run_id = r.run_id AND h.i = r.i + 1)
-SELECT run_id, CAST(step AS INTEGER) AS step, lr_used AS learning_rate FROM r""",
+  FROM r JOIN h ON h.run_id = r.run_id AND h.key = r.key AND h.i = r.i + 1)
+SELECT run_id, key, CAST(step AS INTEGER) AS step, lr_used AS learning_rate FROM r""",
 }
 
 from dpframe.plans.registry import ORACLES as _ORACLES  # noqa: E402

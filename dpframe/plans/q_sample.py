@@ -85,10 +85,12 @@ sizes AS (SELECT DISTINCT label, cnt FROM r),
 draws AS (
   SELECT s.label, d.range AS draw,
          (('0x' || substr(md5(CAST(d.range AS VARCHAR) || '-{BAL_SEED}-' || CAST(s.label AS VARCHAR)), 1, 15))::BIGINT % s.cnt) + 1 AS rn
-  FROM sizes s, range({OVERSAMPLE_TO}) d)
+  FROM sizes s, range({OVERSAMPLE_TO}) d WHERE s.cnt < {OVERSAMPLE_TO}
+  UNION ALL
+  SELECT label, rn - 1, rn FROM r WHERE cnt >= {OVERSAMPLE_TO} AND rn <= {OVERSAMPLE_TO})
 SELECT r.key, r.label, count(*) AS copies FROM draws JOIN r USING (label, rn) GROUP BY r.key, r.label""")
 def t6_oversample(spark, sf_dir):
-    """2,000 draws with replacement from each class; copies per drawn row."""
+    """2,000 rows of each class, the majority without and the minority with replacement; copies per row."""
     li = labelled_lineitem(spark, sf_dir)
     drawn = sample.oversample(li, F.col("key"), "label", BAL_SEED, targets={0: OVERSAMPLE_TO, 1: OVERSAMPLE_TO})
     return drawn.groupBy("key", "label").agg(F.count(F.lit(1)).alias("copies"))

@@ -97,3 +97,10 @@ def test_schedule_matches_bernoulli_rate(spark):
     # rows that need more than one round of draws are continued, not cut off
     multi = sched.groupBy("key", "epoch").count().where("count > 2").count()
     assert multi > 0
+
+
+def test_large_step_is_spread_and_kept_whole(spark):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("key"), F.lit(0).cast("long").alias("step"))
+    out = train._by_step(rows, 4, "key").groupBy(F.spark_partition_id()).count().collect()
+    sizes = [r["count"] for r in out]
+    assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 2000

@@ -61,6 +61,16 @@ def test_oversample_exact_count(orders):
     assert got == {"F": 7000, "O": 100}
 
 
+def test_resample_large_class_without_and_small_class_with_replacement(orders):
+    sizes = {r[0]: r[1] for r in orders.groupBy("o_orderstatus").count().collect()}
+    d = sample.oversample(orders, F.col("key"), "o_orderstatus", 43, targets={"F": sizes["F"] - 5, "O": sizes["O"] + 5})
+    got = {r[0]: (r[1], r[2]) for r in d.groupBy("o_orderstatus").agg(F.count("*"), F.countDistinct("key")).collect()}
+    assert got["F"] == (sizes["F"] - 5, sizes["F"] - 5)
+    assert got["O"][0] == sizes["O"] + 5 and got["O"][1] < sizes["O"]
+    with pytest.raises(ValueError):
+        sample.oversample(orders, F.col("key"), "o_orderstatus", 43, targets={"none": 3})
+
+
 def test_batches_and_microbatch_guard(orders):
     b = sample.assign_batches(orders.limit(1000), F.col("key"), 64, epochs=2, seed=1, microbatches=8)
     sizes = {(r[0], r[1]): r[2] for r in b.groupBy("epoch", "step").count().collect()}

@@ -58,6 +58,33 @@ def test_reduce_lr_on_plateau(spark):
     assert lr == pytest.approx([1e-3] * 5 + [5e-4] * 3)
 
 
+def test_reduce_lr_on_plateau_of_many_runs(spark):
+    df = spark.createDataFrame([(r, k, i, 1.0 if i else 2.0) for r in range(7) for k in "ab" for i in range(9)]
+                               + [(None, "a", i, None) for i in range(5)],
+                               "run_id int, key string, step int, value double").repartition(5)
+    got = {}
+    for r in ex.reduce_lr_on_plateau(df, ["run_id", "key"], patience=3, lr0=1e-3).orderBy("step").collect():
+        got.setdefault((r["run_id"], r["key"]), []).append(r["learning_rate"])
+    assert len(got) == 15 and got.pop((None, "a")) == pytest.approx([1e-3] * 3 + [5e-4] * 2)
+    assert all(v == pytest.approx([1e-3] * 5 + [5e-4] * 3 + [2.5e-4]) for v in got.values())
+
+
+def test_hot_series_lies_in_many_chunks(spark):
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 400).alias("run_id"),
+                                  F.lit(1).alias("step"), F.col("id").alias("event_id"))
+    rows = runs._ranges(df, ["run_id"], ["step", "event_id"], 30).groupBy("run_id", "_chunk").count().collect()
+    hot = [r["count"] for r in rows if r["run_id"] == 0]
+    assert sum(hot) >= 2000 and len(hot) >= 8 and max(hot) <= 600
+
+
+def test_series_scan_keeps_null_series(spark):
+    df = spark.createDataFrame([(None, i, float(i)) for i in range(20)] + [(1, 0, 5.0)], "run_id int, step int, value double")
+    df = df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = runs.series_scan(df, ["run_id"], ["step", "ts"], chunks=4)
+    assert [r["_sum_incl"] for r in got.where("run_id IS NULL").orderBy("step").collect()] == [i * (i + 1) / 2 for i in range(20)]
+    assert got.where("run_id = 1").first()["_n"] == 1
+
+
 def test_frontier_matches_brute_force(spark):
     import random
     rnd = random.Random(11)
