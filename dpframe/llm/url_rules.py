@@ -29,6 +29,8 @@ MIN_COUNT = 5
 MIN_CONFIDENCE = 0.5
 MIN_LIFT = 1.5
 MAX_TOKENS = 4
+#: Pieces in which the pages of one token set meet its verdict.
+SALTS = 32
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -117,9 +119,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules=LISTED) -> DataFrame:
     # the method sees each distinct token set once; a url's own key is a digest of that set
     keyed = base.withColumn("url_key", F.md5(F.array_join(F.array_sort("tokens"), "\u0001")))
     sets = keyed.groupBy("url_key").agg(F.first("tokens").alias("tokens"))
-    blocked = fired(sets, found)
+    # a token set that many pages share is joined in SALTS pieces
+    keyed = keyed.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    blocked = fired(sets, found).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     rule, listed = listed_rule(F.col("host"), F.col("path"), rules)
-    return keyed.join(blocked, "url_key", "left").select(
+    return keyed.join(blocked, ["url_key", "salt"], "left").select(
         "page_id", "host", "path", rule.alias("rule"),
         F.coalesce(listed, F.when(F.col("rules") > 0, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("rules", F.lit(0)).cast("long").alias("mined_rules"))
