@@ -126,6 +126,19 @@ def classification_report(df: DataFrame, label: str = "label", score: str = "sco
     return conf.select(*(by or []), "tn", "fp", "fn", "tp", *report_columns())
 
 
+def report_text() -> Column:
+    """The report of one :func:`classification_report` row as a text table with four digits."""
+    def line(name, p, r, f, n):
+        return F.format_string("%12s %10s%10s%10s%10d", F.lit(name), *[
+            F.format_string("%.4f", F.round(F.col(c), 4)) if c else F.lit("") for c in (p, r, f)], n.cast("long"))
+
+    head = F.format_string("%12s %10s%10s%10s%10s", *[F.lit(x) for x in ("", "precision", "recall", "f1-score", "support")])
+    all_rows = F.col("support_class_0") + F.col("support_class_1")
+    per_class = [line(str(c), f"precision_class_{c}", f"recall_class_{c}", f"f1_class_{c}", F.col(f"support_class_{c}")) for c in (0, 1)]
+    means = [line(f"{k} avg", *[f"{m}_{k}" for m in ("precision", "recall", "f1")], all_rows) for k in ("macro", "weighted")]
+    return F.concat_ws("\n", head, F.lit(""), *per_class, F.lit(""), line("accuracy", None, None, "accuracy", all_rows), *means)
+
+
 # ----------------------------------------------------------------- M7, M8
 
 def curve_counts(df: DataFrame, label: str = "label", score: str = "score",

@@ -9,6 +9,7 @@ step loop; every step is one Spark job over the cached training rows:
    model: pure SQL; MLP: numpy in ``mapInPandas`` with weights broadcast);
 3. a partial (per-partition) vector sum, then one d-vector to the driver;
 4. Gaussian noise N(0, (C sigma)^2) added once to that sum on the driver,
+   drawn from (secret seed, trial, step, coordinate),
    division by the expected batch size (or the number of microbatches),
    optimizer update (SGD, momentum, Adam).
 
@@ -57,7 +58,6 @@ class FitConfig:
     delta: float | None = None         # None: 1/n
     budget: float | None = None        # stop after the first epoch whose epsilon exceeds it
     seed: int | str | None = None      # None: fresh entropy (a known seed voids privacy)
-    max_steps: int | None = None       # total step cap for quick runs (None: epochs * n / batch)
     step_engine: str = "numpy"         # logistic model only: "numpy" (mapInPandas) or "sql"
 
     def validate(self):
@@ -405,6 +405,55 @@ def noise_stream(seed, trial: int | str = "") -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}|{trial}".encode()).digest(), "little"))
 
 
+def step_noise(seed, trial: int | str, step: int, size: int) -> np.ndarray:
+    """``size`` standard normals of one step: Box-Muller on md5(seed|trial|step|pair), 52 bits a uniform.
+
+    The draws depend on nothing but these four, so SQL can repeat them, and
+    no two trials or steps share any. The seed is secret: 256 random bits
+    unless given.
+    """
+    pairs = -(-size // 2)
+    head = f"{seed}|{trial}|{step}|"
+    h = [int.from_bytes(hashlib.md5(f"{head}{j}".encode()).digest(), "big") for j in range(pairs)]
+    u1 = np.maximum(np.array([x >> 76 for x in h], np.float64) / 2.0 ** 52, 2.0 ** -53)
+    u2 = np.array([(x >> 24) & ((1 << 52) - 1) for x in h], np.float64) / 2.0 ** 52
+    r = np.sqrt(-2.0 * np.log(u1))
+    return np.stack([r * np.cos(2 * math.pi * u2), r * np.sin(2 * math.pi * u2)], axis=1).ravel()[:size]
+
+
+class _Descent:
+    """Parameters and optimizer state of one trial; the noise is added here, once a step."""
+
+    def __init__(self, cfg: FitConfig, model, seed, trial: int | str = ""):
+        self.cfg, self.model, self.seed, self.trial = cfg, model, seed, trial
+        self.params = model.init(noise_stream(seed, trial))
+        self.opt = _Optimizer(cfg.optimizer, cfg.learning_rate, model.size)
+        self.sigma = (cfg.l2_norm_clip or 0.0) * cfg.noise_multiplier
+
+    def apply(self, gsum: np.ndarray, rows: int, step: int) -> None:
+        """One update from the summed gradients of a batch of ``rows`` rows."""
+        cfg = self.cfg
+        if self.sigma > 0:
+            gsum = gsum + self.sigma * step_noise(self.seed, self.trial, step, len(gsum))
+        g = gsum / (max(rows, 1) if cfg.l2_norm_clip is None else cfg.microbatches or cfg.batch_size)
+        if cfg.l2_reg:
+            g = g + cfg.l2_reg * self.params
+        self.params = self.opt.update(self.params, g)
+
+    def step(self, sched: DataFrame, step: int, key: str) -> tuple[float, int]:
+        """Gradient job of one scheduled step and its update: (loss sum, rows)."""
+        cfg = self.cfg
+        batch = sched.where(F.col("step") == F.lit(step))
+        micro = None
+        if cfg.microbatches:
+            batch = batch.withColumn("_micro", _micro_id(F.col(key), step, cfg.microbatches, self.seed))
+            micro = "_micro"
+        run = _logistic_step if cfg.model == "logistic" and cfg.step_engine == "sql" else _numpy_step
+        gsum, lsum, rows = run(batch, self.model, self.params, cfg, micro)
+        self.apply(gsum, rows, step)
+        return lsum, rows
+
+
 def epsilon_schedule(cfg: FitConfig, n: int) -> list[float]:
     """A5: epsilon after each epoch (data-independent, known before training).
 
@@ -436,7 +485,6 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
 
     cfg.validate()
     seed = cfg.seed if cfg.seed is not None else secrets.token_hex(32)
-    rng = noise_stream(seed)
     cols = [key, "features", "label"] + (["weight"] if "weight" in train.columns else [])
     data = train.select(*cols)
     first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
@@ -452,8 +500,7 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
         ev_data = evaluate_on.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
         ev_data.count()
     model = make_model(cfg, d)
-    params = model.init(rng)
-    opt = _Optimizer(cfg.optimizer, cfg.learning_rate, model.size)
+    descent = _Descent(cfg, model, seed)
     q = min(1.0, cfg.batch_size / n)
     steps_per_epoch = max(1, n // cfg.batch_size)
     eps = epsilon_schedule(cfg, n)
@@ -461,10 +508,7 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
     if cfg.budget is not None:
         over = [i + 1 for i, e in enumerate(eps) if e > cfg.budget]
         stop = over[0] if over else cfg.epochs
-    res = FitResult(params=params, epsilon=eps[:stop], stopped_epoch=stop if stop < cfg.epochs else None)
-    sigma = (cfg.l2_norm_clip or 0.0) * cfg.noise_multiplier
-    denom = cfg.microbatches if cfg.microbatches else cfg.batch_size
-    step_fn = _logistic_step if (cfg.model == "logistic" and cfg.step_engine == "sql") else _numpy_step
+    res = FitResult(params=descent.params, epsilon=eps[:stop], stopped_epoch=stop if stop < cfg.epochs else None)
     total = 0
     import time as _time
     sched = _cache_schedule(poisson_schedules(data, key, [(0, q, steps_per_epoch, stop, str(seed))]), parts, key)
@@ -474,21 +518,8 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
     for epoch in range(1, stop + 1):
         t_epoch = _time.time()
         for s in range(steps_per_epoch):
-            if cfg.max_steps is not None and total >= cfg.max_steps:
-                break
             gstep = (epoch - 1) * steps_per_epoch + s
-            batch = sched.where(F.col("step") == F.lit(gstep))
-            mcol = None
-            if cfg.microbatches:
-                batch = batch.withColumn("_micro", _micro_id(F.col(key), gstep, cfg.microbatches, seed))
-                mcol = "_micro"
-            gsum, lsum, bn = step_fn(batch, model, params, cfg, mcol)
-            if sigma > 0:
-                gsum = gsum + rng.normal(0.0, sigma, size=gsum.shape)
-            g = gsum / (denom if cfg.l2_norm_clip is not None else max(bn, 1))
-            if cfg.l2_reg:
-                g = g + cfg.l2_reg * params
-            params = opt.update(params, g)
+            lsum, bn = descent.step(sched, gstep, key)
             total += 1
             res.history.append({"epoch": epoch, "step": gstep, "metric": "batch_loss",
                                 "value": lsum / max(bn, 1)})
@@ -497,24 +528,42 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
             # Evaluate a snapshot of this epoch's parameters in the background while the
             # next epoch trains (one evaluation in flight; Spark runs both jobs concurrently).
             _collect_eval(res, pending)
-            snap = params.copy()
+            snap = descent.params.copy()
             pending = (epoch, total, pool.submit(
                 lambda p=snap: ev.epoch_metrics(score(ev_data, model, p), threshold)))
         res.history.append({"epoch": epoch, "step": total, "metric": "epoch_seconds",
                             "value": _time.time() - t_epoch})
-        if cfg.max_steps is not None and total >= cfg.max_steps:
-            break
     _collect_eval(res, pending)
     pool.shutdown()
     data.unpersist()
     sched.unpersist()
     if ev_data is not None:
         ev_data.unpersist()
-    res.params, res.steps = params, total
+    res.params, res.steps = descent.params, total
     res.model = model  # type: ignore[attr-defined]
     return res
 
 
+def run_steps(train: DataFrame, cfg: FitConfig, epochs: int, steps_per_epoch: int, key: str = "key") -> np.ndarray:
+    """Parameters after ``epochs`` x ``steps_per_epoch`` steps of the loop in :func:`fit`.
+
+    For checks against SQL: the number of steps is given, so nothing is
+    accounted or evaluated, and the result must not be released.
+    """
+    cfg.validate()
+    seed = cfg.seed if cfg.seed is not None else secrets.token_hex(32)
+    data = train.select(*[key, "features", "label"] + (["weight"] if "weight" in train.columns else []))
+    first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    descent = _Descent(cfg, make_model(cfg, int(first["d"])), seed)
+    q = min(1.0, cfg.batch_size / int(first["n"]))
+    sched = poisson_schedules(data, key, [(0, q, steps_per_epoch, epochs, str(seed))])
+    sched = _cache_schedule(sched, data.sparkSession.sparkContext.defaultParallelism, key)
+    for step in range(epochs * steps_per_epoch):
+        descent.step(sched, step, key)
+    sched.unpersist()
+    return descent.params
+
+
 def score(df: DataFrame, model, params) -> DataFrame:
     """Add ``score`` (P(y=1)). Logistic: SQL; MLP: pandas UDF with broadcast weights."""
     if isinstance(model, Logistic):
@@ -550,6 +599,8 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
         c.validate()
         if c.model != "logistic":
             raise ValueError("fit_grid trains logistic trials; use fit() for the MLP")
+        if c.microbatches is not None:
+            raise ValueError("fit_grid clips per example; use fit() for microbatches")
     data = train.select(key, "features", "label")
     first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
     d, n = int(first["d"]), int(first["n"])
@@ -558,9 +609,7 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
     data.count()
     model = Logistic(d)
     seeds = [c.seed if c.seed is not None else secrets.token_hex(32) for c in configs]
-    rngs = [noise_stream(s, i) for i, s in enumerate(seeds)]
-    params = [model.init(r) for r in rngs]
-    opts = [_Optimizer(c.optimizer, c.learning_rate, model.size) for c in configs]
+    trials = [_Descent(c, model, s, i) for i, (c, s) in enumerate(zip(configs, seeds))]
     spe = [max(1, n // c.batch_size) for c in configs]
     stops = []
     for c in configs:
@@ -568,7 +617,7 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
         over = [i + 1 for i, e in enumerate(eps) if c.budget is not None and e > c.budget]
         stops.append(over[0] if over else c.epochs)
     total = [spe[i] * stops[i] for i in range(len(configs))]
-    results = [FitResult(params=params[i], epsilon=epsilon_schedule(c, n)[:stops[i]]) for i, c in enumerate(configs)]
+    results = [FitResult(params=trials[i].params, epsilon=epsilon_schedule(c, n)[:stops[i]]) for i, c in enumerate(configs)]
     sc = data.sparkSession.sparkContext
     sched = poisson_schedules(data, key, [(i, min(1.0, c.batch_size / n), spe[i], stops[i], seeds[i])
                                           for i, c in enumerate(configs)])
@@ -578,7 +627,7 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
         active = [i for i in range(len(configs)) if s < total[i]]
         slot = {i: j for j, i in enumerate(active)}
         batch = sched.where((F.col("step") == F.lit(s)) & F.col("_trial").isin(active))
-        bc = sc.broadcast(np.stack([params[i] for i in active]))
+        bc = sc.broadcast(np.stack([trials[i].params for i in active]))
         clips = [configs[i].l2_norm_clip for i in active]
 
         def part(it, bc=bc, clips=clips, k=len(active), slot=slot):
@@ -601,23 +650,16 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
 
         rows = batch.select("features", "label", "_trial").mapInPandas(part, "g array<double>, n array<double>").collect()
         bc.destroy()
-        G = np.zeros((len(active), model.size))
+        G, N = np.zeros((len(active), model.size)), np.zeros(len(active))
         for r in rows:
             G += np.asarray(r["g"]).reshape(G.shape)
+            N += np.asarray(r["n"])
         for j, i in enumerate(active):
-            c = configs[i]
-            g = G[j]
-            sigma = (c.l2_norm_clip or 0.0) * c.noise_multiplier
-            if sigma > 0:
-                g = g + rngs[i].normal(0.0, sigma, size=g.shape)
-            g = g / c.batch_size
-            if c.l2_reg:
-                g = g + c.l2_reg * params[i]
-            params[i] = opts[i].update(params[i], g)
+            trials[i].apply(G[j], int(N[j]), s)
             results[i].steps += 1
     data.unpersist()
     sched.unpersist()
     for i, r in enumerate(results):
-        r.params = params[i]
+        r.params = trials[i].params
         r.model = model  # type: ignore[attr-defined]
     return results

@@ -386,7 +386,7 @@ rdp AS (SELECT l.q, l.sigma, l.a, (any_value(mx.m) + ln(sum(exp(l.lf - mx.m)) *
         UNION ALL SELECT q, sigma, a, a / (2 * sigma * sigma) FROM pairs, ords WHERE q >= 1.0),
 rows AS (SELECT gd.*{explode} FROM gd),
 e AS (SELECT rows.*, CASE WHEN noise_multiplier > 0 THEN (
-          SELECT min({ep_expr} * rows.n / rows.batch_size * rdp.r - ln(rows.delta) / (rdp.a - 1)) FROM rdp
+          SELECT min({ep_expr} * greatest(1.0, rows.n / rows.batch_size) * rdp.r - ln(rows.delta) / (rdp.a - 1)) FROM rdp
           WHERE rdp.q = least(1.0, rows.batch_size / rows.n) AND rdp.sigma = rows.noise_multiplier) ELSE 0.0 END AS epsilon FROM rows)
 SELECT {out_cols}, round(epsilon, 9) AS epsilon FROM e"""
 

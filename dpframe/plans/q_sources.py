@@ -55,6 +55,7 @@ def s3_param_scan(spark, sf_dir):
 
 @register("s4_run_meta_scan", """
 SELECT CAST(user_id AS VARCHAR) AS run_id, 'user-' || CAST(user_id AS VARCHAR) AS run_name,
+       'owner-' || CAST(user_id % 7 AS VARCHAR) AS user_id,
        min(epoch_us(ts) // 1000) AS start_time, max(epoch_us(ts) // 1000) AS end_time,
        CASE WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) > 20 THEN 4 ELSE 3 END AS status,
        'active' AS lifecycle_stage
@@ -68,6 +69,7 @@ def s4_run_meta_scan(spark, sf_dir):
         F.sum((F.col("event_type") == "error").cast("int")).alias("_err"))
     runs = runs.select(F.col("user_id").cast("string").alias("run_id"),
                        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("run_name"),
+                       F.concat(F.lit("owner-"), (F.col("user_id") % 7).cast("string")).alias("user_id"),
                        "start_time", "end_time",
                        F.when(F.col("_err") > 20, F.lit(4)).otherwise(F.lit(3)).alias("status"),
                        F.lit("active").alias("lifecycle_stage"))
@@ -76,6 +78,20 @@ def s4_run_meta_scan(spark, sf_dir):
     return files.read_run_meta(spark, root)
 
 
+@register("s4_run_tag_scan", """
+SELECT CAST(user_id AS VARCHAR) AS run_id, 'source name' AS key, 'job ' || max(event_type) AS value FROM events GROUP BY user_id
+UNION ALL SELECT CAST(user_id AS VARCHAR), 'runName', 'user-' || CAST(user_id AS VARCHAR) FROM events GROUP BY user_id""")
+def s4_run_tag_scan(spark, sf_dir):
+    """Two tags per run, one file each, scanned back with run and tag name from the path."""
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_type").alias("last"))
+    run = F.col("user_id").cast("string")
+    tags = per.select(run.alias("run_id"), F.explode(F.create_map(
+        F.lit("source name"), F.concat(F.lit("job "), "last"), F.lit("runName"), F.concat(F.lit("user-"), run))).alias("key", "value"))
+    root = _dir(spark, "tags")
+    files.write_params(tags, root)
+    return files.read_tags(spark, root)
+
+
 @register("s5_trial_json_scan", """
 SELECT CAST(o_orderkey AS VARCHAR) AS trial_id, m.metric, CAST(m.step AS INTEGER) AS step,
        round(CASE WHEN m.metric = 'loss' THEN o_totalprice / 1000.0 ELSE 1.0 / (1.0 + o_totalprice / 100000.0) END
@@ -160,3 +176,36 @@ def s9_text_report_sink(spark, sf_dir):
     path = _dir(spark, "report")
     files.write_text_report(lines, path)
     return spark.read.text(path)
+
+
+def _report_line_sql(name: str, cells: list[str | None], support: str) -> str:
+    texts = ", ".join("''" if c is None else f"printf('%.4f', round({c}, 4))" for c in cells)
+    return f"printf('%12s %10s%10s%10s%10d', '{name}', {texts}, CAST({support} AS BIGINT))"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0 END)"
+
+
+_CELLS = [[_ratio("tn", "tn + fn"), _ratio("tn", "tn + fp"), _ratio("2 * tn", "2 * tn + fn + fp")],
+          [_ratio("tp", "tp + fp"), _ratio("tp", "tp + fn"), _ratio("2 * tp", "2 * tp + fn + fp")]]
+_ALL = "(tn + fp + fn + tp)"
+_REPORT = " || chr(10) || ".join([
+    "printf('%12s %10s%10s%10s%10s', '', 'precision', 'recall', 'f1-score', 'support')", "''",
+    _report_line_sql("0", _CELLS[0], "tn + fp"), _report_line_sql("1", _CELLS[1], "fn + tp"), "''",
+    _report_line_sql("accuracy", [None, None, _ratio("tn + tp", _ALL)], _ALL),
+    _report_line_sql("macro avg", [f"({a} + {b}) / 2" for a, b in zip(*_CELLS)], _ALL),
+    _report_line_sql("weighted avg", [_ratio(f"({a} * (tn + fp) + {b} * (fn + tp))", _ALL) for a, b in zip(*_CELLS)], _ALL)])
+
+
+@register("s9_classification_report", scored_sql() + f"""
+SELECT {_REPORT} AS value FROM (
+  SELECT split, sum(CAST(label = 0 AND score <= 0.2 AS INT)) AS tn, sum(CAST(label = 0 AND score > 0.2 AS INT)) AS fp,
+         sum(CAST(label = 1 AND score <= 0.2 AS INT)) AS fn, sum(CAST(label = 1 AND score > 0.2 AS INT)) AS tp
+  FROM scored GROUP BY split) c""")
+def s9_classification_report(spark, sf_dir):
+    """The classification report table of each split as one text file, read back whole."""
+    rep = evaluate.classification_report(scored_splits(spark, sf_dir), "label", "score", 0.2, True, ["split"])
+    path = _dir(spark, "class-report")
+    rep.select("split", evaluate.report_text().alias("value")).repartition("split").write.partitionBy("split").text(path)
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n$", "").alias("value"))

@@ -2,8 +2,9 @@
 
 Training input: the prepared lineitem (scaler/encoder fitted on train),
 train part balanced by exact downsampling. Fits return their history as a
-long table (run, epoch, step, metric, value); with noise these are
-rows-only checks. One zero-noise step is checked exactly against SQL.
+long table (run, epoch, step, metric, value), rows-only checks. Four steps
+over two epochs (noisy SGD, momentum and Adam, and non-private momentum)
+are checked exactly against SQL, which repeats batches and noise by hash.
 """
 
 from __future__ import annotations
@@ -97,7 +98,87 @@ def d8_zero_noise_step(spark, sf_dir):
     prep = prepared_lineitem(spark, sf_dir).df
     bal = sample.downsample(prep.where("is_test = 0"), F.col("key"), "label", BALANCE_SEED)
     cfg = train.FitConfig(model="logistic", optimizer="sgd", learning_rate=STEP_LR, l2_norm_clip=STEP_CLIP,
-                          noise_multiplier=0.0, batch_size=256, epochs=1, max_steps=1, seed=STEP_SEED)
-    res = train.fit(bal, cfg)
-    rows = [(i, float(v)) for i, v in enumerate(res.params)]
-    return rounded(spark.createDataFrame(rows, "pos int, value double"))
+                          noise_multiplier=0.0, batch_size=256, seed=STEP_SEED)
+    return _parameters(spark, train.run_steps(bal, cfg, epochs=1, steps_per_epoch=1))
+
+
+def _parameters(spark, params) -> DataFrame:
+    return rounded(spark.createDataFrame([(i, float(v)) for i, v in enumerate(params)], "pos int, value double"))
+
+
+# ------------------------------------------------------------------ exact steps with noise
+
+WIDTH = 9                    # features of the prepared lineitem
+STEP_EPOCHS, EPOCH_STEPS = 2, 2
+
+
+def _draw_sql(step: int, i: int) -> str:
+    """Standard normal of coordinate ``i`` at ``step`` (see ``train.step_noise``)."""
+    h = f"md5('{STEP_SEED}||{step}|{i // 2}')"
+    u1, u2 = (f"(CAST(('0x' || substr({h}, {at}, 13))::BIGINT AS DOUBLE) / {float(1 << 52)!r})" for at in (1, 14))
+    return f"sqrt(-2.0 * ln(greatest({u1}, {2.0 ** -53!r}))) * {'sin' if i % 2 else 'cos'}({6.283185307179586!r} * {u2})"
+
+
+def _steps_sql(cfg: train.FitConfig) -> str:
+    """The first steps of a logistic fit, one block of CTEs a step: batch, clipped sum, noise, update."""
+    size, clip = WIDTH + 1, cfg.l2_norm_clip
+    ones = [f"f{i}" for i in range(WIDTH)] + ["1.0"]
+    norm = " + ".join(f"f{i} * f{i}" for i in range(WIDTH)) + " + 1.0"
+    state = ", ".join(f"CAST(0.0 AS DOUBLE) AS {c}{i}" for c in "wmv" for i in range(size))
+    ctes = [f"p0 AS (SELECT {state})"]
+    for k in range(STEP_EPOCHS * EPOCH_STEPS):
+        z = " + ".join(f"w{i} * {x}" for i, x in enumerate(ones))
+        factor = "1.0" if clip is None else f"CASE WHEN nrm > {clip!r} THEN {clip!r} / nrm ELSE 1.0 END"
+        ctes.append(f"""r{k} AS (SELECT *, abs(r) * sqrt({norm}) AS nrm FROM (
+  SELECT bal.*, 1.0 / (1.0 + exp(-({z}))) - label AS r FROM bal JOIN member USING (key) CROSS JOIN p{k} WHERE member.step = {k}) x)""")
+        by = "greatest(count(*), 1)" if clip is None else repr(float(cfg.batch_size))
+        noise = [f" + {clip * cfg.noise_multiplier!r} * {_draw_sql(k, i)}" if clip and cfg.noise_multiplier else "" for i in range(size)]
+        sums = ", ".join(f"(coalesce(sum(r * ({factor}) * {x}), 0.0){noise[i]}) / {by} AS g{i}" for i, x in enumerate(ones))
+        ctes.append(f"s{k} AS (SELECT {sums} FROM r{k})")
+        reg = f" + {cfg.l2_reg!r} * w{{i}}" if cfg.l2_reg else ""
+        grads = ", ".join(f"g{i}{reg.format(i=i)} AS g{i}" for i in range(size))
+        ctes.append(f"g{k} AS (SELECT p{k}.*, {grads} FROM p{k} CROSS JOIN s{k})")
+        cols = []
+        for i in range(size):
+            if cfg.optimizer == "adam":
+                m, v = f"({train.ADAM_B1!r} * m{i} + (1 - {train.ADAM_B1!r}) * g{i})", f"({train.ADAM_B2!r} * v{i} + (1 - {train.ADAM_B2!r}) * g{i} * g{i})"
+                move = (f"({m} / (1 - pow({train.ADAM_B1!r}::DOUBLE, {k + 1}))) / "
+                        f"(sqrt({v} / (1 - pow({train.ADAM_B2!r}::DOUBLE, {k + 1}))) + {train.ADAM_EPS!r}::DOUBLE)")
+            else:
+                m, v = (f"({train.MOMENTUM!r} * m{i} + g{i})", "0.0") if cfg.optimizer == "momentum" else ("0.0", "0.0")
+                move = m if cfg.optimizer == "momentum" else f"g{i}"
+            cols += [f"CAST(w{i} - {cfg.learning_rate!r} * {move} AS DOUBLE) AS w{i}", f"CAST({m} AS DOUBLE) AS m{i}", f"CAST({v} AS DOUBLE) AS v{i}"]
+        ctes.append(f"p{k + 1} AS MATERIALIZED (SELECT {', '.join(cols)} FROM g{k})")
+    last = STEP_EPOCHS * EPOCH_STEPS
+    epochs = ", ".join(f"({e})" for e in range(1, STEP_EPOCHS + 1))
+    draws = ", ".join(f"({j})" for j in range(1, EPOCH_STEPS + 1))
+    return f"""WITH {prepared_sql()},
+train AS (SELECT * FROM prep WHERE is_test = 0),
+bal AS MATERIALIZED {balanced_sql('train', BALANCE_SEED)},
+n AS (SELECT count(*) AS n FROM bal),
+gaps AS (SELECT key, e, j, CASE WHEN n <= {cfg.batch_size} THEN 0 ELSE floor(ln(1.0 - CAST(('0x' || substr(
+    md5(key || '|e' || e || '|' || j || '|{STEP_SEED}'), 1, 13))::BIGINT AS DOUBLE) / {float(1 << 52)!r}) / ln(1.0 - {float(cfg.batch_size)!r} / n)) END AS gap
+  FROM bal, n, (VALUES {epochs}) ep(e), (VALUES {draws}) dr(j)),
+places AS (SELECT key, e, sum(gap + 1) OVER (PARTITION BY key, e ORDER BY j) - 1 AS place FROM gaps),
+member AS MATERIALIZED (SELECT key, (e - 1) * {EPOCH_STEPS} + place AS step FROM places WHERE place < {EPOCH_STEPS}),
+{', '.join(ctes)}
+SELECT CAST(pos AS INTEGER) AS pos, round(value, 9) AS value FROM (
+  {' UNION ALL '.join(f'SELECT {i} AS pos, w{i} AS value FROM p{last}' for i in range(size))}) x"""
+
+
+def _steps_query(cfg: train.FitConfig):
+    def q(spark, sf_dir):
+        prep = prepared_lineitem(spark, sf_dir).df
+        bal = sample.downsample(prep.where("is_test = 0"), F.col("key"), "label", BALANCE_SEED)
+        return _parameters(spark, train.run_steps(bal, cfg, STEP_EPOCHS, EPOCH_STEPS))
+    return q
+
+
+for _name, _cfg in {
+    "d8_noisy_sgd_steps": train.FitConfig(optimizer="sgd", learning_rate=0.25, l2_norm_clip=0.8, noise_multiplier=0.8, seed=STEP_SEED),
+    "d10_noisy_adam_steps": train.FitConfig(optimizer="adam", learning_rate=0.25, l2_norm_clip=0.8, noise_multiplier=0.8, seed=STEP_SEED),
+    "d8_noisy_momentum_steps": train.FitConfig(optimizer="momentum", learning_rate=0.05, l2_norm_clip=1.2, noise_multiplier=1.1, seed=STEP_SEED),
+    "d11_nonprivate_momentum_steps": train.FitConfig(optimizer="momentum", learning_rate=0.05, l2_norm_clip=None, noise_multiplier=0.0,
+                                                     l2_reg=1e-4, seed=STEP_SEED),
+}.items():
+    register(_name, _steps_sql(_cfg))(_steps_query(_cfg))

@@ -7,6 +7,7 @@ Layouts understood by the scanners (run and key come from the path):
   ``<root>/run_id=<run>/key=<key>/part-*`` written by :func:`write_metrics`;
 * params: one text value per (run, key): ``.../<run>/params/<key>`` or
   ``run_id=<run>/key=<key>/part-*``;
+* tags: as params, below ``.../<run>/tags/<key>``;
 * run metadata: ``key: value`` lines per run (``.../<run>/meta.yaml`` or
   ``run_id=<run>/part-*``);
 * trial JSON: one object per trial (nested hyperparameters and metric
@@ -76,7 +77,14 @@ def read_params(spark: SparkSession, root: str) -> DataFrame:
                       F.regexp_replace(F.col("value"), r"^\s+|\s+$", "").alias("value"))
 
 
-META_FIELDS = ["run_id", "run_name", "start_time", "end_time", "status", "lifecycle_stage"]
+def read_tags(spark: SparkSession, root: str) -> DataFrame:
+    """Run tags as (run_id, key, value STRING), one whole file per tag (``.../<run>/tags/<key>`` or as :func:`write_params`)."""
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    return raw.select(_path_field("tags", "run").alias("run_id"), _path_field("tags", "key").alias("key"),
+                      F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+
+
+META_FIELDS = ["run_id", "run_name", "user_id", "start_time", "end_time", "status", "lifecycle_stage"]
 
 
 def write_run_meta(runs: DataFrame, root: str) -> None:
@@ -90,7 +98,7 @@ def read_run_meta(spark: SparkSession, root: str) -> DataFrame:
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     cols = [F.nullif(F.regexp_extract("value", rf"(?m)^{f}:\s*(.*?)\s*$", 1), F.lit("")).alias(f) for f in META_FIELDS]
     out = raw.select(*cols)
-    return out.select("run_id", "run_name", F.col("start_time").cast("long"), F.col("end_time").cast("long"),
+    return out.select("run_id", "run_name", "user_id", F.col("start_time").cast("long"), F.col("end_time").cast("long"),
                       F.col("status").cast("int"), "lifecycle_stage")
 
 

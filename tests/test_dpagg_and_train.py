@@ -36,8 +36,8 @@ def _toy(spark, n=600, d=5, seed=0):
 def test_one_zero_noise_step_matches_numpy(spark):
     df, X, y = _toy(spark)
     cfg = train.FitConfig(model="logistic", learning_rate=0.5, l2_norm_clip=0.7, noise_multiplier=0.0,
-                          batch_size=64, epochs=1, max_steps=1, seed="s1")
-    res = train.fit(df, cfg)
+                          batch_size=64, seed="s1")
+    got = train.run_steps(df, cfg, 1, 1)
     q = 64 / len(y)
     sched = train.poisson_schedule(df, "key", q, len(y) // 64, 1, "s1")
     members = sched.where("step = 0").select("key").collect()
@@ -46,9 +46,25 @@ def test_one_zero_noise_step_matches_numpy(spark):
     nrm = np.abs(r) * np.sqrt((X[idx] ** 2).sum(1) + 1)
     f = np.minimum(1.0, 0.7 / nrm)
     g = np.concatenate([X[idx].T @ (r * f), [(r * f).sum()]]) / 64
-    assert res.params == pytest.approx(-0.5 * g, abs=1e-12)
-    sql = train.fit(df, train.FitConfig(**{**cfg.__dict__, "step_engine": "sql"}))
-    assert sql.params == pytest.approx(res.params, abs=1e-12)
+    assert got == pytest.approx(-0.5 * g, abs=1e-12)
+    sql = train.run_steps(df, train.FitConfig(**{**cfg.__dict__, "step_engine": "sql"}), 1, 1)
+    assert sql == pytest.approx(got, abs=1e-12)
+
+
+def test_step_noise_is_normal_and_its_own_for_each_step_and_trial():
+    z = train.step_noise("s", 0, 0, 20001)
+    assert len(z) == 20001 and abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
+    assert abs(np.corrcoef(z[:-1:2], z[1::2])[0, 1]) < 0.03
+    firsts = {train.step_noise(*a, 1)[0] for a in [("s", 0, 0), ("s", 0, 1), ("s", 1, 0), ("s2", 0, 0)]}
+    assert len(firsts) == 4 and train.step_noise("s", 0, 0, 3) == pytest.approx(z[:3])
+
+
+def test_grid_and_single_fit_average_alike_without_clipping(spark):
+    df, X, y = _toy(spark)
+    cfg = train.FitConfig(learning_rate=0.1, l2_norm_clip=None, noise_multiplier=0.0, batch_size=64, epochs=1, seed="g")
+    assert train.fit_grid(df, [cfg])[0].params == pytest.approx(train.fit(df, cfg).params, abs=1e-12)
+    with pytest.raises(ValueError):
+        train.fit_grid(df, [train.FitConfig(microbatches=8)])
 
 
 def test_nonprivate_fit_learns_and_mlp_runs(spark):

@@ -74,3 +74,16 @@ def test_best_threshold_first_best_and_fallback(spark):
     none = spark.createDataFrame([(0, 0.3), (0, 0.4)], "label int, score double")
     r = evaluate.best_threshold(none, metric="f1").first()
     assert (r["threshold"], r["f1"]) == (0.5, 0.0)
+
+
+def test_report_text_golden(spark):
+    # counts that the recorded four-digit ratios allow
+    counts = spark.createDataFrame([(109657, 88234, 147, 1962)], "tn long, fp long, fn long, tp long")
+    text = counts.select(*evaluate.report_columns()).select(evaluate.report_text()).first()[0]
+    assert text == "\n".join([
+        "              precision    recall  f1-score   support", "",
+        "           0     0.9987    0.5541    0.7128    197891",
+        "           1     0.0218    0.9303    0.0425      2109", "",
+        "    accuracy                         0.5581    200000",
+        "   macro avg     0.5102    0.7422    0.3776    200000",
+        "weighted avg     0.9884    0.5581    0.7057    200000"])
