@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from dpframe.operators import sample
+from dpframe.session import ensure_checkpoint_dir
 
 MAX_CATEGORIES = 10_000
 
@@ -71,7 +73,11 @@ def label_rows(df: DataFrame, label: str, value: int) -> DataFrame:
 # ------------------------------------------------------------------- E ops
 
 def onehot_fit(df: DataFrame, cols: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """E1 fit: sorted distinct non-null values per column, one aggregate job."""
+    """E1 fit: sorted distinct non-null values per column, one aggregate job.
+
+    For domains up to ``max_categories`` values, which become that many
+    columns; beyond it use :func:`category_index` and :func:`onehot_position`.
+    """
     if not cols:
         return {}
     row = df.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in cols]).first()
@@ -95,6 +101,30 @@ def onehot_columns(categories: dict[str, list[str]], drop_first: bool = False) -
     return out
 
 
+def category_index(df: DataFrame, column: str) -> DataFrame:
+    """E1 fit for a domain of any width: (value, position), positions 0.. in ascending order of the values.
+
+    The distinct values are range-partitioned and written; a position is the
+    number of values in the ranges before plus the place inside the range,
+    so neither the driver nor one task holds the domain.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    values = df.select(F.col(column).cast("string").alias("value")).where("value IS NOT NULL").distinct()
+    ranged = values.repartitionByRange("value").withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)      # one row a range
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("value")) - 1
+    return ranged.withColumn("_place", place).join(F.broadcast(starts), "_part") \
+        .select("value", (F.col("_start") + F.col("_place")).cast("long").alias("position"))
+
+
+def onehot_position(df: DataFrame, column: str, index: DataFrame, out: str = "position") -> DataFrame:
+    """E1 for wide domains: the position of each row's one; null (all zeros) for unseen values and nulls."""
+    side = index.select(F.col("value").alias("_value"), F.col("position").alias(out))
+    return df.join(side, F.col(column).cast("string") == F.col("_value"), "left").drop("_value")
+
+
 def label_onehot(label: Column, k: int) -> Column:
     """Integer label -> k-wide 0/1 array."""
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == label).cast("int"))

@@ -127,7 +127,7 @@ def _keep_expr(thr: Mapping[str, str | None]) -> Column:
     keep_all = [g for g, t in thr.items() if t is None]
     cut = {g: t for g, t in thr.items() if t is not None}
     if len(thr) > MAX_LITERAL_GROUPS:
-        raise ValueError("too many groups for literal thresholds; use hash_rank")
+        raise ValueError("too many groups for literal thresholds; use split_by or hash_rank")
     cond = F.lit(False)
     if keep_all:
         cond = F.col(GROUP).isin(keep_all)
@@ -159,22 +159,28 @@ def select_first(df: DataFrame, n: int | Mapping | None = None, *, fraction=None
     return _keep_expr(_thresholds(df, want))
 
 
-def hash_rank(df: DataFrame, sizes: Mapping[str, int] | None = None, rank_col: str = "rn") -> DataFrame:
+def hash_rank(df: DataFrame, sizes: Mapping[str, int] | None = None, rank_col: str = "rn",
+              size_col: str | None = None) -> DataFrame:
     """Exact 1-based rank of each row within its group, in token order.
 
     Rows are spread over 16^w hash buckets per group (w chosen so a bucket
     holds about RANK_BUCKET_ROWS rows); bucket offsets come from a bounded
     histogram (groups x 16^w rows, broadcast only below MAX_BROADCAST_ROWS),
     and the rank inside a bucket from a window partitioned by (group, bucket).
+    ``size_col`` also adds the group's number of rows.
     """
-    if sizes is None or not all(sizes.values()):
-        sizes = _group_sizes(df)
-    width = _width_for(max(sizes.values(), default=1), RANK_BUCKET_ROWS)
+    if sizes is not None and all(sizes.values()):
+        largest, groups = max(sizes.values(), default=1), len(sizes)
+    else:
+        largest, groups = df.groupBy(GROUP).agg(F.count(F.lit(1)).alias("_c")) \
+            .agg(F.coalesce(F.max("_c"), F.lit(1)), F.count(F.lit(1))).first()
+    width = _width_for(largest, RANK_BUCKET_ROWS)
     d = df.withColumn("_b", F.substring(TOKEN, 1, width))
     hist = d.groupBy(GROUP, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wo = Window.partitionBy(GROUP).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = hist.withColumn("_off", F.coalesce(F.sum("_c").over(wo), F.lit(0))).select(GROUP, "_b", "_off")
-    if len(sizes) * 16 ** width <= MAX_BROADCAST_ROWS:
+    size = [F.sum("_c").over(Window.partitionBy(GROUP)).alias(size_col)] if size_col else []
+    offs = hist.select(GROUP, "_b", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"), *size)
+    if groups * 16 ** width <= MAX_BROADCAST_ROWS:
         offs = F.broadcast(offs)
     w = Window.partitionBy(GROUP, "_b").orderBy(TOKEN)
     return (d.join(offs, [GROUP, "_b"])
@@ -196,6 +202,18 @@ def split(df: DataFrame, key: Column, test_size: float = 0.2, seed=42,
     return d.withColumn("is_test", keep.cast("int")).drop(TOKEN, GROUP)
 
 
+def split_by(df: DataFrame, key: Column, by: list[str], test_size: float = 0.2, seed=42) -> DataFrame:
+    """T2 for any number of groups: per group, test = the ceil(f * size) first rows in token order.
+
+    Same rows as :func:`split` with ``stratify``, but nothing per group
+    reaches the driver or the plan: ranks and group sizes are joined.
+    Adds ``is_test`` (int 0/1).
+    """
+    ranked = hash_rank(prepare(df, key, seed, by), None, "_rank", "_size")
+    test = F.col("_rank") <= F.ceil(F.lit(float(test_size)) * F.col("_size").cast("double"))
+    return ranked.withColumn("is_test", test.cast("int")).drop(TOKEN, GROUP, "_rank", "_size")
+
+
 def validation_tail(df: DataFrame, key: Column, fraction: float = 0.2, seed=42) -> DataFrame:
     """validation = the last ``fraction`` of the shuffled set (rank > floor((1-f) n)).
 

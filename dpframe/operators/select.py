@@ -87,7 +87,7 @@ def top_k_by_score(scores: DataFrame, score: str = "mi", name: str = "feature",
 
 # ------------------------------------------------------------------ covariance and PCA
 
-def covariance(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, int]:
+def covariance(df: DataFrame, vec: str, max_dim: int = MAX_PCA_DIM) -> tuple[np.ndarray, np.ndarray, int]:
     """(mean, population covariance, n) of an array column, distributed.
 
     Pass 1: mean and count (vector Summarizer). Pass 2: per partition the
@@ -98,8 +98,8 @@ def covariance(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, int]:
         vector_to_array("m").alias("m"), "n").first()
     mean, n = np.asarray(first["m"]), int(first["n"])
     d = len(mean)
-    if d > MAX_PCA_DIM:
-        raise ValueError(f"covariance of width {d} exceeds {MAX_PCA_DIM}")
+    if d > max_dim:
+        raise ValueError(f"covariance of width {d} exceeds max_dim = {max_dim}")
     bc = df.sparkSession.sparkContext.broadcast(mean)
 
     def part(it):
@@ -120,12 +120,14 @@ def covariance(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, int]:
     return mean, G.reshape(d, d) / n, n
 
 
-def pca_fit(df: DataFrame, vec: str, k: int | None = None):
+def pca_fit(df: DataFrame, vec: str, k: int | None = None, max_dim: int = MAX_PCA_DIM):
     """Principal axes of the centred data (sign: largest |loading| positive).
 
-    Returns (mean, components k x d, explained variance ratio of all d axes).
+    The driver holds the d x d covariance: ``max_dim`` is the largest d it may
+    have memory for (8 d^2 bytes, some copies). Returns (mean, components
+    k x d, explained variance ratio of all d axes).
     """
-    mean, cov, n = covariance(df, vec)
+    mean, cov, n = covariance(df, vec, max_dim)
     vals, vecs = np.linalg.eigh(cov)
     order = np.argsort(vals)[::-1]
     vals, vecs = np.clip(vals[order], 0.0, None), vecs[:, order]

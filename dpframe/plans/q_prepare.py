@@ -213,6 +213,17 @@ def e1_onehot(spark, sf_dir):
     return _indicator_counts(o, prepare.onehot_columns(cats))
 
 
+@register("e1_wide_domain", """
+WITH seen AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS value FROM lineitem WHERE l_returnflag = 'N'),
+idx AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS position FROM seen)
+SELECT CAST(position AS BIGINT) AS position, count(*) AS n FROM lineitem LEFT JOIN idx ON CAST(l_partkey AS VARCHAR) = value GROUP BY position""")
+def e1_wide_domain(spark, sf_dir):
+    """E1 on a wide domain: parts seen in one return class get a position, rows of all classes use it."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag")
+    index = prepare.category_index(li.where("l_returnflag = 'N'"), "l_partkey")
+    return prepare.onehot_position(li, "l_partkey", index).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("e2_dummies_drop_first", _indicator_sql(True))
 def e2_dummies_drop_first(spark, sf_dir):
     """Dummy coding without the alphabetically first category."""

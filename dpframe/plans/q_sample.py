@@ -38,6 +38,17 @@ def t2_stratified_split(spark, sf_dir):
         .select("o_orderkey", "o_orderstatus", "is_test")
 
 
+@register("t2_split_many_groups", f"""
+SELECT o_orderkey, o_custkey,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY {token_sql(OKEY, SEED)})
+       <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY o_custkey)) AS INT) AS is_test
+FROM orders""")
+def t2_split_many_groups(spark, sf_dir):
+    """T2 over as many groups as there are customers (ranks and sizes joined, no literal thresholds)."""
+    return sample.split_by(_orders(spark, sf_dir), F.col("key"), ["o_custkey"], 0.2, SEED) \
+        .select("o_orderkey", "o_custkey", "is_test")
+
+
 @register("t3_validation_tail", f"""
 SELECT o_orderkey, CAST(row_number() OVER (ORDER BY {token_sql(OKEY, SEED)}) > floor(0.8::DOUBLE * count(*) OVER ()) AS INT) AS is_val
 FROM orders""")

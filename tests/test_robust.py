@@ -67,3 +67,12 @@ def test_blend_clamps_either_class(spark):
                                  "orig0 double, orig1 double, post0 double, post1 double")
     got = np.array([tuple(r) for r in weights.blended_weights(pair).collect()])
     assert got == pytest.approx(np.array([[0.75, 2.25], [2.25, 0.75], [1.0, 1.1]]))
+
+
+def test_wide_category_positions(spark):
+    from dpframe.operators import prepare
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "v string")
+    index = prepare.category_index(df.where("v <> 'c' OR v IS NULL"), "v")
+    got = sorted(((r["v"], r["position"]) for r in prepare.onehot_position(df, "v", index).collect()), key=str)
+    assert got == sorted([("b", 1), ("a", 0), (None, None), ("c", None), ("a", 0)], key=str)
+    assert prepare.category_index(df.limit(0), "v").count() == 0

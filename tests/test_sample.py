@@ -95,3 +95,10 @@ def test_hot_group_exact(spark):
     assert got == sorted(want)
     ranked = sample.hash_rank(d.where("cls = 'hot'")).select("key", "rn").collect()
     assert sorted((r["rn"], r["key"]) for r in ranked) == [(i + 1, k) for i, (_, k) in enumerate(hot_keys)]
+
+
+def test_split_by_equals_stratified_split(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("key"), F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 30).cast("string")).alias("g"))
+    a = sample.split(df, F.col("key"), 0.2, 7, stratify="g").where("is_test = 1").select("key").collect()
+    b = sample.split_by(df, F.col("key"), ["g"], 0.2, 7).where("is_test = 1").select("key").collect()
+    assert {r[0] for r in a} == {r[0] for r in b} and len(b) == 400 + 10 * 20
