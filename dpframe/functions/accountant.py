@@ -18,6 +18,7 @@ Formulas (public: Mironov et al. 2019; Dong, Roth and Su 2019; Bu et al.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -97,11 +98,17 @@ def gdp_mu(n: float, batch: float, epochs: float, sigma: float) -> float:
     return q * math.sqrt(steps) * math.sqrt(math.exp(1.0 / sigma ** 2) - 1.0)
 
 
+@lru_cache(maxsize=1024)
+def _curve(q: float, sigma: float) -> np.ndarray:
+    """Curve of one step, kept: the epochs of a run and the trials of a grid share few (q, sigma)."""
+    return rdp_subsampled_gaussian(q, sigma)
+
+
 def rdp_epsilon(n: float, batch: float, epochs: float, sigma: float, delta: float) -> float:
     """A2 for one configuration (driver-side helper, used by tests)."""
     if sigma <= 0:
         return 0.0
-    r = rdp_subsampled_gaussian(min(1.0, batch / n), sigma)
+    r = _curve(min(1.0, batch / n), sigma)
     steps = epochs * max(1.0, n / batch)
     o = np.asarray(RDP_ORDERS)
     return float(np.min(steps * r - math.log(delta) / (o - 1)))

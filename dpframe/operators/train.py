@@ -611,13 +611,14 @@ def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> li
     seeds = [c.seed if c.seed is not None else secrets.token_hex(32) for c in configs]
     trials = [_Descent(c, model, s, i) for i, (c, s) in enumerate(zip(configs, seeds))]
     spe = [max(1, n // c.batch_size) for c in configs]
-    stops = []
+    stops, spent = [], []
     for c in configs:
         eps = epsilon_schedule(c, n)
+        spent.append(eps)
         over = [i + 1 for i, e in enumerate(eps) if c.budget is not None and e > c.budget]
         stops.append(over[0] if over else c.epochs)
     total = [spe[i] * stops[i] for i in range(len(configs))]
-    results = [FitResult(params=trials[i].params, epsilon=epsilon_schedule(c, n)[:stops[i]]) for i, c in enumerate(configs)]
+    results = [FitResult(params=trials[i].params, epsilon=spent[i][:stops[i]]) for i, c in enumerate(configs)]
     sc = data.sparkSession.sparkContext
     sched = poisson_schedules(data, key, [(i, min(1.0, c.batch_size / n), spe[i], stops[i], seeds[i])
                                           for i, c in enumerate(configs)])
