@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from dpframe.operators import prepare, select
 from dpframe.plans.datasets import labelled_lineitem, table
 from dpframe.plans.registry import register, rounded
+from dpframe.session import checkpoint_dir
+from dpframe.sources import files
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CATS = {"l_returnflag": ["A", "N", "R"], "l_linestatus": ["F", "O"]}
@@ -134,3 +138,16 @@ def y6_append_components(spark, sf_dir):
 
 
 _ = np
+
+
+@register("s9_feature_list_report", f"""
+SELECT string_agg(feature || ': ' || printf('%.6f', round(mi, 6)), chr(10) ORDER BY rank) AS value FROM ({_topk_sql(3, 5)}) t""")
+def s9_feature_list_report(spark, sf_dir):
+    """The selected features with their scores as one text file, read back whole (k rows)."""
+    top = select.top_k_by_score(_mi(spark, sf_dir), "mi", "feature", 3, 5)
+    line = F.format_string("%s: %.6f", "feature", F.round("mi", 6))
+    text = top.agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l")) \
+        .select(F.array_join(F.col("l.line"), "\n").alias("value"))
+    path = f"{checkpoint_dir(spark)}/feature-list-{uuid.uuid4().hex}"
+    files.write_text_report(text, path)
+    return spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n$", "").alias("value"))
