@@ -30,3 +30,13 @@ def test_op7_passages_inside_longer_lines(spark):
     for i, own in ((2, (3, 47, 4, 20)), (3, (5, 33, 6, 30)), (4, (7, 40, 8, 40))):
         assert not shared(got[i], passage, 51)
         assert text_of(*own[:2]) in got[i] and text_of(*own[2:]) in got[i]
+
+
+def test_op7_keeps_documents_of_short_lines(spark):
+    license_line = "permission is granted to copy and use this work under the license terms"
+    verse = "\n".join(text_of(100 + i, 5) for i in range(40))
+    dense = "漢字" * 200
+    rows = [(1, f"{license_line}\n{text_of(1, 30)}"), (2, f"{license_line}\n{verse}"), (3, f"{dense}\n{license_line}"),
+            (4, f" \n{license_line}\n\t")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {1: rows[0][1], 2: verse, 3: dense}
