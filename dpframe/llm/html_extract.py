@@ -280,8 +280,13 @@ class ChainModel:
 
 def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> ChainModel:
     """Fit the chain on at most ``sample`` pages that name their article, and their rebuilt twins."""
-    rows = pages.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "html").alias("h")) \
-        .orderBy("h", "html").limit(sample).collect()
+    @F.pandas_udf("boolean")
+    def labelled(s: pd.Series) -> pd.Series:
+        return pd.Series([markup_labels(leaf_blocks(x)) is not None for x in s], dtype=bool)
+
+    # pages without such markup are not read; those with it only in a comment, a script or an empty element do not count
+    named = pages.where(F.col("html").rlike("(?i)<(?:" + "|".join(sorted(ARTICLE)) + r")[\s/>]")).where(labelled("html"))
+    rows = named.select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h", "html").limit(sample).collect()
     known, texts = [], []
     for r in rows:
         blocks = leaf_blocks(r["html"])

@@ -2,7 +2,7 @@
 
 import random
 
-from dpframe.llm import line_dedup
+from dpframe.llm import html_extract, line_dedup
 
 DOC = "doc_id long, text string"
 
@@ -40,3 +40,12 @@ def test_op7_keeps_documents_of_short_lines(spark):
             (4, f" \n{license_line}\n\t")]
     got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated(spark.createDataFrame(rows, DOC)).collect()}
     assert got == {1: rows[0][1], 2: verse, 3: dense}
+
+
+def test_op4_sample_counts_labelled_pages(spark):
+    plain = [(i, "u", f"<div><p>Plain page {i}, text of its own.</p></div><!-- <article> --><main></main>") for i in range(400)]
+    named = [(1000 + i, "u", f"<nav><a>Home</a></nav><article><h1>Title {i}</h1><p>{text_of(i, 30)}.</p></article><footer>Us</footer>")
+             for i in range(4)]
+    pages = spark.createDataFrame(plain + named, "page_id long, url string, html string")
+    model = html_extract.train(pages, sample=4)
+    assert [html_extract.extract_text(h, model) for _, _, h in named] == [f"Title {i}\n{text_of(i, 30)}." for i in range(4)]
