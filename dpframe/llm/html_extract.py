@@ -32,9 +32,12 @@ EPOCHS, RATE, L2 = 80, 0.15, 1e-3
 # HTML element classes.
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search
-section select summary table tbody td tfoot th thead title tr ul""".split())
+section select summary table tbody td textarea tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas audio video".split())
+RAW = frozenset("script style".split())
+#: Text in these is a block of its own; without text they do not part what stands around them.
+FALLBACK = frozenset("noscript template iframe svg object canvas audio video".split())
+FOREIGN = frozenset("svg math".split())
 SPACED = frozenset("br td th img wbr".split())
 #: Opening the key closes an open element of these kinds (up to the boundary elements).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -42,7 +45,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BOUNDARY = frozenset("ul ol dl table select body html article section div main".split())
 # Markup that says what a block is.
 ARTICLE = frozenset("article main".split())
-OTHER = frozenset("nav header footer aside form button select option dialog menu title head figcaption".split())
+OTHER = frozenset("nav header footer aside form button select option textarea dialog menu title head".split())
 OTHER_WORDS = frozenset("""ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie
 cookies discussion disqus footer form header login menu nav navbar navigation newsletter notice popup promo related
 replies respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget""".split())
@@ -73,27 +76,36 @@ def leaf_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, set]] = []
     parts: list[str] = []
     linked = 0
+    waiting = None              # place of the outermost open fallback element that has had no text yet
 
     def flush():
-        nonlocal linked
+        nonlocal linked, waiting
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, stack, linked, max(1, sum(map(len, parts)))))
+                out.append(Block(text, stack[:waiting], linked, max(1, sum(map(len, parts)))))
             parts.clear()
             linked = 0
+        waiting = None
 
     def add(s):
         nonlocal linked
         if s:
+            if waiting is not None and not s.isspace():
+                flush()
             parts.append(s)
             if any(t == "a" for t, _ in stack):
                 linked += len(s)
 
     def close(names, stop=()):
+        nonlocal waiting
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
-                flush()
+                # inline elements and fallback elements without text part nothing
+                if any(t in BLOCK for t, _ in stack[i:]) or any(t in FALLBACK for t, _ in stack[i:waiting]):
+                    flush()
+                elif waiting is not None and i <= waiting:
+                    waiting = None
                 del stack[i:]
                 return
             if stack[i][0] in stop:
@@ -132,8 +144,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 close(CLOSES[name], BOUNDARY)
             if name[0] == "h" and name[1:].isdigit():
                 close({"h1", "h2", "h3", "h4", "h5", "h6"}, BOUNDARY)
+        attrs = m.group(3)
+        if (name in FALLBACK or name in FOREIGN or any(t in FOREIGN for t, _ in stack)) and attrs.rstrip().endswith("/"):
+            continue
+        if name in FALLBACK and waiting is None:
+            waiting = len(stack)
         if name not in VOID:
-            attrs = m.group(3)
             words = {w.lower() for v in ATTR.findall(attrs) for w in WORD.findall("".join(v))} if "=" in attrs else set()
             stack.append((name, words))
     flush()

@@ -49,3 +49,16 @@ def test_op4_sample_counts_labelled_pages(spark):
     pages = spark.createDataFrame(plain + named, "page_id long, url string, html string")
     model = html_extract.train(pages, sample=4)
     assert [html_extract.extract_text(h, model) for _, _, h in named] == [f"Title {i}\n{text_of(i, 30)}." for i in range(4)]
+
+
+def test_op4_keeps_formulas_fallback_text_and_captions(spark):
+    model = html_extract.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    page = ("<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><article><h1>A title</h1>"
+            "<p>Here <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds <svg><path d=x /></svg>for all.</p>"
+            "<figure><svg><text>Mass in kilograms.</text></svg><figcaption>Figure one shows the mass.</figcaption></figure>"
+            "<object data=x>The table lists ten cities.</object><noscript><p>The map shows all of the rivers.</p></noscript>"
+            "<video>The film shows the river.</video><form><textarea>Write here</textarea></form><p>Last paragraph.</p></article>"
+            "<footer>&copy; us</footer><script>var x='<p>no</p>'</script></body></html>")
+    assert html_extract.extract_text(page, model).split("\n") == [
+        "A title", "Here E=m holds for all.", "Mass in kilograms.", "Figure one shows the mass.", "The table lists ten cities.",
+        "The map shows all of the rivers.", "The film shows the river.", "Last paragraph."]
