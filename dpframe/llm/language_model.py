@@ -118,11 +118,11 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _numbers(a: np.ndarray) -> bytes:
-    return zlib.compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _from_numbers(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def make_blocks(docs: DataFrame) -> DataFrame:
@@ -204,8 +204,9 @@ def _answers(requests: DataFrame) -> DataFrame:
         flat, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         c = np.concatenate(counts)
         gone = np.repeat(pdf["deleted"].to_numpy(bool), size)
-        total = np.bincount(inverse, weights=c, minlength=len(flat))
-        deleted = np.bincount(inverse, weights=c * gone, minlength=len(flat))
+        total, deleted = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        np.add.at(total, inverse, c)
+        np.add.at(deleted, inverse, c * gone)
         rows, at = [], 0
         for block, d, k in zip(pdf["block"], pdf["deleted"], size):
             mine = inverse[at:at + k]

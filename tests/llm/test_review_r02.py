@@ -2,7 +2,9 @@
 
 import random
 
-from dpframe.llm import html_extract, line_dedup
+import numpy as np
+
+from dpframe.llm import html_extract, language_model, line_dedup
 
 DOC = "doc_id long, text string"
 
@@ -62,3 +64,14 @@ def test_op4_keeps_formulas_fallback_text_and_captions(spark):
     assert html_extract.extract_text(page, model).split("\n") == [
         "A title", "Here E=m holds for all.", "Mass in kilograms.", "Figure one shows the mass.", "The table lists ten cities.",
         "The map shows all of the rivers.", "The film shows the river.", "Last paragraph."]
+
+
+def test_op3_totals_beyond_32_bits(spark):
+    keys, most = np.array([6, 8], np.uint64), (1 << 53) + 1
+    rows = [(b, False, 0, language_model._pack(keys), language_model._numbers(np.array([n, 1], np.int64)))
+            for b, n in ((1, most), (2, (1 << 32) - 1))]
+    asked = spark.createDataFrame(rows, "block long, deleted boolean, reducer int, keys binary, counts binary")
+    got = {r["block"]: r for r in language_model._answers(asked).collect()}
+    for b in (1, 2):
+        assert language_model._from_numbers(bytes(got[b]["total"])).tolist() == [most + (1 << 32) - 1, 2]
+    assert got[-1]["n"] == most + (1 << 32) + 1
