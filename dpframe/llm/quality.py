@@ -22,7 +22,7 @@ from dpframe.llm.common import SPACE_CLASS, read, written
 
 WORD = re.compile(f"[^{SPACE_CLASS}]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 MIN_WORDS = 50
 MIN_GROUP = 200
 FENCE = 3.0
@@ -55,12 +55,17 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeat
 
 
+def word_lines(text: str | None) -> int:
+    """Number of lines with a word."""
+    return sum(1 for line in (text or "").split("\n") if WORD.search(line))
+
+
 def measures(text: Column) -> Column:
-    """Struct of the five counts (a pandas UDF, Arrow batches)."""
+    """Struct of the five counts and the lines with a word (a pandas UDF, Arrow batches)."""
 
     @F.pandas_udf(MEASURES)
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in s], columns=[c.split()[0] for c in MEASURES.split(", ")])
+        return pd.DataFrame([(*measure(t), word_lines(t)) for t in s], columns=[c.split()[0] for c in MEASURES.split(", ")])
 
     return run(text)
 
@@ -73,7 +78,7 @@ def _ratios(m: str = "") -> dict[str, Column]:
     n = F.greatest(F.col(f"{m}n_words"), F.lit(1))
     return {"mean_word": F.col(f"{m}word_chars") / n,
             "symbol_ratio": F.col(f"{m}n_symbols") / F.greatest(F.col(f"{m}word_chars"), F.lit(1)),
-            "dup_line_ratio": F.col(f"{m}n_dup_lines") / n,
+            "dup_line_ratio": F.col(f"{m}n_dup_lines") / F.greatest(F.col(f"{m}n_lines"), F.lit(1)),
             "repeat_ratio": F.col(f"{m}n_repeat_words") / n}
 
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from dpframe.llm import html_extract, language_model, line_dedup
+from dpframe.llm import html_extract, language_model, line_dedup, quality
 
 DOC = "doc_id long, text string"
 
@@ -75,3 +75,22 @@ def test_op3_totals_beyond_32_bits(spark):
     for b in (1, 2):
         assert language_model._from_numbers(bytes(got[b]["total"])).tolist() == [most + (1 << 32) - 1, 2]
     assert got[-1]["n"] == most + (1 << 32) + 1
+
+
+def test_op5_repeated_lines_count_against_lines(spark):
+    def doc(i, repeated):
+        lines = [text_of(1000 * i + k, 12) for k in range(20 - repeated)]
+        return "\n".join(lines + lines[:1] * repeated)
+
+    rows = [(i, "en", "a", doc(i, 0)) for i in range(250)] + [(1000, "en", "a", doc(1000, 9)), (1001, "en", "a", doc(1001, 4))]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"))
+           .withColumnRenamed("n_repeat_words", "r").collect()}
+    limits = quality.thresholds(quality._with_keys(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string"))
+                                .select("_lang", "_source", quality.measures(quality.F.col("text")).alias("_m"))
+                                .select("_lang", "_source", "_m.*")).first()
+    assert 0.25 <= limits["max_dup_line_ratio"] < 9 / 20
+    ratio = quality._ratios()["dup_line_ratio"]
+    one = spark.createDataFrame([(240, 9, 20, 0, 0, 1000)], "n_words long, n_dup_lines long, n_lines long, n_symbols long, "
+                                                           "n_repeat_words long, word_chars long")
+    assert one.select(ratio.alias("x")).first()["x"] == 9 / 20
+    assert all(got[i]["kept"] for i in range(250)) and not got[1000]["kept"]
