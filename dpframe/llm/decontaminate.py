@@ -4,7 +4,7 @@ Benchmark windows of ``n`` words become 64-bit hashes; every window of every
 document is hashed from its word hashes and looked up in the hash table of
 the benchmark windows. A hit is verified against the words themselves, so a
 hash collision changes nothing. The benchmark side is broadcast only when
-its distinct window count is below ``MAX_BROADCAST_WINDOWS``; beyond it the
+its number of distinct windows (one row each, without items) is at most ``MAX_BROADCAST_WINDOWS``; beyond it the
 same join runs shuffled.
 """
 
@@ -24,19 +24,28 @@ def _window_hash(hashes: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(hashes, at + j) for j in range(n)])
 
 
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """Distinct (item, item_id): ``item`` is the digest of an item's words."""
+    return benchmark.select(F.md5(F.array_join(normal_words(F.col("text")), " ")).alias("item"), F.col("item_id").alias("item_id")).distinct()
+
+
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Distinct (item_id, length, hash, window): ``n`` words each; a shorter item is one window."""
-    items = benchmark.select(F.col("item_id").alias("item_id"), normal_words(F.col("text")).alias("_w"))
-    items = items.where(F.size("_w") > 0).withColumn("_len", F.least(F.size("_w"), F.lit(n)))
-    wins = items.select("item_id", F.col("_len").alias("length"), F.explode(F.expr(
+    """Distinct (item, length, hash, window): ``n`` words each; a shorter item is one window.
+
+    Items of the same words are one ``item`` (see :func:`benchmark_items`).
+    """
+    items = benchmark.select(normal_words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    items = items.groupBy(F.md5(F.array_join("_w", " ")).alias("item")).agg(F.min("_w").alias("_w"))
+    items = items.withColumn("_len", F.least(F.size("_w"), F.lit(n)))
+    wins = items.select("item", F.col("_len").alias("length"), F.explode(F.expr(
         "transform(sequence(1, size(_w) - _len + 1), i -> slice(_w, i, _len))")).alias("_win"))
-    wins = wins.select("item_id", "length", F.array_join("_win", " ").alias("window"),
+    wins = wins.select("item", "length", F.array_join("_win", " ").alias("window"),
                        F.transform("_win", lambda w: F.xxhash64(w)).alias("_h"))
     by_length = None
     for k in range(1, n + 1):
         by_length = F.when(F.col("length") == k, _window_hash(F.col("_h"), F.lit(0), k)) if by_length is None \
             else by_length.when(F.col("length") == k, _window_hash(F.col("_h"), F.lit(0), k))
-    return wins.select("item_id", "length", by_length.alias("hash"), "window").distinct()
+    return wins.select("item", "length", by_length.alias("hash"), "window").distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -45,13 +54,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_key"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Every occurrence of a benchmark window: doc_id, _key, pos (0-based word), length, item_id."""
-    bench = written(benchmark_windows(benchmark, n), "bench")
-    lengths = sorted(r[0] for r in bench.select("length").distinct().collect())     # at most n values
-    windows = bench.select("hash").distinct().count()
-    side = bench.select("length", "hash", "window", "item_id")
-    side = F.broadcast(side) if windows <= MAX_BROADCAST_WINDOWS else side
+def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """Every occurrence of a window of ``bench`` (see :func:`benchmark_windows`): doc_id, _key, pos (0-based word), length, win (digest)."""
+    lengths = sorted(r[0] for r in bench.select("length").distinct().collect())     # at most the window's length
+    side = written(bench.select("length", "hash", "window").distinct(), "windows")  # one row a window, whatever its items
+    side = F.broadcast(side) if side.count() <= MAX_BROADCAST_WINDOWS else side
     words = _keyed(docs).withColumn("_w", normal_words(F.col("text"))).drop("text")
     words = words.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     found = None
@@ -61,11 +68,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
                  .select("doc_id", "_key", "_w", F.posexplode(hashes).alias("pos", "hash")))
         part = (grams.join(side.where(F.col("length") == k), "hash")
                 .where(F.array_join(F.slice("_w", F.col("pos") + 1, F.lit(k)), " ") == F.col("window"))
-                .select("doc_id", "_key", "pos", "length", "item_id"))
+                .select("doc_id", "_key", "pos", "length", F.md5("window").alias("win")))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = _keyed(docs.limit(0)).select("doc_id", "_key", F.lit(0).alias("pos"), F.lit(0).alias("length"),
-                                             F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"))
+                                             F.lit("").alias("win"))
     return found
 
 
@@ -77,9 +84,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
     counts as hit words but names no item; rows alike in doc_id and text
     get the same values; an empty benchmark hits nothing.
     """
-    found = written(hits(docs, benchmark, n).distinct(), "hits")
-    per_doc = found.groupBy("doc_id", "_key").agg(
-        F.collect_set(F.struct("pos", "length")).alias("_spans"), F.collect_set("item_id").alias("_items"))
+    bench = written(benchmark_windows(benchmark, n), "bench")
+    found = written(hits(docs, bench).distinct(), "hits")
+    # a document meets each text of the benchmark once, and only then the ids that have the text
+    named = (found.select("doc_id", "_key", "win").distinct()
+             .join(bench.select("item", F.md5("window").alias("win")), "win").select("doc_id", "_key", "item").distinct()
+             .join(benchmark_items(benchmark), "item").select("doc_id", "_key", "item_id"))
+    both = found.select("doc_id", "_key", F.struct("pos", "length").alias("span")).unionByName(named, allowMissingColumns=True)
+    per_doc = both.groupBy("doc_id", "_key").agg(
+        F.collect_set("span").alias("_spans"), F.collect_set("item_id").alias("_items"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(
         "_spans", lambda s: F.sequence(s["pos"], s["pos"] + s["length"] - 1)))))
     per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), covered.alias("hit_words"),

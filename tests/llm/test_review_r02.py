@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from dpframe.llm import html_extract, language_model, line_dedup, quality
+from dpframe.llm import decontaminate, html_extract, language_model, line_dedup, quality
 
 DOC = "doc_id long, text string"
 
@@ -94,3 +94,15 @@ def test_op5_repeated_lines_count_against_lines(spark):
                                                            "n_repeat_words long, word_chars long")
     assert one.select(ratio.alias("x")).first()["x"] == 9 / 20
     assert all(got[i]["kept"] for i in range(250)) and not got[1000]["kept"]
+
+
+def test_op8_windows_of_many_equal_items_are_broadcast_once(spark):
+    passage = text_of(0, 20)
+    bench = spark.createDataFrame([(i, passage if i % 2 else passage.upper() + "!") for i in range(60)] + [(100, text_of(1, 15))],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{text_of(2, 9)} {passage}"), (2, text_of(3, 40)), (3, f"{passage} {text_of(1, 15)}")], DOC)
+    windows = decontaminate.benchmark_windows(bench)
+    assert windows.count() == 8 + 3
+    assert decontaminate.hits(docs, windows).count() == 8 + 8 + 3
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (20, 60), 2: (0, 0), 3: (35, 61)}
