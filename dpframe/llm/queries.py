@@ -1,9 +1,9 @@
-"""Registered queries of the ten corpus operators and their DuckDB SQL."""
+"""Registered queries of the corpus operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from dpframe.llm import (decontaminate, html_extract, language, language_model, line_dedup, near_dedup, packing, quality,
-                         token_store, url_rules)
+from dpframe.llm import (collocations, decontaminate, html_extract, language, language_model, line_dedup, merkle, near_dedup, packing,
+                         quality, suffix_dedup, token_store, url_rules)
 from dpframe.llm.common import read
 
 
@@ -22,6 +22,13 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_query,
     "op9_language_id": language.op9_query,
     "op10_token_store": token_store.op10_query,
+    "op11_suffix_dedup": suffix_dedup.op11_query,
+    "op12_merkle_manifest": merkle.op12_query,
+    "op13_collocations": collocations.op13_query,
 }
 
-ORACLES = {"op8_decontamination": decontaminate.ORACLE}
+ORACLES = {
+    "op8_decontamination": decontaminate.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
+    "op13_collocations": collocations.ORACLE,
+}
