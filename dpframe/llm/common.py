@@ -31,11 +31,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes the shuffle files of a query when it ends: those of a written table are of no more use.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` in the shared folder and read it back (cuts the lineage)."""
+    """Write ``df`` in the shared folder and read it back (cuts the lineage, frees its shuffle files)."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with setting(spark, DROP_SHUFFLES, "true"):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,17 +56,21 @@ def drop_written(df: DataFrame) -> None:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int):
-    """Rows per Arrow batch while the block runs its own jobs (wide rows need few)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session while the block runs its own jobs."""
     old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, old)
 
 
+def batch_rows(spark: SparkSession, rows: int):
+    """Rows per Arrow batch while the block runs its own jobs (wide rows need few)."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -81,7 +90,3 @@ def normal_text(text: Column) -> Column:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
-
-
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

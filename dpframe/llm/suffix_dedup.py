@@ -14,11 +14,12 @@ skipped, its members compared with the first only; they are sorted at its
 branching character alone. What still agrees at ``SPAN`` is one string; all
 but its first start are repeated.
 
-Segments that are equal as a whole are put together before the shuffle and
-after it. An anchor met in very many different segments (a common passage in
-many contexts) would still fill one task: such anchors are found from a part
-of the text beforehand, and their windows are dealt one by one, by their
-whole content. That choice moves work, never results.
+Only anchors that at least two different segments share are dealt: chunks of
+text are written once, say which anchors they hold, and are told which of
+those are shared. Segments that are equal as a whole are put together in a
+chunk before they are dealt, and in a task. An anchor of very many different
+segments (a common passage in many contexts) would still fill one task: the
+windows of such segments are dealt one by one, by their whole content.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dpframe.llm.common import drop_written, read, written
+from dpframe.llm.common import batch_rows, drop_written, read, written
 
 SPAN, GRAM, SHALLOW = 100, 32, 24
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -44,12 +45,10 @@ MARK = "doc long, dig long, lo long, n long"
 class Sizes(NamedTuple):
     """How the work is dealt; results do not depend on it."""
 
-    chunk: int = 4 << 20         # bytes of text compared before the shuffle
+    chunk: int = 2 << 20         # bytes of text in a chunk
     piece: int = 64 << 10        # window starts in a piece of a document
-    task_bytes: int = 12 << 20   # bytes of segments in a task
-    part: int = 16               # one in so many pieces is looked through for common anchors:
-    common: int = 250            # those of so many different segments there,
-    most_common: int = 20_000    # of which there are at most so many
+    task_bytes: int = 8 << 20    # bytes of anchors or segments in a task
+    common: int = 4000           # different segments of an anchor from which on their windows are dealt one by one
 
 
 SIZES = Sizes()
@@ -91,20 +90,37 @@ def segments(text: np.ndarray, first: np.ndarray, count: np.ndarray):
     return starts[at], np.diff(at, append=len(starts)), anchor[at], h[anchor[at]].view(np.int64)
 
 
-def _pieces(batches, sizes: Sizes):
-    """Lists of (doc, dig, start in the document, bytes) whose texts fill a chunk, in order of position."""
-    held, size = [], 0
+def _gather(batches, sizes: Sizes):
+    """Whole documents in chunks: rows (chunk, doc, dig, size, text) with their texts one after another, compressed."""
+    import zstandard
+    from pyspark import TaskContext
+    chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def row():
+        doc, dig, raw = zip(*held)
+        return pd.DataFrame({"chunk": [chunk], "doc": [list(doc)], "dig": [list(dig)], "size": [[len(r) for r in raw]],
+                             "text": [zstandard.compress(b"".join(raw), 3)]})
+
     for pdf in batches:
         for doc, dig, text in zip(pdf["doc"], pdf["dig"], pdf["text"]):
-            raw = text.encode()
-            for at in range(0, len(raw) - SPAN + 1, sizes.piece):
-                held.append((doc, dig, at, raw[at:at + sizes.piece + SPAN - 1]))
-                size += len(held[-1][3])
-                if size >= sizes.chunk:
-                    yield sorted(set(held))
-                    held, size = [], 0
+            held.append((doc, dig, text.encode()))
+            size += len(held[-1][2])
+            if size >= sizes.chunk:
+                yield row()
+                chunk, held, size = chunk + 1, [], 0
     if held:
-        yield sorted(set(held))
+        yield row()
+
+
+def _pieces(row, sizes: Sizes):
+    """(doc, dig, start in the document, bytes) of a chunk in order of position, equal ones once."""
+    import zstandard
+    text, at, out = zstandard.decompress(row.text), 0, set()
+    for doc, dig, size in zip(row.doc, row.dig, row.size):
+        for lo in range(at, at + size - SPAN + 1, sizes.piece):
+            out.add((int(doc), int(dig), lo - at, text[lo:min(lo + sizes.piece + SPAN - 1, at + size)]))
+        at += size
+    return sorted(out)
 
 
 def _cut(pieces):
@@ -240,39 +256,52 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(text).alias("dig"), text.alias("text"))
 
 
-def _common(texts: DataFrame, sizes: Sizes) -> np.ndarray:
-    """Anchors of very many different segments; at most ``most_common``, as each holds that share of what is looked through."""
-    def look(batches):
-        for pieces in _pieces(batches, sizes):
-            pieces = [p for p in pieces if hash(p[:3]) % sizes.part == 0]
-            if pieces:
-                key, n = np.unique(_cut(pieces)[0]["key"], return_counts=True)
-                yield pd.DataFrame({"key": key, "n": n})
-
-    counts = written(texts.mapInPandas(look, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    common = counts.where(F.col("n") >= max(sizes.common, -(-total // sizes.most_common))).select("key").toPandas()["key"].to_numpy(np.int64)
-    drop_written(counts)
-    return np.sort(common)
+def _shared(batches, common: int):
+    """What the chunks are told: the anchors (key, n different segments) that are shared, and those of very many segments."""
+    held = [pdf for pdf in batches if len(pdf)]
+    if held:
+        asked = pd.concat(held)
+        _, at = np.unique(asked["key"].to_numpy(), return_inverse=True)
+        asked["all"] = np.bincount(at, weights=asked["n"].to_numpy())[at].astype(np.int64)
+        yield asked[asked["all"] > 1].assign(common=lambda x: x["all"] >= common)[["chunk", "key", "n", "common"]]
 
 
 def marks(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
     """Runs (doc, dig, lo, n) of starts of repeated windows, written."""
-    texts = _texts(docs)
-    common = _common(texts, sizes)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(1, -(-size * 4 // sizes.task_bytes))          # a window's share of segments is under four bytes
-
-    def deal(batches):
-        for pieces in _pieces(batches, sizes):
-            table, later = _cut(pieces)
-            yield _as_rows(later)
-            hot = np.isin(table["key"].to_numpy(), common)
-            yield table[~hot]
-            if hot.any():
-                table, later = _windows(table[hot])
-                yield _as_rows(later)
-                yield table
+    chunks = written(_texts(docs).mapInPandas(lambda batches: _gather(batches, sizes),
+                                              "chunk long, doc array<long>, dig array<long>, size array<long>, text binary"), "chunks")
+
+    def ask(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                pieces = _pieces(row, sizes)
+                if pieces:
+                    key, n = np.unique(_cut(pieces)[0]["key"].to_numpy(), return_counts=True)
+                    yield pd.DataFrame({"chunk": row.chunk, "key": key, "n": n})
+
+    with batch_rows(docs.sparkSession, 8):
+        size = chunks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+        # an anchor stands for some 35 bytes of text and is asked for by 24
+        answers = written(chunks.mapInPandas(ask, "chunk long, key long, n long").repartition(max(1, -(-size // sizes.task_bytes)), "key")
+                          .mapInPandas(lambda batches: _shared(batches, sizes.common), "chunk long, key long, n long, common boolean"), "answers")
+    n = answers.groupBy("common").agg(F.sum("n").alias("n"))
+    dealt = sum(r["n"] * ((SPAN - GRAM + 1) * SPAN if r["common"] else 3 * SPAN // 2) for r in n.collect())
+
+    def deal(key, chunk, told):
+        if not len(chunk):
+            return pd.DataFrame([], columns=COLUMNS)
+        pieces = _pieces(next(chunk.itertuples(index=False)), sizes) if len(told) else []
+        if not pieces:
+            return pd.DataFrame([], columns=COLUMNS)
+        table, later = _cut(pieces)
+        out = [_as_rows(later)]
+        table = table[np.isin(table["key"].to_numpy(), told["key"].to_numpy(np.int64))]
+        single = np.isin(table["key"].to_numpy(), told.loc[told["common"], "key"].to_numpy(np.int64))
+        out.append(table[~single])
+        if single.any():
+            windows, later = _windows(table[single])
+            out += [_as_rows(later), windows]
+        return pd.concat(out)[COLUMNS]
 
     def sort(batches):
         held = []
@@ -283,7 +312,12 @@ def marks(docs: DataFrame, sizes: Sizes = SIZES) -> DataFrame:
         if held:
             yield repeated(pd.concat(held))
 
-    return written(texts.mapInPandas(deal, SEGMENT).repartition(tasks, "key").mapInPandas(sort, MARK), "marks")
+    told = answers.select(F.col("chunk").alias("_chunk"), "key", "common")
+    found = written(chunks.groupBy("chunk").cogroup(told.groupBy("_chunk")).applyInPandas(deal, SEGMENT)
+                    .repartition(max(1, -(-dealt // sizes.task_bytes)), "key").mapInPandas(sort, MARK), "marks")
+    drop_written(chunks)
+    drop_written(answers)
+    return found
 
 
 def spans(starts) -> list[tuple[int, int]]:

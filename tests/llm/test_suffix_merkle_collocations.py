@@ -68,8 +68,7 @@ def test_common_anchor_pieces_and_runs(spark):
     rows += [(105, rows[62][1][:5000] + "é" + rows[62][1][1000:])]
     want = dict(zip([r[0] for r in rows], plain_removal(rows)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    small = suffix_dedup.Sizes(chunk=3000, piece=700, task_bytes=9000, part=1, common=2)
-    assert len(suffix_dedup._common(suffix_dedup._texts(df), small))
+    small = suffix_dedup.Sizes(chunk=3000, piece=700, task_bytes=9000, common=2)
     assert removal(suffix_dedup.remove(df, sizes=small)) == want
     assert removal(suffix_dedup.remove(df, sizes=small._replace(common=10 ** 9))) == want
     assert removal(suffix_dedup.remove(df)) == want
