@@ -318,8 +318,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     ranked = place(vocabulary.where(F.col("f") >= least), "lang", [F.col("f").desc(), F.col("word")], "ranks") \
         .select("lang", "word", "f", (F.col("pos") + 1).alias("id"))
     single = written(ranked, "ids")
-    state = written(_first_state(blocks, held.join(single.select("lang", "word", "id"), ["lang", "word"])
-                                 .select("block", "lang", "code", "id")), "state")
+    numbers = single.select(F.lit(-1).cast("long").alias("block"), "lang", F.col("id").alias("code"), "word")
+    asked = numbers.union(held.select("block", "lang", "code", "word"))
+    known = F.last(F.when(F.col("block") < 0, F.col("code")), ignorenulls=True).over(
+        Window.partitionBy("lang", "word").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    state = written(_first_state(blocks, asked.select("block", "lang", "code", known.alias("id")).where("block >= 0 and id is not null")), "state")
     drop_written(blocks)
     level = single.select("lang", "id", F.col("word").alias("phrase"), "f")
     phrases = [level]
