@@ -4,16 +4,22 @@ The driver holds only the parameter vector (size d, bounded) and runs the
 step loop; every step is one Spark job over the cached training rows:
 
 1. batch membership: Poisson sampling at rate q, decided per (row, step)
-   by a hash, so a retried task selects the same rows;
+   by a hash, so a retried task selects the same rows; the schedule of one
+   epoch is held at a time, the next one is drawn while this one trains;
 2. per-example gradient and L2 clip inside the row projection (logistic
    model: pure SQL; MLP: numpy in ``mapInPandas`` with weights broadcast);
+   with microbatches the gradient sums and row counts of each microbatch are
+   merged over all partitions before its mean is clipped;
 3. a partial (per-partition) vector sum, then one d-vector to the driver;
 4. Gaussian noise N(0, (C sigma)^2) added once to that sum on the driver,
    drawn from (secret seed, trial, step, coordinate),
    division by the expected batch size (or the number of microbatches),
    optimizer update (SGD, momentum, Adam).
 
-Non-private training (D11) is the same loop with no clipping and no noise.
+Non-private training (D11) is the same loop with no clipping and no noise;
+``full_batch`` makes every epoch one step over all rows. With a ``state``
+folder the parameters, optimizer moments, step and spent budget are appended
+as a table after every epoch, and a run that was cut goes on from there.
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ from __future__ import annotations
 import math
 import hashlib
 import secrets
+import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +48,7 @@ from dpframe.keys import uniform01
 OPTIMIZERS = ("sgd", "momentum", "adam")
 ADAM_B1, ADAM_B2, ADAM_EPS = 0.9, 0.999, 1e-8     # fixed values
 MOMENTUM = 0.9                                     # fixed value
-ROWS_PER_PARTITION = 100_000
+ROWS_PER_TASK = 64           # batch rows from which on a step is spread over one more task
 
 
 @dataclass
@@ -58,11 +67,14 @@ class FitConfig:
     delta: float | None = None         # None: 1/n
     budget: float | None = None        # stop after the first epoch whose epsilon exceeds it
     seed: int | str | None = None      # None: fresh entropy (a known seed voids privacy)
+    full_batch: bool = False           # every epoch is one step over all rows (batch_size is ignored)
     step_engine: str = "numpy"         # logistic model only: "numpy" (mapInPandas) or "sql"
 
     def validate(self):
         if self.optimizer not in OPTIMIZERS:
             raise ValueError(f"unknown optimizer {self.optimizer!r}")
+        if self.full_batch and self.microbatches is not None:
+            raise ValueError("microbatches split Poisson batches, not the full batch")
         if self.microbatches is not None and self.batch_size % self.microbatches != 0:
             raise ValueError("batch_size must be a multiple of microbatches")
         if self.model not in ("logistic", "mlp"):
@@ -94,27 +106,20 @@ class Logistic:
     def predict_np(self, params, X):
         return 1.0 / (1.0 + np.exp(-(X @ params[:-1] + params[-1])))
 
-    def clipped_sum(self, p, X, y, w, clip, micro=None):
-        """Sum of per-example (or per-microbatch mean) clipped gradients (p - y) w [x, 1]."""
+    def clipped_sum(self, p, X, y, w, clip):
+        """Sum of per-example clipped gradients (p - y) w [x, 1]."""
         r = (self.predict_np(p, X) - y) * w
-        if micro is None:
-            if clip is None:
-                f = np.ones(len(X))
-            else:
-                nrm = np.abs(r) * np.sqrt((X * X).sum(1) + 1.0)
-                f = np.where(nrm > clip, clip / np.maximum(nrm, 1e-300), 1.0)
-            rf = r * f
-            return np.concatenate([X.T @ rf, [rf.sum()]])
-        total = np.zeros(self.size)
-        for m in np.unique(micro):
-            sel = micro == m
-            g = np.concatenate([X[sel].T @ r[sel], [r[sel].sum()]]) / sel.sum()
-            if clip is not None:
-                n = np.linalg.norm(g)
-                if n > clip:
-                    g = g * (clip / n)
-            total += g
-        return total
+        if clip is None:
+            f = np.ones(len(X))
+        else:
+            nrm = np.abs(r) * np.sqrt((X * X).sum(1) + 1.0)
+            f = np.where(nrm > clip, clip / np.maximum(nrm, 1e-300), 1.0)
+        rf = r * f
+        return np.concatenate([X.T @ rf, [rf.sum()]])
+
+    def gradient_sum(self, p, X, y, w):
+        """Sum of the gradients, none of them clipped."""
+        return self.clipped_sum(p, X, y, w, None)
 
 
 class MLP:
@@ -156,8 +161,8 @@ class MLP:
     def predict_np(self, p, X):
         return self.forward(p, X)[2]
 
-    def clipped_sum(self, p, X, y, w, clip, micro=None):
-        """Sum of per-example (or per-microbatch mean) gradients clipped to ``clip``.
+    def clipped_sum(self, p, X, y, w, clip):
+        """Sum of per-example gradients clipped to ``clip``.
 
         Per-example norms use ||x g^T|| = ||x|| ||g||, so clipping costs one
         backward pass: the clipped sum is X^T (f * delta) per layer.
@@ -167,31 +172,21 @@ class MLP:
         dz = (prob - y) * w
         dh2 = dz[:, None] * w3[None, :] * (h2 > 0)
         dh1 = (dh2 @ W2.T) * (h1 > 0)
-        if micro is None:
-            if clip is None:
-                f = np.ones(len(X))
-            else:
-                sq = ((X * X).sum(1) + 1.0) * (dh1 * dh1).sum(1) \
-                    + ((h1 * h1).sum(1) + 1.0) * (dh2 * dh2).sum(1) \
-                    + ((h2 * h2).sum(1) + 1.0) * dz * dz
-                nrm = np.sqrt(sq)
-                f = np.where(nrm > clip, clip / np.maximum(nrm, 1e-300), 1.0)
-            parts = [X.T @ (f[:, None] * dh1), (f[:, None] * dh1).sum(0), h1.T @ (f[:, None] * dh2),
-                     (f[:, None] * dh2).sum(0), h2.T @ (f * dz), np.array([(f * dz).sum()])]
-            return np.concatenate([q.ravel() for q in parts])
-        total = np.zeros(self.size)
-        for m in np.unique(micro):
-            sel = micro == m
-            k = sel.sum()
-            g = np.concatenate([q.ravel() for q in (
-                X[sel].T @ dh1[sel], dh1[sel].sum(0), h1[sel].T @ dh2[sel], dh2[sel].sum(0),
-                h2[sel].T @ dz[sel], np.array([dz[sel].sum()]))]) / k
-            if clip is not None:
-                n = np.linalg.norm(g)
-                if n > clip:
-                    g = g * (clip / n)
-            total += g
-        return total
+        if clip is None:
+            f = np.ones(len(X))
+        else:
+            sq = ((X * X).sum(1) + 1.0) * (dh1 * dh1).sum(1) \
+                + ((h1 * h1).sum(1) + 1.0) * (dh2 * dh2).sum(1) \
+                + ((h2 * h2).sum(1) + 1.0) * dz * dz
+            nrm = np.sqrt(sq)
+            f = np.where(nrm > clip, clip / np.maximum(nrm, 1e-300), 1.0)
+        parts = [X.T @ (f[:, None] * dh1), (f[:, None] * dh1).sum(0), h1.T @ (f[:, None] * dh2),
+                 (f[:, None] * dh2).sum(0), h2.T @ (f * dz), np.array([(f * dz).sum()])]
+        return np.concatenate([q.ravel() for q in parts])
+
+    def gradient_sum(self, p, X, y, w):
+        """Sum of the gradients, none of them clipped."""
+        return self.clipped_sum(p, X, y, w, None)
 
 
 def make_model(cfg: FitConfig, d: int):
@@ -200,12 +195,7 @@ def make_model(cfg: FitConfig, d: int):
 
 # ------------------------------------------------------------------ steps
 
-def _member(key: Column, step: int, q: float, seed) -> Column:
-    """Per-step Poisson membership decided by a hash (used for ad-hoc checks)."""
-    return uniform01(F.concat(key, F.lit(f"|{step}|{seed}"))) < F.lit(q)
-
-
-SCHEDULE_DRAWS = 4     # geometric draws per row and round (more rounds for the rare rest)
+SCHEDULE_DRAWS = 8     # geometric draws per row and round (more rounds for the rare rest)
 
 
 def poisson_schedule(data: DataFrame, key: str, q: float, steps_per_epoch: int, epochs: int, seed,
@@ -213,13 +203,14 @@ def poisson_schedule(data: DataFrame, key: str, q: float, steps_per_epoch: int,
     """Exact Poisson subsampling for every step of every epoch (one trial); see :func:`poisson_schedules`."""
     trials = [(0, float(q), int(steps_per_epoch), int(epochs), str(seed))]
     out, held = poisson_schedules(data, key, trials, draws)
-    return out.drop("_trial")
+    return out.drop("_trial", "_local")
 
 
-def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int = SCHEDULE_DRAWS):
+def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int = SCHEDULE_DRAWS, epoch: int | None = None):
     """Exact Poisson subsampling schedules for several trials at once, O(rows) per epoch.
 
-    ``trials``: (trial id, rate q, steps per epoch S, epochs, seed). Instead
+    ``trials``: (trial id, rate q, steps per epoch S, epochs, seed); with
+    ``epoch`` only that epoch of the trials that reach it. Instead
     of testing each (row, step) pair, each row draws the gaps between the
     steps it joins: G_j = floor(ln(1 - u_j) / ln(1 - q)) with u_j =
     md5-uniform(key | e<epoch> | j | seed), positions p_j = p_{j-1} + 1 + G_j,
@@ -227,16 +218,16 @@ def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int
     step. Rows still inside their epoch after ``draws`` draws get further
     rounds (a few percent of rows, then almost none), so no membership is
     ever cut off. Returns (schedule with input columns + ``_trial``,
-    ``epoch``, global ``step``; the per-round states it keeps, to release
+    ``epoch``, ``_local`` step of the epoch, global ``step``; the per-round states it keeps, to release
     once the schedule is written).
     """
     spark = data.sparkSession
     tt = spark.createDataFrame(
         [(int(t), float(q), (math.log1p(-q) if q < 1.0 else float("-inf")), int(S), int(E), str(sd))
-         for t, q, S, E, sd in trials],
+         for t, q, S, E, sd in trials if epoch is None or epoch <= E],
         "_trial int, _q double, _lq double, _S long, _E int, _seed string")
     e = (data.crossJoin(F.broadcast(tt))
-         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_E")))))
+         .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_E"))) if epoch is None else F.lit(epoch)))
     cols = [c for c in data.columns] + ["_trial", "epoch"]
     state = e.withColumn("_pos", F.lit(-1).cast("long"))
     out = None
@@ -257,7 +248,7 @@ def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int
         held.append(st)
         got = (st.select(*cols, "_S", F.explode("_st.out").alias("_local"))
                .withColumn("step", ((F.col("epoch") - 1) * F.col("_S") + F.col("_local")).cast("long"))
-               .drop("_local", "_S"))
+               .drop("_S"))
         out = got if out is None else out.unionByName(got)
         rest = st.where(F.col("_st.pos") < F.col("_S")).withColumn("_pos", F.col("_st.pos")).drop("_st")
         if rest.limit(1).count() == 0:
@@ -268,11 +259,12 @@ def poisson_schedules(data: DataFrame, key: str, trials: list[tuple], draws: int
 
 
 def _micro_id(key: Column, step: int, m: int, seed) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(step), F.lit(str(seed))), F.lit(m))
+    """Microbatch 0 to m - 1 of a row in a step, by its md5 uniform."""
+    return F.floor(uniform01(F.concat(key, F.lit(f"|m|{step}|{seed}"))) * F.lit(m)).cast("int")
 
 
-def _logistic_step(batch: DataFrame, model: Logistic, params, cfg: FitConfig, micro_col: str | None):
-    """One SQL job: (clipped gradient sum, loss sum, rows)."""
+def _logistic_step(batch: DataFrame, model: Logistic, params, cfg: FitConfig, micro_col: str | None, parts: int):
+    """The same in one SQL job."""
     x, y = F.col("features"), F.col("label")
     p = model.score(x, params)
     wcol = F.col("weight") if "weight" in batch.columns else None
@@ -298,45 +290,91 @@ def _logistic_step(batch: DataFrame, model: Logistic, params, cfg: FitConfig, mi
 COLLECT_PARTIALS_UP_TO = 64
 
 
-def _numpy_step(batch: DataFrame, model, params, cfg: FitConfig, micro_col: str | None):
-    """One job: numpy gradients per partition (weights broadcast), then summed.
+def _batch_arrays(pdf: pd.DataFrame):
+    X = np.stack(pdf["features"].to_numpy()).astype(np.float64)
+    w = pdf["weight"].to_numpy().astype(np.float64) if "weight" in pdf else np.ones(len(X))
+    return X, pdf["label"].to_numpy().astype(np.float64), w
+
+
+def _loss_sum(prob, y, w) -> float:
+    pr = np.clip(prob, 1e-7, 1 - 1e-7)
+    return float((-(y * np.log(pr) + (1 - y) * np.log(1 - pr)) * w).sum())
 
-    Each partition emits one partial d-vector. Up to 64 partitions the
-    partials come to the driver directly (<= 64 x d values); beyond that
-    they are first reduced in Spark by the vector Summarizer.
+
+def _reduced(partial: DataFrame, size: int, parts: int):
+    """(Vector sum, loss sum, rows) of partial rows (g, l, n), one a partition.
+
+    Up to 64 partials come to the driver (at most 64 x d values); more are
+    first summed in Spark, in groups of about the square root of their number.
+    """
+    if parts > COLLECT_PARTIALS_UP_TO:
+        partial = (partial.groupBy(F.pmod(F.spark_partition_id(), F.lit(min(math.isqrt(parts), COLLECT_PARTIALS_UP_TO))))
+                   .agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("l").alias("l"), F.sum("n").alias("n"))
+                   .select(vector_to_array("g").alias("g"), "l", "n"))
+    rows = partial.collect()
+    g = np.sum([np.asarray(r["g"]) for r in rows], axis=0) if rows else np.zeros(size)
+    return g, float(sum(r["l"] for r in rows)), int(sum(r["n"] for r in rows))
+
+
+def _numpy_step(batch: DataFrame, model, params, cfg: FitConfig, micro_col: str | None, parts: int):
+    """One job: numpy gradients per partition (weights broadcast), then summed: (clipped sum, loss sum, rows).
+
+    Without microbatches a partition with rows emits one clipped partial sum.
+    With them it emits the plain gradient sum and rows of every microbatch it
+    meets; these are added up by microbatch over all partitions, and only the
+    whole microbatch's mean is clipped, so the result does not depend on how
+    rows are dealt over partitions and Arrow batches.
     """
-    spark = batch.sparkSession
-    bc = spark.sparkContext.broadcast(params)
+    bc = batch.sparkSession.sparkContext.broadcast(params)
     clip = cfg.l2_norm_clip
-    has_w = "weight" in batch.columns
+    cols = ["features", "label"] + (["weight"] if "weight" in batch.columns else [])
 
     def part(it):
         p = bc.value
-        acc = np.zeros(model.size)
-        loss, n = 0.0, 0
+        acc, loss, n = np.zeros(model.size), 0.0, 0
         for pdf in it:
-            if len(pdf) == 0:
+            if len(pdf):
+                X, y, w = _batch_arrays(pdf)
+                acc += model.clipped_sum(p, X, y, w, clip)
+                loss += _loss_sum(model.predict_np(p, X), y, w)
+                n += len(y)
+        if n:
+            yield pd.DataFrame({"g": [acc], "l": [loss], "n": [n]})
+
+    def by_microbatch(it):
+        p, sums = bc.value, {}
+        for pdf in it:
+            if not len(pdf):
                 continue
-            X = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-            y = pdf["label"].to_numpy().astype(np.float64)
-            w = pdf["weight"].to_numpy().astype(np.float64) if has_w else np.ones(len(y))
-            mic = pdf[micro_col].to_numpy() if micro_col else None
-            acc += model.clipped_sum(p, X, y, w, clip, mic)
-            pr = np.clip(model.predict_np(p, X), 1e-7, 1 - 1e-7)
-            loss += float((-(y * np.log(pr) + (1 - y) * np.log(1 - pr)) * w).sum())
-            n += len(y)
-        yield pd.DataFrame({"g": [acc.tolist()], "l": [loss], "n": [n]})
-
-    cols = ["features", "label"] + (["weight"] if has_w else []) + ([micro_col] if micro_col else [])
-    partial = batch.select(*cols).mapInPandas(part, "g array<double>, l double, n long")
-    if batch.rdd.getNumPartitions() <= COLLECT_PARTIALS_UP_TO:
-        rows = partial.collect()
-        g = np.sum([np.asarray(r["g"]) for r in rows], axis=0) if rows else np.zeros(model.size)
-        out = (g, float(sum(r["l"] for r in rows)), int(sum(r["n"] for r in rows)))
+            X, y, w = _batch_arrays(pdf)
+            prob = model.predict_np(p, X)
+            micro = pdf[micro_col].to_numpy()
+            for m in np.unique(micro):
+                sel = micro == m
+                g, loss, n = sums.get(m, (0.0, 0.0, 0))
+                sums[m] = (g + model.gradient_sum(p, X[sel], y[sel], w[sel]), loss + _loss_sum(prob[sel], y[sel], w[sel]), n + int(sel.sum()))
+        if sums:
+            yield pd.DataFrame([(m, *v) for m, v in sums.items()], columns=["m", "g", "l", "n"])
+
+    def clip_means(it):
+        acc, loss, n = np.zeros(model.size), 0.0, 0
+        for pdf in it:
+            for g, l, k in zip(pdf["g"], pdf["l"], pdf["n"]):
+                mean = np.asarray(g) / k
+                norm = np.linalg.norm(mean)
+                acc += mean if clip is None or norm <= clip else mean * (clip / norm)
+                loss, n = loss + l, n + k
+        if n:
+            yield pd.DataFrame({"g": [acc], "l": [loss], "n": [n]})
+
+    if micro_col is None:
+        partial = batch.select(*cols).mapInPandas(part, "g array<double>, l double, n long")
     else:
-        r = partial.agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("l").alias("l"),
-                        F.sum("n").alias("n")).select(vector_to_array("g").alias("g"), "l", "n").first()
-        out = (np.asarray(r["g"]), float(r["l"] or 0.0), int(r["n"] or 0))
+        merged = (batch.select(*cols, micro_col).mapInPandas(by_microbatch, "m int, g array<double>, l double, n long")
+                  .groupBy("m").agg(Summarizer.sum(array_to_vector("g")).alias("g"), F.sum("l").alias("l"), F.sum("n").alias("n")))
+        partial = merged.select(vector_to_array("g").alias("g"), "l", "n").mapInPandas(clip_means, "g array<double>, l double, n long")
+        parts = min(parts, cfg.microbatches)
+    out = _reduced(partial, model.size, parts)
     bc.destroy()
     return out
 
@@ -371,33 +409,41 @@ def _collect_eval(res: "FitResult", pending) -> None:
 
 
 def _by_step(sched: DataFrame, parts: int, key: str) -> DataFrame:
-    """The schedule in ``parts`` ranges of (step, hash of the key), each sorted by step.
+    """The schedule in ``parts`` parts by hash of the key, each sorted by step.
 
-    The rows of a large step lie in several ranges, so that many tasks compute its gradient.
+    Every part holds its share of every step, so ``parts`` tasks compute a
+    step's gradient; inside a part the rows of a step lie together.
     """
-    return sched.repartitionByRange(parts, "step", F.xxhash64(key)).sortWithinPartitions("step")
+    return sched.repartition(parts, F.xxhash64(key)).sortWithinPartitions("step")
 
 
-def _cache_schedule(sched, parts: int, key: str = "key") -> DataFrame:
-    """Write the schedule to the shared checkpoint folder, sorted by step.
+class _Schedule:
+    """The schedule of one epoch, written to the shared checkpoint folder, kept, and removed when done.
 
     The written table cuts the lineage (a lost executor re-reads it instead
-    of replaying the sampling), each step's ``step = s`` filter is pushed
-    to the parquet scan (row groups carry step ranges), and the kept copy
-    has a plain scan plan, so per-step planning stays cheap.
+    of drawing again), a step's ``step = s`` filter is pushed to the scan,
+    and the kept copy has a plain scan plan, so per-step planning stays cheap.
     """
-    import uuid
-
-    from dpframe.session import checkpoint_dir
-    sched, held = sched if isinstance(sched, tuple) else (sched, [])
-    spark = sched.sparkSession
-    path = f"{checkpoint_dir(spark)}/schedule-{uuid.uuid4().hex}"
-    _by_step(sched, parts, key).write.parquet(path)
-    for h in held:
-        h.unpersist()
-    out = spark.read.parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+
+    def __init__(self, df: DataFrame, held: list[DataFrame]):
+        from dpframe.session import checkpoint_dir
+        self.spark = df.sparkSession
+        self.path = f"{checkpoint_dir(self.spark)}/schedule-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        for h in held:
+            h.unpersist()
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path).persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows.count()
+
+    def remove(self) -> None:
+        from dpframe.session import remove_folder
+        self.rows.unpersist()
+        remove_folder(self.spark, self.path)
+
+
+def _parts(data: DataFrame, batch: int) -> int:
+    """Tasks of a step: one for every ``ROWS_PER_TASK`` rows of the batch, at most four a core."""
+    return max(1, min(4 * data.sparkSession.sparkContext.defaultParallelism, -(-batch // ROWS_PER_TASK)))
 
 
 def noise_stream(seed, trial: int | str = "") -> np.random.Generator:
@@ -435,21 +481,20 @@ class _Descent:
         cfg = self.cfg
         if self.sigma > 0:
             gsum = gsum + self.sigma * step_noise(self.seed, self.trial, step, len(gsum))
-        g = gsum / (max(rows, 1) if cfg.l2_norm_clip is None else cfg.microbatches or cfg.batch_size)
+        g = gsum / (max(rows, 1) if cfg.l2_norm_clip is None or cfg.full_batch else cfg.microbatches or cfg.batch_size)
         if cfg.l2_reg:
             g = g + cfg.l2_reg * self.params
         self.params = self.opt.update(self.params, g)
 
-    def step(self, sched: DataFrame, step: int, key: str) -> tuple[float, int]:
-        """Gradient job of one scheduled step and its update: (loss sum, rows)."""
+    def step(self, batch: DataFrame, step: int, key: str, parts: int) -> tuple[float, int]:
+        """Gradient job of one step's batch and its update: (loss sum, rows)."""
         cfg = self.cfg
-        batch = sched.where(F.col("step") == F.lit(step))
         micro = None
         if cfg.microbatches:
             batch = batch.withColumn("_micro", _micro_id(F.col(key), step, cfg.microbatches, self.seed))
             micro = "_micro"
         run = _logistic_step if cfg.model == "logistic" and cfg.step_engine == "sql" else _numpy_step
-        gsum, lsum, rows = run(batch, self.model, self.params, cfg, micro)
+        gsum, lsum, rows = run(batch, self.model, self.params, cfg, micro, parts)
         self.apply(gsum, rows, step)
         return lsum, rows
 
@@ -464,79 +509,162 @@ def epsilon_schedule(cfg: FitConfig, n: int) -> list[float]:
         return [0.0] * cfg.epochs
     delta = cfg.delta if cfg.delta is not None else 1.0 / n
     out = []
+    batch = n if cfg.full_batch else cfg.batch_size
     noise = cfg.noise_multiplier / 2 if cfg.microbatches else cfg.noise_multiplier
     for e in range(1, cfg.epochs + 1):
         if cfg.accountant == "gdp":
-            out.append(gdp_epsilon(gdp_mu(n, cfg.batch_size, e, noise), delta))
+            out.append(gdp_epsilon(gdp_mu(n, batch, e, noise), delta))
         else:
-            out.append(rdp_epsilon(n, cfg.batch_size, e, noise, delta))
+            out.append(rdp_epsilon(n, batch, e, noise, delta))
     return out
 
 
-def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
-        eval_every: int = 1, threshold: float = 0.5, key: str = "key") -> FitResult:
+# ------------------------------------------------------------------ durable state
+
+STATE_SCHEMA = ("run string, epoch int, step long, params array<double>, m array<double>, v array<double>, updates long, "
+                "epsilon double, history array<struct<epoch: int, step: long, metric: string, value: double>>")
+
+
+class TrainingState:
+    """Table of a run's state after each epoch, in a folder that outlives the driver.
+
+    One row an epoch: parameters, optimizer moments, steps, spent budget and
+    the epoch's metrics. Rows are only appended. A run is known by its
+    configuration (without the number of epochs and the budget, so it may be
+    prolonged), the data's size and, if one was given, the seed. A fresh
+    secret seed is never stored: a run that goes on without one draws its
+    further noise and batches anew, which is as private.
+    """
+
+    def __init__(self, spark, path: str, cfg: FitConfig, d: int, n: int):
+        known = repr(sorted((k, v) for k, v in cfg.__dict__.items() if k not in ("epochs", "budget"))) + f"|{d}|{n}"
+        self.spark, self.path, self.run = spark, path, hashlib.sha256(known.encode()).hexdigest()
+
+    def load(self):
+        """Rows of the run's epochs in order (none: not begun); an epoch written twice counts once."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return []
+        rows = self.spark.read.schema(STATE_SCHEMA).parquet(self.path).where(F.col("run") == self.run).dropDuplicates(["epoch"])
+        return rows.orderBy("epoch").collect()          # one row of d values an epoch
+
+    def append(self, epoch: int, step: int, descent: "_Descent", epsilon: float, history: list[dict]) -> None:
+        o = descent.opt
+        row = (self.run, epoch, step, descent.params.tolist(), o.m.tolist(), o.v.tolist(), o.t, float(epsilon),
+               [(h["epoch"], h["step"], h["metric"], float(h["value"])) for h in history])
+        self.spark.createDataFrame([row], STATE_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def _resume(saved, descent: "_Descent", res: FitResult) -> tuple[int, int]:
+    """Set parameters, moments and history to the last saved epoch: (that epoch, steps run)."""
+    if not saved:
+        return 0, 0
+    last = saved[-1]
+    descent.params = np.array(last["params"])
+    descent.opt.m, descent.opt.v, descent.opt.t = np.array(last["m"]), np.array(last["v"]), int(last["updates"])
+    res.history = [h.asDict() for r in saved for h in r["history"]]
+    return int(last["epoch"]), int(last["step"])
+
+
+# ------------------------------------------------------------------ the loop
+
+def _input(train: DataFrame, key: str):
+    """(key, features, label[, weight]) rows, features and rows."""
+    data = train.select(*[key, "features", "label"] + (["weight"] if "weight" in train.columns else []))
+    first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
+    return data, int(first["d"]), int(first["n"])
+
+
+def _epochs(data: DataFrame, descent: "_Descent", key: str, n: int, steps: int, first: int, last: int):
+    """Train epochs ``first`` to ``last`` of ``steps`` Poisson batches (or of the full batch) each; yields (epoch, [(step, loss sum, rows)]).
+
+    The rows are dealt once. One epoch's schedule is held, and the next is
+    drawn in the background meanwhile.
+    """
+    cfg = descent.cfg
+    if first > last:
+        return
+    parts = _parts(data, n if cfg.full_batch else cfg.batch_size)
+    held = data.repartition(parts, F.xxhash64(key)).persist(StorageLevel.MEMORY_AND_DISK)
+    q = min(1.0, cfg.batch_size / n)
+
+    def draw(epoch: int) -> _Schedule:
+        sched, states = poisson_schedules(held, key, [(0, q, steps, last, str(descent.seed))], epoch=epoch)
+        return _Schedule(_by_step(sched.drop("_trial", "_local", "epoch"), parts, key), states)
+
+    if cfg.full_batch:
+        for epoch in range(first, last + 1):
+            yield epoch, [(epoch - 1, *descent.step(held, epoch - 1, key, parts))]
+    else:
+        with ThreadPoolExecutor(max_workers=1) as pool:
+            coming = pool.submit(draw, first)
+            for epoch in range(first, last + 1):
+                sched = coming.result()
+                if epoch < last:
+                    coming = pool.submit(draw, epoch + 1)
+                done = []
+                for step in range((epoch - 1) * steps, epoch * steps):
+                    done.append((step, *descent.step(sched.rows.where(F.col("step") == step), step, key, parts)))
+                sched.remove()
+                yield epoch, done
+    held.unpersist()
+
+
+def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None, eval_every: int = 1, threshold: float = 0.5,
+        key: str = "key", state: str | None = None) -> FitResult:
     """Train on ``train(key, features, label[, weight])``.
 
-    Returns the parameters, a per-step/per-epoch history and epsilon per
-    epoch. With ``evaluate_on`` the model is scored after each epoch
-    (loss, AUROC/AUPRC on 200 thresholds, accuracy at ``threshold``).
+    Returns the parameters, a history and epsilon per epoch. With
+    ``evaluate_on`` the model is scored after each epoch (loss, AUROC/AUPRC on
+    200 thresholds, accuracy at ``threshold``). Batch losses are exact values
+    of private rows, so only runs without noise report them. ``state`` names a
+    folder for :class:`TrainingState`: epochs found there are not run again.
     """
     from dpframe.operators import evaluate as ev
 
     cfg.validate()
     seed = cfg.seed if cfg.seed is not None else secrets.token_hex(32)
-    cols = [key, "features", "label"] + (["weight"] if "weight" in train.columns else [])
-    data = train.select(*cols)
-    first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    d, n = int(first["d"]), int(first["n"])
-    # Every step scans the cached rows: size partitions by rows (a small
-    # balanced set needs one task per step; a large one spreads over all cores).
-    par = data.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(par * 4, n // ROWS_PER_PARTITION))
-    data = data.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()
+    data, d, n = _input(train, key)
     ev_data = None
     if evaluate_on is not None:
         ev_data = evaluate_on.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-        ev_data.count()
     model = make_model(cfg, d)
     descent = _Descent(cfg, model, seed)
-    q = min(1.0, cfg.batch_size / n)
-    steps_per_epoch = max(1, n // cfg.batch_size)
+    steps = 1 if cfg.full_batch else max(1, n // cfg.batch_size)
     eps = epsilon_schedule(cfg, n)
-    stop = cfg.epochs
-    if cfg.budget is not None:
-        over = [i + 1 for i, e in enumerate(eps) if e > cfg.budget]
-        stop = over[0] if over else cfg.epochs
+    over = [i + 1 for i, e in enumerate(eps) if cfg.budget is not None and e > cfg.budget]
+    stop = over[0] if over else cfg.epochs
     res = FitResult(params=descent.params, epsilon=eps[:stop], stopped_epoch=stop if stop < cfg.epochs else None)
-    total = 0
-    import time as _time
-    sched = _cache_schedule(poisson_schedules(data, key, [(0, q, steps_per_epoch, stop, str(seed))]), parts, key)
-    from concurrent.futures import ThreadPoolExecutor
+    saved = TrainingState(data.sparkSession, state, cfg, d, n) if state else None
+    done, total = _resume([r for r in saved.load() if r["epoch"] <= stop] if saved else [], descent, res)
+    private = descent.sigma > 0
     pool = ThreadPoolExecutor(max_workers=1)
     pending = None
-    for epoch in range(1, stop + 1):
-        t_epoch = _time.time()
-        for s in range(steps_per_epoch):
-            gstep = (epoch - 1) * steps_per_epoch + s
-            lsum, bn = descent.step(sched, gstep, key)
+    began = time.time()
+    for epoch, losses in _epochs(data, descent, key, n, steps, done + 1, stop):
+        at = len(res.history)
+        for step, loss, rows in losses:
             total += 1
-            res.history.append({"epoch": epoch, "step": gstep, "metric": "batch_loss",
-                                "value": lsum / max(bn, 1)})
+            if not private:
+                res.history.append({"epoch": epoch, "step": step, "metric": "batch_loss", "value": loss / max(rows, 1)})
         res.history.append({"epoch": epoch, "step": total, "metric": "epsilon", "value": eps[epoch - 1]})
         if ev_data is not None and (epoch % eval_every == 0 or epoch == stop):
-            # Evaluate a snapshot of this epoch's parameters in the background while the
-            # next epoch trains (one evaluation in flight; Spark runs both jobs concurrently).
+            # A snapshot of this epoch's parameters is evaluated in the background while the next
+            # epoch trains (one evaluation in flight); a saved epoch waits for its metrics.
             _collect_eval(res, pending)
             snap = descent.params.copy()
             pending = (epoch, total, pool.submit(
                 lambda p=snap: ev.epoch_metrics(score(ev_data, model, p), threshold)))
-        res.history.append({"epoch": epoch, "step": total, "metric": "epoch_seconds",
-                            "value": _time.time() - t_epoch})
+            if saved:
+                _collect_eval(res, pending)
+                pending = None
+        res.history.append({"epoch": epoch, "step": total, "metric": "epoch_seconds", "value": time.time() - began})
+        if saved:
+            saved.append(epoch, total, descent, eps[epoch - 1], res.history[at:])
+        began = time.time()
     _collect_eval(res, pending)
     pool.shutdown()
-    data.unpersist()
-    sched.unpersist()
     if ev_data is not None:
         ev_data.unpersist()
     res.params, res.steps = descent.params, total
@@ -544,7 +672,7 @@ def fit(train: DataFrame, cfg: FitConfig, evaluate_on: DataFrame | None = None,
     return res
 
 
-def run_steps(train: DataFrame, cfg: FitConfig, epochs: int, steps_per_epoch: int, key: str = "key") -> np.ndarray:
+def run_steps(train: DataFrame, cfg: FitConfig, epochs: int, steps_per_epoch: int, key: str = "key", state: str | None = None) -> np.ndarray:
     """Parameters after ``epochs`` x ``steps_per_epoch`` steps of the loop in :func:`fit`.
 
     For checks against SQL: the number of steps is given, so nothing is
@@ -552,15 +680,13 @@ def run_steps(train: DataFrame, cfg: FitConfig, epochs: int, steps_per_epoch: in
     """
     cfg.validate()
     seed = cfg.seed if cfg.seed is not None else secrets.token_hex(32)
-    data = train.select(*[key, "features", "label"] + (["weight"] if "weight" in train.columns else []))
-    first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    descent = _Descent(cfg, make_model(cfg, int(first["d"])), seed)
-    q = min(1.0, cfg.batch_size / int(first["n"]))
-    sched = poisson_schedules(data, key, [(0, q, steps_per_epoch, epochs, str(seed))])
-    sched = _cache_schedule(sched, data.sparkSession.sparkContext.defaultParallelism, key)
-    for step in range(epochs * steps_per_epoch):
-        descent.step(sched, step, key)
-    sched.unpersist()
+    data, d, n = _input(train, key)
+    descent = _Descent(cfg, make_model(cfg, d), seed)
+    saved = TrainingState(data.sparkSession, state, cfg, d, n) if state else None
+    done, _ = _resume(saved.load() if saved else [], descent, FitResult(params=descent.params))
+    for epoch, _ in _epochs(data, descent, key, n, steps_per_epoch, done + 1, epochs):
+        if saved:
+            saved.append(epoch, epoch * steps_per_epoch, descent, 0.0, [])
     return descent.params
 
 
@@ -586,80 +712,95 @@ def history_frame(spark, res: FitResult, run_id: str) -> DataFrame:
 
 # ------------------------------------------------------------------ H3: many trials at once
 
+def _epoch_batches(held: DataFrame, key: str, trials: list[tuple], epoch: int, parts: int) -> _Schedule:
+    """Rows (features, label[, weight], at) of one epoch; ``at`` maps a step of the epoch to the trials whose batch holds the row.
+
+    Only keys go through the draws and their grouping: a row's features are
+    there once, whatever the number of trials, and a step needs no shuffle.
+    """
+    drawn, states = poisson_schedules(held.select(key), key, trials, epoch=epoch)
+    at = (drawn.groupBy(key, "_local").agg(F.collect_list("_trial").alias("t"))            # at most the trials
+          .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_local", "t"))).alias("at")))
+    return _Schedule(held.join(at, key).drop(key).repartition(parts), states)
+
+
 def fit_grid(train: DataFrame, configs: list[FitConfig], key: str = "key") -> list[FitResult]:
-    """H3: train every (logistic) trial together over one cached input.
+    """H3: train every (logistic) trial together over one cached input (key, features, label[, weight]).
 
-    Each step is one job for all still-running trials: per-trial Poisson
-    membership flags are computed in SQL, rows in no batch are dropped,
-    and one ``mapInPandas`` pass emits per partition a (trials x d)
-    partial gradient block. Noise and updates happen per trial on the
-    driver; trials that have finished their steps drop out.
+    Each step is one job for all still-running trials: rows in no batch are
+    dropped by a filter on the row's schedule, and one ``mapInPandas`` pass
+    emits per partition a (trials x d) partial gradient block. Noise and
+    updates happen per trial on the driver; trials that have finished their
+    steps drop out. Keys must be unique.
     """
     for c in configs:
         c.validate()
         if c.model != "logistic":
             raise ValueError("fit_grid trains logistic trials; use fit() for the MLP")
-        if c.microbatches is not None:
-            raise ValueError("fit_grid clips per example; use fit() for microbatches")
-    data = train.select(key, "features", "label")
-    first = data.agg(F.max(F.size("features")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    d, n = int(first["d"]), int(first["n"])
-    par = data.sparkSession.sparkContext.defaultParallelism
-    data = data.repartition(max(1, min(par * 4, n // ROWS_PER_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()
+        if c.microbatches is not None or c.full_batch:
+            raise ValueError("fit_grid clips per example of Poisson batches; use fit() for microbatches and full batches")
+    data, d, n = _input(train, key)
+    # the trials share the rows: a step's work is that of all their batches
+    parts = _parts(data, sum(c.batch_size for c in configs))
+    held = data.repartition(parts, F.xxhash64(key)).persist(StorageLevel.MEMORY_AND_DISK)
     model = Logistic(d)
     seeds = [c.seed if c.seed is not None else secrets.token_hex(32) for c in configs]
     trials = [_Descent(c, model, s, i) for i, (c, s) in enumerate(zip(configs, seeds))]
     spe = [max(1, n // c.batch_size) for c in configs]
-    stops, spent = [], []
-    for c in configs:
-        eps = epsilon_schedule(c, n)
-        spent.append(eps)
-        over = [i + 1 for i, e in enumerate(eps) if c.budget is not None and e > c.budget]
-        stops.append(over[0] if over else c.epochs)
-    total = [spe[i] * stops[i] for i in range(len(configs))]
-    results = [FitResult(params=trials[i].params, epsilon=spent[i][:stops[i]]) for i, c in enumerate(configs)]
+    spent = [epsilon_schedule(c, n) for c in configs]
+    stops = [next((i + 1 for i, e in enumerate(eps) if c.budget is not None and e > c.budget), c.epochs) for c, eps in zip(configs, spent)]
+    results = [FitResult(params=trials[i].params, epsilon=spent[i][:stops[i]]) for i in range(len(configs))]
+    drawn = [(i, min(1.0, c.batch_size / n), spe[i], stops[i], seeds[i]) for i, c in enumerate(configs)]
     sc = data.sparkSession.sparkContext
-    sched = poisson_schedules(data, key, [(i, min(1.0, c.batch_size / n), spe[i], stops[i], seeds[i])
-                                          for i, c in enumerate(configs)])
-    parts = max(1, min(par * 4, n * len(configs) // ROWS_PER_PARTITION))
-    sched = _cache_schedule(sched, parts, key)
-    for s in range(max(total)):
-        active = [i for i in range(len(configs)) if s < total[i]]
-        slot = {i: j for j, i in enumerate(active)}
-        batch = sched.where((F.col("step") == F.lit(s)) & F.col("_trial").isin(active))
+    cols = ["features", "label"] + (["weight"] if "weight" in data.columns else [])
+
+    def run(rows: DataFrame, local: int, active: list[int]):
+        slot = np.full(len(configs), -1)
+        slot[active] = np.arange(len(active))
         bc = sc.broadcast(np.stack([trials[i].params for i in active]))
         clips = [configs[i].l2_norm_clip for i in active]
 
-        def part(it, bc=bc, clips=clips, k=len(active), slot=slot):
-            P = bc.value
-            acc = np.zeros((k, model.size))
-            cnt = np.zeros(k)
+        def part(it):
+            acc, cnt = np.zeros((len(active), model.size)), np.zeros(len(active))
             for pdf in it:
-                if len(pdf) == 0:
+                if not len(pdf):
                     continue
-                X = np.stack(pdf["features"].to_numpy()).astype(np.float64)
-                y = pdf["label"].to_numpy().astype(np.float64)
-                tr = pdf["_trial"].to_numpy()
-                for i in np.unique(tr):
-                    j = slot[int(i)]
-                    m = tr == i
-                    acc[j] += model.clipped_sum(P[j], X[m], y[m], np.ones(m.sum()), clips[j])
-                    cnt[j] += m.sum()
+                X, y, w = _batch_arrays(pdf)
+                size = pdf["t"].map(len).to_numpy()
+                row, j = np.repeat(np.arange(len(X)), size), slot[np.concatenate(pdf["t"].to_numpy())]
+                for k in np.unique(j):
+                    m = row[j == k]
+                    acc[k] += model.clipped_sum(bc.value[k], X[m], y[m], w[m], clips[k])
+                    cnt[k] += len(m)
             if cnt.any():
-                yield pd.DataFrame({"g": [acc.ravel().tolist()], "n": [cnt.tolist()]})
+                yield pd.DataFrame({"g": [acc.ravel()], "n": [cnt]})
 
-        rows = batch.select("features", "label", "_trial").mapInPandas(part, "g array<double>, n array<double>").collect()
+        # a block of (trials x d) values a partition, of which there are at most four a core
+        got = rows.select(*cols, F.element_at("at", F.lit(local).cast("long")).alias("t")).where("t is not null") \
+            .mapInPandas(part, "g array<double>, n array<double>").collect()
         bc.destroy()
         G, N = np.zeros((len(active), model.size)), np.zeros(len(active))
-        for r in rows:
+        for r in got:
             G += np.asarray(r["g"]).reshape(G.shape)
             N += np.asarray(r["n"])
-        for j, i in enumerate(active):
-            trials[i].apply(G[j], int(N[j]), s)
-            results[i].steps += 1
-    data.unpersist()
-    sched.unpersist()
+        return G, N
+
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        draw = lambda e: _epoch_batches(held, key, drawn, e, parts)
+        coming = pool.submit(draw, 1)
+        for epoch in range(1, max(stops) + 1):
+            sched = coming.result()
+            if epoch < max(stops):
+                coming = pool.submit(draw, epoch + 1)
+            running = [i for i in range(len(configs)) if epoch <= stops[i]]
+            for local in range(max(spe[i] for i in running)):
+                active = [i for i in running if local < spe[i]]
+                G, N = run(sched.rows, local, active)
+                for j, i in enumerate(active):
+                    trials[i].apply(G[j], int(N[j]), (epoch - 1) * spe[i] + local)
+                    results[i].steps += 1
+            sched.remove()
+    held.unpersist()
     for i, r in enumerate(results):
         r.params = trials[i].params
         r.model = model  # type: ignore[attr-defined]

@@ -3,12 +3,16 @@
 Training input: the prepared lineitem (scaler/encoder fitted on train),
 train part balanced by exact downsampling. Fits return their history as a
 long table (run, epoch, step, metric, value), rows-only checks. Four steps
-over two epochs (noisy SGD, momentum and Adam, and non-private momentum)
-are checked exactly against SQL, which repeats batches and noise by hash.
+over two epochs (noisy SGD, momentum and Adam, non-private momentum and Adam,
+weighted rows, a small net with microbatches, a run cut and resumed) and four
+full-batch steps are checked exactly against SQL, which repeats batches,
+microbatches and noise by hash.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,7 @@ from dpframe.operators import prepare, sample, train
 from dpframe.plans.datasets import SEED, labelled_lineitem, reuse
 from dpframe.plans.q_flagship import BALANCE_SEED, balanced_sql, prepared_lineitem, prepared_sql
 from dpframe.plans.registry import register, rounded
+from dpframe.session import checkpoint_dir
 
 TRAIN_NUMERIC = ["l_extendedprice", "l_tax"]          # the label's own inputs are left out
 TRAIN_CATEGORICAL = ["l_returnflag", "l_linestatus"]
@@ -51,23 +56,31 @@ def _fit_query(cfg: train.FitConfig, run: str, evaluate: bool = True):
 
 register("d8_dp_sgd_fit")(_fit_query(train.FitConfig(
     model="logistic", optimizer="sgd", learning_rate=0.25, l2_norm_clip=0.8, noise_multiplier=0.8,
-    batch_size=256, epochs=2, accountant="rdp", seed=FIT_SEED), "dp_sgd"))
+    batch_size=256, epochs=15, accountant="rdp", seed=FIT_SEED), "dp_sgd"))
 
 register("d9_dp_gaussian_fit")(_fit_query(train.FitConfig(
     model="logistic", optimizer="sgd", learning_rate=0.25, l2_norm_clip=0.8, noise_multiplier=0.8,
-    batch_size=256, epochs=2, accountant="gdp", delta=1e-6, seed=FIT_SEED), "dp_gaussian"))
+    batch_size=256, epochs=5, accountant="gdp", delta=1e-6, seed=FIT_SEED), "dp_gaussian"))
 
 register("d10_dp_adam_fit")(_fit_query(train.FitConfig(
     model="logistic", optimizer="adam", learning_rate=0.25, l2_norm_clip=0.8, noise_multiplier=0.8,
-    batch_size=256, epochs=2, seed=FIT_SEED), "dp_adam"))
+    batch_size=256, epochs=5, seed=FIT_SEED), "dp_adam"))
 
 register("d11_nonprivate_fit")(_fit_query(train.FitConfig(
     model="logistic", optimizer="momentum", learning_rate=0.05, l2_norm_clip=None, noise_multiplier=0.0,
-    batch_size=256, epochs=2, l2_reg=1e-4, seed=FIT_SEED), "sgd_momentum"))
+    batch_size=256, epochs=30, l2_reg=1e-4, seed=FIT_SEED), "sgd_momentum"))
+
+register("d11_full_batch_fit")(_fit_query(train.FitConfig(
+    model="logistic", optimizer="sgd", learning_rate=0.25, l2_norm_clip=None, noise_multiplier=0.0,
+    full_batch=True, epochs=30, l2_reg=1e-4, seed=FIT_SEED), "full_batch_gd"))
+
+register("d11_nonprivate_adam_fit")(_fit_query(train.FitConfig(
+    model="mlp", hidden=(128, 64), optimizer="adam", learning_rate=0.001, l2_norm_clip=None, noise_multiplier=0.0,
+    batch_size=256, epochs=5, l2_reg=1e-4, seed=FIT_SEED), "adam_net"))
 
 register("d12_mlp_dp_fit")(_fit_query(train.FitConfig(
     model="mlp", hidden=(128, 64), optimizer="sgd", learning_rate=0.25, l2_norm_clip=0.8, noise_multiplier=0.8,
-    batch_size=256, epochs=2, microbatches=32, seed=FIT_SEED), "dp_mlp"))
+    batch_size=256, epochs=5, microbatches=32, seed=FIT_SEED), "dp_mlp"))
 
 register("d14_epoch_loop_with_budget")(_fit_query(train.FitConfig(
     model="logistic", optimizer="sgd", learning_rate=0.25, l2_norm_clip=1.1, noise_multiplier=1.1,
@@ -119,7 +132,48 @@ def _draw_sql(step: int, i: int) -> str:
     return f"sqrt(-2.0 * ln(greatest({u1}, {2.0 ** -53!r}))) * {'sin' if i % 2 else 'cos'}({6.283185307179586!r} * {u2})"
 
 
-def _steps_sql(cfg: train.FitConfig) -> str:
+def _update_sql(cfg: train.FitConfig, k: int, size: int) -> str:
+    """Parameters (and moments) after step ``k`` from the gradient columns g0, g1, ... beside the old ones."""
+    cols = []
+    for i in range(size):
+        if cfg.optimizer == "adam":
+            m, v = f"({train.ADAM_B1!r} * m{i} + (1 - {train.ADAM_B1!r}) * g{i})", f"({train.ADAM_B2!r} * v{i} + (1 - {train.ADAM_B2!r}) * g{i} * g{i})"
+            move = (f"({m} / (1 - pow({train.ADAM_B1!r}::DOUBLE, {k + 1}))) / "
+                    f"(sqrt({v} / (1 - pow({train.ADAM_B2!r}::DOUBLE, {k + 1}))) + {train.ADAM_EPS!r}::DOUBLE)")
+        else:
+            m, v = (f"({train.MOMENTUM!r} * m{i} + g{i})", "0.0") if cfg.optimizer == "momentum" else ("0.0", "0.0")
+            move = m if cfg.optimizer == "momentum" else f"g{i}"
+        cols += [f"CAST(w{i} - {cfg.learning_rate!r} * {move} AS DOUBLE) AS w{i}", f"CAST({m} AS DOUBLE) AS m{i}", f"CAST({v} AS DOUBLE) AS v{i}"]
+    return ", ".join(cols)
+
+
+def _member_sql(cfg: train.FitConfig) -> str:
+    """CTEs of the balanced rows ``bal`` and of ``member`` (key, step): who takes part in which step."""
+    head = f"""{prepared_sql()},
+train AS (SELECT * FROM prep WHERE is_test = 0),
+bal AS MATERIALIZED {balanced_sql('train', BALANCE_SEED)}"""
+    if cfg.full_batch:
+        return head + f", member AS MATERIALIZED (SELECT key, s.step FROM bal, range({STEP_EPOCHS * EPOCH_STEPS}) s(step))"
+    epochs = ", ".join(f"({e})" for e in range(1, STEP_EPOCHS + 1))
+    draws = ", ".join(f"({j})" for j in range(1, EPOCH_STEPS + 1))
+    return head + f""",
+n AS (SELECT count(*) AS n FROM bal),
+gaps AS (SELECT key, e, j, CASE WHEN n <= {cfg.batch_size} THEN 0 ELSE floor(ln(1.0 - CAST(('0x' || substr(
+    md5(key || '|e' || e || '|' || j || '|{STEP_SEED}'), 1, 13))::BIGINT AS DOUBLE) / {float(1 << 52)!r}) / ln(1.0 - {float(cfg.batch_size)!r} / n)) END AS gap
+  FROM bal, n, (VALUES {epochs}) ep(e), (VALUES {draws}) dr(j)),
+places AS (SELECT key, e, sum(gap + 1) OVER (PARTITION BY key, e ORDER BY j) - 1 AS place FROM gaps),
+member AS MATERIALIZED (SELECT key, (e - 1) * {EPOCH_STEPS} + place AS step FROM places WHERE place < {EPOCH_STEPS})"""
+
+
+def _result_sql(ctes: list[str], cfg: train.FitConfig, size: int) -> str:
+    last = STEP_EPOCHS * EPOCH_STEPS
+    return f"""WITH {_member_sql(cfg)},
+{', '.join(ctes)}
+SELECT CAST(pos AS INTEGER) AS pos, round(value, 9) AS value FROM (
+  {' UNION ALL '.join(f'SELECT {i} AS pos, w{i} AS value FROM p{last}' for i in range(size))}) x"""
+
+
+def _steps_sql(cfg: train.FitConfig, weight: str = "1.0") -> str:
     """The first steps of a logistic fit, one block of CTEs a step: batch, clipped sum, noise, update."""
     size, clip = WIDTH + 1, cfg.l2_norm_clip
     ones = [f"f{i}" for i in range(WIDTH)] + ["1.0"]
@@ -130,7 +184,7 @@ def _steps_sql(cfg: train.FitConfig) -> str:
         z = " + ".join(f"w{i} * {x}" for i, x in enumerate(ones))
         factor = "1.0" if clip is None else f"CASE WHEN nrm > {clip!r} THEN {clip!r} / nrm ELSE 1.0 END"
         ctes.append(f"""r{k} AS (SELECT *, abs(r) * sqrt({norm}) AS nrm FROM (
-  SELECT bal.*, 1.0 / (1.0 + exp(-({z}))) - label AS r FROM bal JOIN member USING (key) CROSS JOIN p{k} WHERE member.step = {k}) x)""")
+  SELECT bal.*, (1.0 / (1.0 + exp(-({z}))) - label) * {weight} AS r FROM bal JOIN member USING (key) CROSS JOIN p{k} WHERE member.step = {k}) x)""")
         by = "greatest(count(*), 1)" if clip is None else repr(float(cfg.batch_size))
         noise = [f" + {clip * cfg.noise_multiplier!r} * {_draw_sql(k, i)}" if clip and cfg.noise_multiplier else "" for i in range(size)]
         sums = ", ".join(f"(coalesce(sum(r * ({factor}) * {x}), 0.0){noise[i]}) / {by} AS g{i}" for i, x in enumerate(ones))
@@ -138,39 +192,53 @@ def _steps_sql(cfg: train.FitConfig) -> str:
         reg = f" + {cfg.l2_reg!r} * w{{i}}" if cfg.l2_reg else ""
         grads = ", ".join(f"g{i}{reg.format(i=i)} AS g{i}" for i in range(size))
         ctes.append(f"g{k} AS (SELECT p{k}.*, {grads} FROM p{k} CROSS JOIN s{k})")
-        cols = []
-        for i in range(size):
-            if cfg.optimizer == "adam":
-                m, v = f"({train.ADAM_B1!r} * m{i} + (1 - {train.ADAM_B1!r}) * g{i})", f"({train.ADAM_B2!r} * v{i} + (1 - {train.ADAM_B2!r}) * g{i} * g{i})"
-                move = (f"({m} / (1 - pow({train.ADAM_B1!r}::DOUBLE, {k + 1}))) / "
-                        f"(sqrt({v} / (1 - pow({train.ADAM_B2!r}::DOUBLE, {k + 1}))) + {train.ADAM_EPS!r}::DOUBLE)")
-            else:
-                m, v = (f"({train.MOMENTUM!r} * m{i} + g{i})", "0.0") if cfg.optimizer == "momentum" else ("0.0", "0.0")
-                move = m if cfg.optimizer == "momentum" else f"g{i}"
-            cols += [f"CAST(w{i} - {cfg.learning_rate!r} * {move} AS DOUBLE) AS w{i}", f"CAST({m} AS DOUBLE) AS m{i}", f"CAST({v} AS DOUBLE) AS v{i}"]
-        ctes.append(f"p{k + 1} AS MATERIALIZED (SELECT {', '.join(cols)} FROM g{k})")
-    last = STEP_EPOCHS * EPOCH_STEPS
-    epochs = ", ".join(f"({e})" for e in range(1, STEP_EPOCHS + 1))
-    draws = ", ".join(f"({j})" for j in range(1, EPOCH_STEPS + 1))
-    return f"""WITH {prepared_sql()},
-train AS (SELECT * FROM prep WHERE is_test = 0),
-bal AS MATERIALIZED {balanced_sql('train', BALANCE_SEED)},
-n AS (SELECT count(*) AS n FROM bal),
-gaps AS (SELECT key, e, j, CASE WHEN n <= {cfg.batch_size} THEN 0 ELSE floor(ln(1.0 - CAST(('0x' || substr(
-    md5(key || '|e' || e || '|' || j || '|{STEP_SEED}'), 1, 13))::BIGINT AS DOUBLE) / {float(1 << 52)!r}) / ln(1.0 - {float(cfg.batch_size)!r} / n)) END AS gap
-  FROM bal, n, (VALUES {epochs}) ep(e), (VALUES {draws}) dr(j)),
-places AS (SELECT key, e, sum(gap + 1) OVER (PARTITION BY key, e ORDER BY j) - 1 AS place FROM gaps),
-member AS MATERIALIZED (SELECT key, (e - 1) * {EPOCH_STEPS} + place AS step FROM places WHERE place < {EPOCH_STEPS}),
-{', '.join(ctes)}
-SELECT CAST(pos AS INTEGER) AS pos, round(value, 9) AS value FROM (
-  {' UNION ALL '.join(f'SELECT {i} AS pos, w{i} AS value FROM p{last}' for i in range(size))}) x"""
-
-
-def _steps_query(cfg: train.FitConfig):
+        ctes.append(f"p{k + 1} AS MATERIALIZED (SELECT {_update_sql(cfg, k, size)} FROM g{k})")
+    return _result_sql(ctes, cfg, size)
+
+
+def _net_steps_sql(cfg: train.FitConfig) -> str:
+    """The first steps of a two-layer net with microbatches: forward, backward, mean of each microbatch, clip, noise, update."""
+    h1, h2, m = *cfg.hidden, cfg.microbatches
+    net = train.MLP(WIDTH, cfg.hidden)
+    size = net.size
+    b1 = WIDTH * h1
+    w2, b2 = b1 + h1, b1 + h1 + h1 * h2
+    w3, b3 = b2 + h2, b2 + 2 * h2
+    start = net.init(train.noise_stream(STEP_SEED, ""))
+    state = ", ".join(f"'{v!r}'::DOUBLE AS w{i}, 0.0::DOUBLE AS m{i}, 0.0::DOUBLE AS v{i}" for i, v in enumerate(start.tolist()))
+    ctes = [f"p0 AS MATERIALIZED (SELECT {state})"]
+    first = ", ".join(f"greatest(0.0, {' + '.join(f'f{i} * w{i * h1 + j}' for i in range(WIDTH))} + w{b1 + j}) AS a{j}" for j in range(h1))
+    second = ", ".join(f"greatest(0.0, {' + '.join(f'a{j} * w{w2 + j * h2 + k}' for j in range(h1))} + w{b2 + k}) AS b{k}" for k in range(h2))
+    top = f"1.0 / (1.0 + exp(-({' + '.join(f'b{k} * w{w3 + k}' for k in range(h2))} + w{b3}))) - label AS dz"
+    down2 = ", ".join(f"CASE WHEN b{k} > 0 THEN dz * w{w3 + k} ELSE 0.0 END AS e{k}" for k in range(h2))
+    down1 = ", ".join(f"CASE WHEN a{j} > 0 THEN {' + '.join(f'e{k} * w{w2 + j * h2 + k}' for k in range(h2))} ELSE 0.0 END AS d{j}" for j in range(h1))
+    grads = ([f"f{i} * d{j}" for i in range(WIDTH) for j in range(h1)] + [f"d{j}" for j in range(h1)]
+             + [f"a{j} * e{k}" for j in range(h1) for k in range(h2)] + [f"e{k}" for k in range(h2)] + [f"b{k} * dz" for k in range(h2)] + ["dz"])
+    for k in range(STEP_EPOCHS * EPOCH_STEPS):
+        micro = f"floor(CAST(('0x' || substr(md5(key || '|m|{k}|{STEP_SEED}'), 1, 13))::BIGINT AS DOUBLE) / {float(1 << 52)!r} * {m})"
+        ctes.append(f"""r{k} AS (SELECT *, {down1} FROM (SELECT *, {down2} FROM (SELECT *, {top} FROM (SELECT *, {second} FROM (
+  SELECT bal.*, p{k}.*, {micro} AS mb, {first} FROM bal JOIN member USING (key) CROSS JOIN p{k} WHERE member.step = {k}) x1) x2) x3) x4)""")
+        ctes.append(f"u{k} AS (SELECT mb, {', '.join(f'avg({g}) AS q{i}' for i, g in enumerate(grads))} FROM r{k} GROUP BY mb)")
+        norm = f"sqrt({' + '.join(f'q{i} * q{i}' for i in range(size))})"
+        ctes.append(f"c{k} AS (SELECT *, CASE WHEN {norm} > {cfg.l2_norm_clip!r} THEN {cfg.l2_norm_clip!r} / {norm} ELSE 1.0 END AS fac FROM u{k})")
+        sums = ", ".join(f"(coalesce(sum(q{i} * fac), 0.0) + {cfg.l2_norm_clip * cfg.noise_multiplier!r} * {_draw_sql(k, i)}) / {m} AS g{i}" for i in range(size))
+        ctes.append(f"g{k} AS (SELECT p{k}.*, s.* FROM p{k} CROSS JOIN (SELECT {sums} FROM c{k}) s)")
+        ctes.append(f"p{k + 1} AS MATERIALIZED (SELECT {_update_sql(cfg, k, size)} FROM g{k})")
+    return _result_sql(ctes, cfg, size)
+
+
+def _steps_query(cfg: train.FitConfig, weight: str | None = None, cut: bool = False):
     def q(spark, sf_dir):
         prep = prepared_lineitem(spark, sf_dir).df
         bal = sample.downsample(prep.where("is_test = 0"), F.col("key"), "label", BALANCE_SEED)
-        return _parameters(spark, train.run_steps(bal, cfg, STEP_EPOCHS, EPOCH_STEPS))
+        if weight is not None:
+            bal = bal.withColumn("weight", F.expr(weight))
+        shape = (STEP_EPOCHS * EPOCH_STEPS, 1) if cfg.full_batch else (STEP_EPOCHS, EPOCH_STEPS)
+        if not cut:
+            return _parameters(spark, train.run_steps(bal, cfg, *shape))
+        state = f"{checkpoint_dir(spark)}/training-{uuid.uuid4().hex}"
+        train.run_steps(bal, cfg, 1, EPOCH_STEPS, state=state)                # ends after its first epoch
+        return _parameters(spark, train.run_steps(bal, cfg, *shape, state=state))
     return q
 
 
@@ -180,5 +248,23 @@ for _name, _cfg in {
     "d8_noisy_momentum_steps": train.FitConfig(optimizer="momentum", learning_rate=0.05, l2_norm_clip=1.2, noise_multiplier=1.1, seed=STEP_SEED),
     "d11_nonprivate_momentum_steps": train.FitConfig(optimizer="momentum", learning_rate=0.05, l2_norm_clip=None, noise_multiplier=0.0,
                                                      l2_reg=1e-4, seed=STEP_SEED),
+    "d11_nonprivate_adam_steps": train.FitConfig(optimizer="adam", learning_rate=0.01, l2_norm_clip=None, noise_multiplier=0.0,
+                                                 l2_reg=1e-4, seed=STEP_SEED),
+    "d11_full_batch_gd_steps": train.FitConfig(optimizer="sgd", learning_rate=0.25, l2_norm_clip=None, noise_multiplier=0.0,
+                                               l2_reg=1e-4, full_batch=True, seed=STEP_SEED),
+    "d11_full_batch_adam_steps": train.FitConfig(optimizer="adam", learning_rate=0.05, l2_norm_clip=None, noise_multiplier=0.0,
+                                                 l2_reg=1e-4, full_batch=True, seed=STEP_SEED),
 }.items():
     register(_name, _steps_sql(_cfg))(_steps_query(_cfg))
+
+#: Weight of the rare label's rows, as in the weighted fits.
+WEIGHT = "CASE WHEN label = 1 THEN 3.0 ELSE 0.5 END"
+_weighted = train.FitConfig(optimizer="momentum", learning_rate=0.05, l2_norm_clip=0.8, noise_multiplier=0.8, seed=STEP_SEED)
+register("d8_weighted_steps", _steps_sql(_weighted, WEIGHT))(_steps_query(_weighted, f"double({WEIGHT})"))
+
+_resumed = train.FitConfig(optimizer="adam", learning_rate=0.25, l2_norm_clip=0.8, noise_multiplier=0.8, seed=STEP_SEED)
+register("d14_resumed_steps", _steps_sql(_resumed))(_steps_query(_resumed, cut=True))
+
+_net = train.FitConfig(model="mlp", hidden=(3, 2), optimizer="sgd", learning_rate=0.25, l2_norm_clip=0.3, noise_multiplier=0.8,
+                       batch_size=256, microbatches=32, seed=STEP_SEED)
+register("d12_net_microbatch_steps", _net_steps_sql(_net))(_steps_query(_net))

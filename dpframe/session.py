@@ -89,3 +89,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables (lineage cuts)."""
     return ensure_checkpoint_dir(spark)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

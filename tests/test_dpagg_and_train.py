@@ -89,7 +89,7 @@ def test_mlp_clipped_sum_matches_per_example_loop():
     fast = m.clipped_sum(p, X, y, w, 0.3)
     slow = np.zeros(m.size)
     for i in range(9):
-        g = m.clipped_sum(p, X[i:i + 1], y[i:i + 1], w[i:i + 1], None, micro=np.array([0]))
+        g = m.gradient_sum(p, X[i:i + 1], y[i:i + 1], w[i:i + 1])
         n = np.linalg.norm(g)
         slow += g * min(1.0, 0.3 / n)
     assert fast == pytest.approx(slow, abs=1e-12)
@@ -120,3 +120,92 @@ def test_large_step_is_spread_and_kept_whole(spark):
     out = train._by_step(rows, 4, "key").groupBy(F.spark_partition_id()).count().collect()
     sizes = [r["count"] for r in out]
     assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 2000
+
+
+@pytest.mark.parametrize("model", ["logistic", "mlp"])
+def test_microbatch_means_do_not_depend_on_partitions_or_batches(spark, model):
+    """Means of whole microbatches are clipped, whatever the partitions and Arrow batches; equal to a plain loop."""
+    df, X, y = _toy(spark, n=400)
+    cfg = train.FitConfig(model=model, hidden=(4, 3), l2_norm_clip=0.05, microbatches=8, batch_size=400, seed="m")
+    net = train.make_model(cfg, 5)
+    params = net.init(train.noise_stream("m")) + 0.05
+    rows = df.withColumn("_micro", train._micro_id(F.col("key"), 3, 8, "m"))
+    micro = {r["key"]: r["_micro"] for r in rows.select("key", "_micro").collect()}
+    want = np.zeros(net.size)
+    for b in range(8):
+        mine = np.array([micro[str(i)] == b for i in range(400)])
+        g = net.gradient_sum(params, X[mine], y[mine].astype(float), np.ones(mine.sum())) / mine.sum()
+        want += g * min(1.0, 0.05 / np.linalg.norm(g))
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for parts, batch in ((1, 10_000), (4, 10_000), (7, 10_000), (1, 100), (4, 100), (200, 10_000)):
+            spark.conf.set(key, str(batch))
+            g, _, n = train._numpy_step(rows.repartition(parts), net, params, cfg, "_micro", parts)
+            assert n == 400 and g == pytest.approx(want, abs=1e-12)
+    finally:
+        spark.conf.set(key, old)
+    if model == "logistic":
+        assert train._logistic_step(rows.repartition(4), net, params, cfg, "_micro", 4)[0] == pytest.approx(want, abs=1e-12)
+
+
+def test_many_partial_sums_are_reduced_in_spark(spark):
+    df, X, y = _toy(spark)
+    cfg = train.FitConfig(l2_norm_clip=0.7, seed="r")
+    net = train.make_model(cfg, 5)
+    few, many = (train._numpy_step(df.repartition(k), net, np.full(6, 0.1), cfg, None, k) for k in (3, 100))
+    assert few[0] == pytest.approx(many[0], abs=1e-12) and few[2] == many[2] == 600
+
+
+def test_cut_run_ends_with_the_same_parameters(spark, tmp_path):
+    """A run that ends after two of four epochs and goes on from its table: parameters, moments, steps, budget, history."""
+    df, _, _ = _toy(spark)
+    cfg = train.FitConfig(model="logistic", optimizer="adam", learning_rate=0.1, batch_size=64, epochs=4, seed="cut")
+    whole = train.fit(df, cfg, evaluate_on=df)
+    state = str(tmp_path / "state")
+    train.fit(df, train.FitConfig(**{**cfg.__dict__, "epochs": 2}), evaluate_on=df, state=state)
+    rest = train.fit(df, cfg, evaluate_on=df, state=state)
+    assert rest.params == pytest.approx(whole.params, abs=1e-12) and rest.steps == whole.steps and rest.epsilon == whole.epsilon
+    strip = lambda h: sorted((x["epoch"], x["metric"], round(x["value"], 9)) for x in h if x["metric"] != "epoch_seconds")
+    assert strip(rest.history) == strip(whole.history)
+    again = train.fit(df, cfg, state=state)                       # all epochs are there: nothing is run
+    assert again.params == pytest.approx(whole.params, abs=1e-12) and again.steps == whole.steps
+    other = train.fit(df, train.FitConfig(**{**cfg.__dict__, "learning_rate": 0.2, "epochs": 1}), state=state)
+    assert other.steps == whole.steps // 4                         # another configuration is another run
+    kept = spark.read.parquet(state)
+    assert kept.count() == 5 and cfg.seed not in str(kept.collect())
+
+
+def test_private_runs_report_no_exact_losses(spark):
+    df, _, _ = _toy(spark)
+    cfg = train.FitConfig(batch_size=64, epochs=1, seed="p")
+    assert "batch_loss" not in {h["metric"] for h in train.fit(df, cfg).history}
+
+
+def test_full_batch_descent_reaches_spark_logistic_regression(spark):
+    """Adam over all rows against Spark's own solver, with the same L2 term on the coefficients."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+    df, X, y = _toy(spark)
+    cfg = train.FitConfig(optimizer="adam", learning_rate=0.3, l2_norm_clip=None, noise_multiplier=0.0, full_batch=True, epochs=120, seed="f")
+    res = train.fit(df, cfg)
+    assert res.steps == 120
+    lr = LogisticRegression(regParam=0.0, standardization=False, tol=1e-10, maxIter=300).fit(
+        df.select(array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label")))
+    want = np.append(lr.coefficients.toArray(), lr.intercept)
+    assert res.params == pytest.approx(want, rel=0.05, abs=0.05)
+
+
+def test_grid_takes_weights_and_holds_features_once(spark):
+    df, _, _ = _toy(spark)
+    df = df.withColumn("weight", F.expr("CASE WHEN label = 1 THEN 2.0D ELSE 0.5D END"))
+    cfg = train.FitConfig(learning_rate=0.3, noise_multiplier=0.0, batch_size=64, epochs=2, seed="w")
+    cfgs = [train.FitConfig(**{**cfg.__dict__, "epochs": e, "batch_size": b}) for e, b in ((2, 64), (1, 64), (2, 32))]
+    for got, c in zip(train.fit_grid(df, cfgs), cfgs):
+        assert got.params == pytest.approx(train.fit(df, c).params, abs=1e-12)
+    trials = [(i, 0.3, 4, 1, f"s{i}") for i in range(30)]
+    sched = train._epoch_batches(df, "key", trials, 1, 4)
+    assert sched.rows.count() <= 600 and sched.rows.columns == ["features", "label", "weight", "at"]
+    want = sum(train.poisson_schedule(df, "key", 0.3, 4, 1, f"s{i}").count() for i in range(3))
+    got = sched.rows.select(F.explode(F.flatten(F.map_values("at"))).alias("t")).where("t < 3").count()
+    sched.remove()
+    assert got == want
