@@ -47,14 +47,37 @@ class Tiling(NamedTuple):
 TILING = Tiling()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs (4 or 8), bytes of equal weight together.
+
+    The upper bytes are mostly 0, so that a shuffle's or a file's compression packs them well.
+    """
+    width = 4 if not len(values) or int(values.max()) < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _cells(ascending: np.ndarray) -> bytes:
+    return _planes(np.diff(ascending, prepend=0))
+
+
+def _from_cells(raw: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(raw))
+
+
 def _pack(values: np.ndarray) -> bytes:
     import zstandard
-    return zstandard.compress(np.ascontiguousarray(values, "<i8").tobytes(), 1)
+    return zstandard.compress(_planes(values), 1)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     import zstandard
-    return np.frombuffer(zstandard.decompress(raw), "<i8")
+    return _numbers(zstandard.decompress(raw))
 
 
 # ------------------------------------------------------------------ tiles
@@ -116,7 +139,7 @@ def _runs(batches, keys: list[str]):
     return groupby(rows, key=lambda r: tuple(getattr(r, k) for k in keys))
 
 
-def _merge(parts: DataFrame, width: str, least: int, tiling: Tiling) -> DataFrame:
+def _merge(parts: DataFrame, least: int, tiling: Tiling) -> DataFrame:
     """Tiles of one key (lang, ta, tb, salt) added up; only cells counted ``least`` times stay."""
     keys = ["lang", "ta", "tb", "salt"]
 
@@ -125,10 +148,10 @@ def _merge(parts: DataFrame, width: str, least: int, tiling: Tiling) -> DataFram
         for key, run in _runs(batches, keys):
             tile = TileSum(tiling)
             for r in run:
-                tile.add(np.frombuffer(r.cells, "<u4"), np.frombuffer(r.counts, width).astype(np.int64))
+                tile.add(_from_cells(r.cells), _numbers(r.counts))
             cells, counts = tile.total(least)
             if len(cells):
-                rows.append((*key, cells.astype("<u4").tobytes(), counts.astype("<i8").tobytes()))
+                rows.append((*key, _cells(cells), _planes(counts)))
                 held += len(cells)
             if held > 1 << 20:
                 yield pd.DataFrame(rows, columns=keys + ["cells", "counts"])
@@ -141,11 +164,12 @@ def _merge(parts: DataFrame, width: str, least: int, tiling: Tiling) -> DataFram
 def _totals(counted: DataFrame, blocks: int, least: int, tiling: Tiling) -> DataFrame:
     """Rows (lang, a, b, f) of all pairs counted at least ``least`` times."""
     salts = -(-blocks // tiling.fan_in)
-    parts, width = counted.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))), "<u4"
+    parts, old = counted.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))), None
     while salts > 1:
-        parts, width, old = written(_merge(parts, width, 1, tiling), "tiles"), "<i8", None if width == "<u4" else parts
+        merged = written(_merge(parts, 1, tiling), "tiles")
         if old is not None:
             drop_written(old)
+        parts = old = merged
         salts = -(-salts // tiling.fan_in)
         parts = parts.withColumn("salt", F.pmod("salt", F.lit(salts)))
 
@@ -154,11 +178,11 @@ def _totals(counted: DataFrame, blocks: int, least: int, tiling: Tiling) -> Data
     def cells(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                cell = np.frombuffer(r.cells, "<u4").astype(np.int64)
+                cell = _from_cells(r.cells)
                 yield pd.DataFrame({"lang": r.lang, "a": r.ta * side + cell // side + 1, "b": r.tb * side + cell % side + 1,
-                                    "f": np.frombuffer(r.counts, "<i8")})
+                                    "f": _numbers(r.counts)})
 
-    return _merge(parts, width, least, tiling).mapInPandas(cells, "lang string, a long, b long, f long")
+    return _merge(parts, least, tiling).mapInPandas(cells, "lang string, a long, b long, f long")
 
 
 # ------------------------------------------------------------------ blocks of text
@@ -222,7 +246,7 @@ def _count(state: DataFrame, length: int, tiling: Tiling) -> DataFrame:
             for r in pdf.itertuples(index=False):
                 words, symbols = _unpack(r.words), _unpack(r.symbols)
                 at = _pairs(words, symbols, length)
-                rows = [(r.block, r.lang, ta, tb, cells.astype("<u4").tobytes(), counts.astype("<u4").tobytes())
+                rows = [(r.block, r.lang, ta, tb, _cells(cells), _planes(counts))
                         for ta, tb, cells, counts in tiles(symbols[at], words[at + length], tiling)]
                 yield pd.DataFrame(rows, columns=["block", "lang", "ta", "tb", "cells", "counts"])
 
@@ -237,8 +261,8 @@ def _answers(counted: DataFrame, ranked: DataFrame, blocks: int, tiling: Tiling)
 
     def binary(batches):
         for pdf in batches:
-            pdf["cells"] = [np.asarray(c, "<u4").tobytes() for c in pdf["cells"]]
-            pdf["ids"] = [np.asarray(c, "<i8").tobytes() for c in pdf["ids"]]
+            pdf["cells"] = [_cells(np.asarray(c, np.int64)) for c in pdf["cells"]]
+            pdf["ids"] = [_planes(np.asarray(c, np.int64)) for c in pdf["ids"]]
             yield pdf
 
     frequent = (ranked.groupBy("lang", F.expr(f"(a - 1) div {side}").alias("ta"), F.expr(f"(b - 1) div {side}").alias("tb"))
@@ -256,16 +280,16 @@ def _answers(counted: DataFrame, ranked: DataFrame, blocks: int, tiling: Tiling)
         for key, run in _runs(batches, keys):
             known = None
             for r in run:
-                cells = np.frombuffer(r.cells, "<u4")
+                cells = _from_cells(r.cells)
                 if r.block < 0:
-                    known, ids = cells, np.frombuffer(r.ids, "<i8")
+                    known, ids = cells, _numbers(r.ids)
                 elif known is None:
                     break                                # nothing in this tile is frequent
                 else:
                     at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
                     hit = known[at] == cells
                     if hit.any():
-                        rows.append((r.block, *key[:3], cells[hit].tobytes(), ids[at[hit]].tobytes()))
+                        rows.append((r.block, *key[:3], _cells(cells[hit]), _planes(ids[at[hit]])))
                         held += len(cells)
                 if held > 1 << 20:
                     yield pd.DataFrame(rows, columns=columns)
@@ -285,10 +309,10 @@ def _next_state(state: DataFrame, answers: DataFrame, length: int, tiling: Tilin
         words, symbols = _unpack(part["words"].iloc[0]), _unpack(part["symbols"].iloc[0])
         out = np.zeros(len(words), np.int64)
         if len(found):
-            cells = [np.frombuffer(c, "<u4").astype(np.int64) for c in found["cells"]]
+            cells = [_from_cells(c) for c in found["cells"]]
             a = np.concatenate([ta * side + c // side + 1 for ta, c in zip(found["ta"], cells)])
             b = np.concatenate([tb * side + c % side + 1 for tb, c in zip(found["tb"], cells)])
-            ids = np.concatenate([np.frombuffer(c, "<i8") for c in found["ids"]])
+            ids = np.concatenate([_numbers(c) for c in found["ids"]])
             at = _pairs(words, symbols, length)
             # ids of the block's own pairs, numbered within the block so that two fit one integer
             ua, ub = np.unique(a), np.unique(b)
@@ -336,9 +360,13 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
                         .select("lang", "id", F.concat_ws(" ", "head", "word").alias("phrase"), "f"), "phrases")
         phrases.append(level)
         if length + 1 < longest:
-            old, state = state, written(_next_state(state, _answers(counted, pairs, n_blocks, tiling), length, tiling), "state")
+            answers = written(_answers(counted, pairs, n_blocks, tiling), "answers")
+            drop_written(counted)
+            old, state = state, written(_next_state(state, answers, length, tiling), "state")
             drop_written(old)
-        drop_written(counted)
+            drop_written(answers)
+        else:
+            drop_written(counted)
     out = None
     for size, level in enumerate(phrases, 1):
         rows = level.select("lang", "phrase", F.lit(size).alias("size"), "f")
@@ -373,9 +401,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
                    "(cast(l as decimal(15, 0)) * cast(r as decimal(15, 0)))")
     best = (cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("c"))
             .select("lang", "phrase", "a", "n", "c.l", "c.r", "c.score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-            .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
+    ranked = place(best.withColumnRenamed("n", "words"), "lang", [F.desc("score"), F.desc("a"), F.col("phrase")], "scores")
+    return ranked.where(F.col("pos") < top).select("lang", (F.col("pos") + 1).alias("rank"), "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
 
 
 def op13_query(spark, sf_dir: str) -> DataFrame:
