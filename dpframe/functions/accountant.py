@@ -1,4 +1,4 @@
-"""Privacy accounting (A1–A7) as column jobs.
+"""Privacy accounting (A1–A7) and composition as column jobs.
 
 Input is a table of runs or grid points with noise multiplier, training
 size n, batch size, epochs and delta. Distinct (sigma, q) pairs (Rényi) or
@@ -22,6 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,6 +158,33 @@ def add_rdp_epsilon(df: DataFrame, noise: str = "noise_multiplier", n: str = "n"
     return j.withColumn(out, F.when(F.col("_sigma") > 0, eps).otherwise(F.lit(0.0))).drop("_q", "_sigma", "_rdp")
 
 
+def compose(df: DataFrame, by: list[str], delta: float, noise: str = "noise_multiplier", n: str = "n", batch: str = "batch_size",
+            epochs: str = "epochs") -> DataFrame:
+    """Budget spent by all mechanisms of each group together: (by..., mechanisms, unprotected, epsilon).
+
+    Each row is a run with its own noise, rate and steps. Their Renyi curves
+    add up order by order (one vector sum a group, combined before the
+    shuffle); epsilon is the minimum over the orders of the summed curve, less
+    than the sum of the single epsilons. Rows without noise are not private at
+    all: they are counted in ``unprotected`` and leave epsilon as it is.
+    """
+    q = F.least(F.lit(1.0), F.col(batch).cast("double") / F.col(n).cast("double"))
+    steps = F.col(epochs).cast("double") * F.greatest(F.lit(1.0), F.col(n).cast("double") / F.col(batch).cast("double"))
+    d = df.select(*by, q.alias("_q"), F.col(noise).cast("double").alias("_sigma"), steps.alias("_steps"))
+    # runs of one kind differ in steps only: add those up first
+    kinds = d.where("_sigma > 0").groupBy(*by, "_q", "_sigma").agg(F.sum("_steps").alias("_steps"), F.count(F.lit(1)).alias("_m"))
+    curves = kinds.select("_q", "_sigma").distinct().withColumn("_rdp", rdp_curve_udf(F.col("_q"), F.col("_sigma")))
+    spent = _join_small(kinds, curves, ["_q", "_sigma"]).withColumn("_c", F.transform("_rdp", lambda r: r * F.col("_steps")))
+    total = spent.groupBy(*by).agg(Summarizer.sum(array_to_vector("_c")).alias("_c"), F.sum("_m").alias("mechanisms"))
+    orders = F.array(*[F.lit(float(a)) for a in RDP_ORDERS])
+    eps = F.array_min(F.zip_with(vector_to_array("_c"), orders, lambda r, a: r - F.lit(math.log(delta)) / (a - F.lit(1.0))))
+    every = d.groupBy(*by).agg(F.count(F.when(F.coalesce(F.col("_sigma"), F.lit(0.0)) <= 0, 1)).alias("unprotected"))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    total = total.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], "mechanisms", eps.alias("epsilon"))
+    joined = every.join(total, on, "left") if by else every.crossJoin(total)       # without groups one row each
+    return joined.select(*by, F.coalesce("mechanisms", F.lit(0)).alias("mechanisms"), "unprotected", F.coalesce("epsilon", F.lit(0.0)).alias("epsilon"))
+
+
 def add_gdp_epsilon(df: DataFrame, noise: str = "noise_multiplier", n: str = "n", batch: str = "batch_size",
                     epochs: str = "epochs", delta: str = "delta", out: str = "epsilon") -> DataFrame:
     """A1 (+A7): Gaussian-DP (CLT) epsilon per row; 0 when the noise is 0."""

@@ -1,7 +1,7 @@
 """Experiment tables: grids, search spaces, selection, sensitivity.
 
 Trials are rows. Selection over trials uses windows partitioned by run or
-bracket, or the exact radix select of :mod:`dpframe.operators.sample`
+bracket, or ranks found in ranges (:func:`dpframe.operators.runs.positions`)
 when a group can be large (successive halving keeps a fraction of a
 bracket, so a bracket holding a third of all trials never lands in one
 window task).
@@ -10,15 +10,15 @@ window task).
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dpframe.keys import GROUP, TOKEN, group_key, uniform_int
-from dpframe.operators import sample
+from dpframe.keys import group_key, uniform_int
 
 # Grids of the reference runs (fixed values).
 DP_GRID = {
@@ -137,37 +137,111 @@ def early_stopping(history: DataFrame, run: list[str], value: str = "value", ste
     return best.select(*run, "stop_epoch", "epochs_seen", "b.best_epoch", "b.best_value")
 
 
+def _chain(values: np.ndarray, min_delta: float):
+    """Records of a piece of a series for the plateau rule: (places, values, next record of the chain or -1, last of the chain).
+
+    Whatever the best value before, the first improvement of a piece is a
+    strict minimum of what came before it in the piece (a record). From a
+    record r the next improvement is the first value below v_r - min_delta:
+    a record again. So the records and their chains say all about the piece.
+    """
+    low = np.minimum.accumulate(np.where(np.isnan(values), np.inf, values))
+    place = np.flatnonzero(low < np.concatenate([[np.inf], low[:-1]]))
+    v = low[place]
+    after = np.searchsorted(-v, -(v - min_delta), side="right")         # values fall: first one below
+    nxt = np.where(after < len(v), after, -1)
+    last = np.arange(len(v))
+    for r in range(len(v) - 1, -1, -1):
+        if nxt[r] >= 0:
+            last[r] = last[nxt[r]]
+    return place, v, nxt, last
+
+
 def reduce_lr_on_plateau(history: DataFrame, run: list[str], value: str = "value", step: str = "step",
                          lr0: float = 1e-3, factor: float = 0.5, patience: int = 3, min_lr: float = 1e-6,
-                         min_delta: float = 1e-4) -> DataFrame:
+                         min_delta: float = 1e-4, chunks: int | None = None) -> DataFrame:
     """H7: learning rate per epoch under halving-after-plateau (min mode).
 
-    Each rate depends on the decisions before it, so a run is folded in order
-    by one task: rows are partitioned by run and sorted by step, and the fold
-    streams over them with four numbers of state, whatever the run's length.
+    An epoch improves if its value lies more than ``min_delta`` below that of
+    the last improvement; every ``patience`` epochs without one lower the
+    rate. Each improvement depends on the one before, so a run is cut into
+    ranges that are worked on in parallel: (1) a range sends its chains of
+    possible improvements, as the steps of the function from the best value
+    before it to that after it; (2) these few numbers are combined along each
+    run, giving every range its best value; (3) a range marks its improvements
+    and counts the lowerings between them, and running sums over the ranges
+    give the rates. No task holds more of a run than one range.
     A null or NaN value is an epoch without improvement.
     """
-    d = history.select(*run, F.col(step).cast("int").alias(step), F.col(value).cast("double").alias("_v"),
-                       group_key(run).alias(GROUP))
-    out = T.StructType([d.schema[c] for c in [*run, step]] + [T.StructField("learning_rate", T.DoubleType())])
-
-    def fold(batches):
-        now, best, wait, lr = None, math.inf, 0, lr0
-        for pdf in batches:
-            rates = []
-            for name, v in zip(pdf[GROUP], pdf["_v"]):
-                if name != now:
-                    now, best, wait, lr = name, math.inf, 0, lr0
-                rates.append(lr)
-                if v < best - min_delta:
-                    best, wait = v, 0
-                else:
-                    wait += 1
-                    if wait >= patience:
-                        lr, wait = min(lr, max(lr * factor, min_lr)), 0
-            yield pdf[[*run, step]].assign(learning_rate=rates)
-
-    return d.repartition(GROUP).sortWithinPartitions(GROUP, step, "_v").mapInPandas(fold, out)
+    from dpframe.operators.runs import _ranges
+
+    names = ["_run", "_chunk"]
+    d = history.select(*run, F.col(step).cast("int").alias(step), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"), group_key(run).alias("_run"))
+    d = _ranges(d, ["_run"], [step, "_v"], chunks)
+
+    def pieces(key, pdf):
+        v = pdf.sort_values([step, "_v"], na_position="first")["_v"].to_numpy(float)
+        _, best, _, last = _chain(v, min_delta)
+        end = best[last]
+        new = np.ones(len(best), bool)
+        new[1:] = end[1:] != end[:-1]                  # entries next to each other mostly end alike
+        return pd.DataFrame({"_run": [key[0]], "_chunk": [key[1]], "entry": [best[np.append(new[1:], True)] if len(best) else []],
+                             "exit": [end[new] if len(best) else []]})
+
+    summaries = d.groupBy(*names).applyInPandas(pieces, "_run string, _chunk int, entry array<double>, exit array<double>")
+
+    def along(key, pdf):                               # one row a range
+        best, out = np.inf, []
+        for c, entry, end in pdf.sort_values("_chunk")[["_chunk", "entry", "exit"]].itertuples(index=False):
+            out.append((key[0], c, best))
+            # entered at the first record below the best value less min_delta: in the first step whose last record is below it
+            entry = np.asarray(entry, float)
+            at = int(np.searchsorted(-entry, -(best - min_delta), side="right")) if best < np.inf else 0
+            best = float(end[at]) if at < len(entry) else best
+        return pd.DataFrame(out, columns=["_r", "_c", "_best"])
+
+    before = summaries.groupBy("_run").applyInPandas(along, "_r string, _c int, _best double")
+    given = d.join(before, (F.col("_run") == F.col("_r")) & (F.col("_chunk") == F.col("_c"))).drop("_r", "_c")
+    out = T.StructType([d.schema[c] for c in [*run, step, *names]] + [T.StructField(c, T.LongType()) for c in
+                       ("_at", "_since", "_lowered", "_first", "_last", "_inside", "_rows")])
+
+    def mark(key, pdf):
+        """Per row: its place, the last improvement before it in the range, and the lowerings in the gaps closed before it."""
+        pdf = pdf.sort_values([step, "_v"], na_position="first")
+        best = pdf["_best"].iloc[0]
+        place, v, nxt, _ = _chain(pdf["_v"].to_numpy(float), min_delta)
+        r = int(np.searchsorted(-v, -(best - min_delta), side="right")) if best < np.inf else 0
+        hits = []
+        while 0 <= r < len(v):
+            hits.append(place[r])
+            r = nxt[r]
+        hits = np.array(hits, np.int64) + 1            # places from 1
+        at = np.arange(1, len(pdf) + 1)
+        closed = np.concatenate([[0], np.cumsum((np.diff(hits) - 1) // patience)]) if len(hits) else np.zeros(1, np.int64)
+        seen = np.searchsorted(hits, at)               # improvements before the row
+        res = pdf[[*run, step, *names]].copy()
+        res["_at"] = at
+        res["_since"] = np.where(seen > 0, hits[np.maximum(seen, 1) - 1] if len(hits) else 0, 0)
+        res["_lowered"] = closed[np.maximum(seen, 1) - 1]
+        res["_first"], res["_last"] = (int(hits[0]), int(hits[-1])) if len(hits) else (0, 0)
+        res["_inside"], res["_rows"] = int(closed[-1]), len(pdf)
+        return res
+
+    rows = given.groupBy(*names).applyInPandas(mark, out).checkpoint()
+    w = Window.partitionBy("_run").orderBy("_chunk")                              # one row a range
+    prev = w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*names).agg(*[F.max(c).alias(c) for c in ("_first", "_last", "_inside", "_rows")])
+    parts = parts.withColumn("_off", F.coalesce(F.sum("_rows").over(prev), F.lit(0)))
+    parts = parts.withColumn("_before", F.coalesce(F.max(F.when(F.col("_last") > 0, F.col("_off") + F.col("_last"))).over(prev), F.lit(0)))
+    gap = F.when(F.col("_first") > 0, F.floor((F.col("_off") + F.col("_first") - F.col("_before") - 1) / patience)).otherwise(F.lit(0))
+    parts = parts.withColumn("_gap", gap).withColumn("_done", F.coalesce(F.sum(F.col("_gap") + F.col("_inside")).over(prev), F.lit(0)))
+    parts = parts.select(F.col("_run").alias("_r"), F.col("_chunk").alias("_c"), "_off", "_before", "_gap", "_done")
+    j = rows.join(parts, (F.col("_run") == F.col("_r")) & (F.col("_chunk") == F.col("_c")))
+    since = F.when(F.col("_since") > 0, F.col("_off") + F.col("_since")).otherwise(F.col("_before"))
+    closed = F.col("_done") + F.when(F.col("_since") > 0, F.col("_gap") + F.col("_lowered")).otherwise(F.lit(0))
+    lowered = closed + F.floor((F.col("_off") + F.col("_at") - 1 - since) / patience)
+    rate = F.least(F.lit(float(lr0)), F.greatest(F.lit(float(lr0)) * F.pow(F.lit(float(factor)), lowered), F.lit(float(min_lr))))
+    return j.select(*run, step, rate.alias("learning_rate"))
 
 
 def top_results(results: DataFrame, loss: str, trial: str, k: int = 15) -> DataFrame:
@@ -188,47 +262,51 @@ def sensitivity_grid(spark: SparkSession, base=SENSITIVITY_BASE, values=SENSITIV
     return e
 
 
-def desc_score_token(score: Column, key: Column) -> Column:
-    """Order token for 'higher score first, then smaller trial key'.
-
-    Seventeen significant digits and the exponent name every double; the
-    token has them as text that sorts like the score, descending. Whole-number
-    keys are padded so that they sort as numbers; others sort as text.
-    """
-    x = score.cast("double")
-    text = F.format_string("%.16e", F.abs(x))
-    exponent = F.lpad((F.regexp_extract(text, "e(.*)$", 1).cast("int") + 400).cast("string"), 3, "0")
-    size = F.concat(exponent, F.substring(text, 1, 1), F.substring(text, 3, 16))
-    token = F.when(x > 0, F.concat(F.lit("0"), F.translate(size, "0123456789", "9876543210"))) \
-        .when(x < 0, F.concat(F.lit("2"), size)).otherwise(F.lit("1"))
-    name = key.cast("string")
-    name = F.when(name.rlike("^[0-9]+$"), F.lpad(name, 20, "0")).otherwise(name)
-    return F.concat(token, F.lit("|"), name)
+def _scored(trials: DataFrame, score: str) -> DataFrame:
+    return trials.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
 
 
-def successive_halving(trials: DataFrame, bracket: str, score: Column, key: Column, factor: int = 3) -> DataFrame:
-    """Rounds of successive halving inside each bracket.
+def successive_halving(trials: DataFrame, bracket: str, score: str, key: str, factor: int = 3) -> DataFrame:
+    """Rounds of successive halving inside each bracket, by one final score.
 
     Round r keeps the best ceil(n_b / factor^r) trials of bracket b (score
     descending, ties by the trial key; trials without a score take no part);
-    bracket b (0-based, in
-    sorted order) runs rounds 0..b. Each round is an exact radix select
-    on the order token, so no bracket is sorted in one task.
-    Output: (bracket, round, trial key columns..., score) for every trial
-    promoted into each round.
+    bracket b (0-based, in sorted order) runs rounds 0..b. Trials are ranked
+    once, in ranges of (bracket, score, key), so no bracket is sorted in one
+    task, and every round is a bound on the rank.
+    Output: the columns of ``trials`` and ``round`` for every trial promoted
+    into each round.
     """
-    trials = trials.where(score.isNotNull() & ~F.isnan(score.cast("double")))
-    d = trials.withColumn(TOKEN, desc_score_token(score, key)).withColumn(GROUP, group_key([bracket]))
-    brackets = sorted(r[0] for r in trials.select(bracket).distinct().collect())
-    sizes = {r[0]: r[1] for r in d.groupBy(GROUP).count().collect()}
-    out = None
-    for r in range(len(brackets)):
-        want = {str(b): (math.ceil(sizes[str(b)] / factor ** r) if i >= r else 0)
-                for i, b in enumerate(brackets) if str(b) in sizes}
-        keep = sample.select_first(d, want)
-        part = d.where(keep).withColumn("round", F.lit(r))
-        out = part if out is None else out.unionByName(part)
-    return out.drop(TOKEN, GROUP)
+    from dpframe.operators.runs import positions
+
+    d = _scored(trials, score).withColumn("_down", -F.col(score).cast("double"))
+    order = d.select(bracket).distinct().withColumn("_last", F.dense_rank().over(Window.orderBy(bracket)) - 1)   # one row a bracket
+    d = positions(d, [bracket], ["_down", key]).join(order, bracket)
+    rounds = d.withColumn("round", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))))
+    keep = F.col("_i") <= F.ceil(F.col("_n") / F.pow(F.lit(float(factor)), F.col("round")))
+    return rounds.where(keep).drop("_down", "_last", "_i", "_n")
+
+
+def halving_rounds(scores: DataFrame, bracket: str, trial: str, round_: str, score: str, rounds: int, factor: int = 3) -> DataFrame:
+    """H12 with a score per round: (bracket, round, trial, score) of the trials that run each round.
+
+    ``scores`` has one row per bracket, trial and round it has a score for. All trials with a
+    score for round 0 run it; round r + 1 is run by the best
+    ceil(n_0 / factor^(r + 1)) of round r by their scores there (ties by the
+    trial), as far as they have a score for it.
+    """
+    from dpframe.operators.runs import positions
+
+    rows = _scored(scores.select(bracket, trial, F.col(round_).cast("int").alias("round"), F.col(score).cast("double").alias("score")), "score")
+    first = rows.where("round = 0").groupBy(bracket).agg(F.count(F.lit(1)).alias("_all"))
+    now = rows.where("round = 0")
+    out = now
+    for r in range(1, rounds):
+        ranked = positions(now.withColumn("_down", -F.col("score")), [bracket], ["_down", trial]).join(first, bracket)
+        kept = ranked.where(F.col("_i") <= F.ceil(F.col("_all") / F.lit(float(factor ** r)))).select(bracket, trial)
+        now = rows.where(F.col("round") == r).join(kept, [bracket, trial], "left_semi")
+        out = out.unionByName(now)
+    return out
 
 
 def best_overall(results: DataFrame, score: str, trial: str) -> DataFrame:

@@ -124,6 +124,26 @@ def series_scan(history: DataFrame, series: list[str], order: list[str], value:
                   "_ts_prev", "_max_prev", "_min_in", "_sum_in", "_prev_in"))
 
 
+def positions(df: DataFrame, series: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
+    """``df`` with ``_i``, the 1-based place of a row in its ordered series, and ``_n``, the series' rows.
+
+    Rows are dealt into ranges of (series, order); a window runs only inside a
+    range, and its offset comes from one count per series and range.
+    """
+    d = _ranges(df, series, order, chunks)
+    named = [F.col(c).alias(f"_s{i}") for i, c in enumerate(series)]
+    whole = Window.partitionBy(*[f"_s{i}" for i in range(len(series))])
+    parts = d.groupBy(*named, F.col("_chunk").alias("_sc")).agg(F.count(F.lit(1)).alias("_cc"))
+    parts = (parts.withColumn("_n", F.sum("_cc").over(whole))
+             .withColumn("_off", F.coalesce(F.sum("_cc").over(whole.orderBy("_sc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    on = F.col("_chunk") == F.col("_sc")
+    for i, c in enumerate(series):
+        on = on & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    inside = Window.partitionBy(*series, "_chunk").orderBy(*order)
+    return (d.join(parts, on).withColumn("_i", F.col("_off") + F.row_number().over(inside))
+            .drop("_chunk", "_sc", "_cc", "_off", *[f"_s{i}" for i in range(len(series))]))
+
+
 def _ranges(history: DataFrame, series: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
     """``history`` with ``_chunk``, the number of its range on (series, order); equal keys share a range.
 

@@ -2,13 +2,15 @@
 
 Two primitives carry everything:
 
-* :func:`select_first` keeps, per group, the ``n`` rows with the smallest
+* :func:`mark_first` marks, per group, the ``n`` rows with the smallest
   order token (md5 of key and seed). It is a *radix select*: histograms of
   successive 4-hex-digit hash prefixes find the boundary bucket, only the
-  rows of that bucket are ever ordered, and the result is a plain filter
+  tokens of that bucket are ever ordered, and the result is a plain filter
   ``token <= threshold``. No row is shuffled; only per-bucket counts
   (map-side combined) move. A hot group (a third of all rows) is just more
-  rows in the same histogram.
+  rows in the same histogram. Where a key is repeated at the boundary, its
+  rows are told apart by a second select on a hash of the whole row, and rows
+  equal in all columns by counting them, so that exactly ``n`` are marked.
 * :func:`hash_rank` gives every row its exact 1-based rank in token order.
   Rows are spread over 65,536 hash buckets per group; a broadcast table of
   bucket offsets (size bounded by groups x 65,536) plus a window inside each
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,8 +48,19 @@ def _group_sizes(df: DataFrame) -> dict[str, int]:
     return {r[0]: r[1] for r in df.groupBy(GROUP).count().collect()}
 
 
-def _thresholds(df: DataFrame, wanted, totals: dict | None = None, check=None) -> dict:
-    """Per group, the token of the ``wanted``-th smallest row (radix select).
+MD5_HEX = 32
+
+
+class Cut(NamedTuple):
+    """Boundary of a group: its token, how many of the rows with it are wanted, and how many there are."""
+
+    token: str
+    need: int
+    ties: int
+
+
+def _thresholds(df: DataFrame, wanted, totals: dict | None = None, check=None) -> dict[str, Cut | None | bool]:
+    """Per group, the :class:`Cut` at the ``wanted``-th smallest row (radix select); None: all rows, False: no row.
 
     ``wanted`` is a mapping group -> n, an int, or a function of the group
     size column (e.g. ``lambda total: ceil(f * total)``). Each level is one
@@ -61,7 +75,7 @@ def _thresholds(df: DataFrame, wanted, totals: dict | None = None, check=None) -
         want0 = lambda total: F.coalesce(F.element_at(m, F.col(GROUP)), F.lit(0))
     else:
         want0 = lambda total: F.lit(int(wanted))
-    out: dict[str, str | None] = {}
+    out: dict[str, Cut | None | bool] = {}
     state = {}
     level0 = _level(df, 0, None, want0, FIRST_LEVEL_HEX)
     if totals is not None:
@@ -70,14 +84,15 @@ def _thresholds(df: DataFrame, wanted, totals: dict | None = None, check=None) -
             check(totals)
     for g, total, want, bnd in level0:
         if want <= 0:
-            out[g] = ""            # keep nothing: every token is > ""
+            out[g] = False
         elif want >= total:
-            out[g] = None          # keep everything
+            out[g] = None
         else:
             state[g] = (bnd[0], bnd[1], bnd[2])
     while state:
-        small = {g: s for g, s in state.items() if s[2] <= FINISH_ROWS}
-        big = {g: s for g, s in state.items() if s[2] > FINISH_ROWS}
+        # beyond the md5 digits only rows of one md5 are left, however many: few tokens
+        small = {g: s for g, s in state.items() if s[2] <= FINISH_ROWS or len(s[0]) >= MD5_HEX}
+        big = {g: s for g, s in state.items() if g not in small}
         if small:
             out.update(_finish(df, small))
         if not big:
@@ -108,55 +123,96 @@ def _level(df: DataFrame, plen: int, active: Mapping | None, want_fn, width: int
     return [(r[0], r[1], r[2], tuple(r[3]) if r[3] is not None else None) for r in rows]
 
 
-def _finish(df: DataFrame, groups: Mapping[str, tuple]) -> dict[str, str]:
-    """Order the (bounded) boundary rows and read off the wanted token."""
-    plen_keys = [f"{g}#{p}" for g, (p, _, _) in groups.items()]
-    plens = {len(p) for p, _, _ in groups.values()}
-    assert len(plens) == 1
-    plen = plens.pop()
-    rank_map = F.create_map(*[x for g, (_, r, _) in groups.items() for x in (F.lit(g), F.lit(r))])
-    sub = df.where(F.concat(F.col(GROUP), F.lit("#"), F.substring(TOKEN, 1, plen)).isin(plen_keys))
-    w = Window.partitionBy(GROUP).orderBy(TOKEN)
-    rows = (sub.select(GROUP, TOKEN).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") == F.element_at(rank_map, F.col(GROUP)))
-            .select(GROUP, TOKEN).collect())
-    return {r[0]: r[1] for r in rows}
+def _finish(df: DataFrame, groups: Mapping[str, tuple]) -> dict[str, Cut]:
+    """Count the (bounded) boundary tokens in order and read off the wanted one."""
+    out = {}
+    for plen in {len(p) for p, _, _ in groups.values()}:
+        mine = {g: s for g, s in groups.items() if len(s[0]) == plen}
+        rank_map = F.create_map(*[x for g, (_, r, _) in mine.items() for x in (F.lit(g), F.lit(int(r)))])
+        sub = df.where(F.concat(F.col(GROUP), F.lit("#"), F.substring(TOKEN, 1, plen)).isin([f"{g}#{s[0]}" for g, s in mine.items()]))
+        upto = Window.partitionBy(GROUP).orderBy(TOKEN).rowsBetween(Window.unboundedPreceding, 0)
+        want = F.element_at(rank_map, F.col(GROUP))
+        rows = (sub.groupBy(GROUP, TOKEN).agg(F.count(F.lit(1)).alias("_c")).withColumn("_cum", F.sum("_c").over(upto))
+                .where((F.col("_cum") >= want) & (F.col("_cum") - F.col("_c") < want))
+                .select(GROUP, TOKEN, want - F.col("_cum") + F.col("_c"), "_c").collect())
+        out.update({r[0]: Cut(r[1], int(r[2]), int(r[3])) for r in rows})
+    return out
 
 
-def _keep_expr(thr: Mapping[str, str | None]) -> Column:
-    keep_all = [g for g, t in thr.items() if t is None]
-    cut = {g: t for g, t in thr.items() if t is not None}
+def _by_group(cuts: Mapping, value) -> Column:
+    return F.element_at(F.create_map(*[x for g, c in cuts.items() for x in (F.lit(g), F.lit(value(c)))]), F.col(GROUP))
+
+
+def _keep_expr(thr: Mapping[str, Cut | None | bool]) -> Column:
+    """Rows up to the boundary; of a boundary token with more rows than wanted, none."""
     if len(thr) > MAX_LITERAL_GROUPS:
         raise ValueError("too many groups for literal thresholds; use split_by or hash_rank")
-    cond = F.lit(False)
-    if keep_all:
-        cond = F.col(GROUP).isin(keep_all)
-    if cut:
-        m = F.create_map(*[x for g, t in cut.items() for x in (F.lit(g), F.lit(t))])
-        cond = cond | (F.col(TOKEN) <= F.element_at(m, F.col(GROUP)))
+    keep_all = [g for g, t in thr.items() if t is None]
+    cond = F.col(GROUP).isin(keep_all) if keep_all else F.lit(False)
+    whole = {g: t for g, t in thr.items() if t and t.need == t.ties}
+    over = {g: t for g, t in thr.items() if t and t.need < t.ties}
+    if whole:
+        cond = cond | (F.col(TOKEN) <= _by_group(whole, lambda t: t.token))
+    if over:
+        cond = cond | (F.col(TOKEN) < _by_group(over, lambda t: t.token))
     return F.coalesce(cond, F.lit(False))
 
 
+ROW_SEED = "whole row"
+
+
+def _mark(df: DataFrame, thr: Mapping[str, Cut | None | bool], flag: str) -> DataFrame:
+    """``df`` with ``flag``: the row is one of the wanted; exact also where a token is repeated at the boundary."""
+    over = {g: t for g, t in thr.items() if t and t.need < t.ties}
+    if not over:
+        return df.withColumn(flag, _keep_expr(thr))
+    tied = F.coalesce(F.col(TOKEN) == _by_group(over, lambda t: t.token), F.lit(False))
+    rest = df.where(~tied).withColumn(flag, _keep_expr(thr))
+    cols = [c for c in df.columns if c != TOKEN]
+    ties = df.where(tied)
+    # rows of one key: a second select on a hash of the whole row
+    text = F.concat_ws("\u0001", *[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in cols if c != GROUP])
+    rows = ties.withColumn("_token", F.col(TOKEN)).withColumn(TOKEN, F.md5(F.concat(text, F.lit(f"-{ROW_SEED}"))))
+    second = _thresholds(rows, {g: t.need for g, t in over.items()})
+    equal = {g: t for g, t in second.items() if t and t.need < t.ties}
+    if not equal:
+        return rest.unionByName(rows.withColumn(flag, _keep_expr(second)).withColumn(TOKEN, F.col("_token")).drop("_token"))
+    # rows equal in every column are interchangeable: count them and mark as many as wanted
+    same = F.coalesce(F.col(TOKEN) == _by_group(equal, lambda t: t.token), F.lit(False))
+    parts = rows.where(~same).withColumn(flag, _keep_expr(second)).withColumn(TOKEN, F.col("_token")).drop("_token")
+    copies = (rows.where(same).withColumn(TOKEN, F.col("_token")).drop("_token").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))
+              .withColumn(flag, F.col("_i") <= _by_group(equal, lambda t: t.need)).drop("_c", "_i"))
+    return rest.unionByName(parts).unionByName(copies)
+
+
 def prepare(df: DataFrame, key: Column, seed, by: list[str] | None = None) -> DataFrame:
     """Add the order token and group key columns used by every sampler."""
     return df.withColumn(TOKEN, order_token(key, seed)).withColumn(GROUP, group_key(by))
 
 
-def select_first(df: DataFrame, n: int | Mapping | None = None, *, fraction=None,
-                 rounding: str = "ceil", sizes: Mapping[str, int] | None = None) -> Column:
-    """Boolean column: row is among the first ``n`` of its group in token order.
+def _wanted(n, fraction, rounding: str):
+    if fraction is None:
+        return n
+    rnd = F.ceil if rounding == "ceil" else F.floor
+    return lambda total: rnd(F.lit(float(fraction)) * total.cast("double"))
+
+
+def mark_first(df: DataFrame, n: int | Mapping | None = None, *, fraction=None, rounding: str = "ceil", flag: str = "_first") -> DataFrame:
+    """``df`` with the boolean ``flag``: the row is among the first ``n`` of its group in token order.
 
     ``df`` must carry the token and group columns (see :func:`prepare`).
     ``n`` is an int (same for every group), a mapping group -> n, or None
     with ``fraction`` (n = ceil/floor(fraction * group size), in double
-    arithmetic like the reference).
+    arithmetic like the reference). Exactly ``n`` rows are marked, also when
+    keys or whole rows are repeated.
     """
-    if fraction is not None:
-        rnd = F.ceil if rounding == "ceil" else F.floor
-        want = lambda total: rnd(F.lit(float(fraction)) * total.cast("double"))
-    else:
-        want = n
-    return _keep_expr(_thresholds(df, want))
+    return _mark(df, _thresholds(df, _wanted(n, fraction, rounding)), flag)
+
+
+def select_first(df: DataFrame, n: int | Mapping | None = None, *, fraction=None, rounding: str = "ceil") -> DataFrame:
+    """The rows that :func:`mark_first` marks, without the flag."""
+    return mark_first(df, n, fraction=fraction, rounding=rounding).where("_first").drop("_first")
 
 
 def hash_rank(df: DataFrame, sizes: Mapping[str, int] | None = None, rank_col: str = "rn",
@@ -198,8 +254,8 @@ def split(df: DataFrame, key: Column, test_size: float = 0.2, seed=42,
     """
     by = [stratify] if stratify else None
     d = prepare(df, key, seed, by)
-    keep = select_first(d, fraction=test_size, rounding="ceil")
-    return d.withColumn("is_test", keep.cast("int")).drop(TOKEN, GROUP)
+    marked = mark_first(d, fraction=test_size, rounding="ceil")
+    return marked.withColumn("is_test", F.col("_first").cast("int")).drop(TOKEN, GROUP, "_first")
 
 
 def split_by(df: DataFrame, key: Column, by: list[str], test_size: float = 0.2, seed=42) -> DataFrame:
@@ -220,30 +276,35 @@ def validation_tail(df: DataFrame, key: Column, fraction: float = 0.2, seed=42)
     Adds ``is_val`` (int 0/1).
     """
     d = prepare(df, key, seed, None)
-    keep = select_first(d, fraction=1.0 - fraction, rounding="floor")
-    return d.withColumn("is_val", (~keep).cast("int")).drop(TOKEN, GROUP)
+    marked = mark_first(d, fraction=1.0 - fraction, rounding="floor")
+    return marked.withColumn("is_val", (~F.col("_first")).cast("int")).drop(TOKEN, GROUP, "_first")
 
 
 def downsample(df: DataFrame, key: Column, label: str = "label", seed=42,
-               n: int | None = None) -> DataFrame:
+               n: int | None = None, classes=None) -> DataFrame:
     """Exact-n sample per class without replacement, then union.
 
     ``n=None`` (T4): every class is cut to the minority count. ``n`` given
     (T5): exactly ``n`` from each class; raises when a class is short.
+    ``classes`` names the classes there must be: one without rows is short
+    (T5) or leaves nothing (T4).
     """
     d = prepare(df, key, seed, [label])
+    known = {str(c): 0 for c in classes or ()}
     if n is None:
-        want = lambda total: F.min(total).over(Window.partitionBy(F.lit(1)))
+        want = lambda total: F.min(total).over(Window.partitionBy(F.lit(1)))  # noqa: E731  (classes x 256 counts)
+        if known and set(known) - {r[0] for r in d.select(GROUP).distinct().collect()}:
+            return df.limit(0)
         check = None
     else:
         want = int(n)
 
         def check(totals):
-            short = {g: t for g, t in totals.items() if t < n}
+            short = {g: t for g, t in (known | totals).items() if t < n}
             if short:
                 raise ValueError(f"classes {short} have fewer than {n} rows")
     thr = _thresholds(d, want, totals={}, check=check)
-    return d.where(_keep_expr(thr)).drop(TOKEN, GROUP)
+    return _mark(d, thr, "_first").where("_first").drop(TOKEN, GROUP, "_first")
 
 
 def oversample(df: DataFrame, key: Column, label: str = "label", seed=42,
@@ -266,8 +327,7 @@ def oversample(df: DataFrame, key: Column, label: str = "label", seed=42,
     small = {g: t for g, t in wanted.items() if sizes[g] < t}
     out = df.limit(0)
     if large:
-        rows = d.where(F.col(GROUP).isin(list(large)))
-        out = rows.where(select_first(rows, large)).select(df.columns)
+        out = select_first(d.where(F.col(GROUP).isin(list(large))), large).select(df.columns)
     if small:
         ranked = hash_rank(d.where(F.col(GROUP).isin(list(small))), {g: sizes[g] for g in small})
         draws = None
@@ -312,9 +372,3 @@ def assign_batches(df: DataFrame, key: Column, batch_size: int, epochs: int = 1,
     if drop_remainder:
         out = out.where(F.col("step") < F.lit(n // batch_size))
     return out.drop(TOKEN, GROUP, "_rank")
-
-
-def poisson_member(key: Column, step: Column, rate: float, seed=42) -> Column:
-    """Poisson subsampling: row joins batch ``step`` with probability ``rate``."""
-    from dpframe.keys import uniform01
-    return uniform01(F.concat(key, F.lit("-"), step.cast("string"), F.lit(f"-{seed}"))) < F.lit(rate)

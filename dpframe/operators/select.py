@@ -2,10 +2,11 @@
 
 Variance and mutual information are single aggregation passes over an
 unpivoted (feature, value) view; map-side partial aggregation keeps the
-shuffle at (partitions x features x bins) rows. PCA needs the d x d
-covariance: it is summed per partition (numpy X^T X of centred rows in
-``mapInPandas``) and reduced, then decomposed on the driver, which holds
-only d x d numbers (d is checked).
+shuffle at (partitions x features x bins) rows. The principal axes come from
+block Krylov iteration: each pass multiplies a block of vectors by the
+covariance without forming it (X^T (X Q) per partition, broadcast Q, partial
+d x block sums), so the driver holds the block basis and no d x d matrix,
+unless as many axes are asked for.
 """
 
 from __future__ import annotations
@@ -120,24 +121,99 @@ def covariance(df: DataFrame, vec: str, max_dim: int = MAX_PCA_DIM) -> tuple[np.
     return mean, G.reshape(d, d) / n, n
 
 
-def pca_fit(df: DataFrame, vec: str, k: int | None = None, max_dim: int = MAX_PCA_DIM):
-    """Principal axes of the centred data (sign: largest |loading| positive).
+def _times_covariance(df: DataFrame, vec: str, mean: np.ndarray, q: np.ndarray, n: int, parts: int) -> np.ndarray:
+    """Covariance times a block of vectors (d x b): one pass, a d x b partial sum per partition."""
+    bc = df.sparkSession.sparkContext.broadcast((mean, q))
 
-    The driver holds the d x d covariance: ``max_dim`` is the largest d it may
-    have memory for (8 d^2 bytes, some copies). Returns (mean, components
-    k x d, explained variance ratio of all d axes).
+    def part(it):
+        m, block = bc.value
+        acc, seen = np.zeros(block.shape), False
+        for pdf in it:
+            if len(pdf):
+                x = np.stack(pdf[vec].to_numpy()).astype(np.float64) - m
+                acc += x.T @ (x @ block)
+                seen = True
+        if seen:
+            yield pd.DataFrame({"g": [acc.ravel()]})
+
+    partial = df.select(vec).mapInPandas(part, "g array<double>")
+    if parts > COLLECT_PARTIALS_UP_TO:
+        groups = F.pmod(F.spark_partition_id(), F.lit(COLLECT_PARTIALS_UP_TO))
+        partial = partial.groupBy(groups).agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+    out = np.sum([np.asarray(r["g"]) for r in partial.select("g").collect()], axis=0)
+    bc.destroy()
+    return out.reshape(q.shape) / n
+
+
+def _orthonormal(block: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The part of ``block`` outside ``basis`` as orthonormal columns; directions already there are left out."""
+    for _ in range(2):                                  # twice is enough for full precision
+        block = block - basis @ (basis.T @ block)
+    q, r = np.linalg.qr(block)
+    keep = np.abs(np.diag(r)) > 1e-10 * max(np.abs(r).max(), 1e-300)
+    q = q[:, keep]
+    q = q - basis @ (basis.T @ q)
+    return np.linalg.qr(q)[0] if q.shape[1] else q
+
+
+def principal_axes(df: DataFrame, vec: str, k: int, tol: float = 1e-11, extra: int = 8, max_basis: int | None = None,
+                   seed: int = 0, max_passes: int = 300):
+    """(mean, axes k x d, variances k, total variance, n) by block Krylov iteration with full reorthogonalisation.
+
+    The basis grows by one block a pass until the residual |C v - lambda v|
+    of every wanted axis is below ``tol`` times the total variance. At
+    ``max_basis`` columns (default 4 (k + extra) + 40) it is cut back to its
+    best directions and the last block, and goes on; axes that have not
+    settled after ``max_passes`` raise. Sign: the largest loading is positive.
+    """
+    df = df.select(vec).where(F.col(vec).isNotNull())
+    parts = max(1, df.rdd.getNumPartitions())
+    v = df.select(array_to_vector(F.col(vec)).alias("_v")).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s"))
+    first = v.select(vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("v"), F.col("s.count").alias("n")).first()
+    mean, n = np.asarray(first["m"]), int(first["n"])
+    d = len(mean)
+    k = min(k, d)
+    total = float(np.sum(first["v"])) * (n - 1) / n if n > 1 else 0.0
+    if total <= 0:
+        return mean, np.eye(d)[:k], np.zeros(k), 0.0, n
+    block = min(d, k + extra)
+    limit = min(d, max_basis or 4 * block + 40)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, block)))[0]
+    basis, image = np.zeros((d, 0)), np.zeros((d, 0))
+    for _ in range(max_passes):
+        cq = _times_covariance(df, vec, mean, q, n, parts)
+        basis, image = np.hstack([basis, q]), np.hstack([image, cq])
+        t = basis.T @ image
+        vals, y = np.linalg.eigh((t + t.T) / 2)
+        order = np.argsort(vals)[::-1]
+        vals, y = vals[order], y[:, order]
+        axes = basis @ y[:, :k]
+        residual = np.linalg.norm(image @ y[:, :k] - axes * vals[:k], axis=0)
+        if basis.shape[1] >= d or residual.max() <= tol * total:
+            break
+        if limit < d and basis.shape[1] + block > limit:     # thick restart: the best directions stay, with their images
+            held = y[:, :min(2 * k, limit - block)]
+            basis, image = basis @ held, image @ held
+        q = _orthonormal(cq, basis)
+        if not q.shape[1]:
+            q = _orthonormal(np.random.default_rng(seed + basis.shape[1]).normal(size=(d, block)), basis)
+            if not q.shape[1]:
+                break
+    else:
+        raise RuntimeError(f"axes have not settled after {max_passes} passes: ask for fewer, or allow a larger basis")
+    axes = axes * np.sign(axes[np.argmax(np.abs(axes), axis=0), np.arange(k)])
+    return mean, axes.T, np.clip(vals[:k], 0.0, None), total, n
+
+
+def pca_fit(df: DataFrame, vec: str, k: int | None = None):
+    """Principal axes of the centred data: (mean, components k x d, explained variance ratio of each).
+
+    ``k=None`` gives all d axes (the basis, d x d, then is the result).
     """
-    mean, cov, n = covariance(df, vec, max_dim)
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(vals)[::-1]
-    vals, vecs = np.clip(vals[order], 0.0, None), vecs[:, order]
-    for j in range(vecs.shape[1]):
-        i = np.argmax(np.abs(vecs[:, j]))
-        if vecs[i, j] < 0:
-            vecs[:, j] = -vecs[:, j]
-    ratio = vals / vals.sum() if vals.sum() > 0 else np.zeros_like(vals)
-    comps = vecs[:, : (k or len(vals))].T
-    return mean, comps, ratio
+    if k is None:
+        k = df.agg(F.max(F.size(vec))).first()[0]
+    mean, axes, vals, total, _ = principal_axes(df, vec, k)
+    return mean, axes, vals / total if total > 0 else vals
 
 
 def choose_components(ratios: DataFrame, target: float = 0.95, min_k: int = 10, max_k: int = 300) -> DataFrame:
@@ -155,7 +231,13 @@ def choose_components(ratios: DataFrame, target: float = 0.95, min_k: int = 10,
 
 
 def pca_transform(x: Column, mean: np.ndarray, comps: np.ndarray) -> Column:
-    """Project centred rows on the components (SQL, literal loadings)."""
-    from dpframe.functions.vec import dot
-    centred = F.zip_with(x, F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a.cast("double") - b)
-    return F.array(*[dot(centred, comps[j].tolist()) for j in range(comps.shape[0])])
+    """Project centred rows on the components: Arrow batches times the loadings, which travel once with the function."""
+    shift, load = np.asarray(mean), np.ascontiguousarray(comps.T)
+
+    @F.pandas_udf("array<double>")
+    def project(v: pd.Series) -> pd.Series:
+        ok = v.notna().to_numpy()
+        z = iter((np.stack(v[ok].to_numpy()).astype(np.float64) - shift) @ load) if ok.any() else iter(())
+        return pd.Series([next(z) if x else None for x in ok], index=v.index, dtype=object)
+
+    return project(x)

@@ -151,7 +151,9 @@ def d2_gaussian_sum(spark, sf_dir):
     return rounded(dpagg.noisy_sum(e, "embedding", 0.5, 1.1, ["label"], TEST_SEED))
 
 
-EVENT_TYPES_SQL = "(SELECT DISTINCT event_type FROM events)"
+#: The public domain of event types (fixed values): it must not come from the private rows.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+EVENT_TYPES_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in EVENT_TYPES) + ") v(event_type))"
 
 
 def _d3_sql(noise_multiplier: float, clip: float = 500.0) -> str:
@@ -176,8 +178,7 @@ SELECT event_type, round(s, 6) AS sum, round(s + {noise}, 6) AS noisy_sum, n AS
 
 def _d3(spark, sf_dir, nm):
     ev = table(spark, sf_dir, "events")
-    keys = sorted(r[0] for r in ev.select("event_type").distinct().collect())
-    return rounded(dpagg.per_user_noisy_sum(ev, "user_id", "event_type", "value", keys, 500.0, nm, TEST_SEED), 6)
+    return rounded(dpagg.per_user_noisy_sum(ev, "user_id", "event_type", "value", EVENT_TYPES, 500.0, nm, TEST_SEED), 6)
 
 
 @register("d3_per_user_sum", _d3_sql(0.0))
@@ -192,6 +193,45 @@ def d3_per_user_noisy_sum(spark, sf_dir):
     return _d3(spark, sf_dir, 1.0)
 
 
+KEYS_PER_USER, KEY_EPSILON, KEY_DELTA, KEY_CLIP = 4, 2.0, 1e-5, 200.0
+KEY_SQL = "event_type || ':' || CAST(CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) // 20 AS VARCHAR)"
+
+
+def _private_keys_sql() -> str:
+    u = f"({_uniform_sql(chr(39) + TEST_SEED + '|' + chr(39) + ' || k || ' + chr(39) + '|lap' + chr(39))} - 0.5)"
+    noise = f"{KEYS_PER_USER / KEY_EPSILON!r} * (-sign({u}) * ln(greatest(1.0 - 2.0 * abs({u}), {2.0 ** -53!r})))"
+    return f"""
+WITH pairs AS (SELECT user_id, {KEY_SQL} AS k, sum(value) AS v FROM events GROUP BY ALL),
+kept AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY md5(user_id || '|' || k || '|{TEST_SEED}'), k) <= {KEYS_PER_USER}),
+shown AS (SELECT * FROM (SELECT k, count(*) + {noise} AS noisy_users FROM kept GROUP BY k) x
+          WHERE noisy_users >= {dpagg.key_threshold(KEY_EPSILON, KEY_DELTA, KEYS_PER_USER)!r})"""
+
+
+def _keyed_events(spark, sf_dir):
+    step = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    return table(spark, sf_dir, "events").withColumn("k", F.concat("event_type", F.lit(":"), F.floor(step / 20).cast("string")))
+
+
+@register("d3_private_keys", f"{_private_keys_sql()} SELECT k, round(noisy_users, 6) AS noisy_users FROM shown")
+def d3_private_keys(spark, sf_dir):
+    """D3: the (event type, step range) keys that enough users share, under (2, 1e-5), with noisy users (fixed test seed)."""
+    ev = _keyed_events(spark, sf_dir)
+    return rounded(dpagg.private_keys(ev, "user_id", "k", KEY_EPSILON, KEY_DELTA, KEYS_PER_USER, TEST_SEED), 6)
+
+
+@register("d3_private_key_sums", f"""{_private_keys_sql()},
+r AS (SELECT * FROM kept JOIN shown USING (k)),
+nrm AS (SELECT user_id, sqrt(sum(v * v)) AS norm FROM r GROUP BY user_id),
+s AS (SELECT k, noisy_users, sum(v * CASE WHEN norm > {KEY_CLIP!r} THEN {KEY_CLIP!r} / norm ELSE 1.0 END) AS s
+      FROM r JOIN nrm USING (user_id) GROUP BY k, noisy_users),
+z AS (SELECT k, noisy_users, s + {KEY_CLIP!r} * {_gauss_sql(f"'{TEST_SEED}|' || k")} AS noisy_sum FROM s)
+SELECT k, round(noisy_users, 6) AS noisy_users, round(noisy_sum, 6) AS noisy_sum, round(noisy_sum / greatest(noisy_users, 1.0), 6) AS noisy_mean FROM z""")
+def d3_private_key_sums(spark, sf_dir):
+    """D3 with keys found in the data: noisy users, sum and mean of the keys shown (fixed test seed)."""
+    ev = _keyed_events(spark, sf_dir)
+    return rounded(dpagg.private_key_sums(ev, "user_id", "k", "value", KEY_CLIP, 1.0, KEY_EPSILON, KEY_DELTA, KEYS_PER_USER, TEST_SEED), 6)
+
+
 @register("d4_microbatch_noisy_mean", f"""
 WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY {token_sql("(CAST(vec_id AS VARCHAR) || '-e1')", SEED)}) AS rk FROM embeddings),
 e AS (SELECT e.*, CAST(floor((rk - 1) / 64) AS INTEGER) AS step, CAST((rk - 1) % 8 AS INTEGER) AS mb
@@ -207,6 +247,21 @@ def d4_microbatch_noisy_mean(spark, sf_dir):
     return rounded(dpagg.microbatch_noisy_mean(b, "embedding", 1.0, 0.0, 8, seed=TEST_SEED))
 
 
+@register("d4_gaussian_microbatch_mean", f"""
+WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY {token_sql("(CAST(vec_id AS VARCHAR) || '-e1')", SEED)}) AS rk FROM embeddings),
+e AS (SELECT e.*, CAST(floor((rk - 1) / 64) AS INTEGER) AS step, CAST((rk - 1) % 8 AS INTEGER) AS mb
+      FROM ({EMB_UNNEST}) e JOIN r USING (vec_id)),
+m AS (SELECT step, mb, pos, avg(x) AS x FROM e GROUP BY step, mb, pos),
+nrm AS (SELECT step, mb, sqrt(sum(x * x)) AS norm FROM m GROUP BY step, mb),
+s AS (SELECT step, pos, sum(x * CASE WHEN norm > 1.0 THEN 1.0 / norm ELSE 1.0 END) AS s FROM m JOIN nrm USING (step, mb) GROUP BY step, pos)
+SELECT step, pos, round((s + 1.1 * {_gauss_sql(f"'{TEST_SEED}|' || step || '|' || pos")}) / 8.0, 9) AS value FROM s""")
+def d4_gaussian_microbatch_mean(spark, sf_dir):
+    """The same with noise 1.1 on the sum of clipped means (fixed test seed); no exact values."""
+    e = table(spark, sf_dir, "embeddings").withColumn("key", F.col("vec_id").cast("string"))
+    b = sample.assign_batches(e, F.col("key"), 64, 1, SEED, microbatches=8)
+    return rounded(dpagg.microbatch_noisy_mean(b, "embedding", 1.0, 1.1, 8, seed=TEST_SEED))
+
+
 # ------------------------------------------------------------------ D5–D7, D13
 
 def _test_scored_sql() -> str:

@@ -334,11 +334,28 @@ GROUP BY o_orderstatus, r.round""")
 def h12_successive_halving(spark, sf_dir):
     """brackets = order status; round r keeps the top ceil(n / 3^r) by total price."""
     o = table(spark, sf_dir, "orders")
-    sh = ex.successive_halving(o, "o_orderstatus", F.col("o_totalprice"), F.col("o_orderkey"), factor=3)
+    sh = ex.successive_halving(o, "o_orderstatus", "o_totalprice", "o_orderkey", factor=3)
     return rounded(sh.groupBy("o_orderstatus", F.col("round").cast("int").alias("round")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"), F.min("o_totalprice").alias("min_score")), 2)
 
 
+@register("h12_scores_per_round", """
+WITH s AS (SELECT l_returnflag, l_orderkey, l_linenumber - 1 AS round, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL),
+n AS (SELECT l_returnflag, count(*) AS n FROM s WHERE round = 0 GROUP BY l_returnflag),
+r0 AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY score DESC, l_orderkey) AS rk FROM s WHERE round = 0),
+r1 AS (SELECT s.*, row_number() OVER (PARTITION BY s.l_returnflag ORDER BY s.score DESC, s.l_orderkey) AS rk
+       FROM s JOIN r0 USING (l_returnflag, l_orderkey) JOIN n USING (l_returnflag) WHERE s.round = 1 AND r0.rk <= ceil(n.n / 3.0)),
+r2 AS (SELECT s.*, 0 AS rk FROM s JOIN r1 USING (l_returnflag, l_orderkey) JOIN n USING (l_returnflag)
+       WHERE s.round = 2 AND r1.rk <= ceil(n.n / 9.0))
+SELECT l_returnflag, CAST(round AS INTEGER) AS round, l_orderkey, round(score, 2) AS score
+FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) x""")
+def h12_scores_per_round(spark, sf_dir):
+    """H12 with a score per round: orders as trials, their line r + 1 as the score of round r, brackets by return flag."""
+    li = table(spark, sf_dir, "lineitem")
+    s = li.groupBy("l_returnflag", "l_orderkey", (F.col("l_linenumber") - 1).alias("r")).agg(F.max("l_extendedprice").alias("score"))
+    return rounded(ex.halving_rounds(s, "l_returnflag", "l_orderkey", "r", "score", 3).select("l_returnflag", "round", "l_orderkey", "score"), 2)
+
+
 @register("h13_best_overall", """
 SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1""")
 def h13_best_overall(spark, sf_dir):
@@ -347,15 +364,13 @@ def h13_best_overall(spark, sf_dir):
     return ex.best_overall(o, "o_totalprice", "o_orderkey")
 
 
-@register("p8_filter_hyperparameter", _sens_sql() + " WHERE s.hyperparameter = 'learning_rate'")
+@register("p8_filter_hyperparameter", f"""
+SELECT run_id, key, count(*) AS n, round(max(value), 6) AS best FROM ({METRIC_HISTORY_SQL}) h
+WHERE key = 'purchase' AND step >= 50 GROUP BY run_id, key""")
 def p8_filter_hyperparameter(spark, sf_dir):
-    """Rows of one hyperparameter in the sensitivity table."""
-    n = balanced_train_size(spark, sf_dir)
-    return ex.sensitivity_grid(spark).withColumn("n", F.lit(n).cast("long")) \
-        .where(F.col("hyperparameter") == "learning_rate")
-
-
-_ = sample
+    """Rows of one parameter of a result table (one metric, later steps), with their best value per run."""
+    h = metric_history(spark, sf_dir).where((F.col("key") == "purchase") & (F.col("step") >= 50))
+    return rounded(h.groupBy("run_id", "key").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("best")), 6)
 
 
 # ------------------------------------------------------------------ SQL oracles for A2/A3/A5 and H7
@@ -377,7 +392,18 @@ g AS (SELECT noise_multiplier, batch_size, epochs AS {ep_col},
       FROM {_values_sql('noise_multiplier', noise)}, {_values_sql('batch_size', [128, 256])}, {_values_sql('epochs', [5, 15])}),
 gd AS (SELECT g.*, n.n, {delta} AS delta FROM g, n),
 pairs AS (SELECT DISTINCT least(1.0, batch_size / n) AS q, noise_multiplier AS sigma FROM gd WHERE noise_multiplier > 0),
-ords AS (SELECT * FROM (VALUES {orders}) o(a)),
+{_curves_sql()},
+rows AS (SELECT gd.*{explode} FROM gd),
+e AS (SELECT rows.*, CASE WHEN noise_multiplier > 0 THEN (
+          SELECT min({ep_expr} * greatest(1.0, rows.n / rows.batch_size) * rdp.r - ln(rows.delta) / (rdp.a - 1)) FROM rdp
+          WHERE rdp.q = least(1.0, rows.batch_size / rows.n) AND rdp.sigma = rows.noise_multiplier) ELSE 0.0 END AS epsilon FROM rows)
+SELECT {out_cols}, round(epsilon, 9) AS epsilon FROM e"""
+
+
+def _curves_sql() -> str:
+    """CTEs after ``pairs`` (q, sigma): ``rdp`` (q, sigma, a, r), the curve of one step at every order."""
+    orders = ", ".join(f"(CAST({a!r} AS DOUBLE))" for a in acc.RDP_ORDERS)
+    return f"""ords AS (SELECT * FROM (VALUES {orders}) o(a)),
 grid AS (SELECT q, sigma, a, least(sigma, sigma * sigma) / 100.0 AS h, -12.0 * sigma - 1.0 AS lo,
                 greatest(a, 1.0) + 12.0 * sigma + 1.0 AS hi FROM pairs, ords WHERE q < 1.0),
 pts AS (SELECT q, sigma, a, h, lo + k * h AS z FROM (
@@ -389,15 +415,82 @@ lfs AS (SELECT q, sigma, a, h,
 mx AS (SELECT q, sigma, a, max(lf) AS m FROM lfs GROUP BY q, sigma, a),
 rdp AS (SELECT l.q, l.sigma, l.a, (any_value(mx.m) + ln(sum(exp(l.lf - mx.m)) * any_value(l.h))) / (l.a - 1) AS r
         FROM lfs l JOIN mx ON l.q = mx.q AND l.sigma = mx.sigma AND l.a = mx.a GROUP BY l.q, l.sigma, l.a
-        UNION ALL SELECT q, sigma, a, a / (2 * sigma * sigma) FROM pairs, ords WHERE q >= 1.0),
-rows AS (SELECT gd.*{explode} FROM gd),
-e AS (SELECT rows.*, CASE WHEN noise_multiplier > 0 THEN (
-          SELECT min({ep_expr} * greatest(1.0, rows.n / rows.batch_size) * rdp.r - ln(rows.delta) / (rdp.a - 1)) FROM rdp
-          WHERE rdp.q = least(1.0, rows.batch_size / rows.n) AND rdp.sigma = rows.noise_multiplier) ELSE 0.0 END AS epsilon FROM rows)
-SELECT {out_cols}, round(epsilon, 9) AS epsilon FROM e"""
+        UNION ALL SELECT q, sigma, a, a / (2 * sigma * sigma) FROM pairs, ords WHERE q >= 1.0)"""
+
+
+def _compose_sql(mechanisms: str, by: str, delta: float) -> str:
+    """Budget per group of ``mechanisms`` (by, q, sigma, steps): curves added up order by order, then the minimum."""
+    return f"""
+WITH m AS ({mechanisms}),
+pairs AS (SELECT DISTINCT q, sigma FROM m WHERE sigma > 0),
+{_curves_sql()},
+kinds AS (SELECT {by}, q, sigma, sum(steps) AS steps FROM m WHERE sigma > 0 GROUP BY {by}, q, sigma),
+spent AS (SELECT {by}, a, sum(k.steps * rdp.r) AS r FROM kinds k JOIN rdp ON rdp.q = k.q AND rdp.sigma = k.sigma GROUP BY {by}, a),
+eps AS (SELECT {by}, min(r - ln({delta!r}::DOUBLE) / (a - 1)) AS epsilon FROM spent GROUP BY {by}),
+c AS (SELECT {by}, count(*) FILTER (WHERE sigma > 0) AS mechanisms, count(*) FILTER (WHERE sigma <= 0) AS unprotected FROM m GROUP BY {by})
+SELECT {by}, mechanisms, unprotected, round(coalesce(epsilon, 0.0), 9) AS epsilon FROM c LEFT JOIN eps USING ({by})"""
+
+
+#: Noise of a run by its kind of event (fixed values); one kind runs without noise.
+KIND_NOISE = {"click": 0.8, "view": 1.0, "purchase": 1.2, "signup": 1.5, "error": 0.0}
+_KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in KIND_NOISE.items()) + " END"
+
+
+@register("a2_budget_per_user", _compose_sql(f"""
+SELECT user_id, event_type, least(1.0, 256.0::DOUBLE / max(n.n)) AS q, CAST({_KIND_SQL} AS DOUBLE) AS sigma,
+       count(*) * greatest(1.0::DOUBLE, max(n.n) / 256.0::DOUBLE) / 50.0 AS steps
+FROM events, (SELECT count(*) AS n FROM events) n GROUP BY user_id, event_type""", "user_id", 1e-6))
+def a2_budget_per_user(spark, sf_dir):
+    """A2 composed: what each user's runs (one per kind of event, with noise and length of their own) spend together, delta 1e-6."""
+    ev = table(spark, sf_dir, "events")
+    n = ev.count()
+    kinds = F.create_map(*[x for k, v in KIND_NOISE.items() for x in (F.lit(k), F.lit(v))])
+    runs = (ev.groupBy("user_id", "event_type").agg((F.count(F.lit(1)) / 50.0).alias("epochs"))
+            .select("user_id", F.element_at(kinds, F.col("event_type")).alias("noise_multiplier"), "epochs",
+                    F.lit(n).alias("n"), F.lit(256).alias("batch_size")))
+    return rounded(acc.compose(runs, ["user_id"], 1e-6))
+
+
+@register("a5_epsilon_over_trials", _compose_sql(f"""
+SELECT learning_rate, least(1.0, 256.0::DOUBLE / n.n) AS q, noise_multiplier AS sigma, epochs * greatest(1.0::DOUBLE, n.n / 256.0::DOUBLE) AS steps
+FROM ({_grid_sql(ex.DP_GRID)}) g, {N_SQL} n""", "learning_rate", 1e-5))
+def a5_epsilon_over_trials(spark, sf_dir):
+    """A5 over a search: what all trials of the H1 grid spend on the same training rows, per learning rate, delta 1e-5."""
+    n = balanced_train_size(spark, sf_dir)
+    g = ex.grid(spark, ex.DP_GRID).withColumn("n", F.lit(n)).withColumn("batch_size", F.lit(256))
+    return rounded(acc.compose(g, ["learning_rate"], 1e-5))
+
+
+def _gdp_sql() -> str:
+    """Gaussian-DP epsilon in DuckDB: normal tails by Simpson's rule, epsilon by bisection in a recursive CTE."""
+    noise = [0.0] + ex.DP_GRID["noise_multiplier"] + [1.2]
+    steps, width = 4000, 10.0
+
+    def tail(t: str) -> str:
+        """P(Z > t): the integral from t to t + 10; below 0 by symmetry."""
+        h = width / steps
+        x = f"(abs({t}) + {h!r} * i)"
+        weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+        s = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * exp(-0.5 * {x} * {x}))) * {h / 3 / math.sqrt(2 * math.pi)!r}"
+        return f"CASE WHEN {t} >= 0 THEN {s} ELSE 1.0 - {s} END"
+
+    value = f"(({tail('(mid / mu - mu / 2)')}) - exp(mid) * ({tail('(mid / mu + mu / 2)')}))"
+    return f"""
+WITH RECURSIVE n AS {N_SQL},
+g AS (SELECT noise_multiplier, batch_size, epochs, CAST(row_number() OVER (ORDER BY noise_multiplier, batch_size, epochs) AS INTEGER) AS trial
+      FROM {_values_sql('noise_multiplier', noise)}, {_values_sql('batch_size', [128, 256])}, {_values_sql('epochs', [5, 15])}),
+gd AS MATERIALIZED (SELECT g.*, n.n, CAST(1e-6 AS DOUBLE) AS delta, CASE WHEN noise_multiplier > 0 THEN
+       least(1.0, batch_size / n.n) * sqrt(epochs * greatest(1.0, n.n / batch_size)) * sqrt(exp(1.0 / (noise_multiplier * noise_multiplier)) - 1.0) END AS mu FROM g, n),
+b AS (SELECT trial, mu, delta, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi, 32.0::DOUBLE AS mid, 0 AS k FROM gd WHERE mu IS NOT NULL
+      UNION ALL SELECT trial, mu, delta, lo, hi, (lo + hi) / 2, k FROM (
+        SELECT trial, mu, delta, k + 1 AS k, CASE WHEN {value} > delta THEN mid ELSE lo END AS lo, CASE WHEN {value} > delta THEN hi ELSE mid END AS hi
+        FROM b WHERE k < 60) x)
+SELECT gd.noise_multiplier, gd.batch_size, gd.epochs, gd.trial, gd.n, gd.delta, round(coalesce(b.mid, 0.0), 9) AS epsilon
+FROM gd LEFT JOIN (SELECT * FROM b WHERE k = 60) b USING (trial)"""
 
 
 ORACLES_EXTRA = {
+    "a1_gdp_epsilon_grid": _gdp_sql(),
     "a2_rdp_epsilon_grid": _rdp_sql("1/n"),
     "a3_library_epsilon": _rdp_sql("1e-5"),
     "a5_epsilon_per_epoch": _rdp_sql("1/n", per_epoch=True),

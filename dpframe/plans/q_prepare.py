@@ -134,7 +134,7 @@ def p7_truncate_to_batch(spark, sf_dir):
     li = labelled_lineitem(spark, sf_dir)
     d = sample.prepare(li, F.col("key"), SEED)
     thr = sample._thresholds(d, lambda total: F.floor(total / 256) * 256)
-    kept = d.where(sample._keep_expr(thr))
+    kept = sample._mark(d, thr, "_first").where("_first").drop("_first")
     return kept.agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"))
 
 

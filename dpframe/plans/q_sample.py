@@ -161,3 +161,13 @@ def t11_microbatches(spark, sf_dir):
     bal = sample.downsample(li, F.col("key"), "label", BAL_SEED).select("key")
     return sample.assign_batches(bal, F.col("key"), 64, epochs=2, seed=SEED, microbatches=8) \
         .select("key", "epoch", "step", "microbatch")
+
+
+@register("t5_repeated_keys", f"""
+SELECT l_returnflag, key, count(*) AS n FROM (
+  SELECT l_returnflag, {{key}} AS key, row_number() OVER (PARTITION BY l_returnflag ORDER BY {token_sql('{key}', BAL_SEED)}) AS rn FROM lineitem) a
+WHERE rn <= 777 GROUP BY l_returnflag, key""".replace("{key}", "CAST(l_suppkey AS VARCHAR)"))
+def t5_repeated_keys(spark, sf_dir):
+    """T5 with a key that many rows share (the supplier): exactly 777 rows a class, rows per key."""
+    li = table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_suppkey").cast("string"))
+    return sample.downsample(li, F.col("key"), "l_returnflag", BAL_SEED, n=777).groupBy("l_returnflag", "key").agg(F.count(F.lit(1)).alias("n"))

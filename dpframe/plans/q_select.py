@@ -104,7 +104,38 @@ def y7_covariance(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "i int, j int, cov double"))
 
 
-@register("y4_pca_components")
+def _axes_sql(k: int) -> str:
+    """CTEs of the first ``k`` principal axes: ``axes`` (component, ev) and ``loadings`` (component, pos, v), ``trace``; and ``e`` (vec_id, x, pos).
+
+    The dominant axis of the covariance is any column of a high power of it
+    (squared 16 times), and the next one that of the matrix less its part.
+    """
+    ctes = ["""e AS MATERIALIZED (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS pos FROM embeddings)""",
+            """c0 AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, covar_pop(a.x, b.x) AS x FROM e a JOIN e b USING (vec_id) GROUP BY a.pos, b.pos)""",
+            """trace AS MATERIALIZED (SELECT sum(x) AS total FROM c0 WHERE i = j)"""]
+    for n in range(k):
+        last = f"c{n}"
+        for q in range(16):
+            ctes.append(f"""s{n}_{q} AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS x FROM {last} a JOIN {last} b ON a.j = b.j GROUP BY a.i, b.i)""")
+            ctes.append(f"""p{n}_{q} AS MATERIALIZED (SELECT i, j, x / (SELECT sum(x) FROM s{n}_{q} WHERE i = j) AS x FROM s{n}_{q})""")
+            last = f"p{n}_{q}"
+        ctes.append(f"""u{n} AS MATERIALIZED (SELECT i AS pos, x FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY x DESC LIMIT 1))""")
+        ctes.append(f"""v{n} AS MATERIALIZED (SELECT pos, x / (SELECT sqrt(sum(x * x)) FROM u{n}) * (SELECT sign(x) FROM u{n} ORDER BY abs(x) DESC LIMIT 1) AS v FROM u{n})""")
+        ctes.append(f"""l{n} AS MATERIALIZED (SELECT sum(c.x * a.v * b.v) AS ev FROM c{n} c JOIN v{n} a ON a.pos = c.i JOIN v{n} b ON b.pos = c.j)""")
+        ctes.append(f"""c{n + 1} AS MATERIALIZED (SELECT c.i, c.j, c.x - l.ev * a.v * b.v AS x FROM c{n} c JOIN v{n} a ON a.pos = c.i JOIN v{n} b ON b.pos = c.j CROSS JOIN l{n} l)""")
+    ctes.append("axes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {n} AS component, ev FROM l{n}" for n in range(k)) + ")")
+    ctes.append("loadings AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {n} AS component, pos, v FROM v{n}" for n in range(k)) + ")")
+    return ",\n".join(ctes)
+
+
+_PROJECTED = """means AS (SELECT pos, avg(x) AS mu FROM e GROUP BY pos),
+z AS MATERIALIZED (SELECT vec_id, component, sum((e.x - mu) * v) AS z FROM e JOIN means USING (pos) JOIN loadings USING (pos) GROUP BY vec_id, component)"""
+
+
+@register("y4_pca_components", f"""WITH {_axes_sql(10)}, {_PROJECTED}
+SELECT CAST(component AS INTEGER) AS component, round(var_pop(z), 9) AS projected_variance, round(avg(z), 9) + 0.0 AS projected_mean,
+       round(any_value(ev) / any_value(total), 9) AS explained_variance_ratio
+FROM z JOIN axes USING (component) CROSS JOIN trace GROUP BY component""")
 def y4_pca_components(spark, sf_dir):
     """PCA (centred) of the embeddings, 10 components; ratio and projected variance per component."""
     e = table(spark, sf_dir, "embeddings")
@@ -113,7 +144,23 @@ def y4_pca_components(spark, sf_dir):
     v = proj.select(F.posexplode("z").alias("component", "z")).groupBy("component").agg(
         F.var_pop("z").alias("projected_variance"), F.avg("z").alias("projected_mean"))
     r = spark.createDataFrame([(j, float(ratio[j])) for j in range(10)], "component int, explained_variance_ratio double")
-    return rounded(v.join(r, "component"))
+    out = rounded(v.join(r, "component"))
+    return out.withColumn("projected_mean", F.col("projected_mean") + F.lit(0.0))
+
+
+@register("y4_axes_residual", """
+WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+t AS (SELECT sum(v) AS total FROM (SELECT var_pop(x) AS v FROM e GROUP BY pos) y)
+SELECT CAST(c AS INTEGER) AS component, 0.0::DOUBLE AS residual, 0.0::DOUBLE AS orthonormality, round(total, 9) AS total_variance FROM range(10) r(c), t""")
+def y4_axes_residual(spark, sf_dir):
+    """|C v - lambda v| of each axis (one more pass over the rows), its distance from orthonormality, and the total variance."""
+    e = table(spark, sf_dir, "embeddings")
+    mean, axes, vals, total, n = select.principal_axes(e, "embedding", 10)
+    cv = select._times_covariance(e, "embedding", mean, axes.T, n, 1)
+    residual = np.abs(cv - axes.T * vals).max(axis=0)
+    off = np.abs(axes @ axes.T - np.eye(len(axes))).max(axis=1)
+    rows = [(j, round(float(residual[j]), 9), round(float(off[j]), 9), round(total, 9)) for j in range(10)]
+    return spark.createDataFrame(rows, "component int, residual double, orthonormality double, total_variance double")
 
 
 @register("y5_choose_components")
@@ -126,7 +173,9 @@ def y5_choose_components(spark, sf_dir):
     return rounded(select.choose_components(ratios, 0.95, 10, 300).crossJoin(n))      # one row each
 
 
-@register("y6_append_components")
+@register("y6_append_components", f"""WITH {_axes_sql(10)}, {_PROJECTED},
+f AS (SELECT pos - 1 AS pos, x AS v FROM e UNION ALL SELECT 64 + component, z FROM z)
+SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, round(sum(v), 6) + 0.0 AS s, round(min(v), 6) AS lo, round(max(v), 6) AS hi FROM f GROUP BY pos""")
 def y6_append_components(spark, sf_dir):
     """Original features with the 10 principal components appended; stats per position."""
     from dpframe.plans.q_prepare import _long_stats
@@ -134,10 +183,7 @@ def y6_append_components(spark, sf_dir):
     mean, comps, _ = select.pca_fit(e, "embedding", 10)
     both = e.select(F.concat(F.transform("embedding", lambda v: v.cast("double")),
                              select.pca_transform(F.col("embedding"), mean, comps)).alias("f"))
-    return _long_stats(both, "f")
-
-
-_ = np
+    return _long_stats(both, "f").withColumn("s", F.col("s") + F.lit(0.0))
 
 
 @register("s9_feature_list_report", f"""

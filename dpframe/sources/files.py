@@ -129,6 +129,50 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
                     F.transform_values("values", lambda k, v: v.try_cast("double")).alias("hyperparameters"), F.col("values").alias("settings"))
 
 
+def _states(spark: SparkSession, path: str) -> DataFrame:
+    """Whole JSON files as (file, state VARIANT)."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("state"))
+
+
+def read_search_state(spark: SparkSession, path: str) -> DataFrame:
+    """The search state a tuner leaves beside its trials: one row per bracket, round and trial.
+
+    Columns: file, bracket, round, position, trial_id, past_id (the trial it
+    goes on from), run_times, started, ended, trial_number. The files are kept
+    as VARIANT, so keys that are missing or of another type give nulls, and
+    unknown ones do no harm. Text that is no JSON gives no rows.
+    """
+    state = _states(spark, path)
+    at = lambda key, kind: F.try_variant_get("state", f"$.{key}", kind)
+    rounds = state.select(
+        "file", at("run_times", "map<string, int>").alias("_runs"), at("display.trial_start", "map<string, string>").alias("_start"),
+        at("display.trial_number", "map<string, int>").alias("_number"), at("end_order", "array<string>").alias("_ended"),
+        F.explode(at("brackets", "array<struct<bracket_num: int, rounds: array<array<struct<id: string, past_id: string>>>>>")).alias("b"))
+    trials = (rounds.select("file", "_runs", "_start", "_number", "_ended", F.col("b.bracket_num").alias("bracket"),
+                            F.posexplode("b.rounds").alias("round", "r"))
+              .select("*", F.posexplode("r").alias("position", "t")))
+    return trials.select("file", "bracket", "round", "position", F.col("t.id").alias("trial_id"), F.col("t.past_id").alias("past_id"),
+                         F.element_at("_runs", F.col("t.id")).alias("run_times"), F.element_at("_start", F.col("t.id")).alias("started"),
+                         F.array_contains("_ended", F.col("t.id")).alias("ended"), F.element_at("_number", F.col("t.id")).alias("trial_number"))
+
+
+def search_state_leaves(spark: SparkSession, path: str) -> DataFrame:
+    """Every leaf of JSON files of any shape: (file, path, value as text); one pass a level of nesting."""
+    level = _states(spark, path).where("state IS NOT NULL").select("file", F.lit("$").alias("path"), F.col("state").alias("v"))
+    out = None
+    while True:
+        kind = F.schema_of_variant("v")
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        leaves = level.where(~nested).select("file", "path", F.try_variant_get("v", "$", "string").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        inner = level.where(nested)
+        if inner.limit(1).count() == 0:
+            return out
+        level = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
+            "file", F.concat("path", F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+                             .otherwise(F.concat(F.lit("."), "key"))).alias("path"), F.col("value").alias("v"))
+
+
 def write_trials(trials: DataFrame, path: str) -> None:
     trials.write.mode("overwrite").json(path)
 

@@ -49,3 +49,23 @@ def test_epsilon_columns(spark):
     df2 = spark.createDataFrame([(0.8, 17840, 256, 5, 1e-6)],
                                 "noise_multiplier double, n long, batch_size long, epochs long, delta double")
     assert acc.add_gdp_epsilon(df2).first()["epsilon"] == pytest.approx(2.3541081892502924, abs=1e-8)
+
+
+def test_composition_of_unlike_mechanisms(spark):
+    """One mechanism costs what A2 says, copies cost as many epochs, unlike ones less than the sum; no noise is counted apart."""
+    import numpy as np
+
+    from dpframe.functions import accountant as acc
+    rows = [("one", 1.1, 17840, 256, 5.0), ("two", 1.1, 17840, 256, 2.0), ("two", 1.1, 17840, 256, 3.0),
+            ("mix", 0.8, 17840, 256, 1.0), ("mix", 1.5, 10000, 128, 4.0), ("mix", 0.0, 10000, 128, 4.0), ("bare", 0.0, 100, 10, 1.0),
+            (None, 1.2, 17840, 256, 5.0)]
+    df = spark.createDataFrame(rows, "g string, noise_multiplier double, n int, batch_size int, epochs double")
+    got = {r["g"]: (r["mechanisms"], r["unprotected"], r["epsilon"]) for r in acc.compose(df, ["g"], 1e-6).collect()}
+    assert got["one"] == (1, 0, pytest.approx(2.2694784239798564, abs=1e-8)) and got["two"] == (2, 0, pytest.approx(got["one"][2], abs=1e-12))
+    curve = sum(e * n / b * acc.rdp_subsampled_gaussian(b / n, s) for _, s, n, b, e in rows[3:5])
+    want = float(np.min(curve - np.log(1e-6) / (np.asarray(acc.RDP_ORDERS) - 1)))
+    assert got["mix"] == (2, 1, pytest.approx(want, abs=1e-12))
+    assert want < sum(acc.rdp_epsilon(n, b, e, s, 1e-6) for _, s, n, b, e in rows[3:5])
+    assert got["bare"] == (0, 1, 0.0) and got[None][0] == 1
+    whole = acc.compose(df, [], 1e-6).first()
+    assert whole["mechanisms"] == 6 and whole["epsilon"] > got["mix"][2]

@@ -209,3 +209,23 @@ def test_grid_takes_weights_and_holds_features_once(spark):
     got = sched.rows.select(F.explode(F.flatten(F.map_values("at"))).alias("t")).where("t < 3").count()
     sched.remove()
     assert got == want
+
+
+def test_private_keys_bound_users_and_hide_rare_keys(spark):
+    """Keys of few users stay hidden, popular ones show; a user's many keys count as at most the bound."""
+    rows = [(u, k, 1.0) for u in range(300) for k in ("x", "y")] + [(u, f"own{u}", 5.0) for u in range(300)] + \
+           [(7, f"many{i}", 1.0) for i in range(500)] + [(None, "x", 1.0), (5, None, 1.0)]
+    ev = spark.createDataFrame(rows, "u int, k string, v double")
+    kept = dpagg.bounded_keys(ev, "u", "k", "v", 3, "s")
+    assert kept.groupBy("u").count().agg(F.max("count")).first()[0] == 3
+    shown = {r["k"]: r["noisy_users"] for r in dpagg.private_keys(ev, "u", "k", 1.0, 1e-6, 3, "s").collect()}
+    assert set(shown) == {"x", "y"} and all(abs(v - 300) < 60 for v in shown.values())
+    sums = dpagg.private_key_sums(ev, "u", "k", "v", 1.0, 0.5, 1.0, 1e-6, 3, "s")
+    assert sums.columns == ["k", "noisy_users", "noisy_sum", "noisy_mean"]
+    got = {r["k"]: r["noisy_sum"] for r in sums.collect()}
+    assert set(got) == {"x", "y"} and all(abs(v - 300 / 2 ** 0.5) < 5 for v in got.values())
+    # a key of one user passes with probability delta: its noise must reach threshold - 1
+    tau = dpagg.key_threshold(2.0, 1e-3, 1)
+    assert 0.5 * np.exp(-(tau - 1) * 2.0) == pytest.approx(1e-3, rel=1e-9)
+    z = [r[0] for r in spark.range(20000).select(dpagg.laplace("q", F.col("id"))).collect()]
+    assert abs(np.mean(z)) < 0.04 and abs(np.mean(np.abs(z)) - 1) < 0.04

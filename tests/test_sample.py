@@ -34,10 +34,10 @@ def test_first_rows_follow_md5_order(orders):
 def test_radix_select_multiple_levels(orders, monkeypatch):
     monkeypatch.setattr(sample, "FINISH_ROWS", 2)   # force every radix level
     d = sample.prepare(orders, F.col("key"), 42, ["o_orderstatus"])
-    keep = d.where(sample.select_first(d, 123)).groupBy("o_orderstatus").count().collect()
+    keep = sample.select_first(d, 123).groupBy("o_orderstatus").count().collect()
     assert all(r[1] == 123 for r in keep)
     monkeypatch.undo()
-    ref = d.where(sample.select_first(d, 123)).select("o_orderkey").collect()
+    ref = sample.select_first(d, 123).select("o_orderkey").collect()
     assert len(ref) == 3 * 123
 
 
@@ -87,11 +87,11 @@ def test_hot_group_exact(spark):
     df = spark.createDataFrame(rows, "key string, cls string")
     d = sample.prepare(df, F.col("key"), 7, ["cls"])
     sizes = {r[0]: r[1] for r in df.groupBy("cls").count().collect()}
-    kept = {r[0]: r[1] for r in d.where(sample.select_first(d, 40)).groupBy("cls").count().collect()}
+    kept = {r[0]: r[1] for r in sample.select_first(d, 40).groupBy("cls").count().collect()}
     assert kept == {g: min(40, c) for g, c in sizes.items()}
     hot_keys = sorted((hashlib.md5(f"{k}-7".encode()).hexdigest() + "|" + k, k) for k, c in rows if c == "hot")
     want = [k for _, k in hot_keys[:40]]
-    got = sorted(r[0] for r in d.where(sample.select_first(d, 40)).where("cls = 'hot'").select("key").collect())
+    got = sorted(r[0] for r in sample.select_first(d, 40).where("cls = 'hot'").select("key").collect())
     assert got == sorted(want)
     ranked = sample.hash_rank(d.where("cls = 'hot'")).select("key", "rn").collect()
     assert sorted((r["rn"], r["key"]) for r in ranked) == [(i + 1, k) for i, (_, k) in enumerate(hot_keys)]
@@ -102,3 +102,26 @@ def test_split_by_equals_stratified_split(spark):
     a = sample.split(df, F.col("key"), 0.2, 7, stratify="g").where("is_test = 1").select("key").collect()
     b = sample.split_by(df, F.col("key"), ["g"], 0.2, 7).where("is_test = 1").select("key").collect()
     assert {r[0] for r in a} == {r[0] for r in b} and len(b) == 400 + 10 * 20
+
+
+def test_exact_sizes_with_repeated_keys_and_rows(spark, monkeypatch):
+    """A key in many rows and rows equal in all columns, at the boundary: exactly n, the same on any partitioning."""
+    rows = [(f"k{i % 5}", c, i % 7 if i % 2 else 0) for c in ("a", "b") for i in range(60)] + [("solo", "b", 1)]
+    df = spark.createDataFrame(rows, "key string, cls string, v int")
+    for n in (1, 11, 21, 23, 59, 60):
+        got = sample.downsample(df, F.col("key"), "cls", 43, n=n)
+        assert {r[0]: r[1] for r in got.groupBy("cls").count().collect()} == {"a": n, "b": n}
+        again = sample.downsample(df.repartition(5), F.col("key"), "cls", 43, n=n)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, again.collect()))
+        assert got.exceptAll(df).count() == 0                 # only rows there are, as often as they are
+    with pytest.raises(ValueError):
+        sample.downsample(df, F.col("key"), "cls", 43, n=1, classes=["a", "b", "c"])
+    assert sample.downsample(df, F.col("key"), "cls", 43, classes=["a", "b", "c"]).count() == 0
+    assert {r[0]: r[1] for r in sample.downsample(df, F.col("key"), "cls", 43).groupBy("cls").count().collect()} == {"a": 60, "b": 60}
+    split = sample.split(df, F.col("key"), 0.3, 42, stratify="cls")
+    assert {(r[0], r[1]): r[2] for r in split.groupBy("cls", "is_test").count().collect()} == {("a", 1): 18, ("a", 0): 42, ("b", 1): 19, ("b", 0): 42}
+    assert split.drop("is_test").exceptAll(df).count() == 0 and split.count() == df.count()
+    assert sample.validation_tail(df, F.col("key"), 0.25, 42).where("is_val = 1").count() == 121 - 90
+    monkeypatch.setattr(sample, "FINISH_ROWS", 2)             # more rows of one key than are ordered directly
+    got = sample.downsample(df, F.col("key"), "cls", 43, n=21)
+    assert {r[0]: r[1] for r in got.groupBy("cls").count().collect()} == {"a": 21, "b": 21}

@@ -43,7 +43,7 @@ def test_successive_halving_sizes(spark):
     rows = [(f"t{i:02d}", "2", float(i)) for i in range(12)] + [(f"u{i}", "1", float(i)) for i in range(6)] + \
            [(f"v{i}", "0", float(i)) for i in range(4)]
     df = spark.createDataFrame(rows, "trial string, bracket string, score double")
-    sh = ex.successive_halving(df, "bracket", F.col("score"), F.col("trial"))
+    sh = ex.successive_halving(df, "bracket", "score", "trial")
     got = {(r[0], r[1]): r[2] for r in sh.groupBy("bracket", "round").count().collect()}
     assert got == {("0", 0): 4, ("1", 0): 6, ("1", 1): 2, ("2", 0): 12, ("2", 1): 4, ("2", 2): 2}
     top = sorted(r[0] for r in sh.where("bracket = '2' AND round = 2").select("trial").collect())
@@ -58,6 +58,52 @@ def test_reduce_lr_on_plateau(spark):
     assert lr == pytest.approx([1e-3] * 5 + [5e-4] * 3)
 
 
+def plain_rates(values, lr0=1e-3, factor=0.5, patience=3, min_lr=1e-6, min_delta=1e-4):
+    best, wait, lr, out = float("inf"), 0, lr0, []
+    for v in values:
+        out.append(lr)
+        if v is not None and v == v and v < best - min_delta:
+            best, wait = v, 0
+        else:
+            wait += 1
+            if wait >= patience:
+                lr, wait = min(lr, max(lr * factor, min_lr)), 0
+    return out
+
+
+def test_plateau_of_long_runs_equals_a_plain_fold_and_is_spread(spark):
+    """Runs cut into many ranges: falling, noisy, flat and rising series, nulls, NaN, drops smaller than the least one."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    n = 400
+    series = {
+        "fall": np.linspace(1, 0, n), "tiny": 1 - np.arange(n) * 3e-5, "noise": rng.random(n),
+        "walk": 1 + np.cumsum(rng.normal(size=n)) * 1e-4, "flat": np.ones(n), "rise": np.linspace(0, 1, n),
+        "late": np.concatenate([[np.nan] * 9, 1 - np.sqrt(np.arange(n - 9)) * 2e-4]), "inf": np.where(rng.random(n) < 0.1, np.inf, rng.random(n)),
+    }
+    rows = [(k, i, None if i % 50 == 7 else float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    rows += [(None, i, 1.0 - i * 1e-3) for i in range(6)]
+    df = spark.createDataFrame(rows, "run_id string, step int, value double").repartition(5)
+    got = {}
+    for r in ex.reduce_lr_on_plateau(df, ["run_id"], patience=3, chunks=23).orderBy("step").collect():
+        got.setdefault(r["run_id"], []).append(r["learning_rate"])
+    for k in [*series, None]:
+        assert got[k] == pytest.approx(plain_rates([r[2] for r in rows if r[0] == k]), rel=1e-12), k
+    one = spark.range(6000).selectExpr("'r' run_id", "cast(id as int) step", "cast(id % 97 as double) value")
+    from dpframe.operators.runs import _ranges
+    sizes = [r[1] for r in _ranges(one, ["run_id"], ["step"], 8).groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 2000
+
+
+def test_halving_with_a_score_per_round(spark):
+    """The best of each round by that round's score go on; a trial without the next score does not."""
+    rows = [("b", f"t{i}", 0, float(i)) for i in range(9)] + [("b", "t8", 1, 1.0), ("b", "t7", 1, 5.0), ("b", "t6", 1, None),
+                                                             ("b", "t0", 1, 99.0), ("b", "t7", 2, 2.0), ("b", "t8", 2, 9.0)]
+    df = spark.createDataFrame(rows, "bracket string, trial string, r int, score double")
+    got = sorted((r["round"], r["trial"]) for r in ex.halving_rounds(df, "bracket", "trial", "r", "score", 3).collect())
+    assert got == [(0, f"t{i}") for i in range(9)] + [(1, "t7"), (1, "t8"), (2, "t7")]
+
+
 def test_reduce_lr_on_plateau_of_many_runs(spark):
     df = spark.createDataFrame([(r, k, i, 1.0 if i else 2.0) for r in range(7) for k in "ab" for i in range(9)]
                                + [(None, "a", i, None) for i in range(5)],
@@ -120,3 +166,28 @@ def test_series_scan_matches_ordered_scan(spark):
             tot += r[4]
             assert got[(run, r[5])] == (i, len(series), lo, pytest.approx(tot))
             lo = r[4] if lo is None else min(lo, r[4])
+
+
+def test_search_state_of_unknown_shape(spark, tmp_path):
+    """A tuner's state as it writes it, one with missing and foreign keys, and text that is no JSON."""
+    import json
+
+    from dpframe.sources import files
+    first = {"ongoing_trials": {}, "start_order": ["0000", "0001"], "end_order": ["0000"], "run_times": {"0000": 1, "0001": 2}, "seed": 7,
+             "hyperparameters": {"space": [{"class_name": "Int", "config": {"name": "units", "default": None, "min_value": 32}}]},
+             "display": {"trial_start": {"0000": "2025-01-01T00:00:00"}, "trial_number": {"0000": 1, "0001": 2}},
+             "brackets": [{"bracket_num": 1, "rounds": [[{"past_id": None, "id": "0000"}, {"past_id": None, "id": "0001"}], [{"past_id": "0001", "id": "0002"}]]},
+                          {"bracket_num": 0, "rounds": [[]]}], "current_bracket": 0}
+    other = {"brackets": [{"rounds": [[{"id": "a", "score": [1, {"x": 2.5}]}]], "bracket_num": "3"}], "run_times": ["not a map"]}
+    for name, text in (("a.json", json.dumps(first)), ("b.json", json.dumps(other)), ("c.json", "{broken")):
+        (tmp_path / name).write_text(text)
+    name = F.element_at(F.split("file", "/"), -1)
+    flat = files.read_search_state(spark, str(tmp_path)).withColumn("file", name)
+    got = sorted(tuple(r) for r in flat.where("file = 'a.json'").collect())
+    assert got == [("a.json", 1, 0, 0, "0000", None, 1, "2025-01-01T00:00:00", True, 1), ("a.json", 1, 0, 1, "0001", None, 2, None, False, 2),
+                   ("a.json", 1, 1, 0, "0002", "0001", None, None, False, None)]
+    odd = flat.where("file = 'b.json'").collect()
+    assert [(r["bracket"], r["trial_id"], r["run_times"], r["ended"]) for r in odd] == [(3, "a", None, None)]
+    leaves = {(r["file"], r["path"]): r["value"] for r in files.search_state_leaves(spark, str(tmp_path)).withColumn("file", name).collect()}
+    assert leaves["b.json", "$.brackets[0].rounds[0][0].score[1].x"] == "2.5" and leaves["a.json", "$.hyperparameters.space[0].config.name"] == "units"
+    assert not [f for f, _ in leaves if f == "c.json"]
