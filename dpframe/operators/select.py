@@ -160,10 +160,10 @@ def principal_axes(df: DataFrame, vec: str, k: int, tol: float = 1e-11, extra: i
                    seed: int = 0, max_passes: int = 300):
     """(mean, axes k x d, variances k, total variance, n) by block Krylov iteration with full reorthogonalisation.
 
-    The basis grows by one block a pass until the residual |C v - lambda v|
-    of every wanted axis is below ``tol`` times the total variance. At
+    The basis grows by one block of residuals C v - lambda v a pass, until
+    that of every wanted axis is below ``tol`` times the total variance. At
     ``max_basis`` columns (default 4 (k + extra) + 40) it is cut back to its
-    best directions and the last block, and goes on; axes that have not
+    best directions and goes on; axes that have not
     settled after ``max_passes`` raise. Sign: the largest loading is positive.
     """
     df = df.select(vec).where(F.col(vec).isNotNull())
@@ -188,13 +188,13 @@ def principal_axes(df: DataFrame, vec: str, k: int, tol: float = 1e-11, extra: i
         order = np.argsort(vals)[::-1]
         vals, y = vals[order], y[:, order]
         axes = basis @ y[:, :k]
-        residual = np.linalg.norm(image @ y[:, :k] - axes * vals[:k], axis=0)
-        if basis.shape[1] >= d or residual.max() <= tol * total:
+        rest = image @ y[:, :block] - (basis @ y[:, :block]) * vals[:block]
+        if basis.shape[1] >= d or np.linalg.norm(rest[:, :k], axis=0).max() <= tol * total:
             break
         if limit < d and basis.shape[1] + block > limit:     # thick restart: the best directions stay, with their images
             held = y[:, :min(2 * k, limit - block)]
             basis, image = basis @ held, image @ held
-        q = _orthonormal(cq, basis)
+        q = _orthonormal(rest, basis)                   # what the covariance adds to the basis
         if not q.shape[1]:
             q = _orthonormal(np.random.default_rng(seed + basis.shape[1]).normal(size=(d, block)), basis)
             if not q.shape[1]:
