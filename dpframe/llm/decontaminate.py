@@ -20,8 +20,30 @@ WINDOW = 13
 MAX_BROADCAST_WINDOWS = 2_000_000
 
 
-def _window_hash(hashes: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(hashes, at + j) for j in range(n)])
+LEVELS = {1: "_h", 2: "_h2", 4: "_h4", 8: "_h8"}
+
+
+def _doubled(hashes: Column, size: int) -> Column:
+    """Hashes of twice ``size`` words from each place on (those that reach over the end are never read)."""
+    rest = F.slice(hashes, F.lit(size + 1), F.greatest(F.size(hashes) - size, F.lit(0)))
+    return F.zip_with(hashes, rest, lambda a, b: F.xxhash64(a, b))
+
+
+def _window_hash(at: Column, n: int) -> Column:
+    """Hash of ``n`` words from place ``at`` on, put together from the hashes of powers of two of them."""
+    parts, done = [], 0
+    for size, name in reversed(LEVELS.items()):
+        while n - done >= size:
+            parts.append(F.get(F.col(name), at + done))
+            done += size
+    return F.xxhash64(*parts)
+
+
+def _with_levels(df: DataFrame) -> DataFrame:
+    """Adds the columns of :func:`_doublings` of ``_h``, each made from the one before."""
+    for size, name, wide in ((1, "_h", "_h2"), (2, "_h2", "_h4"), (4, "_h4", "_h8")):
+        df = df.withColumn(wide, _doubled(F.col(name), size))
+    return df
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -41,10 +63,11 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
         "transform(sequence(1, size(_w) - _len + 1), i -> slice(_w, i, _len))")).alias("_win"))
     wins = wins.select("item", "length", F.array_join("_win", " ").alias("window"),
                        F.transform("_win", lambda w: F.xxhash64(w)).alias("_h"))
+    wins = _with_levels(wins)
     by_length = None
     for k in range(1, n + 1):
-        by_length = F.when(F.col("length") == k, _window_hash(F.col("_h"), F.lit(0), k)) if by_length is None \
-            else by_length.when(F.col("length") == k, _window_hash(F.col("_h"), F.lit(0), k))
+        by_length = F.when(F.col("length") == k, _window_hash(F.lit(0), k)) if by_length is None \
+            else by_length.when(F.col("length") == k, _window_hash(F.lit(0), k))
     return wins.select("item", "length", by_length.alias("hash"), "window").distinct()
 
 
@@ -54,26 +77,39 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_key"))
 
 
-def hits(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """Every occurrence of a window of ``bench`` (see :func:`benchmark_windows`): doc_id, _key, pos (0-based word), length, win (digest)."""
+def hits(docs: DataFrame, bench: DataFrame, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+    """Every occurrence of a window of ``bench`` (see :func:`benchmark_windows`): doc_id, _key, pos (0-based word), length, win (digest).
+
+    Above ``max_broadcast`` windows the windows' hashes alone are shuffled, and
+    a document's words are joined to its hits afterwards to verify them.
+    """
     lengths = sorted(r[0] for r in bench.select("length").distinct().collect())     # at most the window's length
     side = written(bench.select("length", "hash", "window").distinct(), "windows")  # one row a window, whatever its items
-    side = F.broadcast(side) if side.count() <= MAX_BROADCAST_WINDOWS else side
+    small = side.count() <= max_broadcast
+    side = F.broadcast(side) if small else side
     words = _keyed(docs).withColumn("_w", normal_words(F.col("text"))).drop("text")
-    words = words.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
+    hashed = _with_levels(words.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))))
     found = None
     for k in lengths:
-        hashes = F.transform(F.sequence(F.lit(0), F.size("_h") - k), lambda i: _window_hash(F.col("_h"), i, k))
-        grams = (words.where(F.size("_h") >= k)
-                 .select("doc_id", "_key", "_w", F.posexplode(hashes).alias("pos", "hash")))
-        part = (grams.join(side.where(F.col("length") == k), "hash")
-                .where(F.array_join(F.slice("_w", F.col("pos") + 1, F.lit(k)), " ") == F.col("window"))
-                .select("doc_id", "_key", "pos", "length", F.md5("window").alias("win")))
+        hashes = F.transform(F.sequence(F.lit(0), F.size("_h") - k), lambda i: _window_hash(i, k))
+        grams = hashed.where(F.size("_h") >= k).select("doc_id", "_key", *(["_w"] if small else []), F.posexplode(hashes).alias("pos", "hash"))
+        part = grams.join(side.where(F.col("length") == k), "hash")
+        if small:
+            part = part.where(_said() == F.col("window"))
+        part = part.select("doc_id", "_key", "pos", "length", "window")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = _keyed(docs.limit(0)).select("doc_id", "_key", F.lit(0).alias("pos"), F.lit(0).alias("length"),
-                                             F.lit("").alias("win"))
-    return found
+        found = _keyed(docs.limit(0)).select("doc_id", "_key", F.lit(0).alias("pos"), F.lit(0).alias("length"), F.lit("").alias("window"))
+    elif not small:
+        found = found.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "pos", "length", "window").distinct()
+        found = words.dropDuplicates(["doc_id", "_key"]).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))) \
+            .where(_said() == F.col("window"))
+    return found.select("doc_id", "_key", "pos", "length", F.md5("window").alias("win"))
+
+
+def _said() -> Column:
+    """The words of a document at a hit."""
+    return F.array_join(F.slice("_w", F.col("pos") + 1, F.col("length")), " ")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
