@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from dpframe.llm.common import batch_rows, fold, read, written
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 BLOCK_DOCS = 8192
 DELETED = 3
 CONTEXT_BUCKETS = 20
@@ -51,7 +51,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words (bytes between ASCII white space), remembered up to ``most`` of them."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 300_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -297,7 +297,7 @@ def _held_out_cells(joined: DataFrame, reducers: int, kept_n: int) -> np.ndarray
     return np.array([tuple(r) for r in rows], float).reshape(-1, 4)
 
 
-def score(docs: DataFrame, blocks_per_reducer: int = 2) -> DataFrame:
+def score(docs: DataFrame, blocks_per_reducer: int = 5) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Training text is that of rows whose crc32(doc_id) mod 7 is not 2. Null
