@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dpframe.llm.common import SPACE_CLASS, read, written
+from dpframe.llm.common import SPACE_CLASS, drop_written, read, written
 
 DEPTH = 2
 SEGMENTS = 4
@@ -186,6 +186,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         "doc_id", "key", "tkey", F.when(F.col("pos") < 0, F.bitwise_not(F.get("spans", F.col("i")))).otherwise(F.col("pos")).alias("at"))
     met = (each.join(again, "tkey").where(F.struct("doc_id", "key") != F.col("first"))
            .groupBy("doc_id", "key", "at").agg(F.lit(1).alias("hit")))
+    met = written(met.drop("hit"), "met")
+    drop_written(lines)
+    drop_written(again)
     return met.groupBy("doc_id", "key").agg(
         F.collect_set(F.when(F.col("at") >= 0, F.col("at"))).alias("drop"),
         F.collect_set(F.when(F.col("at") < 0, F.bitwise_not(F.col("at")))).alias("cut"))
