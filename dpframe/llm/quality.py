@@ -1,12 +1,16 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches (op5).
 
-Per (language, source) a KLL sketch of each text measure is built and merged
-by Spark's aggregation. A document is rejected when a measure lies beyond
-the group's outer fence (upper quartile plus ``FENCE`` interquartile
-ranges, but at least ``FLOOR`` above the median). Groups with fewer than
-``MIN_GROUP`` documents use the merged sketch of their language, or of all
-documents when the language is small too. The thresholds are joined back to
-filter.
+Per (language, source) a sketch of each text measure counts its values in
+logarithmic bins, sixteen to a factor of two: plain sums, so sketches merge
+exactly and a task that runs again changes nothing. A document is rejected
+when a measure lies above the group's 99th percentile, its fence (the 90th
+percentile plus ``FENCE`` times its distance from the median) and its median
+plus ``SLACK``, so that a group in which nearly all documents measure 0 does
+not reject the next one for a single repeat. A group's
+limit is averaged with its language's, and that with the limit over all
+documents, by their documents and ``PRIOR`` for the wider one, so a small
+group leans on its language without a switch. The thresholds are joined back
+to filter.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dpframe.llm.common import SPACE_CLASS, read, written
@@ -24,10 +28,11 @@ WORD = re.compile(f"[^{SPACE_CLASS}]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 MIN_WORDS = 50
-MIN_GROUP = 200
-FENCE = 3.0
-#: Least distance of a threshold from the group's median, for each measure.
-FLOOR = {"mean_word": 3.0, "symbol_ratio": 0.05, "dup_line_ratio": 0.25, "repeat_ratio": 0.2}
+#: Distance from the group's median within which a measure is never too high (in units of the measure).
+SLACK = {"mean_word": 3.0, "symbol_ratio": 0.05, "dup_line_ratio": 0.25, "repeat_ratio": 0.2}
+FENCE, PRIOR = 3.0, 100
+#: Bins to a factor of two, and the bin of the value 0.
+BINS, ZERO = 16, -100_000
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int]:
@@ -82,38 +87,41 @@ def _ratios(m: str = "") -> dict[str, Column]:
             "repeat_ratio": F.col(f"{m}n_repeat_words") / n}
 
 
-def _fence(sketch: str, floor: float) -> Column:
-    q = [F.kll_sketch_get_quantile_double(sketch, F.lit(x)) for x in (0.25, 0.5, 0.75)]
-    return F.greatest(q[2] + FENCE * (q[2] - q[0]), q[1] + floor)
-
+def sketches(measured: DataFrame) -> DataFrame:
+    """(_lang, _source, name, bin, c): documents in each bin of each measure; documents that fail the base rules are left out."""
+    use = measured.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), _ratios()[k].cast("double").alias("x")) for k in SLACK]))
+    binned = F.when(F.col("v.x") > 0, F.floor(F.log2("v.x") * BINS).cast("int")).otherwise(F.lit(ZERO))
+    return use.select("_lang", "_source", pairs.alias("v")).select("_lang", "_source", "v.name", binned.alias("bin")) \
+        .groupBy("_lang", "_source", "name", "bin").agg(F.count("*").alias("c"))
 
-def thresholds(measured: DataFrame) -> DataFrame:
-    """(_lang, _source) -> limit per measure; ``measured`` has the counts and the key columns.
 
-    Documents that fail the base rules are left out of the sketches.
-    """
-    use = measured.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    names = list(FLOOR)
-    by_source = use.select("_lang", "_source", *[c.cast("double").alias(k) for k, c in _ratios().items()]) \
-        .groupBy("_lang", "_source").agg(F.count("*").alias("_n"),
-                                         *[F.kll_sketch_agg_double(k).alias(k) for k in names])
-    by_source = written(by_source, "sketches")
-    merged = [F.sum("_n").alias("_n"), *[F.kll_merge_agg_double(k).alias(k) for k in names]]
-    by_lang = by_source.groupBy("_lang").agg(*merged)
-    overall = by_source.agg(*merged)
+def _limits(counts: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """(keys, name) -> documents ``n`` and the limit of their sketch."""
+    whole = Window.partitionBy(*keys, "name")                                     # the bins of one sketch
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    at = counts.withColumn("n", F.sum("c").over(whole)).withColumn("reach", F.sum("c").over(upto) / F.sum("c").over(whole))
+    # a bin stands for its upper edge
+    edge = F.when(F.col("bin") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), (F.col("bin") + 1) / BINS))
+    q = at.groupBy(*keys, "name").agg(F.max("n").alias(f"n_{out}"), *[F.min(F.when(F.col("reach") >= x, edge)).alias(f"q{i}")
+                                                                      for i, x in enumerate((0.5, 0.9, 0.99))])
+    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("name"))
+    limit = F.greatest(F.col("q2"), F.col("q1") + FENCE * (F.col("q1") - F.col("q0")), F.col("q0") + slack)
+    return q.select(*keys, "name", f"n_{out}", limit.alias(out))
 
-    def limits(df, prefix):
-        return df.select(*[c for c in ("_lang", "_source") if c in df.columns], F.col("_n").alias(f"{prefix}n"),
-                         *[_fence(k, FLOOR[k]).alias(prefix + k) for k in names])
 
-    out = (limits(by_source, "s_").join(limits(by_lang, "l_"), "_lang")
-           .crossJoin(F.broadcast(limits(overall, "a_"))))          # one row
+def _lean(n: str, own: str, wider: str) -> Column:
+    return (F.col(n) * F.col(own) + PRIOR * F.col(wider)) / (F.col(n) + PRIOR)
 
-    def pick(k):
-        return F.when(F.col("s_n") >= MIN_GROUP, F.col("s_" + k)).when(F.col("l_n") >= MIN_GROUP, F.col("l_" + k)) \
-            .otherwise(F.col("a_" + k)).alias("max_" + k)
 
-    return out.select("_lang", "_source", *[pick(k) for k in names])
+def thresholds(measured: DataFrame) -> DataFrame:
+    """(_lang, _source) -> limit per measure; ``measured`` has the counts and the key columns."""
+    own = written(sketches(measured), "sketches")
+    merged = lambda *keys: own.groupBy(*keys, "name", "bin").agg(F.sum("c").alias("c"))
+    both = (_limits(own, ["_lang", "_source"], "own").join(_limits(merged("_lang"), ["_lang"], "lang"), ["_lang", "name"])
+            .join(_limits(merged(), [], "every"), "name"))
+    both = both.withColumn("lang", _lean("n_lang", "lang", "every")).withColumn("limit", _lean("n_own", "own", "lang"))
+    return both.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("name") == k, F.col("limit"))).alias("max_" + k) for k in SLACK])
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
@@ -147,7 +155,9 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all their columns unchanged.
 
     The measures are taken twice, so that the texts are never shuffled: the
-    thresholds (one row a group) are joined to the documents.
+    thresholds (one row a group) are joined to the documents. Null texts have
+    no words and go; null languages and sources are groups of their own; an
+    empty table stays empty; repeated rows are judged alike.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "lang", "source", measures(F.col("text")).alias("_m"))
     keyed = _with_keys(rows)
