@@ -3,10 +3,10 @@
 Per (language, source) a sketch of each text measure counts its values in
 logarithmic bins, sixteen to a factor of two: plain sums, so sketches merge
 exactly and a task that runs again changes nothing. A document is rejected
-when a measure lies above the group's 99th percentile, its fence (the 90th
-percentile plus ``FENCE`` times its distance from the median) and its median
-plus ``SLACK``, so that a group in which nearly all documents measure 0 does
-not reject the next one for a single repeat. A group's
+when a measure lies above the group's outer fence (the upper quartile plus
+``FENCE`` interquartile ranges) and its median plus ``SLACK``, so that a group
+in which nearly all documents measure 0 does not reject the next one for a
+single repeat. A group's
 limit is averaged with its language's, and that with the limit over all
 documents, by their documents and ``PRIOR`` for the wider one, so a small
 group leans on its language without a switch. The thresholds are joined back
@@ -30,7 +30,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 MIN_WORDS = 50
 #: Distance from the group's median within which a measure is never too high (in units of the measure).
 SLACK = {"mean_word": 3.0, "symbol_ratio": 0.05, "dup_line_ratio": 0.25, "repeat_ratio": 0.2}
-FENCE, PRIOR = 3.0, 100
+FENCE, PRIOR = 3.0, 30
 #: Bins to a factor of two, and the bin of the value 0.
 BINS, ZERO = 16, -100_000
 
@@ -104,9 +104,9 @@ def _limits(counts: DataFrame, keys: list[str], out: str) -> DataFrame:
     # a bin stands for its upper edge
     edge = F.when(F.col("bin") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), (F.col("bin") + 1) / BINS))
     q = at.groupBy(*keys, "name").agg(F.max("n").alias(f"n_{out}"), *[F.min(F.when(F.col("reach") >= x, edge)).alias(f"q{i}")
-                                                                      for i, x in enumerate((0.5, 0.9, 0.99))])
+                                                                      for i, x in enumerate((0.25, 0.5, 0.75))])
     slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("name"))
-    limit = F.greatest(F.col("q2"), F.col("q1") + FENCE * (F.col("q1") - F.col("q0")), F.col("q0") + slack)
+    limit = F.greatest(F.col("q2") + FENCE * (F.col("q2") - F.col("q0")), F.col("q1") + slack)
     return q.select(*keys, "name", f"n_{out}", limit.alias(out))
 
 

@@ -21,10 +21,10 @@ def plain_verdicts(rows):
         total, reach, at = counts.total(), 0, {}
         for b in sorted(counts):
             reach += counts[b]
-            for q in (0.5, 0.9, 0.99):
+            for q in (0.25, 0.5, 0.75):
                 if q not in at and reach / total >= q:
                     at[q] = 0.0 if b is ZERO else 2.0 ** ((b + 1) / 16)
-        return max(at[0.99], at[0.9] + 3 * (at[0.9] - at[0.5]), at[0.5] + slack)
+        return max(at[0.75] + 3 * (at[0.75] - at[0.25]), at[0.5] + slack)
 
     ZERO = -math.inf
     seen = [(r[0], r[1], r[2], *ratios(r[3])) for r in rows]
@@ -40,8 +40,8 @@ def plain_verdicts(rows):
         every = limit(by[()], slack)
         for g in [g for g in by if len(g) == 2]:
             n_own, n_lang = by[g].total(), by[g[:1]].total()
-            lang = (n_lang * limit(by[g[:1]], slack) + 100 * every) / (n_lang + 100)
-            limits[g, k] = (n_own * limit(by[g], slack) + 100 * lang) / (n_own + 100)
+            lang = (n_lang * limit(by[g[:1]], slack) + 30 * every) / (n_lang + 30)
+            limits[g, k] = (n_own * limit(by[g], slack) + 30 * lang) / (n_own + 30)
     return {s[0]: not s[4] and all(s[3][k] <= limits[(s[1], s[2]), k] for k in range(4)) for s in seen}
 
 
