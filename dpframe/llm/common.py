@@ -55,6 +55,29 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key that holds more than this share of all rows (and more than HOT_ROWS) is spread over several tasks.
+HOT_SHARE, HOT_ROWS = 4096, 256
+
+
+def hot_limit(rows: int) -> int:
+    """Rows of one key that one task takes. Fewer than HOT_SHARE keys can have more, whatever the number of rows."""
+    return max(HOT_ROWS, rows // HOT_SHARE)
+
+
+def salted(df: DataFrame, key: str, by: str, hot: DataFrame, limit: int) -> DataFrame:
+    """``df`` with a ``salt`` from a hash of ``by``: 0 for all but the keys in ``hot`` (key, n; fewer than HOT_SHARE rows)."""
+    small = hot.select(F.col(key), F.col("n").alias("_n"))
+    parts = F.ceil(F.col("_n") / limit)
+    return df.join(F.broadcast(small), key, "left").withColumn(
+        "salt", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), parts)).cast("int")).drop("_n")
+
+
+def replicated(df: DataFrame, n: Column, limit: int) -> DataFrame:
+    """``df``, one row a key, once for every salt that ``salted`` gives to a key of ``n`` rows."""
+    parts = F.greatest(F.ceil(n / limit), F.lit(1)).cast("int")
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str):
     """A setting of the session while the block runs its own jobs."""

@@ -15,8 +15,10 @@ several components, nodes outside the largest try members of it, round by
 round, and at last every pair across components that can still reach the
 threshold (by a prefix filter on their rarer shingles) is compared.
 Every comparison is exact: multiset overlap of the words themselves, 0.8 or
-more. Classes are the connected components. No group is gathered into a
-task, and a bucket of k near copies costs about k comparisons.
+more. Classes are the connected components. A bucket of k near copies costs
+about k comparisons, and no large group is gathered into a task: rows of a
+hot bucket or pivot carry a salt, and the one row they meet is there once for
+each salt. Tables are removed when their last reader is written.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from dpframe.llm.common import normal_words, read, written
+from dpframe.llm.common import drop_written, hot_limit, normal_words, read, replicated, salted, written
 from dpframe.llm.components import components
 
 SHINGLE = 5
@@ -149,13 +151,13 @@ def node_key(words: Column, text: Column) -> Column:
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")) \
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("raw")) \
         .withColumn("words", normal_words(F.col("text")))
     return base.withColumn("node", F.unhex(node_key(F.col("words"), F.col("text"))))
 
 
 def _with_bands(nodes: DataFrame) -> DataFrame:
-    """doc_id, node, size (shingles), bands of every document (null bands without words)."""
+    """doc_id, node, size (shingles), bands, raw (digest of the text) of every document (null bands without words)."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
@@ -174,10 +176,11 @@ def _with_bands(nodes: DataFrame) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), flat,
                                              mask=pa.array(none))
             size = pa.array(np.maximum(np.diff(start) - SHINGLE + 1, 1), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, bands], ["doc_id", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, bands, batch.column(3)],
+                                             ["doc_id", "node", "size", "bands", "raw"])
 
-    hashed = nodes.select("doc_id", "node", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.mapInArrow(run, "doc_id long, node binary, size long, bands array<long>")
+    hashed = nodes.select("doc_id", "node", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), "raw")
+    return hashed.mapInArrow(run, "doc_id long, node binary, size long, bands array<long>, raw long")
 
 
 @lru_cache(maxsize=256)
@@ -206,32 +209,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": sim})
             yield out[out["similarity"] >= threshold]
 
-    joined = (pairs.join(texts.select(F.col("node").alias("a"), F.col("words").alias("ta")), "a")
-              .join(texts.select(F.col("node").alias("b"), F.col("words").alias("tb")), "b"))
+    # many nodes may meet one pivot b
+    each = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    limit = hot_limit(pairs.count())
+    wide = texts.select(F.col("node").alias("b"), F.col("words").alias("tb")).join(each, "b")
+    joined = (salted(pairs, "b", "a", each.where(F.col("n") > limit), limit)
+              .join(texts.select(F.col("node").alias("a"), F.col("words").alias("ta")), "a")
+              .join(replicated(wide, F.col("n"), limit).drop("n"), ["b", "salt"]))
     return joined.select("a", "b", "ta", "tb").mapInPandas(check, "a binary, b binary, similarity double")
 
 
 def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
-    """(node, words as one string) for the wanted nodes; ``need`` has node and the doc_id to take it from."""
-    want = need.select(F.col("node").alias("_n"), F.col("doc_id").alias("_d"))
-    # the raw texts meet the wanted ids first, so that only theirs are normalised again
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    some = some.join(want, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    base = _nodes(some).select("node", "doc_id", F.array_join("words", " ").alias("words"))
-    found = base.join(want, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    return found.dropDuplicates(["node"]).select("node", "words")
+    """(node, words as one string) for the wanted nodes; ``need`` has doc_id and raw (digest) of a row to take each from."""
+    want = need.select(F.col("raw").alias("_r"), F.col("doc_id").alias("_d")).distinct()
+    # the raw texts meet the wanted rows first, so that only theirs are normalised again
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("raw"))
+    some = some.join(want, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("raw") == F.col("_r")), "left_semi")
+    return _nodes(some.select("doc_id", "text")).select("node", F.array_join("words", " ").alias("words")).dropDuplicates(["node"])
 
 
-def _host_pivots(placed: DataFrame, turn: int) -> DataFrame:
+def _host_pivots(placed: DataFrame, turn: int, limit: int) -> DataFrame:
     """One pair (a, b) per node outside its bucket's largest component: the node and a member of that component."""
     host = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("b")) \
-        .groupBy("bucket").agg(F.max(F.struct("k", "comp", "b")).alias("h"))
-    guests = placed.join(host.select("bucket", F.col("h.comp").alias("hc"), F.col("h.b").alias("b")), "bucket").where("comp <> hc")
+        .groupBy("bucket").agg(F.max(F.struct("k", "comp", "b")).alias("h"), F.sum("k").alias("n"))
+    host = replicated(host.select("bucket", F.col("h.comp").alias("hc"), F.col("h.b").alias("b"), "n"), F.col("n"), limit).drop("n")
+    guests = placed.join(host, ["bucket", "salt"]).where("comp <> hc")
     return guests.groupBy(F.col("node").alias("a")).agg(F.min_by("b", F.xxhash64("node", "b", F.lit(turn))).alias("b"))
 
 
 def _elements(nodes: DataFrame) -> DataFrame:
-    """(node, comp, n, e): the n shingles of every node's words, the k-th occurrence of one being its own element."""
+    """(node, comp, n, e): the n shingles of every text's words, the k-th occurrence of one being its own element.
+
+    ``nodes`` has node, comp (whole numbers) and words.
+    """
     def run(batches):
         import pyarrow as pa
         for batch in batches:
@@ -251,7 +261,7 @@ def _elements(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), out], ["node", "comp", "n", "e"])
 
     hashed = nodes.select("node", "comp", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("h"))
-    return hashed.mapInArrow(run, "node binary, comp binary, n long, e array<long>").select("node", "comp", "n", F.explode("e").alias("e"))
+    return hashed.mapInArrow(run, "node long, comp long, n long, e array<long>").select("node", "comp", "n", F.explode("e").alias("e"))
 
 
 def _across(nodes: DataFrame, texts: DataFrame, apart: DataFrame, threshold: float) -> DataFrame:
@@ -266,7 +276,8 @@ def _across(nodes: DataFrame, texts: DataFrame, apart: DataFrame, threshold: flo
     what sets them apart from it instead, which keeps groups of near misses
     from being paired.
     """
-    elements = written(_elements(nodes.join(texts, "node")), "elements")
+    ids = _numbered(nodes)
+    elements = written(_elements(ids.join(texts, "node").select(F.col("id").alias("node"), F.col("cid").alias("comp"), "words")), "elements")
     several = elements.groupBy("e").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")) \
         .where("x <> y").select("e", "df")
     part = written(elements.join(several, "e"), "part")
@@ -275,27 +286,48 @@ def _across(nodes: DataFrame, texts: DataFrame, apart: DataFrame, threshold: flo
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "e"))
     # smallest overlap with a text as long or longer, and with any text
     long_need, need = (F.ceil(F.lit(f) * F.col("n") - F.lit(1e-9)) for f in (2 * threshold / (1 + threshold), threshold))
-    far = apart.select("node", "ref").join(nodes.select("node"), "node", "left_semi") \
-        .join(nodes.select(F.col("node").alias("ref")), "ref", "left_semi")
+    far = written(apart.select("node", "ref").join(ids.select("node", F.col("id").alias("_i")), "node")
+                  .join(ids.select(F.col("node").alias("ref"), F.col("id").alias("_r")), "ref")
+                  .select(F.col("_i").alias("node"), F.col("_r").alias("ref")), "far")
     may = may.join(far, "node", "left")
-    prefix = written(part.join(may.where(F.col("own") <= F.col("m") * slack + 1e-9), "node").withColumn("r", rank)
+    first = written(part.join(may.where(F.col("own") <= F.col("m") * slack + 1e-9), "node").withColumn("r", rank)
                      .where(F.col("r") <= F.col("m") - need + 1)
                      .select("node", "comp", "n", "e", "m", "own", "ref", (F.col("r") <= F.col("m") - long_need + 1).alias("short")), "prefix")
+    drop_written(part)
     # elements of its own that a node can afford beside those of the leanest node it meets
-    lean = prefix.groupBy("e").agg(F.min("own").alias("least"), F.count("*").alias("k")).where("k > 1")
-    prefix = written(prefix.join(lean, "e").where((F.col("own") + F.col("least") <= F.col("m") * slack + 1e-9)
+    lean = first.groupBy("e").agg(F.min("own").alias("least"), F.count("*").alias("k")).where("k > 1")
+    prefix = written(first.join(lean, "e").where((F.col("own") + F.col("least") <= F.col("m") * slack + 1e-9)
                                                   | (F.col("own") == F.col("least"))).drop("least", "k"), "prefix")
+    drop_written(first)
     x = prefix.where("short").select("e", *[F.col(c).alias(c + "_a") for c in ("node", "comp", "n", "m", "own", "ref")])
     y = prefix.select("e", *[F.col(c).alias(c + "_b") for c in ("node", "comp", "n", "m", "own", "ref")])
     on = ((x["e"] == y["e"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") <= F.col("n_b"))
           & (F.col("n_a") >= threshold * F.col("n_b"))
           & (F.col("own_a") + F.col("own_b") <= F.least("m_a", "m_b") * slack + 1e-9)
           & F.coalesce(F.col("ref_a") != F.col("ref_b"), F.lit(True)))
-    pairs = x.join(y, on).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    return pairs.union(_apart_pairs(elements, far, nodes, threshold)).distinct()
+    pairs = written(x.join(y, on).select(F.col("node_a").alias("x"), F.col("node_b").alias("y")).distinct(), "pairs")
+    drop_written(prefix)
+    both = written(pairs.union(_apart_pairs(elements, far, threshold)).distinct(), "pairs")
+    for table in (pairs, elements, far):
+        drop_written(table)
+    named = both.join(ids.select(F.col("id").alias("x"), F.col("node").alias("p")), "x") \
+        .join(ids.select(F.col("id").alias("y"), F.col("node").alias("q")), "y")
+    return named.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def _apart_pairs(elements: DataFrame, far: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """node, id, cid: a whole number for every node, and the least of its component's.
+
+    Numbers are given once and written, so they are the same for all readers.
+    """
+    ids = written(nodes.withColumn("id", F.monotonically_increasing_id()), "ids")
+    each = written(ids.groupBy("comp").agg(F.count("*").alias("n"), F.min("id").alias("cid")), "comps")
+    limit = hot_limit(ids.count())
+    return written(salted(ids, "comp", "node", each.where(F.col("n") > limit), limit)
+                   .join(replicated(each, F.col("n"), limit).drop("n"), ["comp", "salt"]).select("node", "id", "cid"), "ids")
+
+
+def _apart_pairs(elements: DataFrame, far: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different components with the same pivot ``ref`` that can reach the threshold.
 
     At least one of them is not linked to the pivot. What sets a node apart
@@ -333,58 +365,69 @@ def _apart_pairs(elements: DataFrame, far: DataFrame, nodes: DataFrame, threshol
     on = ((x["ref"] == y["ref"]) & (x["e"] == y["e"]) & (x["lost"] == y["lost"]) & (F.col("comp_a") != F.col("comp_b"))
           & (F.col("d_a") <= F.col("d_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
           & (F.col("d_a") + F.col("d_b") - F.lit(k) * (F.col("n_a") + F.col("n_b")) <= 2 * F.least("shared_a", "shared_b") + 1e-6))
-    return x.join(y, on).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return x.join(y, on).select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
 
 
 def _links(docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links, components) of the distinct texts in ``reps`` (node, doc_id, size, bands)."""
+    """(links, components) of the distinct texts in ``reps`` (node, doc_id, raw, size, bands)."""
     rows = reps.where("bands IS NOT NULL").select("node", "size", F.explode("bands").alias("bucket"))
-    met = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(rows.join(met, "bucket"), "met")
+    met = written(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "met")
+    limit = hot_limit(reps.where("bands IS NOT NULL").count() * BANDS)
+    hot = met.where(F.col("n") > limit)
+    found = written(salted(rows, "bucket", "node", hot, limit).join(replicated(met, F.col("n"), limit), ["bucket", "salt"]), "found")
     # the pivot of a bucket is its node with most company over all buckets: the middle of a group of near copies
-    company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    shared = written(shared.join(company, "node").select("bucket", "node", "size", "company"), "buckets")
-    pivots = shared.groupBy("bucket").agg(F.max(F.struct("company", "node", "size")).alias("p"))
+    company = found.groupBy("node").agg(F.sum("n").alias("company"))
+    shared = written(found.join(company, "node").select("bucket", "salt", "node", "size", "company", "n"), "buckets")
+    drop_written(met)
+    drop_written(found)
+    pivots = shared.groupBy("bucket").agg(F.max(F.struct("company", "node", "size")).alias("p"), F.max("n").alias("_n"))
+    pivots = replicated(pivots, F.col("_n"), limit).drop("_n")
     close = F.least("size", "p.size") >= F.lit(threshold) * F.greatest("size", "p.size")
-    pairs = shared.join(pivots, "bucket").where((F.col("node") != F.col("p.node")) & close) \
+    pairs = shared.join(pivots, ["bucket", "salt"]).where((F.col("node") != F.col("p.node")) & close) \
         .groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.max("p.company").alias("company"))
     done = written(pairs, "pairs")
-    texts = written(_texts(docs, shared.select("node").distinct().join(reps.select("node", "doc_id"), "node")), "texts")
+    texts = written(_texts(docs, shared.select("node").distinct().join(reps.select("node", "doc_id", "raw"), "node")), "texts")
     links = written(_verified(done.select("a", "b"), texts, threshold), "links")
     comps = components(links)
     # the best-connected pivot that each node was compared with
     apart = done.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("company", F.col("b").alias("ref"))).alias("s")).select("node", "s.ref")
 
-    def placed():
-        return shared.join(comps, "node", "left").select("bucket", "node", "size", F.coalesce("comp", "node").alias("comp"))
-
     def mixed():
         """Buckets with several components, all their nodes, and how many pairs across components there are."""
-        both = placed()
-        per = both.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket") \
-            .agg(F.sum("k").alias("n"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk")).where("kk < cast(n as double) * n")
-        got = written(both.join(per.select("bucket"), "bucket", "left_semi"), "mixed")
-        return got, per.agg(F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("kk")) / 2), F.lit(0.0))).first()[0]
+        both = shared.join(comps, "node", "left").select("bucket", "salt", "node", F.coalesce("comp", "node").alias("comp"))
+        per = written(both.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket")
+                      .agg(F.sum("k").alias("n"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk"))
+                      .where("kk < cast(n as double) * n"), "mixed")
+        got = written(both.join(replicated(per.select("bucket", "n"), F.col("n"), limit), ["bucket", "salt"], "left_semi"), "mixed")
+        across = per.agg(F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("kk")) / 2), F.lit(0.0))).first()[0]
+        drop_written(per)
+        return got, across
 
     # large groups of near copies: rounds that try one member of the largest component for each node outside it
     turn, (left, across) = 0, mixed()
     while across > SPARSE * max(1, left.count()):
         turn += 1
-        tried = written(_host_pivots(left, turn), "tried")
+        tried = written(_host_pivots(left, turn, limit), "tried")
         found = written(_verified(tried, texts, threshold), "links")
-        n = found.count()
+        n, asked = found.count(), tried.count()
+        drop_written(tried)
         if n:
             links = written(links.union(found), "links")
             comps = components(links)
+            drop_written(left)
             left, across = mixed()
-        if n * 20 < tried.count():
+        if n * 20 < asked:
             break
+    drop_written(shared)
 
     # what may still be linked across the components of a bucket
-    done = done.select("a", "b")
     rest = _across(left.select("node", "comp").distinct(), texts, apart, threshold)
-    done = done.union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = written(_verified(rest.join(done, ["a", "b"], "left_anti"), texts, threshold), "links")
+    known = done.select("a", "b")
+    known = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = written(rest.join(known, ["a", "b"], "left_anti"), "rest")
+    more = written(_verified(rest, texts, threshold), "links")
+    for table in (left, done, texts, rest):
+        drop_written(table)
     if more.limit(1).count():
         links = links.union(more)
         comps = components(links)
@@ -404,9 +447,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     """
     sigs = written(_with_bands(_nodes(docs)), "signatures")
     reps = written(sigs.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"),
-        F.first("bands").alias("bands")), "reps")
-    links, comps = _links(docs, reps, threshold)
+        F.min(F.struct("doc_id", "raw")).alias("d"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
+        F.first("size").alias("size"), F.first("bands").alias("bands"))
+        .select("node", F.col("d.doc_id").alias("at"), F.col("d.raw").alias("raw"), "doc_id", "copies", "size", "bands"), "reps")
+    links, comps = _links(docs, reps.select("node", F.col("at").alias("doc_id"), "raw", "size", "bands"), threshold)
     classes = reps.select("node", "doc_id", "copies").join(comps, "node", "left") \
         .select("node", "doc_id", "copies", F.coalesce("comp", "node").alias("comp"))
     names = classes.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
