@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
-from collections import ChainMap
 from functools import lru_cache
-from itertools import islice
+
+import numpy as np
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -21,6 +20,28 @@ def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _marked(chars: bytes) -> np.ndarray:
+    """Which of the 256 byte values are among ``chars``."""
+    return np.isin(np.arange(256), list(chars))
+
+
+BLANK = _marked(b" \t\n\x0b\x0c\r")
+STOP = _marked(b",.;:!?")
+LETTER_OR_DIGIT = np.array([chr(i).isascii() and chr(i).isalnum() for i in range(256)])
+
+
+def stops_apart(raw: bytes) -> bytes:
+    """``raw`` with a blank before every stop that ends a piece after an ASCII letter or digit."""
+    a = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(STOP[a[1:]]) + 1
+    at = at[LETTER_OR_DIGIT[a[at - 1]]]
+    if len(at) and at[-1] == len(a) - 1:
+        at = np.append(at[:-1][BLANK[a[at[:-1] + 1]]], at[-1])
+    else:
+        at = at[BLANK[a[at + 1]]]
+    return np.insert(a, at, 32).tobytes() if len(at) else raw
+
+
 class WordEncoder:
     """Encodes texts piece by piece between ASCII blanks, remembering pieces.
 
@@ -35,9 +56,6 @@ class WordEncoder:
     each time.
     """
 
-    #: Blanks between pieces, and a stop that ends a piece after an ASCII letter or digit.
-    STOP = re.compile(rb"(?<=[A-Za-z0-9])[,.;:!?](?=[\x20\x09-\x0D]|\Z)")
-
     def __init__(self, tokenizer: str = DEFAULT_TOKENIZER, max_pieces: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -51,7 +69,7 @@ class WordEncoder:
             return []
         raw = text.encode("utf-8")
         if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
-            raw = self.STOP.sub(rb" \g<0>", raw).lower()
+            raw = stops_apart(raw).lower()
         return raw.split()
 
     def encode(self, texts) -> list[bytes]:
@@ -63,14 +81,13 @@ class WordEncoder:
             part = new[i:i + 4096]
             for piece, enc in zip(part, self.tok.encode_batch_fast([p.decode("utf-8") for p in part], add_special_tokens=False)):
                 ids[piece] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
-        if len(self.known) + len(ids) <= self.max_pieces:
-            self.known.update(ids)
-            ids = self.known
-        else:
-            room = self.max_pieces - len(self.known)
-            self.known.update(islice(ids.items(), max(room, 0)))
-            ids = ChainMap(ids, self.known) if ids else self.known
-        return [b"".join(map(ids.__getitem__, pieces)) + END for pieces in split]
+        # pieces beyond the bound are known for these texts only
+        spare = list(ids)[max(self.max_pieces - len(self.known), 0):]
+        self.known.update(ids)
+        out = [b"".join(map(self.known.__getitem__, pieces)) + END for pieces in split]
+        for piece in spare:
+            del self.known[piece]
+        return out
 
 
 @lru_cache(maxsize=2)
