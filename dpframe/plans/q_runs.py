@@ -108,7 +108,7 @@ def r7_privacy_utility_frontier(spark, sf_dir):
 
 @register("r1_streaming_latest_step", f"SELECT run_id, key, step, event_id, round(value, 6) AS value FROM ({DEDUP_SQL}) d")
 def r1_streaming_latest_step(spark, sf_dir):
-    """R1 as a Structured Streaming job: events files -> update-mode aggregate -> update log -> compacted."""
+    """R1 as a Structured Streaming job: events files -> last rows per batch -> log by batch number -> merged."""
     import uuid
 
     from dpframe.session import checkpoint_dir
