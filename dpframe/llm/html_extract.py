@@ -9,8 +9,11 @@ trained on labelled pages and decoded by Viterbi.
 Labelled pages come from the corpus itself: up to ``TRAIN_PAGES`` pages
 (smallest hash of page_id and html) whose markup names its article, labelled
 by that markup, and about as many rebuilt from them in other layouts with
-known menus, notices, adverts, forms and comments around and inside the article.
-The fit is therefore on a bounded sample; the decoding reads every page whole.
+known menus, notices, adverts, forms and comments around and inside the article
+(each of at most ``TRAIN_BLOCKS`` blocks of its article). Where no page names its
+article, the sample is of all pages, and what neither markup nor links mark as
+something else is the article. The fit is therefore on a bounded sample; the
+decoding reads every page whole.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from dpframe.llm.common import read
 
 TRAIN_PAGES = 300
+TRAIN_BLOCKS = 40
 EPOCHS, RATE, L2 = 80, 0.15, 1e-3
 
 # HTML element classes.
@@ -81,7 +85,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     def flush():
         nonlocal linked, waiting
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, stack[:waiting], linked, max(1, sum(map(len, parts)))))
             parts.clear()
@@ -90,6 +94,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def add(s):
         nonlocal linked
+        s = html.unescape(s)        # here, as no reference goes on behind a tag
         if s:
             if waiting is not None and not s.isspace():
                 flush()
@@ -183,6 +188,11 @@ def markup_labels(blocks: list[Block]) -> list[int] | None:
     return [int(bool(b.tags & ARTICLE) and not b.tags & OTHER and not b.words & OTHER_WORDS) for b in blocks]
 
 
+def negative_labels(blocks: list[Block]) -> list[int]:
+    """1 for text that neither its markup nor its links mark as something else than an article."""
+    return [int(not b.tags & OTHER and not b.words & OTHER_WORDS and 2 * b.linked < b.chars) for b in blocks]
+
+
 # Layouts for the rebuilt training pages, as (tag, class) of containers.
 CONTAINERS = [("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("section", "story"),
               ("div", "entry-content"), ("div", "article-text")]
@@ -294,28 +304,59 @@ class ChainModel:
         return out[::-1]
 
 
-def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> ChainModel:
-    """Fit the chain on at most ``sample`` pages that name their article, and their rebuilt twins."""
+def least_pages(pages: DataFrame, n: int) -> list[str]:
+    """html of up to ``n`` different pages, those of the smallest hashes of (page_id, html), in order of hash.
+
+    Only hashes are ordered; then the pages of the chosen ones are fetched.
+    """
+    keyed = pages.select("html", F.xxhash64("page_id", "html").alias("h"))
+    keys: list[int] = []
+    while len(keys) < n:            # more than one round only where pages repeat
+        rest = keyed.where(F.col("h") > keys[-1]) if keys else keyed
+        got = [r["h"] for r in rest.select("h").orderBy("h").limit(n).collect()]
+        keys += sorted(set(got))
+        if len(got) < n:
+            break
+    if not keys:
+        return []
+    rows = keyed.where(F.col("h").isin(keys[:n])).groupBy("h").agg(F.min("html").alias("html")).collect()
+    return [r["html"] for r in sorted(rows, key=lambda r: r["h"])]
+
+
+def labelled_pages(pages: DataFrame, sample: int) -> list[tuple[list[Block], list[int]]]:
+    """Blocks and labels of the ``sample`` first pages (by hash) that name their article; of all pages where none does."""
     @F.pandas_udf("boolean")
-    def labelled(s: pd.Series) -> pd.Series:
+    def names_article(s: pd.Series) -> pd.Series:
         return pd.Series([markup_labels(leaf_blocks(x)) is not None for x in s], dtype=bool)
 
+    def labelled(texts):
+        found = [(b, markup_labels(b)) for b in map(leaf_blocks, texts)]
+        return [(b, y) for b, y in found if y is not None][:sample]
+
     # pages without such markup are not read; those with it only in a comment, a script or an empty element do not count
-    named = pages.where(F.col("html").rlike("(?i)<(?:" + "|".join(sorted(ARTICLE)) + r")[\s/>]")).where(labelled("html"))
-    rows = named.select("html", F.xxhash64("page_id", "html").alias("h")).orderBy("h", "html").limit(sample).collect()
+    named = pages.where(F.col("html").rlike("(?i)<(?:" + "|".join(sorted(ARTICLE)) + r")[\s/>]"))
+    texts = least_pages(named, 2 * sample)
+    out = labelled(texts)
+    if len(out) < sample and len(texts) == 2 * sample:
+        out = labelled(least_pages(named.where(names_article("html")), sample))
+    if not out:
+        blocks = map(leaf_blocks, least_pages(pages.where("html IS NOT NULL"), sample))
+        out = [(b, negative_labels(b)) for b in blocks if b]
+    return out
+
+
+def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> ChainModel:
+    """Fit the chain on at most ``sample`` labelled pages and as many rebuilt from them."""
     known, texts = [], []
-    for r in rows:
-        blocks = leaf_blocks(r["html"])
-        y = markup_labels(blocks)
-        if y is not None:
-            known.append(([features(b) for b in blocks], y))
-            texts.append(([b.text for b, k in zip(blocks, y) if k], [b.text for b, k in zip(blocks, y) if not k]))
+    for blocks, y in labelled_pages(pages, sample):
+        known.append(([features(b) for b in blocks], y))
+        texts.append(([b.text for b, k in zip(blocks, y) if k], [b.text for b, k in zip(blocks, y) if not k]))
     rng = random.Random(1)
     for i, (article, _) in enumerate(texts * max(1, sample // max(1, len(texts)))):
         i %= len(texts)
         spare = [s for _, o in (texts[i], texts[i - 1]) for s in o] + [" ".join(a.split()[:12]) for a in texts[i - 1][0]]
         if article and spare:
-            page = rebuilt(article[:40], spare, rng)
+            page = rebuilt(article[:TRAIN_BLOCKS], spare, rng)
             known.append(([features(b) for b, _ in page], [k for _, k in page]))
     return ChainModel().fit(known)
 
@@ -331,9 +372,9 @@ def extract(pages: DataFrame, model: ChainModel | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every page row, from its whole html.
 
     Null or blank html gives an empty text. Truncated pages and unclosed
-    elements are read as far as they go. Without a page that names its
-    article nothing is learned and every text is empty. Repeated rows give
-    repeated results; extra columns are ignored.
+    elements are read as far as they go. Where no page names its article, the
+    sample is labelled by what is marked as something else. Repeated rows give
+    repeated results and count once in the sample; extra columns are ignored.
     """
     model = model or train(pages)
 
