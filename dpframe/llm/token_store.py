@@ -4,8 +4,8 @@ A store is a folder of shard files plus a manifest table. Documents are
 range-partitioned by doc_id, so shard k holds the ids that follow those of
 shard k-1. A shard file is::
 
-    payload     ids of all its documents, little-endian, 2 bytes each when the
-                vocabulary has at most 65,536 ids, else 4
+    payload     ids of all its documents, little-endian, 2 bytes each when no id
+                of the tokenizer file is over 65,535, else 4
     sections    arrays listed in the footer
     footer      JSON {section: [offset, count, dtype], ...}
     tail        footer length (8 bytes, little-endian) and the magic bytes
@@ -13,7 +13,8 @@ shard k-1. A shard file is::
 Sections: ``row_start`` (first id of each row, plus the end), the levels of
 the minimal perfect hash (``bits``, ``ranks``, ``level_start``), and per hash
 slot ``fingerprint`` (32 bits), ``first_row``, ``rows`` and ``key``. Looking
-a key up costs a few hashes, one fingerprint comparison and one ranged read.
+a key up costs a few hashes, one fingerprint comparison and a few ranged reads,
+whatever the shard holds: sections are read as far as they are asked for.
 Files are named by attempt, and the manifest names the files of successful
 attempts only, so a task that runs again leaves no wrong file behind.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from dpframe.llm.common import new_folder, read, written
-from dpframe.llm.tokens import DEFAULT_TOKENIZER, ID_BYTES, encoder
+from dpframe.llm.tokens import DEFAULT_TOKENIZER, ID_BYTES, encoder, id_width
 
 MAGIC = b"DPTOKIDX"
 SHARD_ROWS = 8192
@@ -39,6 +40,10 @@ GAMMA = 2.0
 SEED = np.uint64(0x9E3779B97F4A7C15)
 MANIFEST_SCHEMA = "shard int, path string, docs long, tokens long, min_key long, max_key long, nulls long"
 READ_IDS = 1 << 21
+#: Items of a section that are read one by one; more load the section.
+FEW = 64
+#: Shards whose key ranges a lookup holds at a time (24 bytes each).
+LOOKUP_SHARDS = 1 << 20
 
 
 def _mix(x: np.ndarray, level: int) -> np.ndarray:
@@ -83,7 +88,6 @@ class PerfectHash:
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key, -1 for a key that falls through all levels."""
-        flat = np.unpackbits(self.bits, bitorder="little").astype(bool)
         out = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
         h = keys.astype(np.int64).view(np.uint64)
@@ -92,7 +96,7 @@ class PerfectHash:
                 break
             a, b = self.level_start[level:level + 2]
             at = a + (_mix(h[todo], level) % np.uint64(b - a)).astype(np.int64)
-            hit = flat[at]
+            hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
             out[todo[hit]] = self.ranks[at[hit]]
             todo = todo[~hit]
         return out
@@ -124,7 +128,12 @@ def write_shard(folder: str, shard: int, rows, width: int) -> tuple | None:
             keys.append(key)
         n_ids += len(raw) // ID_BYTES
         starts.append(n_ids)
-        out.write(raw if width == ID_BYTES else np.frombuffer(raw, "<u4").astype("<u2").tobytes())
+        if width < ID_BYTES:
+            ids = np.frombuffer(raw, "<u4")
+            if ids.max(initial=0) >> 8 * width:
+                raise ValueError(f"an id does not fit in {width} bytes")
+            raw = ids.astype(f"<u{width}").tobytes()
+        out.write(raw)
     if out is None:
         return None
     keys = np.array(keys, np.int64)
@@ -151,6 +160,30 @@ def write_shard(folder: str, shard: int, rows, width: int) -> tuple | None:
             int(keys.max()) if len(keys) else None, nulls)
 
 
+class Section:
+    """An array in a shard file: a few items are read from their places, more load it whole."""
+
+    def __init__(self, file, at: int, count: int, dtype: str):
+        self.file, self.at, self.count, self.dtype = file, at, count, np.dtype(dtype)
+        self.array = None
+
+    def __len__(self):
+        return self.count
+
+    def load(self) -> np.ndarray:
+        if self.array is None:
+            self.array = np.frombuffer(self.file.read_at(self.count * self.dtype.itemsize, self.at), self.dtype)
+        return self.array
+
+    def __getitem__(self, i):
+        i = np.asarray(i)
+        if self.array is None and i.size <= FEW:
+            size = self.dtype.itemsize
+            raw = b"".join(self.file.read_at(size, self.at + size * k) for k in i.ravel().tolist())
+            return np.frombuffer(raw, self.dtype).reshape(i.shape)
+        return self.load()[i]
+
+
 class ShardReader:
     """Keyed access to one shard file."""
 
@@ -167,9 +200,8 @@ class ShardReader:
         footer = json.loads(self.file.read(n))
         self.width, self.nulls = footer["width"], footer["nulls"]
         for name, (at, count, dtype) in footer["sections"].items():
-            self.file.seek(at)
-            setattr(self, name, np.frombuffer(self.file.read(count * np.dtype(dtype).itemsize), dtype))
-        self.hash = PerfectHash(self.bits, self.level_start, self.ranks)
+            setattr(self, name, Section(self.file, at, count, dtype))
+        self.hash = PerfectHash(self.bits, self.level_start.load(), self.ranks)
 
     def rows_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first row, number of rows) per key; number 0 where the fingerprint says the key is absent."""
@@ -184,14 +216,13 @@ class ShardReader:
     def ids(self, row: int, rows: int = 1) -> np.ndarray:
         """Ids of ``rows`` rows from ``row`` on, one ranged read."""
         a, b = int(self.row_start[row]), int(self.row_start[row + rows])
-        self.file.seek(a * self.width)
-        return np.frombuffer(self.file.read((b - a) * self.width), f"<u{self.width}")
+        return np.frombuffer(self.file.read_at((b - a) * self.width, a * self.width), f"<u{self.width}")
 
     def close(self):
         self.file.close()
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZER, vocabulary: int = 49_408,
+def write_store(docs: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZER,
                 shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write the ids of all documents in ascending doc_id order; returns the manifest.
 
@@ -205,7 +236,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str = DEFAULT_TOKENIZER
     tie = F.xxhash64("text")
     ordered = src.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), tie) \
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = id_width(tokenizer)
 
     def write(batches):
         import pandas as pd
@@ -241,7 +272,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
         for pdf in batches:
             for path, base in zip(pdf["path"], pdf["base"]):
                 shard = ShardReader(path)
-                keys = np.sort(shard.key)
+                keys = np.sort(shard.key.load())
                 first, count = shard.rows_of(keys)
                 if (count < 1).any():
                     raise ValueError(f"index of {path} misses a stored key")
@@ -266,32 +297,60 @@ def read_store(manifest: DataFrame) -> DataFrame:
     return shards.repartition(n).mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _shards_of(wanted: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(doc_id, shard) for the shards whose key range holds the key; ``ranges`` has at most LOOKUP_SHARDS rows."""
+    rows = ranges.orderBy("shard").toPandas()
+    shard, least, most = (rows[c].to_numpy(np.int64) for c in ("shard", "min_key", "max_key"))
+
+    def meet(batches):
+        import pandas as pd
+        for pdf in batches:
+            key = pdf["doc_id"].to_numpy(np.int64)
+            # shards are in key order, so those that hold a key follow each other
+            lo, hi = np.searchsorted(most, key, "left"), np.searchsorted(least, key, "right")
+            n = np.maximum(hi - lo, 0)
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            yield pd.DataFrame({"doc_id": np.repeat(key, n), "shard": shard[at]})
+
+    return wanted.mapInPandas(meet, "doc_id long, shard long")
+
+
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Ids by key: ``keys`` has a doc_id column; returns doc_id, ids (one row per stored row of the key).
 
-    Keys meet the shards whose key range holds them, by an interval join on
-    the manifest (one row a shard); absent and null keys give no row.
+    A key finds its shards by binary search over their key ranges (one row a
+    shard, ``LOOKUP_SHARDS`` of them at a time); absent and null keys give no
+    row, repeated ones count once.
     """
+    spark = manifest.sparkSession
     wanted = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    met = wanted.join(manifest.select("path", "min_key", "max_key"),
-                      (F.col("doc_id") >= F.col("min_key")) & (F.col("doc_id") <= F.col("max_key")))
+    ranges = manifest.where("min_key IS NOT NULL")
+    last = ranges.agg(F.max("shard")).first()[0]
+    met = spark.createDataFrame([], "doc_id long, shard long")
+    for a in range(0, -1 if last is None else last + 1, LOOKUP_SHARDS):
+        met = met.unionByName(_shards_of(wanted, ranges.where(F.col("shard").between(a, a + LOOKUP_SHARDS - 1))))
+    met = met.join(manifest.select("shard", "path"), "shard")
 
     def find(batches):
         import pandas as pd
+        frame = lambda doc, ids: pd.DataFrame({"doc_id": np.array(doc, np.int64), "ids": ids})
         for pdf in batches:
             for path, part in pdf.groupby("path"):
                 shard = ShardReader(path)
                 want = part["doc_id"].to_numpy(np.int64)
-                first, count = shard.rows_of(want)
-                doc, ids = [], []
-                for key, row, k in zip(want, first, count):
+                doc, ids, held = [], [], 0
+                for key, row, k in zip(want, *shard.rows_of(want)):
                     for j in range(k):
                         doc.append(key)
                         ids.append(shard.ids(int(row) + j).astype(np.int64))
+                        held += len(ids[-1])
+                        if held > READ_IDS:
+                            yield frame(doc, ids)
+                            doc, ids, held = [], [], 0
                 shard.close()
-                yield pd.DataFrame({"doc_id": np.array(doc, np.int64), "ids": ids})
+                yield frame(doc, ids)
 
-    return met.repartition("path").mapInPandas(find, "doc_id long, ids array<long>")
+    return met.repartition("path").sortWithinPartitions("path").mapInPandas(find, "doc_id long, ids array<long>")
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
