@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dpframe.llm.common import SPACE_CLASS, drop_written, read, written
@@ -165,9 +165,18 @@ def _lines(docs: DataFrame) -> DataFrame:
         cut, "doc_id long, key long, pos int, n int, keys array<long>, spans array<long>")
 
 
-def recurring(lines: DataFrame) -> DataFrame:
-    """Templates and passages that recur: tkey, first (the smallest doc_id and text digest that holds it)."""
-    each = lines.select(F.struct("doc_id", "key").alias("doc"), "n", F.explode("keys").alias("tkey"))
+def document(docs: DataFrame) -> Column:
+    """What tells documents apart and orders them: doc_id where no two rows share it, else doc_id and text digest.
+
+    Both order documents alike; a single number can be aggregated without sorting.
+    """
+    shared = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("doc_id IS NULL OR count > 1")
+    return F.col("doc_id") if shared.isEmpty() else F.struct("doc_id", "key")
+
+
+def recurring(lines: DataFrame, doc: Column) -> DataFrame:
+    """Templates and passages that recur: tkey, first (the smallest document that holds it, see ``document``)."""
+    each = lines.select(doc.alias("doc"), "n", F.explode("keys").alias("tkey"))
     # partial minimum and maximum see at once whether a second document has it; only short lines need counting
     stat = each.groupBy("tkey").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("n").alias("n"))
     long = stat.where((F.col("n") >= LONG) & (F.col("first") != F.col("last"))).select("tkey", "first")
@@ -179,12 +188,13 @@ def recurring(lines: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, drop, cut): positions of dropped lines, and places of dropped passages."""
+    doc = document(docs)
     lines = written(_lines(docs), "lines")
-    again = written(recurring(lines), "templates")
+    again = written(recurring(lines, doc), "templates")
     # a line's place is its position, a passage's the complement of its span
     each = lines.select("doc_id", "key", "pos", "spans", F.posexplode("keys").alias("i", "tkey")).select(
         "doc_id", "key", "tkey", F.when(F.col("pos") < 0, F.bitwise_not(F.get("spans", F.col("i")))).otherwise(F.col("pos")).alias("at"))
-    met = (each.join(again, "tkey").where(F.struct("doc_id", "key") != F.col("first"))
+    met = (each.join(again, "tkey").where(doc != F.col("first"))
            .groupBy("doc_id", "key", "at").agg(F.lit(1).alias("hit")))
     met = written(met.drop("hit"), "met")
     drop_written(lines)
