@@ -214,15 +214,21 @@ def without(text: str, drop, cut) -> tuple[str, int]:
     spans = sorted((int(x) >> 32, int(x) & 0xFFFFFFFF) for x in cut)
     out, gone, word, s = [], 0, 0, 0
     for pos, line in enumerate(text.split("\n")):
-        found = [m.start() for m in WORD.finditer(line)]
+        while s < len(spans) and spans[s][1] <= word:
+            s += 1
+        # words are counted while a span is still to come, and found where one begins before the line's end
+        n = len(line.encode("utf-8", "surrogatepass").split()) if s < len(spans) else 0
         if pos in drop:
             gone += 1
+        elif s == len(spans) or spans[s][0] >= word + n:
+            out.append(line)
         else:
-            keep = []
-            for i in range(word, word + len(found)):
-                while s < len(spans) and spans[s][1] <= i:
-                    s += 1
-                keep.append(s == len(spans) or i < spans[s][0])
+            found = [m.start() for m in WORD.finditer(line)]
+            keep, at = [], s
+            for i in range(word, word + n):
+                while at < len(spans) and spans[at][1] <= i:
+                    at += 1
+                keep.append(at == len(spans) or i < spans[at][0])
             if all(keep):
                 out.append(line)
             elif not any(keep):
@@ -231,7 +237,7 @@ def without(text: str, drop, cut) -> tuple[str, int]:
                 ends = found[1:] + [len(line)]
                 left = "".join(line[a:b] for a, b, k in zip(found, ends, keep) if k)
                 out.append(line[:found[0]] + (left if keep[-1] else left.rstrip(" \t\r\x0b\x0c")))
-        word += len(found)
+        word += n
     return "\n".join(out), gone
 
 

@@ -30,3 +30,30 @@ def test_shared_and_null_ids_need_the_text(spark):
     docs = spark.createDataFrame([(1, line + "\nown words of one"), (1, line + "\nother words here"), (2, line + "\nthe third has these")], row)
     got = _rows(line_dedup.clean(docs))
     assert sum(r[3] for r in got) == 2 and sum(line in r[1] for r in got) == 1
+
+
+def test_cutting_equals_a_word_by_word_replay():
+    import random
+    rng = random.Random(8)
+    blank = " \t\r\x0b\x0c"
+    for _ in range(3000):
+        lines = ["".join(rng.choice(["word", "é x", "\x1c", "a", " ", "  ", "\t", "\r", "\x0c"]) for _ in range(rng.randint(0, 8)))
+                 for _ in range(rng.randint(1, 6))]
+        words = [line_dedup.WORD.findall(x) for x in lines]
+        total = sum(map(len, words))
+        drop = {i for i in range(len(lines)) if rng.random() < 0.2}
+        spans = [sorted(rng.sample(range(total + 1), 2)) for _ in range(rng.randint(0, 4))] if total else []
+        covered = {i for a, b in spans for i in range(a, b)}
+        want, gone, at = [], 0, 0
+        for i, (line, ws) in enumerate(zip(lines, words)):
+            hit = [at + k in covered for k in range(len(ws))]
+            at += len(ws)
+            if i in drop or (ws and all(hit)):
+                gone += 1
+                continue
+            if any(hit):
+                starts = [m.start() for m in line_dedup.WORD.finditer(line)] + [len(line)]
+                left = "".join(line[a:b] for a, b, h in zip(starts, starts[1:], hit) if not h)
+                line = line[:starts[0]] + (left.rstrip(blank) if hit[-1] else left)
+            want.append(line)
+        assert line_dedup.without("\n".join(lines), drop, [a << 32 | b for a, b in spans]) == ("\n".join(want), gone)
