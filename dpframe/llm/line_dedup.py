@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dpframe.llm.common import SPACE_CLASS, drop_written, read, written
+from dpframe.llm.common import SPACE_CLASS, batch_rows, drop_written, read, written
 
 DEPTH = 2
 SEGMENTS = 4
@@ -37,6 +37,8 @@ SEGMENTS = 4
 LONG, SHORT, SHORT_DOCS = 8, 3, 20
 #: Words on both sides that a cut between chunks depends on, and the fewest words of a passage key.
 REACH, PASSAGE = 4, 20
+#: Texts that a Python worker holds at a time.
+BATCH = 1000
 WORD = re.compile(f"[^{SPACE_CLASS}]+")
 BASE = 0x2545F4914F6CDD1D
 VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*")
@@ -189,7 +191,8 @@ def recurring(lines: DataFrame, doc: Column) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, drop, cut): positions of dropped lines, and places of dropped passages."""
     doc = document(docs)
-    lines = written(_lines(docs), "lines")
+    with batch_rows(docs.sparkSession, BATCH):
+        lines = written(_lines(docs), "lines")
     again = written(recurring(lines, doc), "templates")
     # a line's place is its position, a passage's the complement of its span
     each = lines.select("doc_id", "key", "pos", "spans", F.posexplode("keys").alias("i", "tkey")).select(

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dpframe.llm.common import SPACE_CLASS, read, written
+from dpframe.llm.common import batch_rows, SPACE_CLASS, read, written
 
 WORD = re.compile(f"[^{SPACE_CLASS}]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -31,6 +31,8 @@ MIN_WORDS = 50
 #: Distance from the group's median within which a measure is never too high (in units of the measure).
 SLACK = {"mean_word": 3.0, "symbol_ratio": 0.05, "dup_line_ratio": 0.25, "repeat_ratio": 0.2}
 FENCE, PRIOR = 3.0, 30
+#: Texts that a Python worker holds at a time.
+BATCH = 1000
 #: Bins to a factor of two, and the bin of the value 0.
 BINS, ZERO = 16, -100_000
 
@@ -145,7 +147,8 @@ def judge(docs: DataFrame) -> DataFrame:
     rows are judged alike.
     """
     m = _with_keys(docs.select("doc_id", "lang", "source", "text")).withColumn("_m", measures(F.col("text")))
-    m = written(m.select("doc_id", "_lang", "_source", "_m.*"), "measures")
+    with batch_rows(docs.sparkSession, BATCH):
+        m = written(m.select("doc_id", "_lang", "_source", "_m.*"), "measures")
     return m.join(thresholds(m), ["_lang", "_source"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"), _verdict().alias("kept"))
@@ -154,14 +157,15 @@ def judge(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all their columns unchanged.
 
-    The measures are taken twice, so that the texts are never shuffled: the
-    thresholds (one row a group) are joined to the documents. Null texts have
-    no words and go; null languages and sources are groups of their own; an
-    empty table stays empty; repeated rows are judged alike.
+    The documents are written beside their measures, so that texts are measured
+    once and never shuffled: the thresholds (one row a group) are joined to them.
+    Null texts have no words and go; null languages and sources are groups of
+    their own; an empty table stays empty; repeated rows are judged alike.
     """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "lang", "source", measures(F.col("text")).alias("_m"))
-    keyed = _with_keys(rows)
-    limits = written(thresholds(written(keyed.select("_lang", "_source", "_m.*"), "measures")), "limits")
+    with batch_rows(docs.sparkSession, BATCH):
+        keyed = written(_with_keys(rows), "measured")
+    limits = written(thresholds(keyed.select("_lang", "_source", "_m.*")), "limits")
     return keyed.join(limits, ["_lang", "_source"], "left").where(_verdict("_m.")).select("row.*")
 
 
