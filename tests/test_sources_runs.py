@@ -191,3 +191,27 @@ def test_search_state_of_unknown_shape(spark, tmp_path):
     leaves = {(r["file"], r["path"]): r["value"] for r in files.search_state_leaves(spark, str(tmp_path)).withColumn("file", name).collect()}
     assert leaves["b.json", "$.brackets[0].rounds[0][0].score[1].x"] == "2.5" and leaves["a.json", "$.hyperparameters.space[0].config.name"] == "units"
     assert not [f for f, _ in leaves if f == "c.json"]
+
+
+def test_stores_of_many_runs_are_few_files(spark, tmp_path):
+    """Files written do not grow with the runs; odd names come back; plain and packed files of one root are read together."""
+    n = 400
+    base = spark.range(n).select(F.concat(F.lit("r/%+ "), F.col("id").cast("string")).alias("run_id"), F.lit("a+b c/é").alias("key"), F.col("id"))
+    files.write_params(base.withColumn("value", F.expr("'x' || id || ' \n y'")), f"{tmp_path}/s/params")
+    files.write_metrics(base.selectExpr("run_id", "key", "int(id) AS step", "1000 + id AS ts_ms", "id / 2 AS value"), f"{tmp_path}/s/metrics")
+    files.write_metrics(base.selectExpr("run_id", "key", "int(id) AS step", "1000 + id AS ts_ms", "id / 2 AS value"), f"{tmp_path}/s/metrics")
+    files.write_run_meta(base.selectExpr("run_id", "'name: ' || id AS run_name", "3 AS status"), f"{tmp_path}/s/meta")
+    files.append_parquet(base, f"{tmp_path}/s/table", [], run="run_id", buckets=8)
+    assert len([p for p in tmp_path.rglob("*") if p.is_file() and not p.name.endswith(".crc")]) < 80
+    p = {r["run_id"]: (r["key"], r["value"]) for r in files.read_params(spark, f"{tmp_path}/s/params").collect()}
+    assert p == {f"r/%+ {i}": ("a+b c/é", f"x{i} \n y") for i in range(n)}
+    m = files.read_metrics(spark, f"{tmp_path}/s/metrics")
+    assert m.count() == 2 * n and m.where("run_id = 'r/%+ 7' AND ts_ms = 1007 AND value = 3.5 AND step = 7").count() == 2
+    meta = files.read_run_meta(spark, f"{tmp_path}/s/meta").where("run_name = 'name: 5' AND status = 3").collect()
+    assert [r["run_id"] for r in meta] == ["r/%+ 5"]
+    table = spark.read.parquet(f"{tmp_path}/s/table")
+    assert table.count() == n and table.where(F.col("run_bucket") == files.run_bucket("run_id", 8)).count() == n
+    _write(tmp_path, "s/params/1/abc/params/lr", "0.5\n")
+    assert files.read_params(spark, f"{tmp_path}/s/params").count() == n + 1
+    files.write_params(base.limit(3).withColumn("value", F.lit("v")), f"{tmp_path}/s/params")
+    assert files.read_params(spark, f"{tmp_path}/s/params").count() == 3
