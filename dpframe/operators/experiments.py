@@ -157,6 +157,40 @@ def _chain(values: np.ndarray, min_delta: float):
     return place, v, nxt, last
 
 
+def _whole_groups(it, names: list[str]):
+    """Frames of whole groups, with the borders of these, from the batches of a partition sorted by ``names``.
+
+    Many short groups come in one frame; a group over several batches is held until it ends.
+    """
+    held: list[pd.DataFrame] = []
+
+    def cuts(pdf):
+        change = np.zeros(max(len(pdf) - 1, 0), bool)
+        for c in names:
+            v = pdf[c].to_numpy()
+            change |= v[1:] != v[:-1]
+        return np.flatnonzero(change) + 1
+
+    def out(frames):
+        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        return pdf, [0, *cuts(pdf).tolist(), len(pdf)]
+
+    for pdf in it:
+        if not len(pdf):
+            continue
+        if held and any(held[-1][c].iloc[-1] != pdf[c].iloc[0] for c in names):
+            yield out(held)
+            held = []
+        at = cuts(pdf)
+        if len(at):
+            yield out([*held, pdf.iloc[:at[-1]]])
+            held = []
+            pdf = pdf.iloc[at[-1]:]
+        held.append(pdf)
+    if held:
+        yield out(held)
+
+
 def reduce_lr_on_plateau(history: DataFrame, run: list[str], value: str = "value", step: str = "step",
                          lr0: float = 1e-3, factor: float = 0.5, patience: int = 3, min_lr: float = 1e-6,
                          min_delta: float = 1e-4, chunks: int | None = None) -> DataFrame:
@@ -179,55 +213,62 @@ def reduce_lr_on_plateau(history: DataFrame, run: list[str], value: str = "value
     d = history.select(*run, F.col(step).cast("int").alias(step), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"), group_key(run).alias("_run"))
     d = _ranges(d, ["_run"], [step, "_v"], chunks)
 
-    def pieces(key, pdf):
-        v = pdf.sort_values([step, "_v"], na_position="first")["_v"].to_numpy(float)
-        _, best, _, last = _chain(v, min_delta)
-        end = best[last]
-        new = np.ones(len(best), bool)
-        new[1:] = end[1:] != end[:-1]                  # entries next to each other mostly end alike
-        return pd.DataFrame({"_run": [key[0]], "_chunk": [key[1]], "entry": [best[np.append(new[1:], True)] if len(best) else []],
-                             "exit": [end[new] if len(best) else []]})
-
-    summaries = d.groupBy(*names).applyInPandas(pieces, "_run string, _chunk int, entry array<double>, exit array<double>")
-
-    def along(key, pdf):                               # one row a range
-        best, out = np.inf, []
-        for c, entry, end in pdf.sort_values("_chunk")[["_chunk", "entry", "exit"]].itertuples(index=False):
-            out.append((key[0], c, best))
-            # entered at the first record below the best value less min_delta: in the first step whose last record is below it
-            entry = np.asarray(entry, float)
-            at = int(np.searchsorted(-entry, -(best - min_delta), side="right")) if best < np.inf else 0
-            best = float(end[at]) if at < len(entry) else best
-        return pd.DataFrame(out, columns=["_r", "_c", "_best"])
-
-    before = summaries.groupBy("_run").applyInPandas(along, "_r string, _c int, _best double")
+    def pieces(it):
+        for pdf, at in _whole_groups(it, names):
+            values, entries, exits = pdf["_v"].to_numpy(float), [], []
+            for a, b in zip(at, at[1:]):
+                _, best, _, last = _chain(values[a:b], min_delta)
+                end = best[last]
+                new = np.ones(len(best), bool)
+                new[1:] = end[1:] != end[:-1]          # entries next to each other mostly end alike
+                entries.append(best[np.append(new[1:], True)] if len(best) else [])
+                exits.append(end[new] if len(best) else [])
+            yield pd.DataFrame({**{c: pdf[c].to_numpy()[at[:-1]] for c in names}, "entry": entries, "exit": exits})
+
+    # a partition is a range, with many runs or a part of one
+    summaries = d.sortWithinPartitions(*names, step, "_v").mapInPandas(pieces, "_run string, _chunk int, entry array<double>, exit array<double>")
+
+    def along(it):                                     # one row a range
+        for pdf, at in _whole_groups(it, ["_run"]):
+            entries, exits, bests = pdf["entry"].to_numpy(), pdf["exit"].to_numpy(), []
+            for a, b in zip(at, at[1:]):
+                best = np.inf
+                for k in range(a, b):
+                    bests.append(best)
+                    # entered at the first record below the best value less min_delta: in the first step whose last record is below it
+                    first = int(np.searchsorted(-entries[k], -(best - min_delta), side="right")) if best < np.inf else 0
+                    best = float(exits[k][first]) if first < len(entries[k]) else best
+            yield pd.DataFrame({"_r": pdf["_run"].to_numpy(), "_c": pdf["_chunk"].to_numpy(), "_best": bests})
+
+    before = summaries.repartition("_run").sortWithinPartitions(*names).mapInPandas(along, "_r string, _c int, _best double")
     given = d.join(before, (F.col("_run") == F.col("_r")) & (F.col("_chunk") == F.col("_c"))).drop("_r", "_c")
-    out = T.StructType([d.schema[c] for c in [*run, step, *names]] + [T.StructField(c, T.LongType()) for c in
-                       ("_at", "_since", "_lowered", "_first", "_last", "_inside", "_rows")])
+    fields = ("_at", "_since", "_lowered", "_first", "_last", "_inside", "_rows")
+    out = T.StructType([d.schema[c] for c in [*run, step, *names]] + [T.StructField(c, T.LongType()) for c in fields])
 
-    def mark(key, pdf):
+    def mark(it):
         """Per row: its place, the last improvement before it in the range, and the lowerings in the gaps closed before it."""
-        pdf = pdf.sort_values([step, "_v"], na_position="first")
-        best = pdf["_best"].iloc[0]
-        place, v, nxt, _ = _chain(pdf["_v"].to_numpy(float), min_delta)
-        r = int(np.searchsorted(-v, -(best - min_delta), side="right")) if best < np.inf else 0
-        hits = []
-        while 0 <= r < len(v):
-            hits.append(place[r])
-            r = nxt[r]
-        hits = np.array(hits, np.int64) + 1            # places from 1
-        at = np.arange(1, len(pdf) + 1)
-        closed = np.concatenate([[0], np.cumsum((np.diff(hits) - 1) // patience)]) if len(hits) else np.zeros(1, np.int64)
-        seen = np.searchsorted(hits, at)               # improvements before the row
-        res = pdf[[*run, step, *names]].copy()
-        res["_at"] = at
-        res["_since"] = np.where(seen > 0, hits[np.maximum(seen, 1) - 1] if len(hits) else 0, 0)
-        res["_lowered"] = closed[np.maximum(seen, 1) - 1]
-        res["_first"], res["_last"] = (int(hits[0]), int(hits[-1])) if len(hits) else (0, 0)
-        res["_inside"], res["_rows"] = int(closed[-1]), len(pdf)
-        return res
-
-    rows = given.groupBy(*names).applyInPandas(mark, out).checkpoint()
+        for pdf, borders in _whole_groups(it, names):
+            values, given_best, found = pdf["_v"].to_numpy(float), pdf["_best"].to_numpy(float), []
+            for a, b in zip(borders, borders[1:]):
+                best, rows = given_best[a], b - a
+                place, v, nxt, _ = _chain(values[a:b], min_delta)
+                r = int(np.searchsorted(-v, -(best - min_delta), side="right")) if best < np.inf else 0
+                hits = []
+                while 0 <= r < len(v):
+                    hits.append(place[r])
+                    r = nxt[r]
+                hits = np.array(hits, np.int64) + 1    # places from 1
+                at = np.arange(1, rows + 1)
+                closed = np.concatenate([[0], np.cumsum((np.diff(hits) - 1) // patience)]) if len(hits) else np.zeros(1, np.int64)
+                seen = np.searchsorted(hits, at)       # improvements before the row
+                since = np.where(seen > 0, hits[np.maximum(seen, 1) - 1] if len(hits) else 0, 0)
+                first, last = (hits[0], hits[-1]) if len(hits) else (0, 0)
+                found.append(np.column_stack([at, since, closed[np.maximum(seen, 1) - 1]] + [np.full(rows, x) for x in (first, last, closed[-1], rows)]))
+            res = pdf[[*run, step, *names]].reset_index(drop=True)
+            res[list(fields)] = np.concatenate(found).astype(np.int64)
+            yield res
+
+    rows = given.repartition(*names).sortWithinPartitions(*names, step, "_v").mapInPandas(mark, out).checkpoint()
     w = Window.partitionBy("_run").orderBy("_chunk")                              # one row a range
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy(*names).agg(*[F.max(c).alias(c) for c in ("_first", "_last", "_inside", "_rows")])

@@ -215,3 +215,25 @@ def test_stores_of_many_runs_are_few_files(spark, tmp_path):
     assert files.read_params(spark, f"{tmp_path}/s/params").count() == n + 1
     files.write_params(base.limit(3).withColumn("value", F.lit("v")), f"{tmp_path}/s/params")
     assert files.read_params(spark, f"{tmp_path}/s/params").count() == 3
+
+
+def test_plateau_works_on_whole_ranges_not_on_single_runs(spark, monkeypatch):
+    """No Python call for every run, and runs that go over several Arrow batches stay whole."""
+    import pandas as pd
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    def never(*a, **k):
+        raise AssertionError("a Python call for every run")
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", never)
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    vals = [1.0, 0.9, 0.95, 0.96, 0.97, 0.98, 0.99, 1.0]
+    df = spark.createDataFrame([(r, i, v) for r in range(40) for i, v in enumerate(vals)], "run_id int, step int, value double")
+    try:
+        spark.conf.set(key, "5")
+        got = ex.reduce_lr_on_plateau(df, ["run_id"], patience=3, lr0=1e-3, chunks=3).orderBy("run_id", "step").collect()
+    finally:
+        spark.conf.set(key, old)
+    assert [r["learning_rate"] for r in got] == pytest.approx(([1e-3] * 5 + [5e-4] * 3) * 40)
+    frames = [pd.DataFrame({"g": list(t), "h": 0}) for t in ("aab", "bb", "b", "ccd", "", "e")]
+    seen = [(pdf["g"].iloc[a], b - a) for pdf, at in ex._whole_groups(iter(frames), ["g", "h"]) for a, b in zip(at, at[1:])]
+    assert seen == [("a", 2), ("b", 4), ("c", 2), ("d", 1), ("e", 1)]
