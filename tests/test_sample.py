@@ -125,3 +125,19 @@ def test_exact_sizes_with_repeated_keys_and_rows(spark, monkeypatch):
     monkeypatch.setattr(sample, "FINISH_ROWS", 2)             # more rows of one key than are ordered directly
     got = sample.downsample(df, F.col("key"), "cls", 43, n=21)
     assert {r[0]: r[1] for r in got.groupBy("cls").count().collect()} == {"a": 21, "b": 21}
+
+
+def test_rows_are_hashed_twice_whatever_the_levels(spark, monkeypatch):
+    """Level 0 and one pass for the boundary buckets read all rows; the further levels read only those."""
+    monkeypatch.setattr(sample, "FINISH_ROWS", 2)               # force every radix level
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        calls.add(1)
+        return k
+    d = spark.range(3000).select(F.udf(seen, "string")(F.col("id").cast("string")).alias("key"))
+    d = sample.prepare(d, F.col("key"), 7, [])
+    thr = sample._thresholds(d, 1000)
+    assert thr[""].need == thr[""].ties == 1 and calls.value < 2.1 * 3000      # the boundary rows once more, after their filter
+    monkeypatch.undo()
+    assert sample._thresholds(d, 1000)[""] == thr[""]
