@@ -8,7 +8,7 @@ scores then use the counts of all training text.
 
 Counting and scoring are a blocked hash join. Documents are put together in
 blocks of about ``BLOCK_BYTES`` bytes, each written once. A block asks
-for the counts of its distinct n-grams, dealt by n-gram hash over reducers
+for the counts of its distinct n-grams, dealt by ranges of hashes over reducers
 that add up what all blocks hold of a key and answer every block in the
 order it asked. What moves is one hash per distinct n-gram and block, not
 one row per token, and a frequent word is one key per block. N-grams are
@@ -18,9 +18,6 @@ known by 64-bit hashes.
 from __future__ import annotations
 
 import zlib
-from collections import ChainMap
-from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -36,8 +33,15 @@ CONTEXT_BUCKETS = 20
 ITERATIONS = 60
 #: Resolution of the log-estimates in the held-out table: steps per factor of 2.
 GRID = 16
+#: Lower bytes of the differences of hashes that deflating does not make shorter.
+NOISE = 5
 END, START = 0xE4D, 0x57A
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+SPACES = b" \t\n\v\f\r"
+#: Longer words (in bytes) are hashed one by one.
+LONG_WORD = 64
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,72 +52,77 @@ def _mix(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-class Words:
-    """64-bit hashes of words (bytes between ASCII white space), remembered up to ``most`` of them."""
-
-    def __init__(self, most: int = 300_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
+def _hashes(raw: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``raw`` that begin there, of so many bytes: eight bytes of all words at a time."""
+    import xxhash
+    eight = np.ndarray(len(raw), "<u8", raw + bytes(7), strides=(1,))       # the eight bytes from every place on
+    with np.errstate(over="ignore"):
+        out = _mix(size.astype(np.uint64) * C1)
+        rest = np.arange(len(size))
+        for k in range(0, LONG_WORD, 8):
+            rest = rest[size[rest] > k]
+            out[rest] = _mix(out[rest] * C3 + (eight[begin[rest] + k] & FIRST_BYTES[np.minimum(size[rest] - k, 8)]))
+    for i in rest[size[rest] > LONG_WORD].tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[begin[i]:begin[i] + size[i]])
+    return out
 
-    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of every token, tokens per text) of UTF-8 texts; each text ends with the end token."""
-        import xxhash
-        split = [t.translate(LOWER).split() for t in texts]
-        new = {w: xxhash.xxh3_64_intdigest(w) for w in set().union(*split).difference(self.known)}
-        if len(self.known) + len(new) <= self.most:
-            self.known.update(new)
-            new = self.known
-        else:
-            self.known.update(islice(new.items(), max(self.most - len(self.known), 0)))
-            new = ChainMap(new, self.known)
-        n = np.array([len(w) + 1 for w in split], np.int64)
-        out = np.full(n.sum(), END, np.uint64)
-        word = np.ones(len(out), bool)
-        word[np.cumsum(n) - 1] = False
-        out[word] = np.fromiter(map(new.__getitem__, chain.from_iterable(split)), np.uint64, len(out) - len(n))
-        return out, n
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code of every token, hash of every code, tokens per text) of UTF-8 texts; each text ends with the end token.
 
-@lru_cache(maxsize=1)
-def words() -> Words:
-    """The word memory of this Python worker."""
-    return Words()
+    The last two codes are the end token and the start, which is no token.
+    """
+    raw = b" ".join([b"", *texts, b""]).translate(LOWER)
+    space = IS_SPACE[np.frombuffer(raw, np.uint8)]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, end = edge[::2], edge[1::2]
+    word_code, single = pd.factorize(_hashes(raw, begin, end - begin))
+    n = np.diff(np.searchsorted(begin, 1 + np.cumsum([len(t) + 1 for t in texts])), prepend=0) + 1
+    code = np.full(n.sum(), len(single), np.int64)
+    word = np.ones(len(code), bool)
+    word[np.cumsum(n) - 1] = False
+    code[word] = word_code
+    return code, np.append(single, np.array([END, START], np.uint64)), n
 
 
 START_KEY = int(_mix(np.array([START], np.uint64) + C1)[0]) & ~1
 
 
-def _grams(tokens: np.ndarray, n: np.ndarray):
+def _grams(code: np.ndarray, single: np.ndarray, n: np.ndarray):
     """Distinct keys (sorted) and, for each token, the place of its pair, its context and itself among them.
 
     Single tokens have even keys, pairs odd ones; a text's first context is the start key.
     """
-    code, single = pd.factorize(tokens)
     context = np.empty_like(code)
     context[1:] = code[:-1]
-    first = np.zeros(len(tokens), bool)
-    first[np.cumsum(n) - n] = True
-    context[first] = len(single)
-    single = np.append(single, np.uint64(START))
+    context[np.cumsum(n) - n] = len(single) - 1
+    pair_code, pairs = pd.factorize(context * len(single) + code)
     with np.errstate(over="ignore"):
-        pair = _mix(_mix(single * C1 + C3)[context] + tokens) | np.uint64(1)
+        odd = _mix(_mix(single * C1 + C3)[pairs // len(single)] + single[pairs % len(single)]) | np.uint64(1)
         even = _mix(single + C1) & ~np.uint64(1)
-    pair_code, pairs = pd.factorize(pair)
-    keys = np.concatenate([even, pairs])
+    keys = np.concatenate([even, odd])
     order = np.argsort(keys)
     place = np.empty(len(keys), np.int64)
     place[order] = np.arange(len(keys))
     return keys[order], place[len(even):][pair_code], place[:len(even)][context], place[:len(even)][code]
 
 
+def _cuts(keys: np.ndarray, reducers: int) -> np.ndarray:
+    """Where the sorted keys of one reducer end and those of the next begin: each has an equal range of keys."""
+    first = np.array([(r << 64) // reducers for r in range(1, reducers)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]])
+
+
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, bytes of equal weight together, deflated lightly."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    return zlib.compress(step.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Sorted keys as differences, bytes of equal weight together: the upper ones lightly deflated, then the ``NOISE`` lower ones."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(planes[NOISE:].tobytes(), 1) + planes[:NOISE].tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    upper = zlib.decompressobj()
+    upper, lower = upper.decompress(raw), upper.unused_data
+    planes = np.concatenate([np.frombuffer(b, np.uint8).reshape(k, -1) for b, k in ((lower, NOISE), (upper, 8 - NOISE))])
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -174,18 +183,16 @@ def _requests(blocks: DataFrame, reducers: int) -> DataFrame:
     def ask(batches):
         for pdf in batches:
             for block, deleted, held, payload in zip(pdf["block"], pdf["deleted"], pdf["held_out"], pdf["payload"]):
-                tokens, n = words().hashes(_texts(payload, len(held)))
+                code, single, n = _words(_texts(payload, len(held)))
                 train = ~np.array(held, bool)
-                keys, pair, context, word = _grams(tokens, n)
+                keys, pair, context, word = _grams(code, single, n)
                 use = np.repeat(train, n)
                 counts = np.bincount(word[use], minlength=len(keys)) + np.bincount(pair[use], minlength=len(keys))
                 counts[context[0]] = train.sum()          # the start key, once a document
-                part = ((keys >> np.uint64(1)) % np.uint64(reducers)).astype(np.int64)
-                for r in range(reducers):
-                    mine = part == r
-                    if mine.any():
-                        yield pd.DataFrame({"block": [block], "deleted": [deleted], "reducer": [r],
-                                            "keys": [_pack(keys[mine])], "counts": [_numbers(counts[mine])]})
+                cuts = _cuts(keys, reducers).tolist()
+                rows = [(block, deleted, r, _pack(keys[a:b]), _numbers(counts[a:b]))
+                        for r, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+                yield pd.DataFrame(rows, columns=["block", "deleted", "reducer", "keys", "counts"])
 
     return blocks.select("block", "deleted", "held_out", "payload").mapInPandas(
         ask, "block long, deleted boolean, reducer int, keys binary, counts binary")
@@ -222,18 +229,16 @@ def _answers(requests: DataFrame) -> DataFrame:
         add, "block long, reducer int, total binary, gone binary, n long, v long, kept_n long, kept_v long")
 
 
-def _tokens_with_counts(payload, held, answers, reducers: int):
-    """Tokens per text and the counts (pair, context, word) of each token, in all and in deleted training text."""
-    tokens, n = words().hashes(_texts(payload, len(held)))
-    keys, *places = _grams(tokens, n)
-    part = ((keys >> np.uint64(1)) % np.uint64(reducers)).astype(np.int64)
-    total, gone = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    for r, t, g in answers:
-        mine = part == r
-        total[mine] = _from_numbers(t)
-        if g is not None:
-            gone[mine] = _from_numbers(g)
-    return n, [total[i] for i in places], [gone[i] for i in places]
+def _tokens_with_counts(payload, held, answers):
+    """Tokens per text and, for each kind of count answered, the counts (pair, context, word) of each token.
+
+    ``answers`` are (reducer, counts of a kind, ...): in the order of reducers they are in that of the sorted keys.
+    """
+    code, single, n = _words(_texts(payload, len(held)))
+    _, *places = _grams(code, single, n)
+    kinds = list(zip(*sorted(answers)))[1:]
+    counts = [np.concatenate([_from_numbers(c) for c in kind]).astype(np.int64) for kind in kinds]
+    return n, *([c[i] for i in places] for c in counts)
 
 
 def _estimates(pair, context, word, n_all):
@@ -276,7 +281,7 @@ def learn_weights(cells: np.ndarray, vocabulary: int) -> np.ndarray:
     return weights
 
 
-def _held_out_cells(joined: DataFrame, reducers: int, kept_n: int) -> np.ndarray:
+def _held_out_cells(joined: DataFrame, kept_n: int) -> np.ndarray:
     """The bounded table of held-out tokens: (bucket, pair step, word step, tokens)."""
     def steps(p):
         return np.where(p > 0, np.rint(-np.log2(np.maximum(p, 1e-30)) * GRID), -1).astype(np.int64)
@@ -285,12 +290,12 @@ def _held_out_cells(joined: DataFrame, reducers: int, kept_n: int) -> np.ndarray
         for pdf in batches:
             for held, payload, answers in zip(pdf["held_out"], pdf["payload"], pdf["answers"]):
                 got = [(a["reducer"], a["total"], a["gone"]) for a in answers]
-                n, total, gone = _tokens_with_counts(payload, held, got, reducers)
+                n, total, gone = _tokens_with_counts(payload, held, got)
                 use = np.repeat(~np.array(held, bool), n)
                 pair, ctx, uni = [(t - g)[use] for t, g in zip(total, gone)]
                 f2, f1 = _estimates(pair, ctx, uni, kept_n)
-                c, k = np.unique(np.stack([context_bucket(ctx), steps(f2), steps(f1)]), axis=1, return_counts=True)
-                yield pd.DataFrame({"b": c[0], "s2": c[1], "s1": c[2], "k": k})
+                cell, k = np.unique(context_bucket(ctx) << 32 | steps(f2) + 1 << 16 | steps(f1) + 1, return_counts=True)
+                yield pd.DataFrame({"b": cell >> 32, "s2": (cell >> 16 & 0xFFFF) - 1, "s1": (cell & 0xFFFF) - 1, "k": k})
 
     rows = joined.where("deleted").mapInPandas(cells, "b int, s2 int, s1 int, k long") \
         .groupBy("b", "s2", "s1").agg(F.sum("k").alias("k")).collect()
@@ -316,13 +321,13 @@ def score(docs: DataFrame, blocks_per_reducer: int = 5) -> DataFrame:
         back = answers.where("block <> -1").groupBy("block").agg(
             F.collect_list(F.struct("reducer", "total", "gone")).alias("answers"))      # a block's own keys
         joined = blocks.join(back, "block")
-        weights = learn_weights(_held_out_cells(joined, reducers, stats["kept_n"]), stats["kept_v"])
+        weights = learn_weights(_held_out_cells(joined, stats["kept_n"]), stats["kept_v"])
 
         def run(batches):
             for pdf in batches:
                 for ids, held, payload, got in zip(pdf["doc_ids"], pdf["held_out"], pdf["payload"], pdf["answers"]):
-                    got = [(a["reducer"], a["total"], None) for a in got]
-                    n, (pair, ctx, uni), _ = _tokens_with_counts(payload, held, got, reducers)
+                    got = [(a["reducer"], a["total"]) for a in got]
+                    n, (pair, ctx, uni) = _tokens_with_counts(payload, held, got)
                     f2, f1 = _estimates(pair, ctx, uni, n_all)
                     w = weights[context_bucket(ctx)]
                     p = w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] / (vocabulary + 1)
