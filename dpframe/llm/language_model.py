@@ -205,20 +205,18 @@ def _answers(requests: DataFrame) -> DataFrame:
     and in deleted text, on a row of its own (block -1).
     """
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [_unpack(k) for k in pdf["keys"]]
-        counts = [_from_numbers(c).astype(np.int64) for c in pdf["counts"]]
-        size = [len(k) for k in keys]
-        flat, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        c = np.concatenate(counts)
-        gone = np.repeat(pdf["deleted"].to_numpy(bool), size)
+        flat, inverse = np.unique(np.concatenate([_unpack(k) for k in pdf["keys"]]), return_inverse=True)
         total, deleted = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
-        np.add.at(total, inverse, c)
-        np.add.at(deleted, inverse, c * gone)
-        rows, at = [], 0
-        for block, d, k in zip(pdf["block"], pdf["deleted"], size):
-            mine = inverse[at:at + k]
+        places, at = [], 0
+        for d, raw in zip(pdf["deleted"], pdf["counts"]):
+            c = _from_numbers(raw).astype(np.int64)
+            places.append(inverse[at:at + len(c)])
+            at += len(c)
+            for sums in (total, deleted) if d else (total,):
+                np.add.at(sums, places[-1], c)
+        rows = []
+        for block, d, mine in zip(pdf["block"], pdf["deleted"], places):
             rows.append((block, pdf["reducer"].iloc[0], _numbers(total[mine]), _numbers(deleted[mine]) if d else None, 0, 0, 0, 0))
-            at += k
         uni = (flat & np.uint64(1) == 0) & (flat != np.uint64(START_KEY))
         kept = total[uni] - deleted[uni]
         rows.append((-1, pdf["reducer"].iloc[0], None, None, int(total[uni].sum()), int((total[uni] > 0).sum()),

@@ -74,7 +74,7 @@ def test_counts_of_pairs_contexts_and_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(5)
     blocks = language_model.make_blocks(docs)
     rows = blocks.collect()
-    pairs, contexts, uni = collections.Counter(), collections.Counter(), collections.Counter()
+    every, gone = [[collections.Counter() for _ in range(3)] for _ in range(2)]       # of pairs, contexts and words
     plain = []
     for b in rows:
         plain.append([])
@@ -82,15 +82,16 @@ def test_counts_of_pairs_contexts_and_words(spark):
             words = WORDS.findall(text.translate(language_model.LOWER)) + [b" end"]
             two = list(zip([b" start"] + words, words))
             plain[-1] += two
-            if not held:
+            for pairs, contexts, uni in ([] if held else [every, gone] if b["deleted"] else [every]):
                 pairs.update(two)
-                contexts.update(v for v, _ in two if v == b" start")
+                contexts.update([b" start", *words])
                 uni.update(words)
-    contexts += uni
     for reducers in (1, 7, 600):
         got = collections.defaultdict(list)
         for a in language_model._answers(language_model._requests(blocks, reducers)).where("block <> -1").collect():
-            got[a["block"]].append((a["reducer"], a["total"]))
+            got[a["block"]].append((a["reducer"], a["total"], *([] if a["gone"] is None else [a["gone"]])))
         for b, two in zip(rows, plain):
-            _, counts = language_model._tokens_with_counts(b["payload"], b["held_out"], got[b["block"]])
-            assert [c.tolist() for c in counts] == [[pairs[t] for t in two], [contexts[v] for v, _ in two], [uni[w] for _, w in two]]
+            _, *kinds = language_model._tokens_with_counts(b["payload"], b["held_out"], got[b["block"]])
+            assert len(kinds) == 1 + b["deleted"]
+            for counts, (pairs, contexts, uni) in zip(kinds, (every, gone)):
+                assert [c.tolist() for c in counts] == [[pairs[t] for t in two], [contexts[v] for v, _ in two], [uni[w] for _, w in two]]
