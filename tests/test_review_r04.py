@@ -79,3 +79,21 @@ def test_batches_go_to_blocks_packed_and_from_any_partitions(spark):
 
 def test_noise_of_many_steps_is_that_of_each():
     assert (train.steps_noise("s", 4, range(3, 40), 9) == np.stack([train.step_noise("s", 4, k, 9) for k in range(3, 40)])).all()
+
+
+def test_rows_are_sent_narrow_without_loss():
+    for values, kind in (([0, 1, 1], np.int8), ([0.5, 300], np.float32), ([0.1], np.float64), ([1, np.nan], np.float64), ([1e300], np.float64)):
+        x = np.array(values, np.float64)
+        with np.errstate(all="ignore"):
+            got = train._narrow(x)
+        assert got.dtype == kind and np.array_equal(got.astype(np.float64), x, equal_nan=True)
+
+
+def test_a_block_is_sorted_by_step_then_place_and_empty_steps_stay():
+    """Packed rows of three places in any order; steps without rows, and a block without any."""
+    part = lambda place, at, x, y: (place, np.array(at, np.uint8), np.array(x, np.float32).reshape(-1, 1), [np.array(y, np.int8)])
+    parts = [part((1, 0), [0, 3], [5, 6], [1, 0]), part((0, 1), [3, 3], [3, 4], [1, 1]), part((0, 0), [3], [1], [0])]
+    got = [(X[:, 0].tolist(), y.tolist(), w.tolist(), sq.tolist()) for X, y, w, _, sq in train._batches(iter(parts), 5, 1, False)]
+    none = ([], [], [], [])
+    assert got == [([5], [1], [1], [26]), none, none, ([1, 3, 4, 6], [0, 1, 1, 0], [1] * 4, [2, 10, 17, 37]), none]
+    assert [len(b[1]) for b in train._batches(iter([]), 3, 2, False)] == [0, 0, 0]
