@@ -97,3 +97,17 @@ def test_a_block_is_sorted_by_step_then_place_and_empty_steps_stay():
     none = ([], [], [], [])
     assert got == [([5], [1], [1], [26]), none, none, ([1, 3, 4, 6], [0, 1, 1, 0], [1] * 4, [2, 10, 17, 37]), none]
     assert [len(b[1]) for b in train._batches(iter([]), 3, 2, False)] == [0, 0, 0]
+
+
+def test_trials_that_share_a_task_train_as_alone(spark, monkeypatch):
+    """More trials than three a core, of different batches and epochs, in blocks of a few steps."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(f"k{i}", [float(v) for v in rng.normal(size=2)], int(rng.random() < 0.5)) for i in range(120)],
+                               "key string, features array<double>, label int")
+    cfgs = [train.FitConfig(learning_rate=0.1, batch_size=4 + 4 * (i % 3), epochs=1 + i % 2, seed=f"t{i}") for i in range(3 * spark.sparkContext.defaultParallelism + 2)]
+    monkeypatch.setattr(train, "BLOCK_ROWS", 60)
+    shared = train.fit_grid(df, cfgs)
+    monkeypatch.setattr(train, "TRIALS_PER_TASK", 1)
+    alone = train.fit_grid(df, cfgs)
+    assert [r.steps for r in shared] == [c.epochs * (120 // c.batch_size) for c in cfgs]
+    assert all((a.params == b.params).all() for a, b in zip(shared, alone))
